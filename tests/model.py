@@ -57,12 +57,13 @@ class Model:
         k = self.keys.get((stream, key))
         if k is None or p.stall is None or not k.points:
             return
-        last = k.points[-1]
-        due = last[0] + micros(p.stall.after)
-        if now >= due:
-            sev = grade(micros(p.stall.after), micros(p.stall.after))
-            if self.admit(p, "stall", stream, key, last[0], due, sev, [last[1]]):
-                del self.keys[stream, key]
+        last, after = k.points[-1], micros(p.stall.after)
+        until = self.cooling.get((stream, key, "stall"), (0, 0))[0]
+        for t in sorted({last[0] + after, last[0] + after * 5 // 4, last[0] + 2 * after, until}):
+            if last[0] + after <= t <= now:
+                if self.admit(p, "stall", stream, key, last[0], t, grade(t - last[0], after), [last[1]]):
+                    del self.keys[stream, key]
+                    return
 
     def event(self, stream, key, id, at, value, geo=None, terminal=False):
         p = self.profiles[stream]

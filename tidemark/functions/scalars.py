@@ -110,9 +110,9 @@ def millis(us: Column) -> Column:
     return (us / 1000).cast("long")
 
 
-def alert_id(rule: Column, stream: Column, key: Column, last_event_id: Column) -> Column:
+def alert_id(rule: Column, stream: Column, key: Column, event_id: Column) -> Column:
     """The same detection always gets the same id, so a replay cannot store it twice."""
-    parts = F.to_json(F.array(rule, stream, key, last_event_id))
+    parts = F.to_json(F.array(rule, stream, key, event_id))
     return F.substring(F.sha2(parts, 256), 1, 32)
 
 

@@ -7,7 +7,7 @@ know no clock and no other row; ``pts`` and ``prev`` carry the history they may
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -231,12 +231,14 @@ def with_baseline(frames: DataFrame, profiles: Mapping[str, Profile]) -> DataFra
     return frames.withColumn("base_sd", F.when(enough, F.sqrt(F.try_divide(squares, count))))
 
 
-def candidates(frames: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
+def candidates(
+    frames: DataFrame, profiles: Mapping[str, Profile], carry: Sequence[str] = ()
+) -> DataFrame:
     """One row per rule that fires on a frame, before any cooldown.
 
     ``rank``, ``clock_us``, ``seq``, ``at_us`` and ``cleared`` are what the cooldown
     needs. A frame's own clock (the time of detection) is ``clock_us`` where the host
-    provides it, the event time otherwise.
+    provides it, the event time otherwise. Columns in ``carry`` are kept as they are.
     """
     if "clock_us" not in frames.columns:
         frames = frames.withColumn("clock_us", F.col("at_us"))
@@ -261,14 +263,14 @@ def candidates(frames: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
             applies = (F.col("stream") == profile.stream) & (F.lit(True) if absence else F.col("own"))
             found.append(F.when(applies & f.fires, made))
     hits = frames.select(
-        "stream", "key", "id", "at", "at_us", "seq", "clock_us", "cleared",
+        "stream", "key", "id", "at", "at_us", "seq", "clock_us", "cleared", *carry,
         *(["stall_us"] if "stall_us" in frames.columns else []),
         F.explode(F.array_compact(F.array(*found))).alias("hit"),
     )
     detected = F.when(F.col("hit.absence"), F.col("stall_us")).otherwise(F.col("clock_us")) \
         if "stall_us" in frames.columns else F.col("clock_us")
     return hits.select(
-        "stream", "key", "hit.*", "at", "at_us", "seq", "cleared",
+        "stream", "key", "hit.*", F.col("id").alias("event_id"), "at", "at_us", "seq", "cleared", *carry,
         detected.alias("clock_us"),
         F.timestamp_micros(detected).alias("detected_at"),
         S.severity_rank(F.col("hit.severity")).alias("rank"),

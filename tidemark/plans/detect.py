@@ -22,10 +22,8 @@ from tidemark.schema import ALERT
 
 def as_alerts(admitted: DataFrame) -> DataFrame:
     """Stamp ids and keep the alert columns."""
-    last_id = F.element_at("event_ids", -1)
-    return admitted.withColumn("id", alert_id(F.col("rule"), F.col("stream"), F.col("key"), last_id)).select(
-        ALERT.fieldNames()
-    )
+    made = alert_id(F.col("rule"), F.col("stream"), F.col("key"), F.col("event_id"))
+    return admitted.withColumn("id", made).select(ALERT.fieldNames())
 
 
 @dataclass(frozen=True)
