@@ -15,24 +15,26 @@ from tidemark.profiles import TITLES, Profile
 
 
 def per_stream(
-    profiles: Mapping[str, Profile], value: Callable[[Profile], object], default: object = None
+    profiles: Mapping[str, Profile], value: Callable[[Profile], object], only_these: bool = False
 ) -> Column:
-    """``value(profile)`` of the row's stream; one literal if all streams agree."""
-    values = {name: value(p) for name, p in profiles.items()}
-    if default is None and len(set(values.values())) == 1 and None not in values.values():
-        return F.lit(next(iter(values.values())))
+    """``value(profile)`` of the row's stream. If all streams agree it is one literal,
+    unless ``only_these`` asks for null on other streams."""
+    groups: dict[object, list[str]] = {}
+    for name, p in profiles.items():
+        groups.setdefault((type(v := value(p)), v), []).append(name)
+    if len(groups) == 1 and not only_these:
+        return F.lit(next(iter(groups))[1])
     out = None
-    for name, v in values.items():
-        cond = F.col("stream") == name
-        out = F.when(cond, F.lit(v)) if out is None else out.when(cond, F.lit(v))
-    return F.lit(default) if out is None else out.otherwise(F.lit(default))
+    for (_, v), names in groups.items():
+        if v is not None:
+            cond = F.col("stream").isin(*names)
+            out = F.when(cond, F.lit(v)) if out is None else out.when(cond, F.lit(v))
+    return F.lit(None) if out is None else out
 
 
-def title_for(stream: Column, rule: str) -> Column:
+def title_for(stream: Column, rule: Column) -> Column:
     """The phrase of a rule on a stream, falling back to the rule's name."""
-    out = None
-    for name, titles in TITLES.items():
-        if rule in titles:
-            cond, text = stream == name, F.lit(titles[rule])
-            out = F.when(cond, text) if out is None else out.when(cond, text)
-    return F.lit(rule) if out is None else out.otherwise(F.lit(rule))
+    phrases = [
+        F.lit(text) for name, titles in TITLES.items() for r, t in titles.items() for text in (f"{name}/{r}", t)
+    ]
+    return F.coalesce(F.try_element_at(F.create_map(*phrases), F.concat(stream, F.lit("/"), rule)), rule)

@@ -43,52 +43,69 @@ def round1_trunc(v: Column) -> Column:
     return (v * 10.0 + 0.5).cast("long") / F.lit(10.0)
 
 
-def _fixed(v: Column, digits: int) -> Column:
-    """Text with ``digits`` decimals; a half that is exact in binary goes to even."""
-    scaled = v * float(10**digits)
-    tie = F.abs(scaled - F.floor(scaled)) == 0.5
-    return F.format_string(f"%.{digits}f", F.when(tie, F.rint(scaled) / float(10**digits)).otherwise(v))
+# Display texts. They use their number many times over, so they are written as SQL, take a
+# SQL expression, and bind its value once: ``transform(array(v), x -> ...)[0]``.
 
 
-def trim_number(s: Column) -> Column:
-    """Drop trailing zeros after a decimal point, and the point if nothing is left."""
-    return F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+def _let(value: str, body: str, name: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def compact_float(v: Column) -> Column:
-    """A number short enough for one line: 1.6M, 18.5K, 182, 89.9."""
-    size = F.abs(v)
-    return (
-        F.when(F.isnan(v), F.lit("—"))
-        .when(size == float("inf"), F.lit("∞"))
-        .when(size >= 1e6, F.concat(trim_number(_fixed(v / 1e6, 1)), F.lit("M")))
-        .when(size >= 1e3, F.concat(trim_number(_fixed(v / 1e3, 1)), F.lit("K")))
-        .when(size >= 100, _fixed(v, 0))
-        .otherwise(trim_number(_fixed(v, 2)))
+def fixed_sql(value: str, digits: int) -> str:
+    """Text with ``digits`` decimals, rounding the exact binary value, halves to even.
+
+    ``p`` counts half units. If it comes out odd, the value is at a half or next to one:
+    what the product rounded off (by a Veltkamp split, exact) tells which.
+    """
+    halves, unit = 2 * 10**digits, 10**digits
+    rest = f"(f.h * {halves}D - f.p) + (f.s - f.h) * {halves}D"
+    up = f"if(f.p % 2 = 1, {rest} > 0 OR ({rest} = 0 AND floor(f.p / 2) % 2 = 1), f.p / 2 - floor(f.p / 2) >= 0.5D)"
+    text = f"format_string('%.{digits}f', if(f.neg, -1D, 1D) * (floor(f.p / 2) + if({up}, 1, 0)) / {unit}D)"
+    parts = (
+        f"named_struct('neg', w < 0, 's', abs(w), 'p', abs(w) * {halves}D, "
+        "'h', abs(w) * 134217729D - (abs(w) * 134217729D - abs(w)))"
     )
+    return _let(f"CAST({value} AS DOUBLE)", _let(parts, text, "f"), "w")
 
 
-def fixed1(v: Column) -> Column:
-    return _fixed(v, 1)
+def fixed(value: str, digits: int) -> Column:
+    return F.expr(fixed_sql(value, digits))
+
+
+def _trim(text: str) -> str:
+    """Drop trailing zeros after a decimal point, and the point if nothing is left."""
+    return f"regexp_replace(regexp_replace({text}, '([.][0-9]*?)0+$', '$1'), '[.]$', '')"
 
 
-def compact_duration(us: Column) -> Column:
+def compact_float(value: str) -> Column:
+    """A number short enough for one line: 1.6M, 18.5K, 182, 89.9."""
+    return F.expr(_let(
+        f"CAST({value} AS DOUBLE)",
+        f"""CASE WHEN isnan(x) THEN '—' WHEN abs(x) = double('Infinity') THEN '∞'
+        WHEN abs(x) >= 1000000 THEN concat({_trim(fixed_sql('x / 1000000D', 1))}, 'M')
+        WHEN abs(x) >= 1000 THEN concat({_trim(fixed_sql('x / 1000D', 1))}, 'K')
+        WHEN abs(x) >= 100 THEN {fixed_sql('x', 0)} ELSE {_trim(fixed_sql('x', 2))} END""",
+        "x",
+    ))
+
+
+def compact_duration(us: str) -> Column:
     """Microseconds as 420ms, 1.5s, 1m34s or 3h00m."""
-    sec = F.floor(us / 1_000_000)
-    return (
-        F.when(us < 1_000_000, F.concat(millis(us), F.lit("ms")))
-        .when(us < 60_000_000, F.concat(trim_number(_fixed(us / 1e6, 1)), F.lit("s")))
-        .when(us < 3_600_000_000, F.format_string("%dm%02ds", F.floor(sec / 60), sec % 60))
-        .otherwise(F.format_string("%dh%02dm", F.floor(sec / 3600), F.floor(sec / 60) % 60))
-    )
+    return F.expr(_let(
+        f"CAST({us} AS BIGINT)",
+        f"""CASE WHEN x < 1000000 THEN concat(x div 1000, 'ms')
+        WHEN x < 60000000 THEN concat({_trim(fixed_sql('x / 1000000D', 1))}, 's')
+        WHEN x < 3600000000 THEN format_string('%dm%02ds', x div 60000000, x div 1000000 % 60)
+        ELSE format_string('%dh%02dm', x div 3600000000, x div 60000000 % 60) END""",
+        "x",
+    ))
 
 
-def place_of(geo: Column) -> Column:
+def place_of(geo: str) -> Column:
     """Place name, else coordinates, else a question mark."""
-    return (
-        F.when(geo.isNull(), F.lit("?"))
-        .when(F.coalesce(geo["place"], F.lit("")) != "", geo["place"])
-        .otherwise(F.concat(_fixed(geo["lat"], 2), F.lit(","), _fixed(geo["lon"], 2)))
+    lat, lon = fixed_sql(f"{geo}.lat", 2), fixed_sql(f"{geo}.lon", 2)
+    return F.expr(
+        f"CASE WHEN {geo} IS NULL THEN '?' WHEN {geo}.place <> '' THEN {geo}.place ELSE concat({lat}, ',', {lon}) END"
     )
 
 

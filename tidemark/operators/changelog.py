@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.cases import per_stream
-from tidemark.functions.scalars import parse_state_key, state_key
-from tidemark.operators.frames import _us, check_in_order, sliced, stall_deadline, with_resets
+from tidemark.functions.scalars import is_terminal, parse_state_key, state_key
+from tidemark.operators.frames import _us, check_in_order, prepare, sliced, stall_deadline, with_resets
 from tidemark.operators.validate import split_valid
 from tidemark.profiles import Profile, by_stream, micros
 
+# JSON times keep their microseconds; the default format cuts them to milliseconds.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
 _GEO = "struct<lat:double,lon:double,place:string>"
 SNAPSHOT = (
     "key struct<stream:string,id:string>, "
@@ -21,6 +24,26 @@ SNAPSHOT = (
 )
 
 
+def _keys(rows: DataFrame, chosen: Mapping[str, Profile], as_of: datetime | int) -> DataFrame:
+    """Newest time, last fresh start, and whether it is ``gone``, of every key."""
+    position = F.struct("at_us", "seq")
+    keys = rows.groupBy("stream", "key").agg(
+        F.max("at_us").alias("mark_us"),
+        F.max(F.when(F.col("reset"), position)).alias("since"),
+        F.max_by("terminal", position).alias("finished"),
+    )
+    silent = F.coalesce(stall_deadline(chosen, F.col("mark_us")) <= _us(as_of), F.lit(False))
+    return keys.select("stream", "key", "mark_us", "since", (F.col("finished") | silent).alias("gone"))
+
+
+def live_keys(events: DataFrame, profiles: Mapping[str, Profile], as_of: datetime | int) -> DataFrame:
+    """Keys that have neither finished nor been reported silent."""
+    rows = prepare(events).select(
+        "stream", "key", "at_us", "seq", is_terminal(F.col("labels")).alias("terminal"), F.lit(False).alias("reset")
+    )
+    return _keys(rows, profiles, as_of).filter("NOT gone").select("stream", "key")
+
+
 def snapshots(events: DataFrame, profiles: Iterable[Profile], as_of: datetime | int) -> DataFrame:
     """Every key seen, with its points in the window at ``as_of``; ``points`` is null for
     keys that have finished or were reported silent.
@@ -33,16 +56,7 @@ def snapshots(events: DataFrame, profiles: Iterable[Profile], as_of: datetime |
     valid, _ = split_valid(events, chosen)
     rows = with_resets(sliced(valid, chosen), chosen).filter("own")
     position = F.struct("at_us", "seq")
-    keys = rows.groupBy("stream", "key").agg(
-        F.max("at_us").alias("mark_us"),
-        F.max(F.when(F.col("reset"), position)).alias("since"),
-        F.max_by("terminal", position).alias("finished"),
-    )
-    deadline = stall_deadline(chosen, F.col("mark_us"))
-    keys = keys.select(
-        "stream", "key", "mark_us", "since",
-        (F.col("finished") | F.coalesce(deadline <= _us(as_of), F.lit(False))).alias("gone"),
-    )
+    keys = _keys(rows, chosen, as_of)
     visible = F.col("mark_us") - per_stream(chosen, lambda p: micros(p.window))
     inside = rows.join(keys.filter("NOT gone"), ["stream", "key"]).filter(
         (F.col("at_us") >= visible) & (F.col("since").isNull() | (position >= F.col("since")))
@@ -66,7 +80,7 @@ def as_log(snaps: DataFrame) -> DataFrame:
     """Change-log records: a snapshot per live key, a tombstone (null) per dropped one."""
     body = F.to_json(F.struct(
         F.struct("stream", F.col("key").alias("id")).alias("key"), "points", "written"
-    ))
+    ), TIMES)
     return snaps.select(
         state_key(F.col("stream"), F.col("key")).alias("key"),
         F.when(F.size(F.coalesce("points", F.array())) > 0, body).alias("value"),
@@ -78,7 +92,7 @@ def decode(log: DataFrame) -> DataFrame:
     """(stream, id, points, written, offset) of readable records. Unreadable ones, and
     tombstones whose key has no stream part, are skipped."""
     empty = F.coalesce(F.length("value"), F.lit(0)) == 0
-    snap = F.from_json("value", SNAPSHOT, {"mode": "PERMISSIVE"})
+    snap = F.from_json("value", SNAPSHOT, TIMES)
     from_key = parse_state_key(F.col("key"))
     readable = F.when(empty, from_key.isNotNull()).otherwise(
         F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))

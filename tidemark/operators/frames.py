@@ -83,13 +83,15 @@ def with_resets(rows: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
 
 
 def event_frames(
-    events: DataFrame, profiles: Mapping[str, Profile], as_of: datetime | int | None = None
+    events: DataFrame, profiles: Mapping[str, Profile], as_of: datetime | int | None = None,
+    with_retained: bool = False,
 ) -> DataFrame:
     """Frames of valid events, ordered by (at, seq); seq defaults to the event id.
 
     One shuffle on (stream, key, slice) and one sort serve every column. The window is
     built over a ROWS frame of ``cap`` rows, so an event costs at most ``cap`` steps
     however fast its key runs. ``as_of`` is the present: silence is judged up to it.
+    ``with_retained`` adds how many points are held, those in grace included.
     """
     check_in_order(profiles)
     w = _entity_window()
@@ -136,6 +138,9 @@ def event_frames(
         F.struct(F.col("pred.id").alias("id"), F.col("pred.at_us").alias("at_us"),
                  F.col("pred.geo").alias("geo")),
     )
+    if with_retained:
+        held = F.filter("raw_pts", lambda p: (p["n"] >= F.col("oldest_n")) & (p["at_us"] >= retained_us))
+        rows = rows.withColumn("retained", F.size(held).cast("long"))
     return rows.withColumn("pts", pts).withColumn("prev", prev).drop(
         "raw_pts", "before", "pred", "next_us", "first_n", "oldest_n", "oldest_us", "reset"
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import cached_property
 
 import pandas as pd
@@ -117,6 +117,19 @@ def with_units(events: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
     return running(rows, ["stream", "key"], ["seq"], blocks, [opened]).drop("fresh", "newest_us")
 
 
+def late_arrivals(events: DataFrame, window: timedelta, grace: timedelta) -> DataFrame:
+    """Add each key's ``mark`` at arrival, and ``late``, where no key ever restarts.
+
+    For streams without terminal events and sweeps, such as payments, this says what
+    stepping would say, as a plain scan. ``seq`` is the arrival order.
+    """
+    blocks = [floor_div(F.col("seq"), ARRIVALS_PER_BLOCK)]
+    newest = Running("mark_us", F.unix_micros("at"), "max")
+    rows = running(events, ["stream", "key"], ["seq"], blocks, [newest])
+    late = F.unix_micros("at") < F.col("mark_us") - micros(window + grace)
+    return rows.withColumn("late", late).withColumn("mark", F.timestamp_micros("mark_us")).drop("mark_us")
+
+
 def replay_frames(
     events: DataFrame, profiles: Mapping[str, Profile], as_of: datetime | int | None = None
 ) -> DataFrame:

@@ -1,8 +1,9 @@
 """The five detection rules as expressions over a frame.
 
-A rule is a ``Candidate``-producing function of one frame row: a condition, the two
-numbers its severity compares, a sentence, its evidence and the ids behind it. Rules
-know no clock and no other row; ``pts`` and ``prev`` carry the history they may see.
+A rule is a function of one frame row: whether it fires, the two numbers its severity
+compares, a few facts, and the ids behind it. Rules know no clock and no other row;
+``pts`` and ``prev`` carry the history they may see. Titles, sentences and evidence are
+written afterwards, for the rows that fired.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.functions.cases import title_for
+from tidemark.functions.cases import per_stream, title_for
 from tidemark.profiles import GeoVelocity, Profile, Rule, Stall, Threshold, Velocity, ZScore, micros
 
 # How many event ids an alert carries.
@@ -23,12 +24,61 @@ VELOCITY_IDS, ZSCORE_IDS, THRESHOLD_IDS = 12, 8, 12
 
 @dataclass(frozen=True)
 class Finding:
+    """What a rule says about a frame. ``n``, ``span_us``, ``a``, ``b`` and ``c`` are facts
+    for the text; a rule of your own gives ``detail`` and ``evidence`` (JSON) itself."""
+
+    name: str
     fires: Column
     observed: Column
     limit: Column
-    detail: Column
-    evidence: Column
     event_ids: Column
+    n: Column | None = None
+    span_us: Column | None = None
+    a: Column | None = None
+    b: Column | None = None
+    c: Column | None = None
+    detail: Column | None = None
+    evidence: Column | None = None
+    absence: bool = False
+
+    def hit(self) -> Column:
+        def fact(c: Column | None, name: str, kind: str) -> Column:
+            return (F.lit(None) if c is None else c).cast(kind).alias(name)
+
+        return F.when(
+            self.fires & (F.lit(True) if self.absence else F.col("own")),
+            F.struct(
+                F.lit(self.name).alias("rule"),
+                F.lit(self.absence).alias("absence"),
+                fact(self.observed, "observed", "double"),
+                fact(self.limit, "limit", "double"),
+                fact(self.n, "n", "long"),
+                fact(self.span_us, "span_us", "long"),
+                fact(self.a, "a", "double"),
+                fact(self.b, "b", "double"),
+                fact(self.c, "c", "double"),
+                fact(self.detail, "detail", "string"),
+                fact(self.evidence, "evidence", "string"),
+                fact(self.event_ids, "event_ids", "array<string>"),
+            ),
+        )
+
+
+class _Of:
+    """Parameters of one kind of rule, by the stream of the row; null where it is not set."""
+
+    def __init__(self, profiles: Mapping[str, Profile], kind: type):
+        self.profiles = {n: p for n, p in profiles.items() if p.find(kind)}
+        self.kind = kind
+
+    def __bool__(self) -> bool:
+        return bool(self.profiles)
+
+    def here(self) -> Column:
+        return F.col("stream").isin(*self.profiles)
+
+    def get(self, value: Callable[[Rule], object]) -> Column:
+        return per_stream(self.profiles, lambda p: value(p.find(self.kind)[0]), only_these=True)
 
 
 def _ids(pts: Column, limit: int) -> Column:
@@ -38,197 +88,186 @@ def _ids(pts: Column, limit: int) -> Column:
 
 def velocity_rate(count: Column, span_us: Column) -> Column:
     """Events per second, two decimals; zero when no time passed."""
-    return F.when(span_us > 0, S.round_to(F.try_divide(count.cast("double"), span_us / 1e6), 2)).otherwise(0.0)
-
-
-def velocity(rule: Velocity, profile: Profile) -> Finding:
-    pts = F.col("pts")
-    count = F.size(pts)
-    span_us = F.when(count < 2, F.lit(0)).otherwise(pts[count - 1]["at_us"] - pts[0]["at_us"])
-    per_us = micros(rule.per)
-    allowed = F.lit(rule.max / (per_us / 1e6) if per_us > 0 else 0.0)
-    rate = velocity_rate(count, span_us)
-    limit_text = S.compact_duration(F.lit(per_us))
-    return Finding(
-        count > rule.max,
-        rate,
-        allowed,
-        F.concat(
-            count, F.lit(" events in "), S.compact_duration(span_us),
-            F.lit(f" (limit {rule.max} per "), limit_text, F.lit(")"),
-        ),
-        F.struct(
-            count.alias("count"),
-            F.lit(rule.max).alias("limit"),
-            S.millis(span_us).alias("spanMs"),
-            F.lit(per_us // 1000).alias("windowMs"),
-            rate.alias("perSecond"),
-            S.round_to(allowed, 2).alias("allowedPerSecond"),
-        ),
-        _ids(pts, VELOCITY_IDS),
+    rate = S.round_to(F.try_divide(count.cast("double"), span_us / 1e6), 2)
+    return F.when(span_us > 0, rate).otherwise(0.0)
+
+
+def _velocity(frames: DataFrame, of: _Of) -> tuple[DataFrame, Finding]:
+    pts, count = F.col("pts"), F.size("pts")
+    over = of.here() & (count > of.get(lambda r: r.max))
+    span = F.when(count < 2, F.lit(0)).otherwise(pts[count - 1]["at_us"] - pts[0]["at_us"])
+    frames = frames.withColumn("v_span", F.when(over, span))
+    allowed = of.get(lambda r: r.max / (micros(r.per) / 1e6) if micros(r.per) > 0 else 0.0)
+    rate = velocity_rate(count, F.col("v_span"))
+    return frames, Finding(
+        "velocity", F.col("v_span").isNotNull(), rate, allowed, _ids(pts, VELOCITY_IDS),
+        n=count, span_us=F.col("v_span"),
     )
 
 
-def geovelocity(rule: GeoVelocity, profile: Profile) -> Finding:
+def _geovelocity(frames: DataFrame, of: _Of) -> tuple[DataFrame, Finding]:
     geo, prev = F.col("geo"), F.col("prev")
     km = S.haversine_km(prev["geo"]["lat"], prev["geo"]["lon"], geo["lat"], geo["lon"])
     took_us = F.col("at_us") - prev["at_us"]
+    both = of.here() & geo.isNotNull() & prev["geo"].isNotNull()
+    frames = frames.withColumn("g_km", F.when(both, km))
     # Two places at one instant is an infinite speed, not a division error.
-    kmh = F.coalesce(F.try_divide(km, took_us / 3.6e9), F.lit(float("inf")))
-    both = geo.isNotNull() & prev["geo"].isNotNull()
-    return Finding(
-        both & (km >= float(rule.min_km)) & (kmh > float(rule.max_kmh)),
-        kmh,
-        F.lit(float(rule.max_kmh)),
-        F.concat(
-            S.place_of(prev["geo"]), F.lit(" → "), S.place_of(geo), F.lit(" · "),
-            S.compact_float(km), F.lit(" km in "), S.compact_duration(took_us),
-            F.lit(" · "), S.compact_float(kmh), F.lit(" km/h"),
-        ),
-        F.struct(
-            S.place_of(prev["geo"]).alias("fromPlace"),
-            S.place_of(geo).alias("toPlace"),
-            S.round_to(km, 1).alias("distanceKm"),
-            (took_us / 1e6).alias("seconds"),
-            S.compact_float(kmh).alias("impliedKmh"),
-            F.lit(float(rule.max_kmh)).alias("limitKmh"),
-        ),
-        F.array(prev["id"], F.col("id")),
+    kmh = F.coalesce(F.try_divide(F.col("g_km"), took_us / 3.6e9), F.lit(float("inf")))
+    frames = frames.withColumn("g_kmh", F.when(F.col("g_km").isNotNull(), kmh))
+    limit = of.get(lambda r: float(r.max_kmh))
+    fires = (F.col("g_km") >= of.get(lambda r: float(r.min_km))) & (F.col("g_kmh") > limit)
+    return frames, Finding(
+        "geovelocity", fires, F.col("g_kmh"), limit, F.array(prev["id"], F.col("id")),
+        span_us=took_us, a=F.col("g_km"),
     )
 
 
-
-
-def zscore(rule: ZScore, profile: Profile) -> Finding:
-    # ``base_*`` are columns added by ``with_baseline``.
-    n, mean, sd = F.col("base_n"), F.col("base_mean"), F.col("base_sd")
-    value = F.col("value")
+def _zscore(frames: DataFrame, of: _Of) -> tuple[DataFrame, Finding]:
+    """Two passes over the few points but the newest, so a flat history deviates by exactly
+    zero; only where there are points enough."""
+    n = F.greatest(F.size("pts") - 1, F.lit(0))
+    need = of.get(lambda r: max(r.min_samples, 1))
+    frames = frames.withColumn("z_n", F.when(of.here() & F.col("own") & (n >= need), n))
+    history, count = F.slice("pts", F.lit(1), F.col("z_n")), F.col("z_n").cast("double")
+    total = F.aggregate(history, F.lit(0.0), lambda acc, p: acc + p["value"])
+    known = F.col("z_n").isNotNull()
+    frames = frames.withColumn("z_mean", F.when(known, F.try_divide(total, count)))
+    off = lambda p: p["value"] - F.col("z_mean")
+    squares = F.aggregate(history, F.lit(0.0), lambda acc, p: acc + off(p) * off(p))
+    frames = frames.withColumn("z_sd", F.when(known, F.sqrt(F.try_divide(squares, count))))
+    value, mean = F.col("value"), F.col("z_mean")
     delta = F.abs(value - mean)
-    z = F.try_divide(delta, sd)
-    fires = (n >= rule.min_samples) & (sd > 0) & (delta >= float(rule.min_delta)) & (z > float(rule.k))
-    if not rule.below:
-        fires = fires & (value >= mean)
-    return Finding(
-        fires,
-        z,
-        F.lit(float(rule.k)),
-        F.concat(
-            S.compact_float(value), F.lit(" "), F.coalesce("unit", F.lit("")), F.lit(" is "),
-            S.fixed1(z), F.lit("σ "), F.when(value < mean, F.lit("below")).otherwise(F.lit("above")),
-            F.lit(" this key's mean of "), S.compact_float(mean), F.lit(" (n="), n, F.lit(")"),
-        ),
-        F.struct(
-            value.alias("value"),
-            S.round_to(mean, 2).alias("mean"),
-            S.round_to(sd, 2).alias("stddev"),
-            S.round_to(z, 2).alias("z"),
-            F.lit(float(rule.k)).alias("k"),
-            S.round_to(delta, 2).alias("delta"),
-            F.lit(float(rule.min_delta)).alias("minDelta"),
-            n.alias("samples"),
-        ),
-        _ids(F.col("pts"), ZSCORE_IDS),
+    z = F.try_divide(delta, F.col("z_sd"))
+    fires = (
+        (F.col("z_sd") > 0)
+        & (of.get(lambda r: bool(r.below)) | (value >= mean))
+        & (delta >= of.get(lambda r: float(r.min_delta)))
+        & (z > of.get(lambda r: float(r.k)))
+    )
+    return frames, Finding(
+        "zscore", fires, z, of.get(lambda r: float(r.k)), _ids(F.col("pts"), ZSCORE_IDS),
+        n=F.col("z_n"), a=mean, b=F.col("z_sd"), c=delta,
     )
 
 
-def _beyond(rule: Threshold, value: Column) -> Column:
-    return value > float(rule.bound) if rule.above else value < float(rule.bound)
-
+def _threshold(frames: DataFrame, of: _Of) -> tuple[DataFrame, Finding]:
+    """The newest point and the points beyond the bound that lead up to it. The newest
+    itself is not tested; for in-order data it is the event, which is."""
+    frames = frames.withColumn("t_bound", of.get(lambda r: float(r.bound)))
+    frames = frames.withColumn("t_above", of.get(lambda r: bool(r.above)))
 
-def unbroken_run(rule: Threshold, pts: Column) -> Column:
-    """The newest point and the points beyond the bound that lead up to it.
+    def beyond(v: Column) -> Column:
+        return F.when(F.col("t_above"), v > F.col("t_bound")).otherwise(v < F.col("t_bound"))
 
-    The newest point itself is not tested; for in-order data it is the event, which is."""
-    last = F.size(pts) - 1
-    broken_at = F.array_max(
-        F.transform(
-            pts, lambda p, i: F.when((i < last) & ~_beyond(rule, p["value"]), i).otherwise(-1)
-        )
+    pts = F.col("pts")
+    broken = F.transform(
+        F.slice(pts, 1, F.greatest(F.size(pts) - 1, F.lit(0))),
+        lambda p, i: F.when(beyond(p["value"]), -1).otherwise(i),
     )
-    return F.slice(pts, broken_at + 2, F.size(pts))
-
-
-def threshold(rule: Threshold, profile: Profile) -> Finding:
-    run = F.when(_beyond(rule, F.col("value")), unbroken_run(rule, F.col("pts")))
-    samples = F.size(run)
-    held_us = run[samples - 1]["at_us"] - run[0]["at_us"]
-    sustained_us = micros(rule.sustained)
-    side = "above" if rule.above else "below"
-    return Finding(
-        run.isNotNull() & (held_us >= sustained_us),
-        held_us / 1e6,
-        F.lit(sustained_us / 1e6),
-        F.concat(
-            S.compact_float(F.col("value")), F.lit(" "), F.coalesce("unit", F.lit("")),
-            F.lit(f" — {side} "), S.compact_float(F.lit(float(rule.bound))), F.lit(" for "),
-            S.compact_duration(held_us), F.lit(" across "), samples, F.lit(" samples"),
-        ),
-        F.struct(
-            F.col("value").alias("value"),
-            F.lit(float(rule.bound)).alias("bound"),
-            F.lit(rule.above).alias("above"),
-            S.millis(held_us).alias("heldMs"),
-            F.lit(sustained_us // 1000).alias("sustainedMs"),
-            samples.alias("samples"),
-        ),
-        _ids(run, THRESHOLD_IDS),
+    run = F.slice(pts, F.coalesce(F.array_max(broken), F.lit(-1)) + 2, F.size(pts))
+    judged = of.here() & F.col("own") & beyond(F.col("value")) & (F.size(pts) > 0)
+    frames = frames.withColumn("t_run", F.when(judged, run))
+    run, samples = F.col("t_run"), F.size("t_run")
+    held = F.when(run.isNotNull(), run[samples - 1]["at_us"] - run[0]["at_us"])
+    frames = frames.withColumn("t_held", held)
+    need = of.get(lambda r: micros(r.sustained))
+    return frames, Finding(
+        "threshold", F.col("t_held") >= need, F.col("t_held") / 1e6, need / 1e6,
+        _ids(run, THRESHOLD_IDS), n=samples, span_us=F.col("t_held"),
     )
 
 
-def stall(rule: Stall, profile: Profile) -> Finding:
-    after_us = micros(rule.after)
-    idle_us = F.col("stall_us") - F.col("at_us")
-    return Finding(
-        F.col("stalled"),
-        idle_us / 1e6,
-        F.lit(after_us / 1e6),
-        F.concat(
-            F.lit("no events for "), S.compact_duration(idle_us),
-            F.lit(" (expected within "), S.compact_duration(F.lit(after_us)), F.lit(")"),
-        ),
-        F.struct(
-            S.millis(idle_us).alias("idleMs"),
-            F.lit(after_us // 1000).alias("thresholdMs"),
-            F.col("value").alias("lastValue"),
-        ),
-        F.array("id"),
+def _stall(frames: DataFrame, of: _Of) -> tuple[DataFrame, Finding]:
+    idle = F.col("stall_us") - F.col("at_us")
+    fires = of.here() & F.col("stalled")
+    return frames, Finding(
+        "stall", fires, idle / 1e6, of.get(lambda r: micros(r.after)) / 1e6, F.array("id"),
+        span_us=idle, absence=True,
     )
 
 
-# Rules by type; a rule of your own is a dataclass plus an entry here.
-EVALUATORS: dict[type, Callable[[Rule, Profile], Finding]] = {
-    Velocity: velocity,
-    GeoVelocity: geovelocity,
-    ZScore: zscore,
-    Stall: stall,
-    Threshold: threshold,
+# Evaluators by kind of rule: (frames, parameters) -> (frames with helper columns, finding).
+# A rule of your own is a dataclass with ``name`` and ``on``, and an entry here.
+EVALUATORS: dict[type, Callable[[DataFrame, _Of], tuple[DataFrame, Finding]]] = {
+    Velocity: _velocity,
+    GeoVelocity: _geovelocity,
+    ZScore: _zscore,
+    Threshold: _threshold,
+    Stall: _stall,
 }
 
 
-def with_baseline(frames: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
-    """Add count, mean and population deviation of all points but the newest.
+def _text(hits: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
+    """Write ``detail`` and ``evidence`` of the hits."""
+    rule = F.col("rule")
+    kinds = {k: _Of(profiles, k) for k in (Velocity, GeoVelocity, ZScore, Stall, Threshold)}
+
+    def param(name: str, kind: str, getters: dict[type, Callable[[Rule], object]]) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast(kind))
+        for k, get in getters.items():
+            if kinds[k]:
+                out = out.when(rule == k.__name__.lower(), kinds[k].get(get).cast(kind))
+        return out.alias(name)
+
+    hits = hits.select(
+        "*",
+        param("p_int", "int", {Velocity: lambda r: r.max}),
+        param("p_us", "long", {Velocity: lambda r: micros(r.per), Stall: lambda r: micros(r.after),
+                               Threshold: lambda r: micros(r.sustained)}),
+        param("p_x", "double", {Threshold: lambda r: float(r.bound), ZScore: lambda r: float(r.min_delta)}),
+        param("p_above", "boolean", {Threshold: lambda r: bool(r.above)}),
+        F.when(rule == "geovelocity", S.place_of("prev.geo")).alias("from_place"),
+        F.when(rule == "geovelocity", S.place_of("geo")).alias("to_place"),
+        F.when(rule.isin("zscore", "threshold"), S.compact_float("value")).alias("value_text"),
+        F.when(rule.isin("geovelocity", "zscore"), S.compact_float("a")).alias("a_text"),
+        F.when(rule == "geovelocity", S.compact_float("observed"))
+        .when(rule == "zscore", S.fixed("observed", 1)).alias("observed_text"),
+        S.compact_duration("span_us").alias("span_text"),
+        F.coalesce("unit", F.lit("")).alias("unit_text"),
+    )
+    hits = hits.select(
+        "*", S.compact_duration("p_us").alias("p_us_text"),
+        F.when(rule == "threshold", S.compact_float("p_x")).alias("p_x_text"),
+    )
+    n, span_ms, param_ms = F.col("n"), S.millis(F.col("span_us")), S.millis(F.col("p_us"))
+    observed, limit, a, b, c = (F.col(x) for x in ("observed", "limit", "a", "b", "c"))
+    side = F.when(rule == "threshold", F.when(F.col("p_above"), "above").otherwise("below")).otherwise(
+        F.when(F.col("value") < a, "below").otherwise("above")
+    )
 
-    Two passes over the few points, so a flat history deviates by exactly zero. Worked
-    out only on streams that use them, and only where there are points enough.
-    """
-    wanted = {name: p.find(ZScore)[0].min_samples for name, p in profiles.items() if p.find(ZScore)}
-    if not wanted:
-        return frames
-    least = min(wanted.values())
-    n = F.greatest(F.size("pts") - 1, F.lit(0))
-    judged = F.col("stream").isin(*wanted) & F.col("own")
-    frames = frames.withColumn("base_n", F.when(judged, n))
-    enough = F.col("base_n") >= max(least, 1)
-    count = F.col("base_n").cast("double")
-    history = F.slice("pts", F.lit(1), F.col("base_n"))
-    total = F.aggregate(history, F.lit(0.0), lambda acc, p: acc + p["value"])
-    frames = frames.withColumn("base_mean", F.when(enough, F.try_divide(total, count)))
-    squares = F.aggregate(
-        history,
-        F.lit(0.0),
-        lambda acc, p: acc + (p["value"] - F.col("base_mean")) * (p["value"] - F.col("base_mean")),
+    def say(*parts) -> Column:
+        return F.concat(*[F.lit(p[1:]) if p.startswith("=") else F.col(p) for p in parts])
+
+    hits = hits.withColumn("side", side)
+    detail = (
+        F.when(rule == "velocity", say("n", "= events in ", "span_text", "= (limit ", "p_int", "= per ", "p_us_text", "=)"))
+        .when(rule == "geovelocity", say("from_place", "= → ", "to_place", "= · ", "a_text", "= km in ", "span_text",
+                                         "= · ", "observed_text", "= km/h"))
+        .when(rule == "zscore", say("value_text", "= ", "unit_text", "= is ", "observed_text", "=σ ", "side",
+                                    "= this key's mean of ", "a_text", "= (n=", "n", "=)"))
+        .when(rule == "stall", say("=no events for ", "span_text", "= (expected within ", "p_us_text", "=)"))
+        .when(rule == "threshold", say("value_text", "= ", "unit_text", "= — ", "side", "= ", "p_x_text", "= for ",
+                                       "span_text", "= across ", "n", "= samples"))
+    )
+    evidence = (
+        F.when(rule == "velocity", F.to_json(F.struct(
+            n.alias("count"), F.col("p_int").alias("limit"), span_ms.alias("spanMs"), param_ms.alias("windowMs"),
+            observed.alias("perSecond"), S.round_to(limit, 2).alias("allowedPerSecond"))))
+        .when(rule == "geovelocity", F.to_json(F.struct(
+            F.col("from_place").alias("fromPlace"), F.col("to_place").alias("toPlace"),
+            S.round_to(a, 1).alias("distanceKm"), (F.col("span_us") / 1e6).alias("seconds"),
+            F.col("observed_text").alias("impliedKmh"), limit.alias("limitKmh"))))
+        .when(rule == "zscore", F.to_json(F.struct(
+            F.col("value").alias("value"), S.round_to(a, 2).alias("mean"), S.round_to(b, 2).alias("stddev"),
+            S.round_to(observed, 2).alias("z"), limit.alias("k"), S.round_to(c, 2).alias("delta"),
+            F.col("p_x").alias("minDelta"), n.alias("samples"))))
+        .when(rule == "stall", F.to_json(F.struct(
+            span_ms.alias("idleMs"), param_ms.alias("thresholdMs"), F.col("value").alias("lastValue"))))
+        .when(rule == "threshold", F.to_json(F.struct(
+            F.col("value").alias("value"), F.col("p_x").alias("bound"), F.col("p_above").alias("above"),
+            span_ms.alias("heldMs"), param_ms.alias("sustainedMs"), n.alias("samples"))))
     )
-    return frames.withColumn("base_sd", F.when(enough, F.sqrt(F.try_divide(squares, count))))
+    return hits.withColumn("detail", F.coalesce("detail", detail)).withColumn("evidence", F.coalesce("evidence", evidence))
 
 
 def candidates(
@@ -242,36 +281,26 @@ def candidates(
     """
     if "clock_us" not in frames.columns:
         frames = frames.withColumn("clock_us", F.col("at_us"))
-    frames = with_baseline(frames, profiles)
     found = []
-    for profile in profiles.values():
-        for rule in profile.active():
-            absence = isinstance(rule, Stall)
-            if absence and profile.stall is None:
-                continue
-            f = EVALUATORS[type(rule)](rule, profile)
-            sev = S.severity(f.observed, f.limit)
-            made = F.struct(
-                F.lit(rule.name).alias("rule"),
-                sev.alias("severity"),
-                title_for(F.col("stream"), rule.name).alias("title"),
-                f.detail.alias("detail"),
-                F.to_json(f.evidence).alias("evidence"),
-                f.event_ids.alias("event_ids"),
-                F.lit(absence).alias("absence"),
-            )
-            applies = (F.col("stream") == profile.stream) & (F.lit(True) if absence else F.col("own"))
-            found.append(F.when(applies & f.fires, made))
+    for kind in {type(r): None for p in profiles.values() for r in p.active()}:
+        swept = {n: p for n, p in profiles.items() if kind is not Stall or p.stall}
+        of = _Of(swept, kind)
+        if of:
+            frames, finding = EVALUATORS[kind](frames, of)
+            found.append(finding.hit())
     hits = frames.select(
-        "stream", "key", "id", "at", "at_us", "seq", "clock_us", "cleared", *carry,
-        *(["stall_us"] if "stall_us" in frames.columns else []),
+        "stream", "key", F.col("id").alias("event_id"), "at", "at_us", "value", "unit", "geo", "prev",
+        "seq", "clock_us", "stall_us", "cleared", *carry,
         F.explode(F.array_compact(F.array(*found))).alias("hit"),
-    )
-    detected = F.when(F.col("hit.absence"), F.col("stall_us")).otherwise(F.col("clock_us")) \
-        if "stall_us" in frames.columns else F.col("clock_us")
-    return hits.select(
-        "stream", "key", "hit.*", F.col("id").alias("event_id"), "at", "at_us", "seq", "cleared", *carry,
+    ).select("*", "hit.*").drop("hit")
+    detected = F.when(F.col("absence"), F.col("stall_us")).otherwise(F.col("clock_us"))
+    severity = S.severity(F.col("observed"), F.col("limit"))
+    written = _text(hits.withColumn("severity", severity), profiles)
+    titles = title_for(F.col("stream"), F.col("rule"))
+    return written.select(
+        "stream", "key", "rule", "severity", titles.alias("title"), "detail", "evidence", "event_ids", "absence",
+        "event_id", "at", "at_us", "seq", "cleared", *carry,
         detected.alias("clock_us"),
         F.timestamp_micros(detected).alias("detected_at"),
-        S.severity_rank(F.col("hit.severity")).alias("rank"),
+        S.severity_rank(F.col("severity")).alias("rank"),
     )

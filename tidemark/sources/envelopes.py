@@ -44,9 +44,11 @@ def open_envelopes(envelopes: DataFrame, body: str = "body") -> tuple[DataFrame,
         broken.alias("_broken"),
         F.explode_outer(F.when(has_alert, one).otherwise(records)).alias("source", "_batch"),
     ).select("_broken", "source", F.explode_outer("_batch").alias("_r"))
+    # Line breaks inside base64 carry nothing.
+    packed = F.regexp_replace("_r.value", "[\r\n]", "")
     rows = opened.filter("_broken IS NOT NULL OR _r IS NOT NULL").select(
         "_broken", "source", F.col("_r.offset").alias("offset"),
-        F.when(F.col("_r.value").rlike(BASE64), F.unbase64("_r.value").cast("string")).alias("value"),
+        F.when(packed.rlike(BASE64), F.unbase64(packed).cast("string")).alias("value"),
     )
     decoded = decode_alerts(rows)
     where = F.concat("source", F.lit("@"), F.col("offset"), F.lit(": "))
