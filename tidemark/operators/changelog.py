@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.cases import per_stream
+from tidemark.functions.once import once
 from tidemark.functions.scalars import is_terminal, parse_state_key, state_key
 from tidemark.operators.frames import _us, check_in_order, prepare, sliced, stall_deadline, with_resets
 from tidemark.operators.validate import split_valid
@@ -91,18 +92,20 @@ def as_log(snaps: DataFrame) -> DataFrame:
 def decode(log: DataFrame) -> DataFrame:
     """(stream, id, points, written, offset) of readable records. Unreadable ones, and
     tombstones whose key has no stream part, are skipped."""
-    empty = F.coalesce(F.length("value"), F.lit(0)) == 0
-    snap = F.from_json("value", SNAPSHOT, TIMES)
-    from_key = parse_state_key(F.col("key"))
-    readable = F.when(empty, from_key.isNotNull()).otherwise(
-        F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
-        & snap["key"]["stream"].isNotNull()
+    taken = once(
+        log.select("key", "offset", "value"),
+        (F.coalesce(F.length("value"), F.lit(0)) == 0).alias("empty"),
+        F.from_json("value", SNAPSHOT, TIMES).alias("snap"),
+        F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT").alias("is_object"),
+        parse_state_key(F.col("key")).alias("from_key"),
+        keep=["offset"],
     )
-    return log.filter(readable).select(
-        F.when(empty, from_key["stream"]).otherwise(snap["key"]["stream"]).alias("stream"),
-        F.when(empty, from_key["id"]).otherwise(F.coalesce(snap["key"]["id"], F.lit(""))).alias("id"),
-        F.when(~empty, snap["points"]).alias("points"),
-        F.when(~empty, snap["written"]).alias("written"),
+    readable = "if(empty, from_key IS NOT NULL, coalesce(is_object, false) AND snap.key.stream IS NOT NULL)"
+    return taken.filter(readable).selectExpr(
+        "if(empty, from_key.stream, snap.key.stream) AS stream",
+        "if(empty, from_key.id, coalesce(snap.key.id, '')) AS id",
+        "if(empty, NULL, snap.points) AS points",
+        "if(empty, NULL, snap.written) AS written",
         "offset",
     )
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.once import once
 from tidemark.schema import ALERT
 from tidemark.sources.records import decode_alerts
 
@@ -22,38 +23,36 @@ def open_envelopes(envelopes: DataFrame, body: str = "body") -> tuple[DataFrame,
     ``offset``, ``problem``) and the others go on. An envelope that names an alert
     directly carries nothing else.
     """
-    parsed = envelopes.select(F.try_parse_json(F.col(body)).alias("_e"))
-    direct = F.try_variant_get("_e", "$.alert", "variant")
-    has_alert = F.coalesce(F.schema_of_variant(direct) != "VOID", F.lit(False))
-    records = F.try_variant_get("_e", "$.records", _RECORDS)
-    one = F.create_map(
-        F.lit(""),
-        F.array(F.struct(
-            F.lit("").alias("topic"), F.lit(0).alias("partition"), F.lit(0).cast("long").alias("offset"),
-            F.lit("").alias("key"), F.base64(F.to_json(direct).cast("binary")).alias("value"),
-        )),
-    ).cast(_RECORDS)
-    broken = (
-        F.when(F.col("_e").isNull(), F.lit("unrecognised event shape"))
-        .when(~F.schema_of_variant("_e").startswith("OBJECT"), F.lit("unrecognised event shape"))
-        .when(~has_alert & records.isNull()
-              & (F.coalesce(F.schema_of_variant(F.try_variant_get("_e", "$.records", "variant")), F.lit("VOID")) != "VOID"),
-              F.lit("unrecognised event shape"))
+    parsed = once(
+        envelopes.select(F.try_parse_json(F.col(body)).alias("v")),
+        F.expr("schema_of_variant(v) LIKE 'OBJECT%'").alias("is_object"),
+        F.expr("try_variant_get(v, '$.alert', 'variant')").alias("alert"),
+        F.expr("try_variant_get(v, '$.records', 'variant')").alias("some_records"),
+        F.expr(f"try_variant_get(v, '$.records', '{_RECORDS}')").alias("records"),
+        keep=[],
+    )
+    given = lambda c: F.coalesce(F.schema_of_variant(c) != "VOID", F.lit(False))
+    readable = F.coalesce("is_object", F.lit(False)) & (
+        given("alert") | ~given("some_records") | F.col("records").isNotNull()
+    )
+    direct = F.expr(
+        f"CAST(map('', array(named_struct('topic', '', 'partition', 0, 'offset', 0L, 'key', '', "
+        f"'value', base64(CAST(to_json(alert) AS BINARY))))) AS {_RECORDS.replace(':', ': ')})"
     )
     opened = parsed.select(
-        broken.alias("_broken"),
-        F.explode_outer(F.when(has_alert, one).otherwise(records)).alias("source", "_batch"),
-    ).select("_broken", "source", F.explode_outer("_batch").alias("_r"))
+        readable.alias("readable"),
+        F.explode_outer(F.when(given("alert"), direct).otherwise(F.col("records"))).alias("source", "_batch"),
+    ).select("readable", "source", F.explode_outer("_batch").alias("_r"))
     # Line breaks inside base64 carry nothing.
     packed = F.regexp_replace("_r.value", "[\r\n]", "")
-    rows = opened.filter("_broken IS NOT NULL OR _r IS NOT NULL").select(
-        "_broken", "source", F.col("_r.offset").alias("offset"),
+    rows = opened.filter("NOT readable OR _r IS NOT NULL").select(
+        "readable", "source", F.col("_r.offset").alias("offset"),
         F.when(packed.rlike(BASE64), F.unbase64(packed).cast("string")).alias("value"),
     )
     decoded = decode_alerts(rows)
     where = F.concat("source", F.lit("@"), F.col("offset"), F.lit(": "))
     problem = (
-        F.when(F.col("_broken").isNotNull(), F.col("_broken"))
+        F.when(~F.col("readable"), F.lit("unrecognised event shape"))
         .when(F.col("value").isNull(), F.concat(where, F.lit("bad base64")))
         .when(F.col("reason").isNotNull(), F.concat(where, F.lit("bad json: "), F.col("reason")))
     )

@@ -7,12 +7,10 @@ which validation then judges.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.once import once
 from tidemark.functions.scalars import event_time, parse_rfc3339
 from tidemark.schema import RAW
 
@@ -40,45 +38,76 @@ def as_raw(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RAW])
 
 
-def _variant(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "variant")
+MALFORMED = "invalid event: malformed JSON"
+_NUMBER = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
 
+# Per JSON type: what schema_of_variant may say, and the empty value of the type.
+_ACCEPTS = {
+    "text": ("STRING", "''"),
+    "time": ("STRING", "''"),
+    "number": ("|".join(_NUMBER), "0D"),
+    "flag": ("BOOLEAN", "false"),
+}
+_SQL_TYPE = {"text": "string", "time": "string", "number": "double", "flag": "boolean"}
 
-def _kind(v: Column, path: str) -> Column:
-    """JSON type at a path; null when the path is missing or holds a JSON null."""
-    kind = F.schema_of_variant(_variant(v, path))
-    return F.when(kind != "VOID", kind)
 
+def _kind(path: str) -> str:
+    """JSON type at a path of the column ``v``; null when missing or a JSON null."""
+    return f"nullif(schema_of_variant(try_variant_get(v, '$.{path}', 'variant')), 'VOID')"
 
-def _ok(kind: Column, *prefixes: str) -> Column:
-    return kind.isNull() | reduce(lambda a, b: a | b, [kind.startswith(p) for p in prefixes])
 
+def _fields(fields: dict[str, str]) -> list[Column]:
+    """For every path, its JSON type ``k`` and its value ``x``, as one struct each."""
+    out = []
+    for path, kind in fields.items():
+        sql = f"named_struct('k', {_kind(path)}, 'x', try_variant_get(v, '$.{path}', '{_SQL_TYPE[kind]}'))"
+        out.append(F.expr(sql).alias("j_" + path.replace(".", "_")))
+    return out
 
-_NUMBER = ("BIGINT", "DOUBLE", "DECIMAL", "FLOAT", "INT", "SMALLINT", "TINYINT")
-MALFORMED = "invalid event: malformed JSON"
 
+def _value(path: str, kind: str) -> Column:
+    name = "j_" + path.replace(".", "_")
+    if kind == "time":
+        return parse_rfc3339(F.col(f"{name}.x"))
+    return F.expr(f"coalesce({name}.x, {_ACCEPTS[kind][1]})")
 
-def _text(v: Column, path: str) -> Column:
-    return F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
 
+def _problem(checks: dict[str, str | Column]) -> Column:
+    """The first check that does not hold, as a reason; null when all do."""
+    pairs = []
+    for what, ok in checks.items():
+        ok = F.expr(ok) if isinstance(ok, str) else ok
+        pairs.append(F.when(~F.coalesce(ok, F.lit(False)), F.lit(f"{MALFORMED}: {what}")))
+    return F.coalesce(*pairs)
 
-def _number(v: Column, path: str) -> Column:
-    return F.coalesce(F.try_variant_get(v, path, "double"), F.lit(0.0))
 
+_SAY = {"text": "text", "time": "an RFC 3339 time", "number": "a number", "flag": "true or false"}
 
-def _check(checks: dict[str, Column]) -> Column:
-    """The first failing check as a reason; null when all hold."""
-    out = None
-    for what, ok in checks.items():
-        hit = ~F.coalesce(ok, F.lit(False))
-        text = F.lit(f"{MALFORMED}: {what}")
-        out = F.when(hit, text) if out is None else out.when(hit, text)
+
+def _field_checks(fields: dict[str, str]) -> dict[str, str | Column]:
+    out: dict[str, str | Column] = {}
+    for path, kind in fields.items():
+        name = "j_" + path.replace(".", "_")
+        ok = F.expr(f"{name}.k IS NULL OR {name}.k RLIKE '^({_ACCEPTS[kind][0]})'")
+        if kind == "time":
+            ok = ok & (F.col(f"{name}.k").isNull() | _value(path, kind).isNotNull())
+        out[f"{path} is not {_SAY[kind]}"] = ok
     return out
 
 
-def _time_ok(v: Column, path: str) -> Column:
-    kind = _kind(v, path)
-    return kind.isNull() | ((kind == "STRING") & parse_rfc3339(_text(v, path)).isNotNull())
+_WHOLE = {
+    "not a JSON document": "k_whole IS NOT NULL",
+    "not an object": "k_whole RLIKE '^(OBJECT|VOID)'",
+}
+
+
+def _whole() -> list[Column]:
+    return [F.expr("schema_of_variant(v)").alias("k_whole")]
+
+_EVENT_FIELDS = {
+    "id": "text", "stream": "text", "key": "text", "at": "time", "value": "number", "unit": "text",
+    "geo.lat": "number", "geo.lon": "number", "geo.place": "text",
+}
 
 
 def decode_events(raw: DataFrame) -> DataFrame:
@@ -86,82 +115,62 @@ def decode_events(raw: DataFrame) -> DataFrame:
 
     Nothing is dropped: validation turns reasons into dead letters.
     """
-    parsed = raw.withColumn("_v", F.try_parse_json("value")).withColumnRenamed("value", "payload")
-    v = F.col("_v")
-    labels = F.try_variant_get(v, "$.labels", "map<string,variant>")
-    label_ok = F.forall(
-        F.map_values(labels), lambda x: F.schema_of_variant(x).isin("STRING", "VOID")
+    parsed = raw.select(
+        "topic", "partition", "offset", F.col("key").alias("record_key"), F.col("value").alias("payload"),
+        F.col("timestamp").alias("record_time"), F.try_parse_json("value").alias("v"),
+    )
+    taken = once(
+        parsed, *_whole(), *_fields(_EVENT_FIELDS),
+        F.expr(_kind("geo")).alias("k_geo"), F.expr(_kind("labels")).alias("k_labels"),
+        F.expr("try_variant_get(v, '$.labels', 'map<string,variant>')").alias("m_labels"),
+        keep=[c for c in parsed.columns if c != "v"],
     )
-    whole = F.schema_of_variant(v)
+    texts = "forall(map_values(m_labels), x -> schema_of_variant(x) IN ('STRING', 'VOID'))"
     checks = {
-        "not a JSON document": v.isNotNull(),
-        "not an object": whole.startswith("OBJECT") | (whole == "VOID"),
-        "id is not text": _ok(_kind(v, "$.id"), "STRING"),
-        "stream is not text": _ok(_kind(v, "$.stream"), "STRING"),
-        "key is not text": _ok(_kind(v, "$.key"), "STRING"),
-        "at is not an RFC 3339 time": _time_ok(v, "$.at"),
-        "value is not a number": _ok(_kind(v, "$.value"), *_NUMBER),
-        "unit is not text": _ok(_kind(v, "$.unit"), "STRING"),
-        "geo is not an object": _ok(_kind(v, "$.geo"), "OBJECT"),
-        "geo.lat is not a number": _ok(_kind(v, "$.geo.lat"), *_NUMBER),
-        "geo.lon is not a number": _ok(_kind(v, "$.geo.lon"), *_NUMBER),
-        "geo.place is not text": _ok(_kind(v, "$.geo.place"), "STRING"),
-        "labels is not an object of texts": _kind(v, "$.labels").isNull()
-        | (_kind(v, "$.labels").startswith("OBJECT") & F.coalesce(label_ok, F.lit(True))),
+        **_WHOLE,
+        **_field_checks(_EVENT_FIELDS),
+        "geo is not an object": "k_geo IS NULL OR k_geo LIKE 'OBJECT%'",
+        "labels is not an object of texts": f"k_labels IS NULL OR (k_labels LIKE 'OBJECT%' AND coalesce({texts}, true))",
     }
-    geo = F.struct(
-        _number(v, "$.geo.lat").alias("lat"),
-        _number(v, "$.geo.lon").alias("lon"),
-        _text(v, "$.geo.place").alias("place"),
-    )
-    text_labels = F.transform_values(labels, lambda _, x: F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")))
-    return parsed.select(
-        _text(v, "$.id").alias("id"),
-        _text(v, "$.stream").alias("stream"),
-        _text(v, "$.key").alias("key"),
-        parse_rfc3339(_text(v, "$.at")).alias("at"),
-        _number(v, "$.value").alias("value"),
-        _text(v, "$.unit").alias("unit"),
-        F.when(_kind(v, "$.geo").isNotNull(), geo).alias("geo"),
-        F.when(_kind(v, "$.labels").isNotNull(), text_labels).alias("labels"),
-        "topic", "partition", "offset", F.col("key").alias("record_key"), "payload",
-        F.col("timestamp").alias("record_time"),
-        _check(checks).alias("reason"),
+    geo = F.struct(*[_value(f"geo.{n}", _EVENT_FIELDS[f"geo.{n}"]).alias(n) for n in ("lat", "lon", "place")])
+    labels = "transform_values(m_labels, (k, x) -> coalesce(try_variant_get(x, '$', 'string'), ''))"
+    return taken.select(
+        *[_value(n, k).alias(n) for n, k in _EVENT_FIELDS.items() if "." not in n],
+        F.when(F.col("k_geo").isNotNull(), geo).alias("geo"),
+        F.when(F.col("k_labels").isNotNull(), F.expr(labels)).alias("labels"),
+        "topic", "partition", "offset", "record_key", "payload", "record_time",
+        _problem(checks).alias("reason"),
     )
 
 
+_ALERT_FIELDS = {
+    "id": "text", "rule": "text", "stream": "text", "key": "text", "at": "time", "detectedAt": "time",
+    "severity": "text", "title": "text", "detail": "text", "absence": "flag",
+}
+
+
 def decode_alerts(raw: DataFrame, value: str = "value") -> DataFrame:
     """Alert columns next to the input's; ``reason`` is set where undecodable."""
-    v = F.try_parse_json(F.col(value))
-    out = raw.withColumn("_v", v)
-    v = F.col("_v")
-    ids = F.try_variant_get(v, "$.eventIds", "array<string>")
-    texts = {f"{n} is not text": _ok(_kind(v, f"$.{n}"), "STRING")
-             for n in ("id", "rule", "stream", "key", "severity", "title", "detail")}
-    whole = F.schema_of_variant(v)
+    kept = [c for c in raw.columns if c not in ("key", "timestamp")]
+    taken = once(
+        raw.select(*kept, F.try_parse_json(value).alias("v")), *_whole(), *_fields(_ALERT_FIELDS),
+        F.expr(_kind("evidence")).alias("k_evidence"), F.expr(_kind("eventIds")).alias("k_ids"),
+        F.expr("try_variant_get(v, '$.evidence', 'string')").alias("evidence"),
+        F.expr("try_variant_get(v, '$.eventIds', 'array<string>')").alias("event_ids"),
+        keep=kept,
+    )
     checks = {
-        "not a JSON document": v.isNotNull(),
-        "not an object": whole.startswith("OBJECT") | (whole == "VOID"),
-        **texts,
-        "at is not an RFC 3339 time": _time_ok(v, "$.at"),
-        "detectedAt is not an RFC 3339 time": _time_ok(v, "$.detectedAt"),
-        "evidence is not an object": _ok(_kind(v, "$.evidence"), "OBJECT"),
-        "eventIds is not an array of texts": _kind(v, "$.eventIds").isNull()
-        | _kind(v, "$.eventIds").isin("ARRAY<STRING>", "ARRAY<VOID>"),
-        "absence is not true or false": _ok(_kind(v, "$.absence"), "BOOLEAN"),
+        **_WHOLE,
+        **_field_checks(_ALERT_FIELDS),
+        "evidence is not an object": "k_evidence IS NULL OR k_evidence LIKE 'OBJECT%'",
+        "eventIds is not an array of texts": "k_ids IS NULL OR k_ids IN ('ARRAY<STRING>', 'ARRAY<VOID>')",
     }
-    reason = F.regexp_replace(_check(checks), "^invalid event: ", "")
-    kept = [c for c in raw.columns if c not in ("key", "timestamp")]
-    return out.select(
-        *[F.col(c) for c in kept],
-        *[_text(v, f"$.{n}").alias(n) for n in ("id", "rule", "stream", "key")],
-        parse_rfc3339(_text(v, "$.at")).alias("at"),
-        parse_rfc3339(_text(v, "$.detectedAt")).alias("detected_at"),
-        *[_text(v, f"$.{n}").alias(n) for n in ("severity", "title", "detail")],
-        F.try_variant_get(v, "$.evidence", "string").alias("evidence"),
-        ids.alias("event_ids"),
-        F.coalesce(F.try_variant_get(v, "$.absence", "boolean"), F.lit(False)).alias("absence"),
-        reason.alias("reason"),
+    renamed = {"detectedAt": "detected_at"}
+    return taken.select(
+        *kept,
+        *[_value(n, k).alias(renamed.get(n, n)) for n, k in _ALERT_FIELDS.items()],
+        "evidence", "event_ids",
+        F.regexp_replace(_problem(checks), "^invalid event: ", "").alias("reason"),
     )
 
 
@@ -171,18 +180,13 @@ def metric_inputs(raw: DataFrame) -> DataFrame:
     Everything else is dropped without a trace: dead letters are the detector's business.
     Any stream name counts. Time is the event's own, else the record's.
     """
-    v = F.col("_v")
-    return (
-        raw.withColumn("_v", F.try_parse_json("value"))
-        .filter((_kind(v, "$.stream") == "STRING") & _ok(_kind(v, "$.value"), *_NUMBER) & _kind(v, "$.value").isNotNull())
-        .select(
-            F.try_variant_get(v, "$.stream", "string").alias("stream"),
-            event_time(
-                F.when(_kind(v, "$.at") == "STRING", F.try_variant_get(v, "$.at", "string")),
-                F.col("timestamp"),
-            ).alias("at"),
-            F.try_variant_get(v, "$.value", "double").alias("value"),
-        )
+    fields = {"stream": "text", "at": "time", "value": "number"}
+    taken = once(raw.select("timestamp", F.try_parse_json("value").alias("v")), *_fields(fields), keep=["timestamp"])
+    numbers = "|".join(_NUMBER)
+    return taken.filter(f"j_stream.k = 'STRING' AND j_value.k RLIKE '^({numbers})'").select(
+        F.col("j_stream.x").alias("stream"),
+        event_time(F.when(F.col("j_at.k") == "STRING", F.col("j_at.x")), F.col("timestamp")).alias("at"),
+        F.col("j_value.x").alias("value"),
     )
 
 
