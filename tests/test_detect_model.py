@@ -5,11 +5,12 @@ from dataclasses import replace
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.model import Model
 from tests.util import alert_tuples, event, events, us
 from tidemark import GeoVelocity, Profile, Stall, Threshold, Velocity, ZScore, detect
-from tidemark.operators import cooldown
+from tidemark.operators import blocks, cooldown
 from tidemark.profiles import by_stream
 
 s = lambda n: timedelta(seconds=n)
@@ -98,6 +99,31 @@ def test_long_episodes(spark, monkeypatch, fan, levels):
     assert alert_tuples(d.alerts) == sorted(m.alerts)
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_busy_keys_are_cut_into_blocks(spark, monkeypatch, broadcast):
+    """Same result when keys are cut, ties and terminal events at the cuts included."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(blocks, "MAX_BLOCKS", 16)
+    monkeypatch.setattr(blocks, "STRIDE", 3)
+    if not broadcast:
+        monkeypatch.setattr(blocks, "MAX_BROADCAST_KEYS", 0)
+    rows = random_rows(9, keys=4, per_key=150)
+    # Many rows at one instant, and a second busy key with few distinct times.
+    rows += [event("", "sensors", "k2", 700, 70 + i % 7) for i in range(120)]
+    rows += [event("", "payments", "burst", [0, 30, 31][i % 3], 10 + i % 5, (float(i % 9), float(i % 50))) for i in range(300)]
+    rows.sort(key=lambda r: r["at"])
+    for i, r in enumerate(rows):
+        r["id"] = f"e{i:06d}"
+    profiles = tuple(replace(p, max_points=min(p.max_points, 15)) for p in PROFILES)
+    as_of = round(rows[-1]["at"].timestamp() * 1e6) + 100_000_000
+    m = run_model(rows, profiles, as_of)
+    d = detect(events(spark, rows), profiles, as_of)
+    parts = d.frames.groupBy("key").agg(F.countDistinct("block").alias("n")).collect()
+    assert max(r.n for r in parts) >= 3
+    assert alert_tuples(d.candidates) == sorted(m.found)
+    assert alert_tuples(d.alerts) == sorted(m.alerts)
+
+
 def test_stall_inside_cooldown_is_refused(spark):
     p = replace(PROFILES[1], cooldown=s(46))
     with pytest.raises(ValueError, match="operators.replay"):

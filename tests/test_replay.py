@@ -75,7 +75,7 @@ G = Geometry(size=60_000_000, grace=10_000_000, cap=256, cooldown=0, after=None)
 
 
 def feed(w, g, *seconds):
-    return [w.step(g, Point(us(t), f"p{t}", float(t), None), i, False, None)[-1] for i, t in enumerate(seconds)]
+    return [w.step(g, Point(us(t), f"p{t}", float(t), None), False, None)[-1] for t in seconds]
 
 
 def test_late_and_grace():
@@ -114,7 +114,7 @@ def test_flapping_key_keeps_its_stall_cooldown():
     w = KeyedWindow()
     feed(w, g, 0)
     assert w.sweep(g, us(40)).kind == "stall" and not w.points
-    w.step(g, Point(us(41), "b", 1.0, None), 1, False, us(41))
+    w.step(g, Point(us(41), "b", 1.0, None), False, us(41))
     assert w.sweep(g, us(81)) is None and w.points  # suppressed, so still watched
     feed(w, g, 82)
     assert w.sweep(g, us(82 + 360)).kind == "stall"
@@ -123,6 +123,6 @@ def test_flapping_key_keeps_its_stall_cooldown():
 def test_a_finished_key_never_stalls():
     g = Geometry(60_000_000, 0, 256, 0, 30_000_000)
     w = KeyedWindow()
-    w.step(g, Point(us(0), "a", 1.0, None), 0, False, None)
-    w.step(g, Point(us(1), "b", 1.0, None), 1, True, None)
+    w.step(g, Point(us(0), "a", 1.0, None), False, None)
+    w.step(g, Point(us(1), "b", 1.0, None), True, None)
     assert w.sweep(g, us(3600)) is None and w.next_sweep(g) is None

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.cases import per_stream
 from tidemark.functions.once import once
 from tidemark.functions.scalars import is_terminal, parse_state_key, state_key
-from tidemark.operators.frames import _us, check_in_order, prepare, sliced, stall_deadline, with_resets
+from tidemark.operators.frames import _us, blocked, check_in_order, prepare, stall_deadline, with_resets
 from tidemark.operators.validate import split_valid
 from tidemark.profiles import Profile, by_stream, micros
 
@@ -50,12 +50,12 @@ def snapshots(events: DataFrame, profiles: Iterable[Profile], as_of: datetime |
     keys that have finished or were reported silent.
 
     The newest time and the last fresh start of a key are plain aggregates. Only points
-    still in the window go further, first cut to ``cap`` per slice, then per key.
+    still in the window go further, first cut to ``cap`` per block, then per key.
     """
     chosen = by_stream(profiles)
     check_in_order(chosen)
     valid, _ = split_valid(events, chosen)
-    rows = with_resets(sliced(valid, chosen), chosen).filter("own")
+    rows = with_resets(blocked(valid, chosen), chosen).filter("own")
     position = F.struct("at_us", "seq")
     keys = _keys(rows, chosen, as_of)
     visible = F.col("mark_us") - per_stream(chosen, lambda p: micros(p.window))
@@ -63,7 +63,7 @@ def snapshots(events: DataFrame, profiles: Iterable[Profile], as_of: datetime |
         (F.col("at_us") >= visible) & (F.col("since").isNull() | (position >= F.col("since")))
     )
     cap = per_stream(chosen, lambda p: p.cap)
-    for by in (["stream", "key", "slice"], ["stream", "key"]):
+    for by in (["stream", "key", "block"], ["stream", "key"]):
         newest = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("at_us"), F.desc("seq")))
         inside = inside.withColumn("newest", newest).filter(F.col("newest") <= cap)
     # At most ``cap`` rows per key are left to collect.

@@ -34,7 +34,7 @@ from tidemark.operators.staging import stage
 from tidemark.profiles import Profile, micros
 
 ENTITY = ["stream", "key", "rule"]
-SLICE_COOLDOWNS = 8  # cooldowns per slice; at least 2
+SLICE_COOLDOWNS = 4  # cooldowns per slice; at least 2
 FAN, LEVELS = 64, 3  # transfer maps composed together, and how often
 BLOCK_SLICES = 4096  # slices per block in the scan for episode starts
 
@@ -45,9 +45,16 @@ _ENTRY = "stream string, key string, rule string, episode_us long, idx long, unt
 
 
 def admit(candidates: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
-    """The candidates that become alerts. Absence candidates are expected to be outside
-    (their deadline is never shorter than their cooldown, see ``frames.check_in_order``)
-    or to be passed in as well; both are exact."""
+    """The hits (see ``rules.hits``, markers included) that become alerts.
+
+    Silences pass as they are. Whoever found them has seen to their cooldown, as it
+    decides whether the key lives on; in event-time order none falls into one (see
+    ``frames.check_in_order``)."""
+    silent = candidates.filter("absence")
+    return _admit(candidates.filter("NOT absence"), profiles).unionByName(silent)
+
+
+def _admit(candidates: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
     rows = episodes(candidates, profiles)
     near = rows.filter(F.col("own") & (F.col("gap") <= 1))
     far = rows.filter(F.col("gap") > 1)
@@ -69,15 +76,28 @@ def episodes(candidates: DataFrame, profiles: Mapping[str, Profile]) -> DataFram
     width = per_stream(profiles, lambda p: SLICE_COOLDOWNS * max(micros(p.cooldown), 1))
     # A zero cooldown suppresses nothing; the one-microsecond stand-in only shapes slices.
     rows = candidates.withColumn("cool_us", per_stream(profiles, lambda p: micros(p.cooldown)))
+    # A terminal event ends the cooldown of every rule of its stream.
+    every = F.array_distinct(F.flatten(F.array(*[
+        F.when(F.col("stream") == n, F.array(*[F.lit(r.name) for r in p.active()])).otherwise(F.array().cast("array<string>"))
+        for n, p in profiles.items()
+    ])))
+    rows = rows.withColumn("ends", F.col("rule") == "").withColumn(
+        "rule", F.explode(F.when(F.col("rule") == "", every).otherwise(F.array("rule")))
+    )
     rows = with_context(rows, "clock_us", width, cool)
-    w = Window.partitionBy(*ENTITY, "slice").orderBy("clock_us", "seq")
-    rows = rows.withColumn("before", F.lag(F.struct("clock_us", "seq")).over(w))
+    w = Window.partitionBy(*ENTITY, "slice").orderBy("clock_us", "seq", "ends")
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select(
+        "*",
+        F.max(F.when(~F.col("ends"), F.struct("clock_us", "seq"))).over(earlier).alias("before"),
+        F.max(F.when(F.col("ends"), F.struct("clock_us", "seq"))).over(earlier).alias("cleared"),
+    ).filter("NOT ends")
     fresh = (
         F.col("before").isNull()
         | (F.col("clock_us") - F.col("before.clock_us") >= F.col("cool_us"))
         | (F.col("cleared") >= F.col("before"))
     )
-    rows = rows.withColumn("fresh", F.col("own") & F.coalesce(fresh, F.lit(False)))
+    rows = rows.withColumn("fresh", F.col("own") & F.coalesce(fresh, F.lit(False))).drop("ends", "cleared")
     opened = Running("episode_us", F.when(F.col("fresh"), F.col("clock_us")), "last")
     rows = running(
         rows, ENTITY, ["clock_us", "seq"],

@@ -2,10 +2,9 @@
 
 ``event_frames`` produces, for events in time order, one row per event with
 
-``n``        number of the event inside its slice
-``pts``      the observations in [at - window, at], oldest first, newest ``cap`` only
-``prev``     the newest retained observation of another id at or before the event
-``cleared``  time and order of the last terminal event before this one, if near
+``pts``       the observations in [at - window, at], oldest first, newest ``cap`` only
+``prev``      the newest retained observation of another id at or before the event
+``terminal``  whether the event ends its key
 
 The out-of-order replay and the streaming detector produce the same columns, so the
 rules in ``operators.rules`` are written once.
@@ -21,24 +20,15 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.cases import per_stream
 from tidemark.functions.scalars import is_terminal
-from tidemark.operators.slices import floor_div, with_context
+from tidemark.operators.blocks import with_blocks
 from tidemark.profiles import Profile, micros
 
-# A slice is this many look-backs long, so one row in SLICE_SPAN at most is copied.
-SLICE_SPAN = 4
-
 
 def stall_deadline(profiles: Mapping[str, Profile], at_us: Column) -> Column:
     """When silence after ``at_us`` counts as a stall; null where nobody looks for it."""
     return at_us + per_stream(profiles, lambda p: micros(p.stall.after) if p.stall else None)
 
 
-def lookback_us(profile: Profile) -> int:
-    """How far back anything computed per slice can look."""
-    after = micros(profile.stall.after) if profile.stall else 0
-    return max(micros(profile.retention), micros(profile.cooldown) + after, 1)
-
-
 def check_in_order(profiles: Mapping[str, Profile]) -> None:
     for p in profiles.values():
         if p.stall and p.stall.after < p.cooldown:
@@ -56,14 +46,12 @@ def prepare(events: DataFrame) -> DataFrame:
     return out
 
 
-def sliced(events: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
-    span = per_stream(profiles, lambda p: SLICE_SPAN * lookback_us(p))
-    overlap = per_stream(profiles, lookback_us)
-    return with_context(prepare(events), "at_us", span, overlap)
+def blocked(events: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
+    return with_blocks(prepare(events), profiles)
 
 
 def _entity_window():
-    return Window.partitionBy("stream", "key", "slice").orderBy("at_us", "seq")
+    return Window.partitionBy("stream", "key", "block").orderBy("at_us", "seq")
 
 
 def with_resets(rows: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
@@ -75,7 +63,7 @@ def with_resets(rows: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
         "*",
         F.row_number().over(w).cast("long").alias("n"),
         before.alias("before"),
-        F.lead("at_us").over(w).alias("next_us"),
+        F.lead(F.struct("at_us", "own")).over(w).alias("next"),
     )
     silent = F.col("at_us") >= stall_deadline(profiles, F.col("before.at_us"))
     reset = F.coalesce(F.col("before.terminal"), F.lit(False)) | F.coalesce(silent, F.lit(False))
@@ -88,16 +76,16 @@ def event_frames(
 ) -> DataFrame:
     """Frames of valid events, ordered by (at, seq); seq defaults to the event id.
 
-    One shuffle on (stream, key, slice) and one sort serve every column. The window is
+    One shuffle on (stream, key, block) and one sort serve every column. The window is
     built over a ROWS frame of ``cap`` rows, so an event costs at most ``cap`` steps
     however fast its key runs. ``as_of`` is the present: silence is judged up to it.
     ``with_retained`` adds how many points are held, those in grace included.
     """
     check_in_order(profiles)
     w = _entity_window()
-    upto, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     cap = max(p.cap for p in profiles.values())
-    rows = with_resets(sliced(events, profiles), profiles)
+    rows = with_resets(blocked(events, profiles), profiles)
     # The observation before: a redelivered copy of the event itself is looked through.
     new_id = F.col("before").isNull() | (F.col("before.id") != F.col("id"))
     predecessor = F.struct(F.col("before.id").alias("id"), F.col("before.at_us").alias("at_us"),
@@ -107,17 +95,14 @@ def event_frames(
         "*",
         F.max(F.when(F.col("reset"), F.col("n"))).over(upto).alias("first_n"),
         F.last(F.when(new_id, predecessor), ignorenulls=True).over(upto).alias("pred"),
-        F.max(F.when(F.col("terminal"), F.struct("at_us", "seq"))).over(earlier).alias("cleared"),
         F.collect_list(point).over(w.rowsBetween(1 - cap, 0)).alias("raw_pts"),
     )
-    deadline = stall_deadline(profiles, F.col("at_us"))
-    rows = rows.withColumn("stall_us", deadline)
-    span = per_stream(profiles, lambda p: SLICE_SPAN * lookback_us(p))
-    stalled = (
-        ~F.col("terminal")
-        & (F.col("next_us").isNull() | (F.col("next_us") >= F.col("stall_us")))
-        & (floor_div(F.col("stall_us"), span) == F.col("slice"))
-    )
+    rows = rows.withColumn("stall_us", stall_deadline(profiles, F.col("at_us")))
+    # Judged where the next event is in sight: in the row's own block, or, for the last
+    # row before a block, there. The last row of a key has only the present after it.
+    next_us, in_sight = F.col("next.at_us"), F.col("own") | F.coalesce(F.col("next.own"), F.lit(False))
+    ended = F.col("next").isNull() & (F.col("block") == F.col("last_block"))
+    stalled = ~F.col("terminal") & in_sight & (ended | (next_us >= F.col("stall_us")))
     if as_of is not None:
         stalled = stalled & (F.col("stall_us") <= F.lit(_us(as_of)))
     rows = rows.withColumn("stalled", F.coalesce(stalled, F.lit(False)))
@@ -142,7 +127,7 @@ def event_frames(
         held = F.filter("raw_pts", lambda p: (p["n"] >= F.col("oldest_n")) & (p["at_us"] >= retained_us))
         rows = rows.withColumn("retained", F.size(held).cast("long"))
     return rows.withColumn("pts", pts).withColumn("prev", prev).drop(
-        "raw_pts", "before", "pred", "next_us", "first_n", "oldest_n", "oldest_us", "reset"
+        "raw_pts", "before", "pred", "next", "first_n", "oldest_n", "oldest_us", "reset"
     )
 
 

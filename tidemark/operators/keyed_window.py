@@ -44,7 +44,7 @@ class Frame(NamedTuple):
     clock: int
     window: list[Point]
     prev: Point | None
-    cleared: tuple[int, int] | None
+    terminal: bool = False
 
 
 @dataclass
@@ -53,7 +53,6 @@ class KeyedWindow:
     mark: int | None = None
     clock: int | None = None
     late: int = 0
-    cleared: tuple[int, int] | None = None
     # Cooldown of the stall rule: it decides whether the key is forgotten.
     stall_until: int = 0
     stall_rank: int = 0
@@ -62,7 +61,7 @@ class KeyedWindow:
         start = self.mark - g.size if self.mark is not None else 0
         return [p for p in self.points if p.at >= start]
 
-    def step(self, g: Geometry, point: Point, seq: int, terminal: bool, now: int | None) -> list[Frame]:
+    def step(self, g: Geometry, point: Point, terminal: bool, now: int | None) -> list[Frame]:
         """File one event. ``now`` is the time of detection; by default the newest event
         time this key has seen."""
         if now is None:
@@ -73,15 +72,15 @@ class KeyedWindow:
         oldest = self.mark - g.size - g.grace
         if point.at < oldest:
             self.late += 1
-            return [*out, Frame("late", point, self.clock, [], None, self.cleared)]
+            return [*out, Frame("late", point, self.clock, [], None)]
         spot = bisect_right(self.points, point.at, key=lambda p: p.at)
         self.points.insert(spot, point)
         self.points = [p for p in self.points if p.at >= oldest][-g.cap:]
         prev = next((p for p in reversed(self.points) if p.at <= point.at and p.id != point.id), None)
-        out.append(Frame("event", point, self.clock, self.window(g), prev, self.cleared))
+        out.append(Frame("event", point, self.clock, self.window(g), prev, terminal))
         if terminal:
             self.forget()
-            self.cleared, self.stall_until, self.stall_rank = (self.clock, seq), 0, 0
+            self.stall_until, self.stall_rank = 0, 0
         return out
 
     def forget(self) -> None:
@@ -110,7 +109,7 @@ class KeyedWindow:
             return None
         self.stall_until, self.stall_rank = now + g.cooldown, rank
         self.forget()
-        return Frame("stall", last, now, [], None, self.cleared)
+        return Frame("stall", last, now, [], None)
 
     def sweep_until(self, g: Geometry, now: int) -> list[Frame]:
         """Sweep at the moment silence becomes reportable, if ``now`` has reached it."""

@@ -22,7 +22,7 @@ from tidemark.functions.scalars import is_terminal
 from tidemark.operators.cooldown import admit
 from tidemark.operators.frames import _us
 from tidemark.operators.keyed_window import Frame, Geometry, KeyedWindow, Point
-from tidemark.operators.rules import candidates
+from tidemark.operators.rules import hits, write_up
 from tidemark.operators.slices import Running, floor_div, running
 from tidemark.operators.staging import stage
 from tidemark.operators.validate import split_valid
@@ -33,7 +33,7 @@ FRAME = (
     "stream string, key string, kind string, id string, at_us long, value double, unit string, "
     f"geo {_GEO}, seq long, clock_us long, "
     "pts array<struct<n:long,id:string,at_us:long,value:double>>, "
-    f"prev struct<id:string,at_us:long,geo:{_GEO}>, cleared struct<clock_us:long,seq:long>"
+    f"prev struct<id:string,at_us:long,geo:{_GEO}>, terminal boolean"
 )
 STEP_INPUT = ["stream", "key", "id", "at_us", "value", "unit", "lat", "lon", "place", "has_geo",
               "terminal", "seq", "now_us"]
@@ -64,13 +64,13 @@ def as_rows(stream: str, key: str, frames: Iterable[tuple[Frame, int, str | None
             stream, key, f.kind, p.id, p.at, p.value, unit, geo(p), seq, f.clock,
             [{"n": i, "id": q.id, "at_us": q.at, "value": q.value} for i, q in enumerate(f.window)],
             None if before is None else {"id": before.id, "at_us": before.at, "geo": geo(before)},
-            None if f.cleared is None else {"clock_us": f.cleared[0], "seq": f.cleared[1]},
+            f.terminal,
         ))
     return rows
 
 
 FRAME_COLUMNS = ["stream", "key", "kind", "id", "at_us", "value", "unit", "geo", "seq", "clock_us",
-                 "pts", "prev", "cleared"]
+                 "pts", "prev", "terminal"]
 
 
 def to_pandas(rows: list[tuple]) -> pd.DataFrame:
@@ -156,7 +156,7 @@ def replay_frames(
                 if unit != current:
                     out += finish()
                     current, state = unit, KeyedWindow()
-                steps = state.step(geometry[r.stream], point_of(r), r.seq, r.terminal, None)
+                steps = state.step(geometry[r.stream], point_of(r), r.terminal, None)
                 out += as_rows(r.stream, r.key, [(f, r.seq, r.unit) for f in steps])
                 last_seq = r.seq
             if out:
@@ -195,21 +195,22 @@ class Replay:
         return self.frames.filter("kind = 'late'").select("stream", "key", "id", "at_us", "seq")
 
     @cached_property
+    def hits(self) -> DataFrame:
+        return hits(judged(self.frames), self.profiles)
+
+    @property
     def candidates(self) -> DataFrame:
-        return candidates(judged(self.frames), self.profiles)
+        return write_up(self.hits, self.profiles)
 
     @cached_property
     def staged(self) -> DataFrame:
-        return stage(self.candidates, "candidates")
+        return stage(self.hits, "hits")
 
     @cached_property
     def alerts(self) -> DataFrame:
         from tidemark.plans.detect import as_alerts
 
-        # Stalls have been through their cooldown already: it decides a key's fate.
-        silent = F.col("absence")
-        kept = admit(self.staged.filter(~silent), self.profiles)
-        return as_alerts(kept.unionByName(self.staged.filter(silent)))
+        return as_alerts(write_up(admit(self.staged, self.profiles), self.profiles))
 
 
 def replay(

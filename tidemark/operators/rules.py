@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.functions.cases import per_stream, title_for
 from tidemark.profiles import GeoVelocity, Profile, Rule, Stall, Threshold, Velocity, ZScore, micros
+from tidemark.schema import GEO
 
 # How many event ids an alert carries.
 VELOCITY_IDS, ZSCORE_IDS, THRESHOLD_IDS = 12, 8, 12
@@ -24,8 +25,8 @@ VELOCITY_IDS, ZSCORE_IDS, THRESHOLD_IDS = 12, 8, 12
 
 @dataclass(frozen=True)
 class Finding:
-    """What a rule says about a frame. ``n``, ``span_us``, ``a``, ``b`` and ``c`` are facts
-    for the text; a rule of your own gives ``detail`` and ``evidence`` (JSON) itself."""
+    """What a rule says about a frame. ``n``, ``span_us``, ``a``, ``b``, ``c`` and the two
+    places are facts for the text; a rule of your own gives ``detail`` and ``evidence`` (JSON) itself."""
 
     name: str
     fires: Column
@@ -37,12 +38,14 @@ class Finding:
     a: Column | None = None
     b: Column | None = None
     c: Column | None = None
+    from_geo: Column | None = None
+    to_geo: Column | None = None
     detail: Column | None = None
     evidence: Column | None = None
     absence: bool = False
 
     def hit(self) -> Column:
-        def fact(c: Column | None, name: str, kind: str) -> Column:
+        def fact(c: Column | None, name: str, kind) -> Column:
             return (F.lit(None) if c is None else c).cast(kind).alias(name)
 
         return F.when(
@@ -57,6 +60,8 @@ class Finding:
                 fact(self.a, "a", "double"),
                 fact(self.b, "b", "double"),
                 fact(self.c, "c", "double"),
+                fact(self.from_geo, "from_geo", GEO),
+                fact(self.to_geo, "to_geo", GEO),
                 fact(self.detail, "detail", "string"),
                 fact(self.evidence, "evidence", "string"),
                 fact(self.event_ids, "event_ids", "array<string>"),
@@ -118,7 +123,7 @@ def _geovelocity(frames: DataFrame, of: _Of) -> tuple[DataFrame, Finding]:
     fires = (F.col("g_km") >= of.get(lambda r: float(r.min_km))) & (F.col("g_kmh") > limit)
     return frames, Finding(
         "geovelocity", fires, F.col("g_kmh"), limit, F.array(prev["id"], F.col("id")),
-        span_us=took_us, a=F.col("g_km"),
+        span_us=took_us, a=F.col("g_km"), from_geo=prev["geo"], to_geo=geo,
     )
 
 
@@ -197,7 +202,7 @@ EVALUATORS: dict[type, Callable[[DataFrame, _Of], tuple[DataFrame, Finding]]] =
 }
 
 
-def _text(hits: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
+def _text(found: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
     """Write ``detail`` and ``evidence`` of the hits."""
     rule = F.col("rule")
     kinds = {k: _Of(profiles, k) for k in (Velocity, GeoVelocity, ZScore, Stall, Threshold)}
@@ -209,15 +214,15 @@ def _text(hits: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
                 out = out.when(rule == k.__name__.lower(), kinds[k].get(get).cast(kind))
         return out.alias(name)
 
-    hits = hits.select(
+    found = found.select(
         "*",
         param("p_int", "int", {Velocity: lambda r: r.max}),
         param("p_us", "long", {Velocity: lambda r: micros(r.per), Stall: lambda r: micros(r.after),
                                Threshold: lambda r: micros(r.sustained)}),
         param("p_x", "double", {Threshold: lambda r: float(r.bound), ZScore: lambda r: float(r.min_delta)}),
         param("p_above", "boolean", {Threshold: lambda r: bool(r.above)}),
-        F.when(rule == "geovelocity", S.place_of("prev.geo")).alias("from_place"),
-        F.when(rule == "geovelocity", S.place_of("geo")).alias("to_place"),
+        F.when(rule == "geovelocity", S.place_of("from_geo")).alias("from_place"),
+        F.when(rule == "geovelocity", S.place_of("to_geo")).alias("to_place"),
         F.when(rule.isin("zscore", "threshold"), S.compact_float("value")).alias("value_text"),
         F.when(rule.isin("geovelocity", "zscore"), S.compact_float("a")).alias("a_text"),
         F.when(rule == "geovelocity", S.compact_float("observed"))
@@ -225,7 +230,7 @@ def _text(hits: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
         S.compact_duration("span_us").alias("span_text"),
         F.coalesce("unit", F.lit("")).alias("unit_text"),
     )
-    hits = hits.select(
+    found = found.select(
         "*", S.compact_duration("p_us").alias("p_us_text"),
         F.when(rule == "threshold", S.compact_float("p_x")).alias("p_x_text"),
     )
@@ -238,7 +243,7 @@ def _text(hits: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
     def say(*parts) -> Column:
         return F.concat(*[F.lit(p[1:]) if p.startswith("=") else F.col(p) for p in parts])
 
-    hits = hits.withColumn("side", side)
+    found = found.withColumn("side", side)
     detail = (
         F.when(rule == "velocity", say("n", "= events in ", "span_text", "= (limit ", "p_int", "= per ", "p_us_text", "=)"))
         .when(rule == "geovelocity", say("from_place", "= → ", "to_place", "= · ", "a_text", "= km in ", "span_text",
@@ -267,16 +272,14 @@ def _text(hits: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
             F.col("value").alias("value"), F.col("p_x").alias("bound"), F.col("p_above").alias("above"),
             span_ms.alias("heldMs"), param_ms.alias("sustainedMs"), n.alias("samples"))))
     )
-    return hits.withColumn("detail", F.coalesce("detail", detail)).withColumn("evidence", F.coalesce("evidence", evidence))
+    return found.withColumn("detail", F.coalesce("detail", detail)).withColumn("evidence", F.coalesce("evidence", evidence))
 
 
-def candidates(
-    frames: DataFrame, profiles: Mapping[str, Profile], carry: Sequence[str] = ()
-) -> DataFrame:
-    """One row per rule that fires on a frame, before any cooldown.
+def hits(frames: DataFrame, profiles: Mapping[str, Profile], carry: Sequence[str] = ()) -> DataFrame:
+    """One row of facts per rule that fires on a frame, before any cooldown.
 
-    ``rank``, ``clock_us``, ``seq``, ``at_us`` and ``cleared`` are what the cooldown
-    needs. A frame's own clock (the time of detection) is ``clock_us`` where the host
+    Also one row with an empty ``rule`` per terminal event: it ends the cooldowns of its
+    key. A frame's own clock (the time of detection) is ``clock_us`` where the host
     provides it, the event time otherwise. Columns in ``carry`` are kept as they are.
     """
     if "clock_us" not in frames.columns:
@@ -288,19 +291,30 @@ def candidates(
         if of:
             frames, finding = EVALUATORS[kind](frames, of)
             found.append(finding.hit())
-    hits = frames.select(
-        "stream", "key", F.col("id").alias("event_id"), "at", "at_us", "value", "unit", "geo", "prev",
-        "seq", "clock_us", "stall_us", "cleared", *carry,
+    nothing = F.lit(None)
+    found.append(Finding("", F.col("terminal"), nothing, nothing, nothing).hit())
+    made = frames.select(
+        "stream", "key", F.col("id").alias("event_id"), "at", "at_us", "value", "unit",
+        "seq", "clock_us", "stall_us", *carry,
         F.explode(F.array_compact(F.array(*found))).alias("hit"),
     ).select("*", "hit.*").drop("hit")
-    detected = F.when(F.col("absence"), F.col("stall_us")).otherwise(F.col("clock_us"))
     severity = S.severity(F.col("observed"), F.col("limit"))
-    written = _text(hits.withColumn("severity", severity), profiles)
-    titles = title_for(F.col("stream"), F.col("rule"))
+    detected = F.when(F.col("absence"), F.col("stall_us")).otherwise(F.col("clock_us"))
+    return made.withColumn("clock_us", detected).drop("stall_us").select(
+        "*", severity.alias("severity"), S.severity_rank(severity).alias("rank")
+    )
+
+
+def write_up(found: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
+    """Title, sentence and evidence of hits; markers of terminal events are left out."""
+    written = _text(found.filter("rule != ''"), profiles)
     return written.select(
-        "stream", "key", "rule", "severity", titles.alias("title"), "detail", "evidence", "event_ids", "absence",
-        "event_id", "at", "at_us", "seq", "cleared", *carry,
-        detected.alias("clock_us"),
-        F.timestamp_micros(detected).alias("detected_at"),
-        S.severity_rank(F.col("severity")).alias("rank"),
+        "stream", "key", "rule", "severity", title_for(F.col("stream"), F.col("rule")).alias("title"),
+        "detail", "evidence", "event_ids", "absence", "event_id", "at", "at_us", "seq", "clock_us",
+        F.timestamp_micros("clock_us").alias("detected_at"), "rank",
     )
+
+
+def candidates(frames: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
+    """Everything the rules found, written up, before the cooldown."""
+    return write_up(hits(frames, profiles), profiles)

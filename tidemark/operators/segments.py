@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.cases import per_stream
 from tidemark.functions.scalars import is_terminal
-from tidemark.operators.frames import SLICE_SPAN, lookback_us, prepare, stall_deadline
+from tidemark.operators.frames import prepare, stall_deadline
 from tidemark.operators.slices import Running, floor_div, running
-from tidemark.profiles import Profile
+from tidemark.profiles import Profile, micros
 
-SLICES_PER_BLOCK = 4096
+WINDOWS_PER_SLICE, SLICES_PER_BLOCK = 4, 4096
 
 
 def numbered_segments(events: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
@@ -24,7 +24,7 @@ def numbered_segments(events: DataFrame, profiles: Mapping[str, Profile]) -> Dat
     the beginning: two scans in blocks.
     """
     rows = prepare(events).withColumn("terminal", is_terminal(F.col("labels")))
-    width = per_stream(profiles, lambda p: SLICE_SPAN * lookback_us(p))
+    width = per_stream(profiles, lambda p: WINDOWS_PER_SLICE * max(micros(p.retention), 1))
     slice_ = floor_div(F.col("at_us"), width)
     blocks = [slice_, floor_div(slice_, SLICES_PER_BLOCK)]
     order = ["at_us", "seq"]

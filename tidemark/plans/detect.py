@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import alert_id
 from tidemark.operators.cooldown import admit
 from tidemark.operators.frames import event_frames
-from tidemark.operators.rules import candidates
+from tidemark.operators.rules import hits, write_up
 from tidemark.operators.staging import stage
 from tidemark.operators.validate import split_valid
 from tidemark.profiles import Profile, by_stream
@@ -49,26 +49,29 @@ class Detection:
         return event_frames(self._split[0], self.profiles, as_of)
 
     @cached_property
+    def hits(self) -> DataFrame:
+        """What the rules found, as facts (see ``rules.hits``); lazy."""
+        return hits(self.frames, self.profiles)
+
+    @property
     def candidates(self) -> DataFrame:
-        """Everything the rules found, before the cooldown; lazy."""
-        return candidates(self.frames, self.profiles)
+        """Everything the rules found, written up, before the cooldown; lazy."""
+        return write_up(self.hits, self.profiles)
 
     @cached_property
     def staged(self) -> DataFrame:
-        """The candidates written once to the shared folder: the cooldown reads them
-        more than once, and the rules should not run again for that."""
-        return stage(self.candidates, "candidates")
+        """The hits written once to the shared folder: the cooldown reads them more than
+        once, and the rules should not run again for that."""
+        return stage(self.hits, "hits")
 
     @cached_property
     def admitted(self) -> DataFrame:
-        # A stall ends its key, and is at least a cooldown away from the one before.
-        silent = F.col("absence")
-        return admit(self.staged.filter(~silent), self.profiles).unionByName(self.staged.filter(silent))
+        return admit(self.staged, self.profiles)
 
     @cached_property
     def alerts(self) -> DataFrame:
         """Alerts in the ``ALERT`` schema."""
-        return as_alerts(self.admitted)
+        return as_alerts(write_up(self.admitted, self.profiles))
 
     @property
     def counters(self) -> DataFrame:
@@ -81,7 +84,7 @@ class Detection:
         parts = (
             tally(self._split[0], processed=True)
             .unionByName(tally(self.admitted, alerted=True))
-            .unionByName(tally(self.staged, found=True))
+            .unionByName(tally(self.staged.filter("rule != ''"), found=True))
             .unionByName(tally(self.invalid, invalid=True))
         )
         total = parts.agg(*[F.sum(c).alias(c) for c in parts.columns])

@@ -21,11 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.query import StreamingQuery
 
 from tidemark.operators.keyed_window import Geometry, KeyedWindow, Point
-from tidemark.operators.replay import FRAME, FRAME_COLUMNS, as_rows, judged, point_of, step_input, to_pandas
-from tidemark.operators.rules import candidates
+from tidemark.operators.replay import FRAME, as_rows, judged, point_of, step_input, to_pandas
+from tidemark.operators.rules import hits, write_up
 from tidemark.operators.validate import split_valid
 from tidemark.plans.detect import as_alerts
 from tidemark.profiles import Profile, by_stream, micros
@@ -34,7 +33,7 @@ IDLE = timedelta(hours=1)  # fixed value: keys unseen for so long are forgotten
 
 _POINT = "struct<at:long,id:string,value:double,has_geo:boolean,lat:double,lon:double,place:string>"
 _STATE = (
-    f"points array<{_POINT}>, mark long, clock long, late long, cleared_clock long, cleared_seq long, "
+    f"points array<{_POINT}>, mark long, clock long, late long, "
     "stall_until long, stall_rank int, seen_us long, timer_ms long"
 )
 _SEED = f"stream string, key string, points array<{_POINT}>"
@@ -64,10 +63,9 @@ class _Windows(StatefulProcessor):
     def _load(self) -> tuple[KeyedWindow, int, int]:
         if not self.state.exists():
             return KeyedWindow(), 0, -1
-        pts, mark, clock, late, cleared, cleared_seq, until, rank, seen, timer = self.state.get()
-        token = None if cleared is None else (cleared, cleared_seq)
+        pts, mark, clock, late, until, rank, seen, timer = self.state.get()
         points = [_unpack(p) for p in pts or []]
-        return KeyedWindow(points, mark, clock, late, token, until, rank), seen, timer
+        return KeyedWindow(points, mark, clock, late, until, rank), seen, timer
 
     def _save(self, g: Geometry, w: KeyedWindow, seen: int, timer: int, now_us: int) -> None:
         due = [t for t in (w.next_sweep(g), seen + self.idle_us) if t is not None]
@@ -76,9 +74,8 @@ class _Windows(StatefulProcessor):
             if timer >= 0:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(wanted)
-        cleared = w.cleared or (None, None)
         self.state.update((
-            [_pack(p) for p in w.points], w.mark, w.clock, w.late, *cleared,
+            [_pack(p) for p in w.points], w.mark, w.clock, w.late,
             w.stall_until, w.stall_rank, seen, wanted,
         ))
 
@@ -101,7 +98,7 @@ class _Windows(StatefulProcessor):
         out: list[tuple] = []
         for r in batch.itertuples(index=False):
             clock = None if pd.isna(r.now_us) else int(r.now_us)
-            steps = w.step(g, point_of(r), r.seq, r.terminal, clock)
+            steps = w.step(g, point_of(r), r.terminal, clock)
             out += as_rows(stream, entity, [(f, r.seq, r.unit) for f in steps])
         seen = max(seen, w.clock if self.event_timers else now)
         self._save(g, w, seen, timer, now)
@@ -140,45 +137,37 @@ class _Windows(StatefulProcessor):
         pass
 
 
-_ADMITTED = (
-    "rule string, severity string, title string, detail string, evidence string, "
-    "event_ids array<string>, absence boolean, event_id string, at timestamp, detected_at timestamp"
-)
-
-
 class _Cooldowns(StatefulProcessor):
-    """Per rule of a key: until when, how severe, and set by which record."""
+    """Per rule of a key: until when it cools down, and how severe the alert was."""
 
-    def __init__(self, cooldown_us: Mapping[str, int], event_timers: bool):
-        self.cooldown_us, self.event_timers = dict(cooldown_us), event_timers
+    def __init__(self, cooldown_us: Mapping[str, int], event_timers: bool, columns: list[str]):
+        self.cooldown_us, self.event_timers, self.columns = dict(cooldown_us), event_timers, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "rule string", "until long, rank int, clock long, seq long")
+        self.held = handle.getMapState("held", "rule string", "until long, rank int")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["clock_us", "seq"], kind="stable")
-        cool = self.cooldown_us[key[0]]
+        batch = pd.concat(list(rows))
+        # A terminal event's own alerts come before the end of its key.
+        batch = batch.assign(ends=batch["rule"] == "").sort_values(["clock_us", "seq", "ends"], kind="stable")
+        cool, now_ms = self.cooldown_us[key[0]], self._now_ms(timerValues)
         keep = []
         for r in batch.itertuples(index=False):
-            ok = r.absence  # silence has been through its cooldown
-            if not ok:
-                rule = (r.rule,)
-                held = self.held.getValue(rule) if self.held.containsKey(rule) else None
-                cleared = None if pd.isna(r.cleared_clock) else (int(r.cleared_clock), int(r.cleared_seq))
-                ok = (
-                    held is None or r.clock_us >= held[0] or r.rank > held[1]
-                    or (cleared is not None and cleared >= (held[2], held[3]))
-                )
+            ok = bool(r.absence)  # silence has been through its cooldown
+            if r.ends:
+                self.held.clear()
+            elif not ok:
+                held = self.held.getValue((r.rule,)) if self.held.containsKey((r.rule,)) else None
+                ok = held is None or r.clock_us >= held[0] or r.rank > held[1]
                 if ok:
-                    self.held.updateValue(rule, (int(r.clock_us) + cool, int(r.rank), int(r.clock_us), int(r.seq)))
-                    now_ms = self._now_ms(timerValues)
-                    self.handle.registerTimer(max((int(r.clock_us) + cool) // 1000, now_ms) + 1)
+                    until = int(r.clock_us) + cool
+                    self.held.updateValue((r.rule,), (until, int(r.rank)))
+                    self.handle.registerTimer(max(until // 1000, now_ms) + 1)
             keep.append(ok)
         out = batch[keep]
         if len(out):
-            out = out.assign(stream=key[0], key=key[1])
-            yield out[["stream", "key", *[c.split()[0] for c in _ADMITTED.split(", ")]]]
+            yield out[self.columns]
 
     def _now_ms(self, timers) -> int:
         return int(timers.getCurrentWatermarkInMs() if self.event_timers else timers.getCurrentProcessingTimeInMs())
@@ -241,13 +230,12 @@ def detect_stream(
         F.count_if(F.col("kind") == "late").alias("late"),
         F.count_if(F.col("kind") == "stall").alias("silent"),
     )
-    found = candidates(judged(frames), chosen, carry=("emitted_at",)).select(
-        "*", F.col("cleared.clock_us").alias("cleared_clock"), F.col("cleared.seq").alias("cleared_seq")
-    ).drop("cleared")
+    found = hits(judged(frames), chosen, carry=("emitted_at",))
+    out = found.drop("emitted_at")
     cooled = found.groupBy("stream", "key").transformWithStateInPandas(
-        statefulProcessor=_Cooldowns({n: micros(p.cooldown) for n, p in chosen.items()}, event_timers),
-        outputStructType="stream string, key string, " + _ADMITTED,
+        statefulProcessor=_Cooldowns({n: micros(p.cooldown) for n, p in chosen.items()}, event_timers, out.columns),
+        outputStructType=out.schema,
         outputMode="Append",
         timeMode="EventTime" if event_timers else "ProcessingTime",
     )
-    return as_alerts(cooled)
+    return as_alerts(write_up(cooled, chosen))
