@@ -58,7 +58,7 @@ def _admit(candidates: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
     rows = episodes(candidates, profiles)
     near = rows.filter(F.col("own") & (F.col("gap") <= 1))
     far = rows.filter(F.col("gap") > 1)
-    near = near.withColumn("unit", F.lit(-1).cast("long")) \
+    near = near.withColumn("part", F.lit(-1).cast("long")) \
         .withColumn("until0", F.lit(0).cast("long")).withColumn("rank0", F.lit(0))
     columns = candidates.columns
     admitted = _fold(near)
@@ -109,25 +109,25 @@ def episodes(candidates: DataFrame, profiles: Mapping[str, Profile]) -> DataFram
 
 
 def _fold(rows: DataFrame) -> DataFrame:
-    """Fold each unit from its entry state, streaming over sorted partitions."""
-    by = [*ENTITY, "episode_us", "unit"]
+    """Fold each part from its entry state, streaming over sorted partitions."""
+    by = [*ENTITY, "episode_us", "part"]
     ordered = rows.repartition(*by).sortWithinPartitions(*by, "clock_us", "seq")
     return ordered.mapInArrow(_fold_batches, ordered.schema)
 
 
 def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unit, until, held = None, 0, 0
+    part, until, held = None, 0, 0
     for batch in batches:
-        names = ("stream", "key", "rule", "episode_us", "unit")
-        units = list(zip(*(batch.column(n).to_pylist() for n in names)))
+        names = ("stream", "key", "rule", "episode_us", "part")
+        parts = list(zip(*(batch.column(n).to_pylist() for n in names)))
         clock, rank, cool, fresh, until0, rank0 = (
             batch.column(n).to_pylist()
             for n in ("clock_us", "rank", "cool_us", "fresh", "until0", "rank0")
         )
-        keep = [False] * len(units)
-        for i, u in enumerate(units):
-            if u != unit:
-                unit, until, held = u, until0[i], rank0[i]
+        keep = [False] * len(parts)
+        for i, p in enumerate(parts):
+            if p != part:
+                part, until, held = p, until0[i], rank0[i]
             if fresh[i] or clock[i] >= until or rank[i] > held:
                 keep[i], until, held = True, clock[i] + cool[i], rank[i]
         yield batch.filter(pa.array(keep))
@@ -153,7 +153,7 @@ def _with_entries(far: DataFrame, admitted: DataFrame) -> DataFrame:
         below = maps[level].withColumn("grp", grp if level == LEVELS else floor_div(F.col("idx"), FAN))
         joined = below.join(entries.withColumnRenamed("idx", "grp"), [*by, "grp"])
         entries = joined.groupBy(*by, "grp").applyInPandas(_hand_down, _ENTRY)
-    return own.withColumn("unit", F.col("idx")).join(entries, [*by, "idx"])
+    return own.withColumn("part", F.col("idx")).join(entries, [*by, "idx"])
 
 
 def _transfer_maps(far: DataFrame) -> DataFrame:

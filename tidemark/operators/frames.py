@@ -2,7 +2,9 @@
 
 ``event_frames`` produces, for events in time order, one row per event with
 
-``pts``       the observations in [at - window, at], oldest first, newest ``cap`` only
+``ats``, ``vals``  times and values of the observations in [at - window, at], oldest first,
+              newest ``cap`` only
+``last_ids``  the ids of the newest ``IDS`` of them
 ``prev``      the newest retained observation of another id at or before the event
 ``terminal``  whether the event ends its key
 
@@ -24,6 +26,9 @@ from tidemark.operators.blocks import with_blocks
 from tidemark.profiles import Profile, micros
 
 
+IDS = 12  # fixed value: the most event ids any alert carries
+
+
 def stall_deadline(profiles: Mapping[str, Profile], at_us: Column) -> Column:
     """When silence after ``at_us`` counts as a stall; null where nobody looks for it."""
     return at_us + per_stream(profiles, lambda p: micros(p.stall.after) if p.stall else None)
@@ -90,12 +95,14 @@ def event_frames(
     new_id = F.col("before").isNull() | (F.col("before.id") != F.col("id"))
     predecessor = F.struct(F.col("before.id").alias("id"), F.col("before.at_us").alias("at_us"),
                            F.col("before.geo").alias("geo"), (F.col("n") - 1).alias("n"))
-    point = F.struct("n", "id", "at_us", "value")
+    latest = w.rowsBetween(1 - cap, 0)
     rows = rows.select(
         "*",
         F.max(F.when(F.col("reset"), F.col("n"))).over(upto).alias("first_n"),
         F.last(F.when(new_id, predecessor), ignorenulls=True).over(upto).alias("pred"),
-        F.collect_list(point).over(w.rowsBetween(1 - cap, 0)).alias("raw_pts"),
+        F.collect_list("at_us").over(latest).alias("raw_ats"),
+        F.collect_list("value").over(latest).alias("raw_vals"),
+        F.collect_list("id").over(w.rowsBetween(1 - IDS, 0)).alias("raw_ids"),
     )
     rows = rows.withColumn("stall_us", stall_deadline(profiles, F.col("at_us")))
     # Judged where the next event is in sight: in the row's own block, or, for the last
@@ -114,9 +121,11 @@ def event_frames(
     oldest_n = F.greatest(first_n, F.col("n") - keep + 1)
     rows = rows.withColumn("oldest_n", oldest_n).withColumn("oldest_us", F.col("at_us") - size)
     retained_us = F.col("oldest_us") - per_stream(profiles, lambda p: micros(p.grace))
-    pts = F.filter(
-        "raw_pts", lambda p: (p["n"] >= F.col("oldest_n")) & (p["at_us"] >= F.col("oldest_us"))
-    )
+    # The frame ends at the event and is sorted, so the window is a suffix of it: no longer
+    # than the rows since the key's start, than the cap, and than the times allow.
+    limit = (F.col("n") - F.col("oldest_n") + 1).cast("int")
+    rows = rows.withColumn("points", F.least(limit, _since("oldest_us")))
+    newest = lambda c, n: F.slice(c, F.size(c) - n + 1, n)
     reachable = (F.col("pred.n") >= F.col("oldest_n")) & (F.col("pred.at_us") >= retained_us)
     prev = F.when(
         reachable & F.col("pred.id").isNotNull(),
@@ -124,10 +133,25 @@ def event_frames(
                  F.col("pred.geo").alias("geo")),
     )
     if with_retained:
-        held = F.filter("raw_pts", lambda p: (p["n"] >= F.col("oldest_n")) & (p["at_us"] >= retained_us))
-        rows = rows.withColumn("retained", F.size(held).cast("long"))
-    return rows.withColumn("pts", pts).withColumn("prev", prev).drop(
-        "raw_pts", "before", "pred", "next", "first_n", "oldest_n", "oldest_us", "reset"
+        rows = rows.withColumn("retained_us", retained_us)
+        rows = rows.withColumn("retained", F.least(limit, _since("retained_us")).cast("long"))
+    n = F.col("points")
+    return rows.select(
+        "stream", "key", "id", "at", "at_us", "value", "unit", "geo", "seq", "own", "stalled", "stall_us", "terminal",
+        newest(F.col("raw_ats"), n).alias("ats"),
+        newest(F.col("raw_vals"), n).alias("vals"),
+        newest(F.col("raw_ids"), F.least(n, F.size("raw_ids"))).alias("last_ids"),
+        prev.alias("prev"),
+        *(["retained"] if with_retained else []),
+    )
+
+
+def _since(start: str) -> Column:
+    """How many times of the frame are at or after ``start``. Where even the oldest is, as
+    for a key that fills its cap, there is nothing to look through."""
+    all_of_it = F.get("raw_ats", F.lit(0)) >= F.col(start)
+    return F.when(all_of_it, F.size("raw_ats")).otherwise(
+        F.size(F.filter("raw_ats", lambda t: t >= F.col(start)))
     )
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.cases import per_stream
 from tidemark.functions.scalars import is_terminal
 from tidemark.operators.cooldown import admit
-from tidemark.operators.frames import _us
+from tidemark.operators.frames import IDS, _us
 from tidemark.operators.keyed_window import Frame, Geometry, KeyedWindow, Point
 from tidemark.operators.rules import hits, write_up
 from tidemark.operators.slices import Running, floor_div, running
@@ -32,7 +32,7 @@ _GEO = "struct<lat:double,lon:double,place:string>"
 FRAME = (
     "stream string, key string, kind string, id string, at_us long, value double, unit string, "
     f"geo {_GEO}, seq long, clock_us long, "
-    "pts array<struct<n:long,id:string,at_us:long,value:double>>, "
+    "ats array<long>, vals array<double>, last_ids array<string>, "
     f"prev struct<id:string,at_us:long,geo:{_GEO}>, terminal boolean"
 )
 STEP_INPUT = ["stream", "key", "id", "at_us", "value", "unit", "lat", "lon", "place", "has_geo",
@@ -62,7 +62,7 @@ def as_rows(stream: str, key: str, frames: Iterable[tuple[Frame, int, str | None
         p, before = f.point, f.prev
         rows.append((
             stream, key, f.kind, p.id, p.at, p.value, unit, geo(p), seq, f.clock,
-            [{"n": i, "id": q.id, "at_us": q.at, "value": q.value} for i, q in enumerate(f.window)],
+            [q.at for q in f.window], [q.value for q in f.window], [q.id for q in f.window[-IDS:]],
             None if before is None else {"id": before.id, "at_us": before.at, "geo": geo(before)},
             f.terminal,
         ))
@@ -70,7 +70,7 @@ def as_rows(stream: str, key: str, frames: Iterable[tuple[Frame, int, str | None
 
 
 FRAME_COLUMNS = ["stream", "key", "kind", "id", "at_us", "value", "unit", "geo", "seq", "clock_us",
-                 "pts", "prev", "terminal"]
+                 "ats", "vals", "last_ids", "prev", "terminal"]
 
 
 def to_pandas(rows: list[tuple]) -> pd.DataFrame:

@@ -2,7 +2,8 @@
 
 A rule is a function of one frame row: whether it fires, the two numbers its severity
 compares, a few facts, and the ids behind it. Rules know no clock and no other row;
-``pts`` and ``prev`` carry the history they may see. Titles, sentences and evidence are
+``ats``, ``vals``,
+``last_ids`` and ``prev`` carry the history they may see. Titles, sentences and evidence are
 written afterwards, for the rows that fired.
 """
 
@@ -86,9 +87,10 @@ class _Of:
         return per_stream(self.profiles, lambda p: value(p.find(self.kind)[0]), only_these=True)
 
 
-def _ids(pts: Column, limit: int) -> Column:
-    newest = F.slice(pts, F.greatest(F.size(pts) - limit + 1, F.lit(1)), F.lit(limit))
-    return F.transform(newest, lambda p: p["id"])
+def _ids(limit: int, of: Column | None = None) -> Column:
+    """The newest ids, ``limit`` at most, of the window or of its newest ``of`` points."""
+    n = F.least(F.size("last_ids"), F.lit(limit), *([] if of is None else [of]))
+    return F.slice("last_ids", F.size("last_ids") - n + 1, n)
 
 
 def velocity_rate(count: Column, span_us: Column) -> Column:
@@ -98,14 +100,14 @@ def velocity_rate(count: Column, span_us: Column) -> Column:
 
 
 def _velocity(frames: DataFrame, of: _Of) -> tuple[DataFrame, Finding]:
-    pts, count = F.col("pts"), F.size("pts")
+    ats, count = F.col("ats"), F.size("ats")
     over = of.here() & (count > of.get(lambda r: r.max))
-    span = F.when(count < 2, F.lit(0)).otherwise(pts[count - 1]["at_us"] - pts[0]["at_us"])
+    span = F.when(count < 2, F.lit(0)).otherwise(F.get(ats, count - 1) - F.get(ats, F.lit(0)))
     frames = frames.withColumn("v_span", F.when(over, span))
     allowed = of.get(lambda r: r.max / (micros(r.per) / 1e6) if micros(r.per) > 0 else 0.0)
     rate = velocity_rate(count, F.col("v_span"))
     return frames, Finding(
-        "velocity", F.col("v_span").isNotNull(), rate, allowed, _ids(pts, VELOCITY_IDS),
+        "velocity", F.col("v_span").isNotNull(), rate, allowed, _ids(VELOCITY_IDS),
         n=count, span_us=F.col("v_span"),
     )
 
@@ -130,15 +132,15 @@ def _geovelocity(frames: DataFrame, of: _Of) -> tuple[DataFrame, Finding]:
 def _zscore(frames: DataFrame, of: _Of) -> tuple[DataFrame, Finding]:
     """Two passes over the few points but the newest, so a flat history deviates by exactly
     zero; only where there are points enough."""
-    n = F.greatest(F.size("pts") - 1, F.lit(0))
+    n = F.greatest(F.size("vals") - 1, F.lit(0))
     need = of.get(lambda r: max(r.min_samples, 1))
     frames = frames.withColumn("z_n", F.when(of.here() & F.col("own") & (n >= need), n))
-    history, count = F.slice("pts", F.lit(1), F.col("z_n")), F.col("z_n").cast("double")
-    total = F.aggregate(history, F.lit(0.0), lambda acc, p: acc + p["value"])
+    history, count = F.slice("vals", F.lit(1), F.col("z_n")), F.col("z_n").cast("double")
+    total = F.aggregate(history, F.lit(0.0), lambda acc, v: acc + v)
     known = F.col("z_n").isNotNull()
     frames = frames.withColumn("z_mean", F.when(known, F.try_divide(total, count)))
-    off = lambda p: p["value"] - F.col("z_mean")
-    squares = F.aggregate(history, F.lit(0.0), lambda acc, p: acc + off(p) * off(p))
+    off = lambda v: v - F.col("z_mean")
+    squares = F.aggregate(history, F.lit(0.0), lambda acc, v: acc + off(v) * off(v))
     frames = frames.withColumn("z_sd", F.when(known, F.sqrt(F.try_divide(squares, count))))
     value, mean = F.col("value"), F.col("z_mean")
     delta = F.abs(value - mean)
@@ -150,7 +152,7 @@ def _zscore(frames: DataFrame, of: _Of) -> tuple[DataFrame, Finding]:
         & (z > of.get(lambda r: float(r.k)))
     )
     return frames, Finding(
-        "zscore", fires, z, of.get(lambda r: float(r.k)), _ids(F.col("pts"), ZSCORE_IDS),
+        "zscore", fires, z, of.get(lambda r: float(r.k)), _ids(ZSCORE_IDS),
         n=F.col("z_n"), a=mean, b=F.col("z_sd"), c=delta,
     )
 
@@ -164,21 +166,19 @@ def _threshold(frames: DataFrame, of: _Of) -> tuple[DataFrame, Finding]:
     def beyond(v: Column) -> Column:
         return F.when(F.col("t_above"), v > F.col("t_bound")).otherwise(v < F.col("t_bound"))
 
-    pts = F.col("pts")
+    # Position, from 1, of the newest earlier point that is not beyond; 0 without one.
     broken = F.transform(
-        F.slice(pts, 1, F.greatest(F.size(pts) - 1, F.lit(0))),
-        lambda p, i: F.when(beyond(p["value"]), -1).otherwise(i),
+        F.slice("vals", 1, F.greatest(F.size("vals") - 1, F.lit(0))),
+        lambda v, i: F.when(beyond(v), 0).otherwise(i + 1),
     )
-    run = F.slice(pts, F.coalesce(F.array_max(broken), F.lit(-1)) + 2, F.size(pts))
-    judged = of.here() & F.col("own") & beyond(F.col("value")) & (F.size(pts) > 0)
-    frames = frames.withColumn("t_run", F.when(judged, run))
-    run, samples = F.col("t_run"), F.size("t_run")
-    held = F.when(run.isNotNull(), run[samples - 1]["at_us"] - run[0]["at_us"])
-    frames = frames.withColumn("t_held", held)
+    judged = of.here() & F.col("own") & beyond(F.col("value")) & (F.size("vals") > 0)
+    frames = frames.withColumn("t_broken", F.when(judged, F.coalesce(F.array_max(broken), F.lit(0))))
+    ats, samples = F.col("ats"), F.size("ats") - F.col("t_broken")
+    frames = frames.withColumn("t_held", F.get(ats, F.size("ats") - 1) - F.get(ats, F.col("t_broken")))
     need = of.get(lambda r: micros(r.sustained))
     return frames, Finding(
         "threshold", F.col("t_held") >= need, F.col("t_held") / 1e6, need / 1e6,
-        _ids(run, THRESHOLD_IDS), n=samples, span_us=F.col("t_held"),
+        _ids(THRESHOLD_IDS, samples), n=samples, span_us=F.col("t_held"),
     )
 
 

@@ -110,7 +110,7 @@ def velocity(spark, sf_dir):
 @query
 def geovelocity(spark, sf_dir):
     return found(spark, sf_dir, "geovelocity").select(
-        "stream", "key", F.col("event_id").alias("id"), "severity", "title",
+        "stream", "key", F.col("event_id").alias("id"), "severity", "title", "detail",
         evidence("fromPlace", "string").alias("from_place"), evidence("toPlace", "string").alias("to_place"),
         evidence("distanceKm", "double").alias("distance_km"),
         F.round(evidence("seconds", "double"), 3).alias("seconds"), ids(),
@@ -120,7 +120,7 @@ def geovelocity(spark, sf_dir):
 @query
 def zscore(spark, sf_dir):
     return found(spark, sf_dir, "zscore").select(
-        "stream", "key", F.col("event_id").alias("id"), "severity", "title",
+        "stream", "key", F.col("event_id").alias("id"), "severity", "title", "detail",
         evidence("value", "double").alias("value"), evidence("samples", "long").alias("samples"),
         evidence("stddev", "double").alias("stddev"), evidence("z", "double").alias("z"), ids(),
     )
@@ -129,7 +129,7 @@ def zscore(spark, sf_dir):
 @query
 def threshold(spark, sf_dir):
     return found(spark, sf_dir, "threshold").select(
-        "stream", "key", F.col("event_id").alias("id"), "severity", "title",
+        "stream", "key", F.col("event_id").alias("id"), "severity", "title", "detail",
         evidence("value", "double").alias("value"), evidence("heldMs", "long").alias("held_ms"),
         evidence("samples", "long").alias("samples"), ids(),
     )
@@ -182,7 +182,7 @@ def late_by_key(spark, sf_dir):
 @query
 def alerts(spark, sf_dir):
     return detect(events(spark, sf_dir), PROFILES, AS_OF).alerts.select(
-        "rule", "stream", "key", ntz("at"), ntz("detected_at"), "severity", "title", ids(), "absence",
+        "rule", "stream", "key", ntz("at"), ntz("detected_at"), "severity", "title", "detail", ids(), "absence",
     )
 
 
@@ -200,7 +200,7 @@ def alerts_by_rule(spark, sf_dir):
 def replayed_alerts(spark, sf_dir):
     """Detection in arrival order, with late and out-of-order records."""
     return replay(in_arrival_order(events(spark, sf_dir)), PROFILES, AS_OF).alerts.select(
-        "rule", "stream", "key", ntz("at"), ntz("detected_at"), "severity", "title", ids(), "absence",
+        "rule", "stream", "key", ntz("at"), ntz("detected_at"), "severity", "title", "detail", ids(), "absence",
     )
 
 
@@ -226,7 +226,7 @@ def streamed_alerts(spark, sf_dir):
     source = streamed_events(spark, sf_dir)
     out = run_to_table(detect_stream(source, PROFILES, watermark_delay=timedelta(hours=1), idle=30 * DAY), "streamed")
     return out.select(
-        "rule", "stream", "key", ntz("at"), ntz("detected_at"), "severity", "title", ids(), "absence",
+        "rule", "stream", "key", ntz("at"), ntz("detected_at"), "severity", "title", "detail", ids(), "absence",
     )
 
 

@@ -65,6 +65,17 @@ def duration(us: str) -> str:
     )
 
 
+def trimmed(e: str) -> str:
+    return f"regexp_replace(regexp_replace({e}, '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')"
+
+
+def compact(v: str) -> str:
+    return f"""CASE WHEN abs({v}) >= 1e6 THEN {trimmed(f"printf('%.1f', {v} / 1e6)")} || 'M'
+  WHEN abs({v}) >= 1e3 THEN {trimmed(f"printf('%.1f', {v} / 1e3)")} || 'K'
+  WHEN abs({v}) >= 100 THEN printf('%.0f', {v}) ELSE {trimmed(f"printf('%.2f', {v})")} END"""
+
+
+UNIT = "CASE stream WHEN 'payments' THEN 'BRL' WHEN 'video' THEN 'fps' ELSE 'µg/m³' END"
 TITLE = """CASE stream || ' ' || rule WHEN 'payments velocity' THEN 'Card testing' WHEN 'payments geovelocity' THEN 'Impossible travel'
  WHEN 'payments zscore' THEN 'Amount anomaly' WHEN 'video velocity' THEN 'Retry storm' WHEN 'video stall' THEN 'Job stalled'
  WHEN 'video threshold' THEN 'SLA breach' WHEN 'sensors velocity' THEN 'Sensor flapping' WHEN 'sensors zscore' THEN 'Reading spike'
@@ -129,12 +140,27 @@ st AS (
 )"""
 ST = STALL.format(as_of="2024-02-01 00:00:00")
 
+VEL_TEXT = f"count || ' events in ' || {duration('span_us')} || ' (limit ' || most || ' per 168h00m)'"
+GEO_TEXT = (
+    f"printf('%.2f,%.2f', alat, alon) || ' → ' || printf('%.2f,%.2f', lat, lon) || ' · ' || {compact('km')} || ' km in ' "
+    f"|| {duration('took')} || ' · ' || {compact('kmh')} || ' km/h'"
+)
+Z_TEXT = (
+    f"{compact('value')} || ' ' || {UNIT} || ' is ' || printf('%.1f', z) || 'σ ' || CASE WHEN value < mean THEN 'below' ELSE 'above' END "
+    f"|| ' this key''s mean of ' || {compact('mean')} || ' (n=' || samples || ')'"
+)
+THR_TEXT = (
+    f"{compact('value')} || ' ' || {UNIT} || CASE stream WHEN 'video' THEN ' — below 6K for ' ELSE ' — above 2K for ' END "
+    f"|| {duration('held')} || ' across ' || samples || ' samples'"
+)
+STALL_TEXT = f"'no events for ' || (after // {HOUR}) || 'h00m (expected within ' || (after // {HOUR}) || 'h00m)'"
+
 COOLED = f"""
 cand AS (
-  SELECT rule, stream, key, id, n, us, "at", epoch, severity, event_ids FROM vel UNION ALL
-  SELECT rule, stream, key, id, n, us, "at", epoch, severity, event_ids FROM geo UNION ALL
-  SELECT rule, stream, key, id, n, us, "at", epoch, severity, event_ids FROM zs UNION ALL
-  SELECT rule, stream, key, id, n, us, "at", epoch, severity, event_ids FROM thr
+  SELECT rule, stream, key, id, n, us, "at", epoch, severity, event_ids, {VEL_TEXT} AS detail FROM vel UNION ALL
+  SELECT rule, stream, key, id, n, us, "at", epoch, severity, event_ids, {GEO_TEXT} AS detail FROM geo UNION ALL
+  SELECT rule, stream, key, id, n, us, "at", epoch, severity, event_ids, {Z_TEXT} AS detail FROM zs UNION ALL
+  SELECT rule, stream, key, id, n, us, "at", epoch, severity, event_ids, {THR_TEXT} AS detail FROM thr
 ),
 numbered AS (
   SELECT *, CASE severity WHEN 'critical' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END AS rank,
@@ -150,14 +176,14 @@ fold AS (
   FROM fold f JOIN numbered c ON c.stream = f.stream AND c.key = f.key AND c.rule = f.rule AND c.epoch = f.epoch AND c.i = f.i + 1
 ),
 admitted AS (
-  SELECT c.rule, c.stream, c.key, c."at", c."at" AS detected_at, c.severity, c.event_ids, FALSE AS absence
+  SELECT c.rule, c.stream, c.key, c."at", c."at" AS detected_at, c.severity, c.event_ids, FALSE AS absence, c.detail
   FROM fold f JOIN numbered c ON c.stream = f.stream AND c.key = f.key AND c.rule = f.rule AND c.id = f.id WHERE f.ok
   UNION ALL
-  SELECT rule, stream, key, "at", make_timestamp(due), 'info', id, TRUE FROM st
+  SELECT rule, stream, key, "at", make_timestamp(due), 'info', id, TRUE, {STALL_TEXT} FROM st
 )"""
 
 ALL_RULES = SEG + "," + VEL + "," + GEO + "," + Z + "," + THR + "," + ST + "," + COOLED
-ALERTS = f'SELECT rule, stream, key, "at", detected_at, severity, {TITLE} AS title, event_ids, absence FROM admitted'
+ALERTS = f'SELECT rule, stream, key, "at", detected_at, severity, {TITLE} AS title, event_ids, absence, detail FROM admitted'
 
 # Validation and dead letters.
 
@@ -189,22 +215,22 @@ WITH {EV} SELECT id, CASE WHEN k >= 98 THEN 'done' ELSE 'running' END AS status,
 SQL["velocity"] = f"""
 WITH {SEG}, {VEL}
 SELECT stream, key, id, "at", severity, {TITLE} AS title,
-  count || ' events in ' || {duration('span_us')} || ' (limit ' || most || ' per 168h00m)' AS detail,
+  {VEL_TEXT} AS detail,
   count, span_us // 1000 AS span_ms, per_second, event_ids FROM vel"""
 SQL["geovelocity"] = f"""
 WITH {SEG}, {GEO}
 SELECT stream, key, id, severity, {TITLE} AS title, printf('%.2f,%.2f', alat, alon) AS from_place,
-  printf('%.2f,%.2f', lat, lon) AS to_place, round(km * 10) / 10 AS distance_km, round(took / 1e6, 3) AS seconds, event_ids FROM geo"""
+  printf('%.2f,%.2f', lat, lon) AS to_place, round(km * 10) / 10 AS distance_km, round(took / 1e6, 3) AS seconds, event_ids, {GEO_TEXT} AS detail FROM geo"""
 SQL["zscore"] = f"""
 WITH {SEG}, {Z}
-SELECT stream, key, id, severity, {TITLE} AS title, value, samples, round(sd * 100) / 100 AS stddev, round(z * 100) / 100 AS z, event_ids FROM zs"""
+SELECT stream, key, id, severity, {TITLE} AS title, value, samples, round(sd * 100) / 100 AS stddev, round(z * 100) / 100 AS z, event_ids, {Z_TEXT} AS detail FROM zs"""
 SQL["threshold"] = f"""
 WITH {SEG}, {THR}
-SELECT stream, key, id, severity, {TITLE} AS title, value, held // 1000 AS held_ms, samples, event_ids FROM thr"""
+SELECT stream, key, id, severity, {TITLE} AS title, value, held // 1000 AS held_ms, samples, event_ids, {THR_TEXT} AS detail FROM thr"""
 SQL["stall"] = f"""
 WITH {SEG}, {ST}
 SELECT stream, key, id, "at", make_timestamp(due) AS detected_at, 'info' AS severity, {TITLE} AS title,
-  'no events for ' || (after // {HOUR}) || 'h00m (expected within ' || (after // {HOUR}) || 'h00m)' AS detail,
+  {STALL_TEXT} AS detail,
   after // 1000 AS idle_ms, value AS last_value, TRUE AS absence FROM st"""
 
 # Windows.
@@ -383,16 +409,6 @@ SELECT stream, key AS id, n AS "offset", log.id AS point_id, "at" AS written FRO
 # Scalars.
 
 
-def trimmed(e: str) -> str:
-    return f"regexp_replace(regexp_replace({e}, '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')"
-
-
-def compact(v: str) -> str:
-    return f"""CASE WHEN abs({v}) >= 1e6 THEN {trimmed(f"printf('%.1f', {v} / 1e6)")} || 'M'
-  WHEN abs({v}) >= 1e3 THEN {trimmed(f"printf('%.1f', {v} / 1e3)")} || 'K'
-  WHEN abs({v}) >= 100 THEN printf('%.0f', {v}) ELSE {trimmed(f"printf('%.2f', {v})")} END"""
-
-
 SQL["compact_text"] = f"""
 WITH {EV}, t AS (SELECT *, value * 250.0::DOUBLE AS big, value / 100.0::DOUBLE AS small_, n * 7919 * 1000 % 20000000000 AS span FROM ev)
 SELECT id, {compact('big')} AS large, {compact('small_')} AS small, {duration('span')} AS duration,

@@ -63,23 +63,3 @@ DEAD_LETTER = T.StructType(
         T.StructField("payload", T.StringType()),
     ]
 )
-
-# One retained observation, as the window frames and the streaming state keep it.
-# `n` numbers the observations of a key in order; it is what tells ties apart.
-POINT = T.StructType(
-    [
-        T.StructField("n", T.LongType()),
-        T.StructField("id", T.StringType()),
-        T.StructField("at_us", T.LongType()),
-        T.StructField("value", T.DoubleType()),
-    ]
-)
-
-# The observation before the current one, as geovelocity needs it.
-PREV = T.StructType(
-    [
-        T.StructField("id", T.StringType()),
-        T.StructField("at_us", T.LongType()),
-        T.StructField("geo", GEO),
-    ]
-)
