@@ -34,8 +34,8 @@ from tidemark.operators.staging import stage
 from tidemark.profiles import Profile, micros
 
 ENTITY = ["stream", "key", "rule"]
-SLICE_COOLDOWNS = 4  # cooldowns per slice; at least 2
-FAN, LEVELS = 64, 3  # transfer maps composed together, and how often
+SLICE_COOLDOWNS = 8  # cooldowns per slice; at least 2
+FAN = 64  # transfer maps composed together
 BLOCK_SLICES = 4096  # slices per block in the scan for episode starts
 
 FREE = (0, 0)  # the state in which everything is admitted
@@ -63,11 +63,12 @@ def _admit(candidates: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
     columns = candidates.columns
     admitted = _fold(near)
     # Rules that kept firing over several slices are rare; look before planning for them.
-    if far.filter("own").isEmpty():
+    longest = far.filter("own").agg(F.max("gap")).first()[0]
+    if longest is None:
         return admitted.select(columns)
     admitted = stage(admitted, "admitted")
     far = stage(far, "candidates-far")
-    return admitted.select(columns).unionByName(_fold(_with_entries(far, admitted)).select(columns))
+    return admitted.select(columns).unionByName(_fold(_with_entries(far, admitted, longest - 1)).select(columns))
 
 
 def episodes(candidates: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
@@ -133,12 +134,16 @@ def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch.filter(pa.array(keep))
 
 
-def _with_entries(far: DataFrame, admitted: DataFrame) -> DataFrame:
-    """Give every far slice the state in which the fold reaches it."""
+def _with_entries(far: DataFrame, admitted: DataFrame, slices: int) -> DataFrame:
+    """Give every far slice the state in which the fold reaches it. ``slices`` is the most
+    far slices an episode has; maps are composed until ``FAN`` of them cover it."""
+    levels = 0
+    while FAN ** (levels + 1) < slices:
+        levels += 1
     own = far.filter("own").withColumn("idx", F.col("gap") - 2)
     by = [*ENTITY, "episode_us"]
     maps = [_transfer_maps(far)]
-    for _ in range(LEVELS):
+    for _ in range(levels):
         coarser = maps[-1].withColumn("grp", floor_div(F.col("idx"), FAN))
         maps.append(coarser.groupBy(*by, "grp").applyInPandas(_compose, _MAP))
     # State after the two slices folded per episode.
@@ -149,8 +154,8 @@ def _with_entries(far: DataFrame, admitted: DataFrame) -> DataFrame:
         .select(*by, F.lit(0).cast("long").alias("idx"), "s.*")
     )
     grp = F.lit(0).cast("long")
-    for level in reversed(range(LEVELS + 1)):
-        below = maps[level].withColumn("grp", grp if level == LEVELS else floor_div(F.col("idx"), FAN))
+    for level in reversed(range(levels + 1)):
+        below = maps[level].withColumn("grp", grp if level == levels else floor_div(F.col("idx"), FAN))
         joined = below.join(entries.withColumnRenamed("idx", "grp"), [*by, "grp"])
         entries = joined.groupBy(*by, "grp").applyInPandas(_hand_down, _ENTRY)
     return own.withColumn("part", F.col("idx")).join(entries, [*by, "idx"])
