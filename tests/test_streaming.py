@@ -51,3 +51,104 @@ def test_event_timers_report_silence(spark, tmp_path):
     _, table = run(spark, detect_stream(source, PROFILES, watermark_delay=timedelta(seconds=5)), tmp_path, "silence")
     got = table.select("rule", "key", "absence", F.unix_timestamp("detected_at").alias("d"), "event_ids").collect()
     assert [(r.rule, r.key, r.absence, r.event_ids) for r in got] == [("stall", "quiet", True, ["a"])]
+
+
+def test_metrics_close_once(spark, tmp_path):
+    """Windows by event time, malformed records dropped, each closed window written once."""
+    import json
+
+    from tests.util import at as when
+    from tidemark.schema import RAW
+    from tidemark.streaming.metrics import metrics_stream
+
+    def rec(stream, value, t):
+        return json.dumps({"stream": stream, "value": value, "at": when(t).strftime("%Y-%m-%dT%H:%M:%S.%fZ")})
+
+    batches = [
+        [rec("payments", 100, 1), "{not json", None, rec("payments", 200, 2), rec("sensors", 40, 3)],
+        [rec("payments", 50, 12), rec("payments", 7, 4)],  # the second is out of order, within grace
+        [rec("payments", 1, 40)],
+        [rec("payments", 1, 80)],
+    ]
+    n = 0
+    for b in batches:
+        rows = [("k", v, "events", 0, n + i, when(500)) for i, v in enumerate(b)]
+        n += len(b)
+        spark.createDataFrame(rows, RAW).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(RAW).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    _, table = run(spark, metrics_stream(source), tmp_path, "closed")
+    got = table.orderBy("window_start", "stream").collect()
+    assert [(r.stream, r["count"], r.sum) for r in got] == [
+        ("payments", 3, 307), ("sensors", 1, 40), ("payments", 1, 50), ("payments", 1, 1)]
+
+
+def test_raw_records_end_to_end(spark, tmp_path):
+    """Poison is dead-lettered and does not stop detection; alerts are stored once."""
+    import json
+
+    from tests.util import at as when
+    from tidemark import default_profiles
+    from tidemark.operators.alert_table import Written, insert
+    from tidemark.schema import RAW
+    from tidemark.streaming.sinks import start_alert_storage, start_detection
+
+    def rec(id, t, lat, lon, value):
+        return json.dumps({"id": id, "stream": "payments", "key": "c", "at": when(t).strftime("%Y-%m-%dT%H:%M:%SZ"),
+                           "value": value, "unit": "BRL", "geo": {"lat": lat, "lon": lon, "place": id}})
+
+    values = ['{"broken":', rec("sp", -3, -23.5505, -46.6333, 89.9), rec("tokyo", 0, 35.6762, 139.6503, 2400)]
+    rows = [("c", v, "events", 0, i, when(0)) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, RAW).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(RAW).parquet(str(tmp_path / "in"))
+    found = str(tmp_path / "found")
+    bad = []
+    queries = start_detection(
+        source, default_profiles(), str(tmp_path / "ck"), lambda df, i: df.write.mode("append").parquet(found),
+        lambda df, i: bad.extend(df.collect()), trigger={"availableNow": True},
+    )
+    for q in queries:
+        q.awaitTermination()
+    assert [(r.offset, r.payload) for r in bad] == [(0, '{"broken":')]
+    (alert,) = spark.read.parquet(found).collect()
+    assert (alert.rule, alert.severity, alert.event_ids) == ("geovelocity", "critical", ["sp", "tokyo"])
+    assert alert.detail.startswith("sp → tokyo · 18.5K km in 3s")
+    stored, reports = str(tmp_path / "table"), []
+    stream = spark.readStream.schema(spark.read.parquet(found).schema).parquet(found)
+    q = start_alert_storage(stream, stored, str(tmp_path / "ck2"), lambda i, w: reports.append(w), {"availableNow": True})
+    q.awaitTermination()
+    assert reports == [Written(1, 0, 0)] and insert(spark.read.parquet(found), stored) == Written(0, 1, 0)
+
+
+def test_warm_start(spark, tmp_path):
+    """A detector seeded from snapshots goes on where the earlier one stopped."""
+    from tests.util import event, events
+    from tidemark import default_profiles
+    from tidemark.operators import changelog
+
+    before = [event(f"a{i:02d}", "payments", "c", i) for i in range(20)]
+    after = [event("z", "payments", "c", 21), event("n", "payments", "new", 21)]
+    snaps = changelog.snapshots(events(spark, before), default_profiles(), round(before[-1]["at"].timestamp() * 1e6))
+    log = changelog.as_log(snaps).withColumn("offset", F.lit(0).cast("long"))
+    seeds = changelog.seeds(changelog.compact(log, ["payments"]))
+    df = with_seq(spark, after)
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    _, table = run(spark, detect_stream(source, default_profiles(), seed=seeds), tmp_path, "warm")
+    (r,) = table.collect()
+    assert (r.rule, r.key, r.event_ids[-1], len(r.event_ids)) == ("velocity", "c", "z", 12)
+
+
+def test_processing_timers(spark, tmp_path):
+    from tests.util import event
+
+    df = with_seq(spark, [event(f"e{i:02d}", "payments", "c", i) for i in range(25)])
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    from tidemark import default_profiles
+
+    out = detect_stream(source, default_profiles(), timers="processing", wall_clock=True)
+    _, table = run(spark, out, tmp_path, "wall")
+    (r,) = table.collect()
+    assert r.rule == "velocity" and r.event_ids[-1] == "e20" and r.detected_at > r.at
+    with pytest.raises(ValueError):
+        detect_stream(source, default_profiles(), timers="sun")
