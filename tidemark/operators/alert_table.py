@@ -11,7 +11,7 @@ from collections.abc import Callable
 from datetime import datetime, timedelta
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import millis, severity_rank
@@ -81,24 +81,25 @@ def insert(alerts: DataFrame, path: str) -> Written:
     spark = alerts.sparkSession
     rows = alert_rows(alerts)
     # Two dates bound the days to look at, so the table scan prunes to them.
-    first, last = rows.agg(F.min("day"), F.max("day")).first()
-    if first is None:
+    first, last, came, errors = rows.agg(
+        F.min("day"), F.max("day"), F.count(F.lit(1)), F.count_if(F.coalesce("alert_id", F.lit("")) == "")
+    ).first()
+    if not came:
         return Written(0, 0, 0)
     stored = None
     if _exists(spark, path):
         stored = spark.read.schema(rows.schema).parquet(path).filter(F.col("day").between(first, last))
-    came, wrote = Observation(), Observation()
-    counted = rows.observe(
-        came, F.count(F.lit(1)).alias("n"),
-        F.count_if(F.coalesce("alert_id", F.lit("")) == "").alias("errors"),
-    )
-    fresh = new_rows(counted, stored).observe(wrote, F.count(F.lit(1)).alias("n"))
-    # Balanced files per day, whatever a day holds; sorted, so lookups by pk skip row groups.
-    fresh.hint("rebalance", *LAYOUT).sortWithinPartitions(*LAYOUT, "pk", "sk").write.mode(
-        "append"
-    ).partitionBy(*LAYOUT).parquet(path)
-    written, errors = wrote.get["n"], came.get["errors"]
-    return Written(written, came.get["n"] - errors - written, errors)
+    fresh = new_rows(rows, stored).persist()
+    try:
+        written = fresh.count()
+        # Balanced files per day, whatever a day holds; sorted, so lookups by pk skip row groups.
+        if written:
+            fresh.hint("rebalance", *LAYOUT).sortWithinPartitions(*LAYOUT, "pk", "sk").write.mode(
+                "append"
+            ).partitionBy(*LAYOUT).parquet(path)
+    finally:
+        fresh.unpersist()
+    return Written(written, came - errors - written, errors)
 
 
 def insert_batches(path: str, report: Callable[[int, Written], None] | None = None):
