@@ -139,16 +139,27 @@ def test_warm_start(spark, tmp_path):
 
 
 def test_processing_timers(spark, tmp_path):
+    """Wall-clock timers keep a query busy for good, so it is stopped once it has answered."""
+    import time
+
     from tests.util import event
+    from tidemark import default_profiles
 
     df = with_seq(spark, [event(f"e{i:02d}", "payments", "c", i) for i in range(25)])
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    from tidemark import default_profiles
-
     out = detect_stream(source, default_profiles(), timers="processing", wall_clock=True)
-    _, table = run(spark, out, tmp_path, "wall")
-    (r,) = table.collect()
+    q = (
+        out.writeStream.format("memory").queryName("wall").outputMode("append")
+        .option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
+    )
+    try:
+        until = time.time() + 90
+        while q.isActive and spark.table("wall").count() == 0 and time.time() < until:
+            time.sleep(1)
+    finally:
+        q.stop()
+    (r,) = spark.table("wall").collect()
     assert r.rule == "velocity" and r.event_ids[-1] == "e20" and r.detected_at > r.at
     with pytest.raises(ValueError):
         detect_stream(source, default_profiles(), timers="sun")
