@@ -2,15 +2,13 @@
 
 import random
 from dataclasses import replace
-from datetime import timedelta
 
 import pytest
 
 from tests.model import Model
 from tests.test_detect_model import PROFILES, random_rows, s
 from tests.util import alert_tuples, event, events, us
-from pyspark.sql import functions as F
-from tidemark import Stall, Threshold, Velocity, detect
+from tidemark import detect
 from tidemark.operators import replay as replay_module
 from tidemark.operators.keyed_window import Geometry, KeyedWindow, Point
 from tidemark.operators.replay import replay, step_input, with_units
