@@ -54,6 +54,35 @@ def test_replay_equals_model(spark, monkeypatch, profiles, spread):
     assert alert_tuples(d.alerts) == sorted(m.alerts)
 
 
+@pytest.mark.parametrize("per_block", [20, 64])
+def test_busy_keys_are_cut_at_arrival_blocks(spark, monkeypatch, per_block):
+    """Keys that never fall silent, with late records, terminal events and stalls."""
+    monkeypatch.setattr(replay_module, "ARRIVALS_PER_BLOCK", per_block * 3)
+    monkeypatch.setattr(replay_module, "BUSY_ROWS", 50)
+    rnd = random.Random(per_block)
+    rows = []
+    for stream, key in (("payments", "a"), ("video", "b"), ("sensors", "c")):
+        t = 0.0
+        for _ in range(300):
+            t += rnd.choice([0, 0.5, 1, 2, 4, 9] if rnd.random() < 0.97 else [43, 47, 300])
+            status = "done" if rnd.random() < 0.02 else None
+            geo = (rnd.uniform(-60, 60), rnd.uniform(-90, 90))
+            rows.append(event("", stream, key, round(t, 3), rnd.choice([10, 25, 35, 61, 80, 500]), geo, status))
+    rows.sort(key=lambda r: r["at"])
+    for i, r in enumerate(rows):
+        r["id"] = f"e{i:06d}"
+    rows = shuffled(rows, 5, 90)
+    profiles = tuple(replace(p, max_points=min(p.max_points, 12)) for p in PROFILES)
+    as_of = max(round(r["at"].timestamp() * 1e6) for r in rows) + 200_000_000
+    df = with_seq(spark, rows)
+    units = with_units(step_input(df), by_stream(profiles))
+    assert units.filter("warm").select("key", "unit_seq").distinct().count() >= 5
+    m = model_of(rows, profiles, as_of)
+    d = replay(df, profiles, as_of)
+    assert m.late and sorted(m.late) == sorted(r.id for r in d.late.collect())
+    assert alert_tuples(d.alerts) == sorted(m.alerts)
+
+
 def test_in_order_replay_equals_batch(spark):
     rows = random_rows(5, keys=3, per_key=100)
     df = with_seq(spark, rows)

@@ -14,11 +14,12 @@ from datetime import datetime, timedelta
 from functools import cached_property
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.cases import per_stream
 from tidemark.functions.scalars import is_terminal
+from tidemark.operators.blocks import ENTITY, busy_keys
 from tidemark.operators.cooldown import admit
 from tidemark.operators.frames import IDS, _us
 from tidemark.operators.keyed_window import Frame, Geometry, KeyedWindow, Point
@@ -38,6 +39,7 @@ FRAME = (
 STEP_INPUT = ["stream", "key", "id", "at_us", "value", "unit", "lat", "lon", "place", "has_geo",
               "terminal", "seq", "now_us"]
 ARRIVALS_PER_BLOCK = 1 << 20
+BUSY_ROWS = 500_000
 
 
 def step_input(events: DataFrame, now: Column | None = None) -> DataFrame:
@@ -101,20 +103,60 @@ def with_units(events: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
     An event more than window + grace newer than everything its key has sent before pushes
     all retained points out, so stepping may start there with nothing. On swept streams
     the silence before it must also be certain to be reported: no shorter than the
-    cooldown, and no longer than the retention.
+    cooldown, and no longer than the retention. Busy keys are also cut at arrival blocks,
+    after ``warm`` rows: a copy of the block before, stepped through but not reported. Rows
+    whose unit goes on in such a way have ``continues``.
     """
-    def quiet(p: Profile) -> int | None:
-        if p.stall and not p.cooldown <= p.stall.after <= p.retention:
-            return None
-        return micros(p.retention)
-
-    blocks = [floor_div(F.col("seq"), ARRIVALS_PER_BLOCK)]
+    eligible = per_stream(profiles, lambda p: not p.stall or p.cooldown <= p.stall.after <= p.retention)
+    retention = per_stream(profiles, lambda p: micros(p.retention))
+    block = floor_div(F.col("seq"), ARRIVALS_PER_BLOCK)
     newest = Running("newest_us", F.col("at_us"), "max")
-    rows = running(events, ["stream", "key"], ["seq"], blocks, [newest], inclusive=False)
-    fresh = F.col("newest_us").isNull() | (F.col("at_us") > F.col("newest_us") + per_stream(profiles, quiet))
+    rows = running(events, ENTITY, ["seq"], [block], [newest], inclusive=False)
+    fresh = F.col("newest_us").isNull() | (eligible & (F.col("at_us") > F.col("newest_us") + retention))
     rows = rows.withColumn("fresh", F.coalesce(fresh, F.lit(False)))
-    opened = Running("unit_seq", F.when(F.col("fresh"), F.col("seq")), "last")
-    return running(rows, ["stream", "key"], ["seq"], blocks, [opened]).drop("fresh", "newest_us")
+    opening, busy = F.col("fresh"), busy_keys(events, BUSY_ROWS)
+    if not busy.isEmpty():
+        rows = _with_cuts(rows.withColumn("blk", block), busy, profiles, eligible, retention)
+        opening = opening | F.col("cut")
+    opened = Running("unit_seq", F.when(opening, F.col("seq")), "last")
+    rows = running(rows, ENTITY, ["seq"], [block], [opened]).withColumn("warm", F.lit(False))
+    if "cut" not in rows.columns:
+        return rows.withColumn("continues", F.lit(False)).drop("fresh", "newest_us")
+    # Block b warms up the unit that starts with block b + 1.
+    starts = rows.filter("cut").select(
+        *ENTITY, (F.col("blk") - 1).alias("blk"), F.col("seq").alias("next_unit")
+    )
+    last_unit = F.max("unit_seq").over(Window.partitionBy(*ENTITY, "blk"))
+    rows = rows.drop("fresh", "newest_us", "cut").join(starts, [*ENTITY, "blk"], "left")
+    # Only the unit at the end of the block goes on; one that fell silent inside it does not.
+    rows = rows.withColumn("continues", F.col("next_unit").isNotNull() & (F.col("unit_seq") == last_unit))
+    warm = rows.filter("next_unit IS NOT NULL").withColumn("unit_seq", F.col("next_unit")).withColumn("warm", F.lit(True))
+    return rows.unionByName(warm).drop("blk", "next_unit")
+
+
+def _with_cuts(
+    rows: DataFrame, busy: DataFrame, profiles: Mapping[str, Profile], eligible: Column, retention: Column
+) -> DataFrame:
+    """Mark the first row of each arrival block at which a busy key may be cut although it
+    never falls silent.
+
+    Stepping through the block before, from nothing, leads to the true state once nothing
+    older can be left in it: when the block raised the key's newest time by more than the
+    retention, or raised it ``cap`` times, so that ``cap`` newer points push out the rest.
+    From the first such record on, mark, lateness and restarts are the true ones.
+    """
+    cap = per_stream(profiles, lambda p: p.cap)
+    record = F.col("newest_us").isNull() | (F.col("at_us") > F.col("newest_us"))
+    blocks = rows.join(busy.select(*ENTITY), ENTITY, "left_semi").groupBy(*ENTITY, "blk").agg(
+        F.count_if(record).alias("records"), F.max("at_us").alias("top"), F.min("newest_us").alias("earlier"),
+    )
+    enough = (F.col("records") >= cap) | (F.col("top") > F.col("earlier") + retention)
+    cuts = blocks.filter(eligible & enough).select(*ENTITY, (F.col("blk") + 1).alias("blk"), F.lit(True).alias("may_cut"))
+    first = F.row_number().over(Window.partitionBy(*ENTITY, "blk").orderBy("seq")) == 1
+    marked = rows.join(cuts, [*ENTITY, "blk"], "left").withColumn("first", first)
+    return marked.withColumn(
+        "cut", F.coalesce("may_cut", F.lit(False)) & F.col("first") & ~F.col("fresh")
+    ).drop("may_cut", "first")
 
 
 def late_arrivals(events: DataFrame, window: timedelta, grace: timedelta) -> DataFrame:
@@ -141,10 +183,10 @@ def replay_frames(
     ordered = rows.repartition(*by).sortWithinPartitions(*by, "seq")
 
     def step_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state, last_seq = None, None, 0
+        current, state, last_seq, goes_on = None, None, 0, False
 
         def finish() -> list[tuple]:
-            if current is None or until is None:
+            if current is None or until is None or goes_on:
                 return []
             g = geometry[current[0]]
             return as_rows(*current[:2], [(f, last_seq, None) for f in state.sweep_until(g, until)])
@@ -157,8 +199,9 @@ def replay_frames(
                     out += finish()
                     current, state = unit, KeyedWindow()
                 steps = state.step(geometry[r.stream], point_of(r), r.terminal, None)
-                out += as_rows(r.stream, r.key, [(f, r.seq, r.unit) for f in steps])
-                last_seq = r.seq
+                if not r.warm:
+                    out += as_rows(r.stream, r.key, [(f, r.seq, r.unit) for f in steps])
+                last_seq, goes_on = r.seq, r.continues and not r.warm
             if out:
                 yield to_pandas(out)
         rest = finish()
