@@ -3,12 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import decontaminated
+from tidemark.llm.licenses import scanned
 from tidemark.llm.ngram_join import linked_components
+from tidemark.llm.packing import packed_documents
+from tidemark.llm.quality import fit, scored
+from tidemark.llm.quotations import reply_ordered
+from tidemark.llm.repair_store import read_tokens, write_tokens
 from tidemark.llm.suffix_dedup import without_repeats
+from tidemark.llm.topk_search import top_k
+from tidemark.llm.url_filter import judged
+from tidemark.operators.staging import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,6 +33,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public tokenizer's file lies, on the driver and on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query
 def op1_decontamination(spark, sf_dir):
     out = decontaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -66,3 +83,85 @@ def op4_ngram_jaccard(spark, sf_dir):
 @query
 def op9_suffix_dedup(spark, sf_dir):
     return without_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op2_quotation_linking(spark, sf_dir):
+    return reply_ordered(read(spark, sf_dir, "conversations"))
+
+
+@query
+def op3_token_store(spark, sf_dir):
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(read(spark, sf_dir, "documents"), path, tokenizer(), end_id=2)
+    return read_tokens(spark, path, crc_only=True)
+
+
+@query
+def op5_license_scan(spark, sf_dir):
+    return scanned(read(spark, sf_dir, "documents"))
+
+
+def quality_model(spark, sf_dir):
+    """Fitted on the rows outside the held-out fold."""
+    labels = read(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+    return fit(read(spark, sf_dir, "documents"), labels)
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+@query
+def op6_quality_classifier(spark, sf_dir):
+    out = scored(read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), quality_model(spark, sf_dir))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+#: The rules of the contract.
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+
+@query
+def op7_url_filter(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judged(read(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+SQL["op7_url_filter"] = r"""
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*(/[^?#]*)', 1) AS path FROM pages
+), r(h, p, verdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+)
+SELECT page_id, host, path,
+  (SELECT arg_max(h || r.p, length(h || r.p)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p)) AS rule,
+  coalesce((SELECT arg_max(verdict, length(h || r.p)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p)), 'allow') AS verdict
+FROM p
+"""
+
+
+@query
+def op8_topk_search(spark, sf_dir):
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
+SQL["op8_topk_search"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda x: x[1] * x[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+@query
+def op10_vector_packing(spark, sf_dir):
+    return packed_documents(read(spark, sf_dir, "documents"), tokenizer())
