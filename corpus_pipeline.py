@@ -1,8 +1,92 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from documents to packed sequences, each stage one of the operators in ``tidemark.llm``.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next one's
+docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.decontaminate import decontaminated
+from tidemark.llm.exchange import small_or_shuffled
+from tidemark.llm.ngram_join import linked_components
+from tidemark.llm.packing import packed_documents
+from tidemark.llm.quality import scored
+from tidemark.llm.queries import quality_model, read, tokenizer
+from tidemark.llm.suffix_dedup import without_repeats
+from tidemark.operators.staging import stage
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    return scored(docs, quality_model(spark, docs, sf_dir)).filter("predicted = 1").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id; of rows that repeat an id and text, one."""
+    linked = linked_components(docs)
+    repeated = stage(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    gone = stage(linked.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct(), "gone")
+    kept = _without(docs, gone)
+    if repeated.isEmpty():
+        return kept.select(*COLUMNS)
+    again = _within(kept, repeated).dropDuplicates(["doc_id", "text"])
+    return _without(kept, repeated).unionByName(again).select(*COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without strings of an earlier document; bytes of a character that a cut has split go too, and so do documents that lose all."""
+    out = without_repeats(docs, carry=("lang", "source")).filter("n_removed = 0 or n_removed < n_bytes")
+    return out.select("doc_id", _decoded("kept").alias("text"), "carried.lang", "carried.source").select(
+        "doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated."""
+    found = decontaminated(docs, read(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id", "text_key").distinct()
+    found = small_or_shuffled(stage(found, "contaminated"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.xxhash64("d.text") == F.col("f.text_key"))
+    return docs.alias("d").join(found.alias("f"), same, "left_anti").select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes."""
+    return packed_documents(docs, tokenizer())
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeats),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", packing),
+]
+#: A trained model, components and tokens are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    ids = small_or_shuffled(ids.withColumnRenamed("doc_id", "other"))
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("other")), "left_anti")
+
+
+def _within(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    ids = small_or_shuffled(ids.withColumnRenamed("doc_id", "other"))
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("other")), "left_semi")
+
+
+@F.pandas_udf("string")
+def _decoded(kept: pd.Series) -> pd.Series:
+    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))

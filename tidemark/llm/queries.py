@@ -82,7 +82,7 @@ def op4_ngram_jaccard(spark, sf_dir):
 
 @query
 def op9_suffix_dedup(spark, sf_dir):
-    return without_repeats(read(spark, sf_dir, "documents")).drop("kept")
+    return without_repeats(read(spark, sf_dir, "documents")).drop("kept", "carried")
 
 
 @query
@@ -102,10 +102,9 @@ def op5_license_scan(spark, sf_dir):
     return scanned(read(spark, sf_dir, "documents"))
 
 
-def quality_model(spark, sf_dir):
-    """Fitted on the rows outside the held-out fold."""
-    labels = read(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
-    return fit(read(spark, sf_dir, "documents"), labels)
+def quality_model(spark, docs, sf_dir):
+    """Fitted on the rows of ``docs`` with a label, outside the held-out fold."""
+    return fit(docs, read(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -114,7 +113,8 @@ def held_out(doc_id: Column) -> Column:
 
 @query
 def op6_quality_classifier(spark, sf_dir):
-    out = scored(read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), quality_model(spark, sf_dir))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    out = scored(docs, quality_model(spark, docs, sf_dir))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.llm.exchange import n_buckets
 from tidemark.llm.textbytes import BYTE_CODES, mix, powers, text_slices
@@ -35,17 +36,18 @@ LAST = np.iinfo(np.int64).max
 FLAG = np.dtype([("group", "<u4"), ("mask", "<u8")])
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of ``docs``.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept, carried) for each row of ``docs``.
 
     Texts are UTF-8 bytes, whole; null is empty; matches never cross rows. A byte goes if a string of ``length`` bytes over
     it also starts in a row with a smaller id, judged on the input. Rows of one id do not remove each other's text; a
     row with a null id comes after all others. kept holds the bytes that stay. An empty table gives an empty result.
-    Other columns are not read. ``length`` lies between 28 and 83.
+    carried is a struct of the columns named in ``carry``; others are not read. ``length`` lies between 28 and 83.
     """
     if not GRAM + 8 <= length <= GRAM + 63:
         raise ValueError(f"length must lie between {GRAM + 8} and {GRAM + 63}")
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    carried = F.struct(F.lit(True).alias("row"), *(F.col(c) for c in carry)).alias("carried")
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), carried)
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // CHUNK_BYTES))
     source = source.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
@@ -55,9 +57,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     told = grams.groupBy("bucket").applyInArrow(_repeated, "chunk int, bucket int, data binary")
     runs = source.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_runs(length, buckets), "bucket int, chunk int, data binary")
     flags = runs.groupBy("bucket").applyInArrow(_merged(length), "chunk int, data binary")
-    return source.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(
-        _removed(length), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary",
-    ).withColumnRenamed("id", id_col)
+    schema = StructType.fromDDL("id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").add(source.schema["carried"])
+    return source.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(_removed(length), schema).withColumnRenamed("id", id_col)
 
 
 class _Chunk:
@@ -68,6 +69,7 @@ class _Chunk:
         rank = ids.fill_null(LAST).to_numpy()
         texts = table.column("text").cast(pa.large_string()).fill_null("").combine_chunks()
         order = np.array(sorted(range(len(rank)), key=lambda i: (rank[i], texts[i].as_py())) if _tied(rank) else np.argsort(rank), dtype=np.int64)
+        self.order = order
         self.ids, self.rank, texts = ids.take(pa.array(order)), rank[order], texts.take(pa.array(order))
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
@@ -362,7 +364,7 @@ def _merged(length: int):
 def _removed(length: int):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return _result([], [])
+            return _result(docs, np.zeros(0, np.int64), [])
         c = _Chunk(docs, length)
         group_mask = np.zeros(len(c.first), np.uint64)
         for data in told.column("data").to_pylist():
@@ -383,14 +385,15 @@ def _removed(length: int):
             spans = int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1])) if b > a else 0
             kept = c.buf[a:b][~g].tobytes()
             rows.append((int(b - a), int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-        return _result(c.ids, rows)
+        return _result(docs, c.order, rows)
 
     return run
 
 
-def _result(ids, rows) -> pa.Table:
+def _result(docs: pa.Table, order: np.ndarray, rows: list[tuple]) -> pa.Table:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
     columns = list(zip(*rows)) if rows else [[]] * 5
     names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-    ids = ids if rows else pa.array([], pa.int64())
-    return pa.table({"id": ids} | {n: pa.array(list(c), t) for n, c, t in zip(names, columns, kinds)})
+    same = docs.take(pa.array(order))
+    out = {"id": same.column("id").cast(pa.int64())} | {n: pa.array(list(c), t) for n, c, t in zip(names, columns, kinds)}
+    return pa.table(out | {"carried": same.column("carried")})
