@@ -29,11 +29,13 @@ from tidemark.operators.staging import stage
 
 SKETCH_BITS = 20
 SKETCH_SLOT = 1 << 14
-#: A counter that holds this many times the mean, and at least this many, marks its shingles as common.
-COMMON_TIMES, COMMON_LEAST = 16, 1000
+#: A counter above so many times the mean, and this many more, marks its shingles as common. Chance alone does not reach it.
+COMMON_TIMES, COMMON_MORE = 2, 64
 STARS = 4
 TILE_ROWS = 1024
 BLOCK_ROWS = 128
+#: Groups up to this size are remembered by a task, to leave out those that come again.
+SMALL_GROUP = 16
 
 PREFIX = np.dtype([("gram", "<u4"), ("n", "<u4"), ("key", "<i8")])
 
@@ -100,12 +102,12 @@ def _common(source: DataFrame, k: int) -> np.ndarray:
     for slot, data in ((r.bucket, r.data) for r in summed.collect()):  # 8 MB, whatever the input
         total[slot] = np.frombuffer(data, np.uint64)
     total = total.ravel()
-    return np.packbits(total > max(COMMON_LEAST, COMMON_TIMES * int(total.sum()) >> SKETCH_BITS))
+    return np.packbits(total > COMMON_MORE + (COMMON_TIMES * int(total.sum()) >> SKETCH_BITS))
 
 
 def _bits(s: np.ndarray) -> bytes:
-    """The set's bitmap: a power of two of bits, one to two for each shingle, 64 at least and 4096 at most."""
-    width = min(4096, max(64, 1 << int(len(s) - 1).bit_length())) if len(s) else 64
+    """The set's bitmap: a power of two of bits, four to eight for each shingle, 64 at least and 2 ** 16 at most."""
+    width = min(1 << 16, max(64, 4 << int(len(s) - 1).bit_length())) if len(s) else 64
     out = np.zeros(width, dtype=bool)
     out[(s & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -201,24 +203,14 @@ def _tiles(table: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame
     """(a, b): pairs of different components that the bitmaps do not rule out."""
 
     def shared(batches):
-        rows, starts, ends = _groups(unpacked(batches, PREFIX))
-        for s, e in zip(starts, ends):
-            n = rows["n"][s:e].astype(np.int64)
-            # a row without a neighbour of compatible size takes no part
-            near = n[1:] * num <= n[:-1] * den
-            keep = np.concatenate([[False], near]) | np.concatenate([near, [False]])
-            out.append(rows[s:e][keep])
-            if sum(map(len, out)) > 50_000:
-                yield flush()
-        if out:
-            yield flush()
-
-    out: list[np.ndarray] = []
-
-    def flush():
-        r = np.concatenate(out)
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(r["gram"], pa.int64()), pa.array(r["key"]), pa.array(r["n"], pa.int64())], ["gram", "key", "n"])
+        rows, _, _ = _groups(unpacked(batches, PREFIX))
+        # a row without a neighbour of compatible size takes no part
+        n = rows["n"].astype(np.int64)
+        near = (rows["gram"][1:] == rows["gram"][:-1]) & (n[1:] * num <= n[:-1] * den)
+        r = rows[np.concatenate([[False], near]) | np.concatenate([near, [False]])] if len(rows) else rows
+        for lo in range(0, len(r), 50_000):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(r[c][lo: lo + 50_000], pa.int64()) for c in ("gram", "key", "n")], ["gram", "key", "n"])
 
     narrow = table.filter("n > 0").select("key", "cid", "bits").dropDuplicates(["key"])
     by_key = labels.join(narrow.withColumnRenamed("cid", "node"), "node").select("key", F.xxhash64("label").alias("label"))
@@ -237,20 +229,31 @@ def _tiles(table: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame
         if not parts:
             return
         rows, starts, ends = _groups(np.concatenate(parts))
-        for s, e in zip(starts, ends):
+        if not len(starts):
+            return
+        group = np.cumsum(np.concatenate([[False], rows["gram"][1:] != rows["gram"][:-1]]))
+        bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        low, high = (f.reduceat(rows["label"], bounds)[group[starts]] for f in (np.minimum, np.maximum))
+        seen, held, size = set(), [], 0
+        for s, e in zip(starts[low < high].tolist(), ends[low < high].tolist()):
             r = rows[s:e]
-            if (r["label"] == r["label"][0]).all():
-                continue
+            if e - s <= SMALL_GROUP:
+                members = r["key"].tobytes()
+                if members in seen:
+                    continue  # the same sets meet under another shingle of this task
+                seen.add(members)
             cuts = range(0, len(r), TILE_ROWS)
             for i in cuts:
                 for j in cuts:
                     if j >= i and r["n"][j] * num <= r["n"][min(i + TILE_ROWS, len(r)) - 1] * den:
                         part = r[i: i + TILE_ROWS] if i == j else np.concatenate([r[i: i + TILE_ROWS], r[j: j + TILE_ROWS]])
-                        right = np.arange(len(part)) >= (0 if i == j else min(TILE_ROWS, len(r) - i))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(part["gram"]), pa.array(np.full(len(part), i)), pa.array(np.full(len(part), j)), pa.array(right),
-                             pa.array(part["key"]), pa.array(part["n"]), pa.array(part["label"])],
-                            ["gram", "i", "j", "right", "key", "n", "label"])
+                        held.append((part, i, j, min(TILE_ROWS, len(r) - i) if i < j else 0))
+                        size += len(part)
+                        if size > 20_000:
+                            yield _tile_batch(held)
+                            held, size = [], 0
+        if held:
+            yield _tile_batch(held)
 
     n = n_buckets(table)
     tiles = rows.repartition(n, "gram").mapInArrow(mixed, "gram long, i long, j long, right boolean, key long, n long, label long")
@@ -258,11 +261,20 @@ def _tiles(table: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame
     return tiles.select("gram", "i", "j", "right", "key", "n", "label", "bits").mapInArrow(_pairs(num, den), "a long, b long").distinct()
 
 
+def _tile_batch(tiles: list[tuple]) -> pa.RecordBatch:
+    rows = np.concatenate([t[0] for t in tiles])
+    sizes = [len(t[0]) for t in tiles]
+    i, j, first = (np.repeat([t[c] for t in tiles], sizes) for c in (1, 2, 3))
+    place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(rows["gram"]), pa.array(i), pa.array(j), pa.array(place >= first), pa.array(rows["key"]), pa.array(rows["n"]), pa.array(rows["label"])],
+        ["gram", "i", "j", "right", "key", "n", "label"])
+
+
 def _pairs(num: int, den: int):
     """Pairs of each tile that the bound lets through. Rows arrive sorted by tile."""
 
-    def fold(bits: list[bytes]) -> np.ndarray:
-        least = min(map(len, bits))
+    def fold(bits: list[bytes], least: int) -> np.ndarray:
         out = np.zeros((len(bits), least // 8), np.uint64)
         for i, x in enumerate(bits):
             x = np.frombuffer(x, np.uint64)
@@ -270,8 +282,10 @@ def _pairs(num: int, den: int):
         return out
 
     def tile(rows):
+        rows = sorted(rows, key=lambda r: r[2])
         right, key, n, label = (np.array([r[c] for r in rows]) for c in range(4))
         bits = [r[4] for r in rows]
+        width = np.array([len(x) for x in bits])
         sides = (np.flatnonzero(~right), np.flatnonzero(right)) if not right.all() else (np.arange(len(rows)),) * 2
         for x in range(0, len(sides[0]), BLOCK_ROWS):
             for y in range(0, len(sides[1]), BLOCK_ROWS):
@@ -282,34 +296,40 @@ def _pairs(num: int, den: int):
                     continue
                 u, v = np.nonzero(fits)
                 p, q = p[u], q[v]
-                for lo in range(0, len(p), 4096):
-                    pp, qq = p[lo: lo + 4096], q[lo: lo + 4096]
-                    used, at = np.unique(np.concatenate([pp, qq]), return_inverse=True)
-                    b = fold([bits[i] for i in used])
-                    l, r = b[at[: len(pp)]], b[at[len(pp):]]
-                    most = np.minimum(n[pp] - np.bitwise_count(l & ~r).sum(axis=1), n[qq] - np.bitwise_count(r & ~l).sum(axis=1))
-                    # |x & y| * den >= num * (|x| + |y| - |x & y|)
-                    ok = most * (num + den) >= num * (n[pp] + n[qq])
-                    yield np.minimum(key[pp][ok], key[qq][ok]), np.maximum(key[pp][ok], key[qq][ok])
+                narrow = np.minimum(width[p], width[q])
+                for least in np.unique(narrow):
+                    some = np.flatnonzero(narrow == least)
+                    for lo in range(0, len(some), 4096):
+                        pp, qq = p[some[lo: lo + 4096]], q[some[lo: lo + 4096]]
+                        used, at = np.unique(np.concatenate([pp, qq]), return_inverse=True)
+                        b = fold([bits[i] for i in used], int(least))
+                        l, r = b[at[: len(pp)]], b[at[len(pp):]]
+                        most = np.minimum(n[pp] - np.bitwise_count(l & ~r).sum(axis=1), n[qq] - np.bitwise_count(r & ~l).sum(axis=1))
+                        # |x & y| * den >= num * (|x| + |y| - |x & y|)
+                        ok = most * (num + den) >= num * (n[pp] + n[qq])
+                        yield np.minimum(key[pp][ok], key[qq][ok]).tolist(), np.maximum(key[pp][ok], key[qq][ok]).tolist()
 
     def run(batches):
-        now, rows = None, []
+        now, rows, found = None, [], set()
         for b in batches:
             columns = [b.column(i).to_pylist() for i in range(8)]
             for g, i, j, *rest in zip(*columns):
                 if (g, i, j) != now:
-                    yield from (_pair_batch(*x) for x in (tile(rows) if rows else ()))
+                    found.update(p for x in (tile(rows) if rows else ()) for p in zip(*x))
                     now, rows = (g, i, j), []
+                    if len(found) > 50_000:
+                        yield _pair_batch(found)
+                        found = set()
                 rows.append(rest)
-        if rows:
-            yield from (_pair_batch(*x) for x in tile(rows))
+        found.update(p for x in (tile(rows) if rows else ()) for p in zip(*x))
+        if found:
+            yield _pair_batch(found)
 
     return run
 
 
-def _pair_batch(a, b):
-    keep = a != b
-    return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+def _pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs if p[0] != p[1]], pa.int64()) for c in (0, 1)], ["a", "b"])
 
 
 def _checked(source: DataFrame, table: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
