@@ -7,8 +7,9 @@ is found, except where both ends are already known to be in one component; what
    taken, the same for all documents, so it cannot change a result.
 2. Each set keeps its first ``n - ceil(t * n) + 1`` shingles in that order. Sets that link share one of these.
 3. A few of them give star links, which collapse groups of near copies after an exact check.
-4. All of them give groups. A group whose sets lie in different components is sorted by size and cut into blocks; pairs
-   of blocks with compatible sizes are tiles, dealt to tasks one by one, so a large group is not one task's work.
+4. All of them give groups; groups with the same smallest member are joined, so that a family of copies meets once and not
+   once for each shingle it shares. A group whose sets lie in different components is sorted by size and cut into
+   blocks; pairs of blocks with compatible sizes are tiles, dealt to tasks one by one, so a large group is not one task's work.
 5. In a tile, bitmaps of hashed shingles bound each overlap from above: a bit that only one side has is an element that
    the other lacks. Only pairs that can still reach the threshold are intersected exactly.
 
@@ -34,8 +35,6 @@ COMMON_TIMES, COMMON_MORE = 2, 64
 STARS = 4
 TILE_ROWS = 1024
 BLOCK_ROWS = 128
-#: Groups up to this size are remembered by a task, to leave out those that come again.
-SMALL_GROUP = 16
 
 PREFIX = np.dtype([("gram", "<u4"), ("n", "<u4"), ("key", "<i8")])
 
@@ -208,9 +207,17 @@ def _tiles(table: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame
         n = rows["n"].astype(np.int64)
         near = (rows["gram"][1:] == rows["gram"][:-1]) & (n[1:] * num <= n[:-1] * den)
         r = rows[np.concatenate([[False], near]) | np.concatenate([near, [False]])] if len(rows) else rows
-        for lo in range(0, len(r), 50_000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(r[c][lo: lo + 50_000], pa.int64()) for c in ("gram", "key", "n")], ["gram", "key", "n"])
+        if not len(r):
+            return
+        # groups under one smallest member are joined: the sets of a family meet there once, not once for each shingle they share
+        new = np.concatenate([[True], r["gram"][1:] != r["gram"][:-1]])
+        owner = np.minimum.reduceat(r["key"], np.flatnonzero(new))[np.cumsum(new) - 1]
+        order = np.lexsort((r["key"], owner))
+        owner, key, n = owner[order], r["key"][order], r["n"][order]
+        once = np.concatenate([[True], (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])])
+        for lo in range(0, len(owner), 50_000):
+            cut = slice(lo, lo + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(x[cut][once[cut]], pa.int64()) for x in (owner, key, n)], ["gram", "key", "n"])
 
     narrow = table.filter("n > 0").select("key", "cid", "bits").dropDuplicates(["key"])
     by_key = labels.join(narrow.withColumnRenamed("cid", "node"), "node").select("key", F.xxhash64("label").alias("label"))
@@ -234,14 +241,9 @@ def _tiles(table: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame
         group = np.cumsum(np.concatenate([[False], rows["gram"][1:] != rows["gram"][:-1]]))
         bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         low, high = (f.reduceat(rows["label"], bounds)[group[starts]] for f in (np.minimum, np.maximum))
-        seen, held, size = set(), [], 0
+        held, size = [], 0
         for s, e in zip(starts[low < high].tolist(), ends[low < high].tolist()):
             r = rows[s:e]
-            if e - s <= SMALL_GROUP:
-                members = r["key"].tobytes()
-                if members in seen:
-                    continue  # the same sets meet under another shingle of this task
-                seen.add(members)
             cuts = range(0, len(r), TILE_ROWS)
             for i in cuts:
                 for j in cuts:
