@@ -6,7 +6,6 @@ docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +15,7 @@ from tidemark.llm.ngram_join import linked_components
 from tidemark.llm.packing import packed_documents
 from tidemark.llm.quality import scored
 from tidemark.llm.queries import quality_model, read, tokenizer
-from tidemark.llm.suffix_dedup import without_repeats
+from tidemark.llm.suffix_dedup import kept_text, without_repeats
 from tidemark.operators.staging import stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -42,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of an earlier document; bytes of a character that a cut has split go too, and so do documents that lose all."""
     out = without_repeats(docs, carry=("lang", "source")).filter("n_removed = 0 or n_removed < n_bytes")
-    return out.select("doc_id", _decoded("kept").alias("text"), "carried.lang", "carried.source").select(
+    return out.select("doc_id", kept_text("kept").alias("text"), "carried.lang", "carried.source").select(
         "doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
@@ -86,7 +85,3 @@ def _within(docs: DataFrame, ids: DataFrame) -> DataFrame:
     ids = small_or_shuffled(ids.withColumnRenamed("doc_id", "other"))
     return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("other")), "left_semi")
 
-
-@F.pandas_udf("string")
-def _decoded(kept: pd.Series) -> pd.Series:
-    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))

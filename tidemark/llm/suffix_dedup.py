@@ -22,10 +22,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from tidemark.llm.exchange import n_buckets
 from tidemark.llm.textbytes import BYTE_CODES, mix, powers, text_slices
@@ -61,6 +62,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return source.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(_removed(length), schema).withColumnRenamed("id", id_col)
 
 
+@F.pandas_udf(StringType())
+def kept_text(kept: pd.Series) -> pd.Series:
+    """Bytes that stay, as a text; what a cut leaves of a character goes too."""
+    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+
 class _Chunk:
     """The rows of a chunk in a fixed order, and its anchors, grouped by equal surroundings."""
 

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 #: Texts of these characters alone are cut here; a text with any other is encoded by the library whole.
 PLAIN = regex.compile(r"[\n\x20-\x7e\xa1-ɏ‐-‧‰-⁞]*+")
 #: White space next to white space belongs to one piece.
-RUNS = ("  ", " \n", "\n ")
+RUNS = ("  ", " \n", "\n ", "\n\n\n")
 #: Each is a piece of its own after a word, at the end of a cut.
 MARKS = ".,;:!?"
 CACHED = 400_000

@@ -53,8 +53,8 @@ def judged(pages: DataFrame, rules: DataFrame, url_col: str = "url", otherwise:
         (F.col("host_length") + F.col("path_length")).alias("size"), "host_length",
         F.when(F.col("verdict") == otherwise, 0).otherwise(1).alias("order"), "rule", "verdict")).alias("b"))
     verdicts = urls.join(best.select(F.col("u").alias("v"), "b.rule", "b.verdict"), F.col("u").eqNullSafe(F.col("v")), "left").select("u", "host", "path", "rule", "verdict")
-    return pages.alias("p").join(verdicts, F.col(f"p.{url_col}").eqNullSafe(F.col("u"))).select(
-        *(F.col(f"p.`{c}`") for c in kept), "host", "path", "rule", F.coalesce("verdict", F.lit(otherwise)).alias("verdict"))
+    return pages.alias("p").join(verdicts.alias("v"), F.col(f"p.`{url_col}`").eqNullSafe(F.col("v.u"))).select(
+        *(F.col(f"p.`{c}`") for c in kept), "v.host", "v.path", "v.rule", F.coalesce("v.verdict", F.lit(otherwise)).alias("verdict"))
 
 
 def _digest(host: Column, path: Column) -> Column:
