@@ -22,8 +22,7 @@ HIGH = -(1 << 32)  # the bits of a hash that are compared; the place takes the o
 
 def words(text: Column) -> Column:
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    parts = F.split(F.coalesce(lower, F.lit("")), NOT_WORD)
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(lower, F.lit("")), NOT_WORD), "")
 
 
 def decontaminated(
