@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.tokens import Encoder
+from tidemark.llm.tokens import encoder
 from tidemark.operators.staging import stage
 
 PIECES = "id long, piece int, start long, length int, ids_crc32 long, part int, rank long"
@@ -75,12 +75,12 @@ def _pieces(tokenizer: str, end_id: int, tokens: int):
     end = np.uint32(end_id).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = Encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(tokens + 1, np.int64)
+        coder, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(tokens + 1, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
                 rows = []
-                for i, raw in zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1).to_pylist())):
+                for i, raw in zip(b.column(0).to_pylist(), coder.encode_all(b.column(1).to_pylist())):
                     raw += end
                     n, place, piece = len(raw) // 4, 0, 0
                     while place < n:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.exchange import n_buckets
-from tidemark.llm.tokens import Encoder
+from tidemark.llm.tokens import encoder
 
 SHARD_IDS = 1 << 20
 ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 3, 4096, 8
@@ -67,11 +67,11 @@ def _shards(tokenizer: str, end_id: int | None):
     end = b"" if end_id is None else np.uint32(end_id).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, shard, ids, raw, n = Encoder(tokenizer), TaskContext.get().partitionId(), 0, [], [], 0
+        coder, part, shard, ids, raw, n = encoder(tokenizer), TaskContext.get().partitionId(), 0, [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
-                for i, x in zip(piece.column(0).to_pylist(), encoder.encode_all(piece.column(1).to_pylist())):
+                for i, x in zip(piece.column(0).to_pylist(), coder.encode_all(piece.column(1).to_pylist())):
                     x += end
                     if raw and n + len(x) // 4 > SHARD_IDS:
                         yield _shard(part, shard, ids, raw)

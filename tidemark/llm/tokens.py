@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 
@@ -105,3 +106,9 @@ class Encoder:
         for i, raw in zip(others, self._whole([texts[i] for i in others])):
             out[i] = raw
         return out
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, so that tasks that follow each other share what it knows."""
+    return Encoder(path)
