@@ -6,10 +6,12 @@ is found, except where both ends are already known to be in one component; what
 1. A fixed-size count sketch over all shingles tells common from rare ones. It only fixes an order in which shingles are
    taken, the same for all documents, so it cannot change a result.
 2. Each set keeps its first ``n - ceil(t * n) + 1`` shingles in that order. Sets that link share one of these.
-3. A few of them give star links, which collapse groups of near copies after an exact check.
-4. All of them give groups; groups with the same smallest member are joined, so that a family of copies meets once and not
+3. The shingles of least hash in each set give star links, which collapse groups of near copies after an exact check.
+4. The kept shingles give groups; groups with the same smallest member are joined, so that a family of copies meets once and not
    once for each shingle it shares. A group whose sets lie in different components is sorted by size and cut into
    blocks; pairs of blocks with compatible sizes are tiles, dealt to tasks one by one, so a large group is not one task's work.
+   In a first round a tile gives each set one pair with each other component alone, which joins what is left of a
+   group of copies; the second round, over the components there are then, is complete.
 5. In a tile, bitmaps of hashed shingles bound each overlap from above: a bit that only one side has is an element that
    the other lacks. Only pairs that can still reach the threshold are intersected exactly.
 
@@ -32,7 +34,9 @@ SKETCH_BITS = 20
 SKETCH_SLOT = 1 << 14
 #: A counter above so many times the mean, and this many more, marks its shingles as common. Chance alone does not reach it.
 COMMON_TIMES, COMMON_MORE = 2, 64
-STARS = 4
+STARS = 6
+#: Besides its smallest set, each set of a group is tried with those so many places further by size.
+NEIGHBOURS = (1, 2, 4)
 TILE_ROWS = 1024
 BLOCK_ROWS = 128
 
@@ -50,13 +54,14 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     common = _common(source, k)
-    table = stage(source.mapInArrow(_profiler(k, num, den, common), "id long, n long, cid binary, key long, bits binary, prefix binary"), "sets")
+    table = stage(source.mapInArrow(_profiler(k, num, den, common), "id long, n long, cid binary, key long, bits binary, prefix binary, least binary"), "sets")
 
-    stars = stage(_stars(table, num, den), "stars")
+    stars = stage(_plausible(stage(_stars(table, num, den), "stars"), table, num, den), "stars")
     links = stage(_checked(source, table, stars, k, num, den), "links")
-    labels = stage(components(links), "labels")
-    pairs = stage(_tiles(table, labels, num, den), "pairs")
-    links = links.unionByName(stage(_checked(source, table, pairs, k, num, den), "links"))
+    for best in (True, False):
+        labels = stage(components(links), "labels")
+        pairs = stage(_tiles(table, labels, num, den, best), "pairs")
+        links = links.unionByName(stage(_checked(source, table, pairs, k, num, den), "links"))
     labels = components(links)
 
     classes = table.filter("n > 0").groupBy("cid").agg(F.min("id").alias("class_id"))
@@ -119,7 +124,7 @@ def _profiler(k: int, num: int, den: int, common: np.ndarray):
             ids = batch.column(0)
             for first, sets in shingle_sets(batch.column(1), k):
                 n = np.array([len(s) for s in sets], np.int64)
-                cids, keys, bits, prefixes = [], [], [], []
+                cids, keys, bits, prefixes, least = [], [], [], [], []
                 for s in sets:
                     digest = np.array([s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64)], np.uint64)
                     cids.append(digest.tobytes())
@@ -129,16 +134,17 @@ def _profiler(k: int, num: int, den: int, common: np.ndarray):
                     size = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
                     ordered = np.concatenate([s[~late], s[late]]) if late.any() else s
                     prefixes.append(ordered[:size].tobytes())
+                    least.append(s[:STARS].tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, len(sets)).cast(pa.int64()), pa.array(n), pa.array(cids, pa.binary()), pa.array(keys, pa.int64()),
-                     pa.array(bits, pa.binary()), pa.array(prefixes, pa.binary())],
-                    ["id", "n", "cid", "key", "bits", "prefix"])
+                     pa.array(bits, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(least, pa.binary())],
+                    ["id", "n", "cid", "key", "bits", "prefix", "least"])
 
     return run
 
 
-def _prefix_rows(table: DataFrame, buckets: int, most: int | None) -> DataFrame:
-    """The prefixes (or the first ``most`` of each) of the distinct sets, dealt by shingle."""
+def _prefix_rows(table: DataFrame, buckets: int, column: str) -> DataFrame:
+    """The shingles in ``column`` of the distinct sets, dealt by shingle."""
 
     def run(batches):
         seen = set()
@@ -148,7 +154,7 @@ def _prefix_rows(table: DataFrame, buckets: int, most: int | None) -> DataFrame:
             for key, n, raw in zip(keys, ns, lists):
                 if n and key not in seen:
                     seen.add(key)
-                    g = np.frombuffer(raw, np.uint64)[:most]
+                    g = np.frombuffer(raw, np.uint64)
                     grams.append(g)
                     n_of.append(np.full(len(g), n, np.uint32))
                     key_of.append(np.full(len(g), key, np.int64))
@@ -158,7 +164,7 @@ def _prefix_rows(table: DataFrame, buckets: int, most: int | None) -> DataFrame:
                 rows["gram"], rows["n"], rows["key"] = g & np.uint64(0xFFFFFFFF), np.concatenate(n_of), np.concatenate(key_of)
                 yield packed(((g >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), rows)
 
-    return by_bucket(table.select("key", "n", "prefix").mapInArrow(run, PACKED), buckets)
+    return by_bucket(table.select("key", "n", column).mapInArrow(run, PACKED), buckets)
 
 
 def _groups(rows: np.ndarray):
@@ -177,7 +183,7 @@ def _groups(rows: np.ndarray):
 
 
 def _stars(table: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): in each group, sets with the smallest set whose size is compatible."""
+    """(a, b): in each group, sets with the smallest set whose size is compatible, and with some neighbours by size."""
 
     def run(batches):
         rows, starts, ends = _groups(unpacked(batches, PREFIX))
@@ -190,16 +196,40 @@ def _stars(table: DataFrame, num: int, den: int) -> DataFrame:
                 if end > at + 1:
                     a.append(np.full(end - at - 1, key[at]))
                     b.append(key[at + 1: end])
+                for step in NEIGHBOURS:
+                    a.append(key[at: max(at, end - step)])
+                    b.append(key[at + step: end])
                 at = max(end, at + 1)
         if a:
             a, b = np.concatenate(a), np.concatenate(b)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return _prefix_rows(table, n_buckets(table), STARS).mapInArrow(run, "a long, b long").distinct()
+    return _prefix_rows(table, n_buckets(table), "least").mapInArrow(run, "a long, b long").distinct()
 
 
-def _tiles(table: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): pairs of different components that the bitmaps do not rule out."""
+def _plausible(pairs: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that the bitmaps do not rule out."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, m, n, x, y = (batch.column(i).to_pylist() for i in range(6))
+            keep = []
+            for i in range(len(a)):
+                l, r = np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64)
+                least = min(len(l), len(r))
+                l, r = (np.bitwise_or.reduce(v.reshape(-1, least), axis=0) for v in (l, r))
+                most = min(m[i] - int(np.bitwise_count(l & ~r).sum()), n[i] - int(np.bitwise_count(r & ~l).sum()))
+                keep.append(most * (num + den) >= num * (m[i] + n[i]))
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, ok in zip(c, keep) if ok], pa.int64()) for c in (a, b)], ["a", "b"])
+
+    narrow = table.filter("n > 0").select("key", "n", "bits").dropDuplicates(["key"])
+    left, right = (narrow.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+
+
+def _tiles(table: DataFrame, labels: DataFrame, num: int, den: int, best: bool) -> DataFrame:
+    """(a, b): pairs of different components that the bitmaps do not rule out; with ``best``, of each tile, for each set and
+    other component the pair with the highest bound alone."""
 
     def shared(batches):
         rows, _, _ = _groups(unpacked(batches, PREFIX))
@@ -221,7 +251,7 @@ def _tiles(table: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame
 
     narrow = table.filter("n > 0").select("key", "cid", "bits").dropDuplicates(["key"])
     by_key = labels.join(narrow.withColumnRenamed("cid", "node"), "node").select("key", F.xxhash64("label").alias("label"))
-    rows = _prefix_rows(table, n_buckets(table), None).mapInArrow(shared, "gram long, key long, n long")
+    rows = _prefix_rows(table, n_buckets(table), "prefix").mapInArrow(shared, "gram long, key long, n long")
     rows = rows.join(by_key, "key", "left").withColumn("label", F.coalesce("label", F.col("key")))
 
     record = np.dtype([("gram", "<i8"), ("key", "<i8"), ("n", "<i8"), ("label", "<i8")])
@@ -260,7 +290,7 @@ def _tiles(table: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame
     n = n_buckets(table)
     tiles = rows.repartition(n, "gram").mapInArrow(mixed, "gram long, i long, j long, right boolean, key long, n long, label long")
     tiles = tiles.join(narrow.select("key", "bits"), "key").repartition(n, "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
-    return tiles.select("gram", "i", "j", "right", "key", "n", "label", "bits").mapInArrow(_pairs(num, den), "a long, b long").distinct()
+    return tiles.select("gram", "i", "j", "right", "key", "n", "label", "bits").mapInArrow(_pairs(num, den, best), "a long, b long").distinct()
 
 
 def _tile_batch(tiles: list[tuple]) -> pa.RecordBatch:
@@ -273,7 +303,7 @@ def _tile_batch(tiles: list[tuple]) -> pa.RecordBatch:
         ["gram", "i", "j", "right", "key", "n", "label"])
 
 
-def _pairs(num: int, den: int):
+def _pairs(num: int, den: int, best: bool):
     """Pairs of each tile that the bound lets through. Rows arrive sorted by tile."""
 
     def fold(bits: list[bytes], least: int) -> np.ndarray:
@@ -309,7 +339,15 @@ def _pairs(num: int, den: int):
                         most = np.minimum(n[pp] - np.bitwise_count(l & ~r).sum(axis=1), n[qq] - np.bitwise_count(r & ~l).sum(axis=1))
                         # |x & y| * den >= num * (|x| + |y| - |x & y|)
                         ok = most * (num + den) >= num * (n[pp] + n[qq])
-                        yield np.minimum(key[pp][ok], key[qq][ok]).tolist(), np.maximum(key[pp][ok], key[qq][ok]).tolist()
+                        pp, qq, score = pp[ok], qq[ok], (most / (n[pp] + n[qq]))[ok]
+                        if best and len(pp):
+                            ends, others = np.concatenate([key[pp], key[qq]]), np.concatenate([label[qq], label[pp]])
+                            order = np.lexsort((-np.tile(score, 2), others, ends))
+                            first = np.ones(len(order), dtype=bool)
+                            first[1:] = (np.diff(ends[order]) != 0) | (np.diff(others[order]) != 0)
+                            one = np.unique(order[first] % len(pp))
+                            pp, qq = pp[one], qq[one]
+                        yield np.minimum(key[pp], key[qq]).tolist(), np.maximum(key[pp], key[qq]).tolist()
 
     def run(batches):
         now, rows, found = None, [], set()
