@@ -44,8 +44,8 @@ def check_in_order(profiles: Mapping[str, Profile]) -> None:
 
 
 def prepare(events: DataFrame) -> DataFrame:
-    """Add the order columns: ``at_us`` and, where the source gave none, ``seq``."""
-    out = events.withColumn("at_us", F.unix_micros("at"))
+    """Add the order columns: ``at_us`` and, where the source gave none, ``seq``. A missing value counts as 0."""
+    out = events.withColumn("at_us", F.unix_micros("at")).withColumn("value", F.coalesce("value", F.lit(0.0)))
     if "seq" not in events.columns:
         out = out.withColumn("seq", F.col("id"))
     return out

@@ -20,9 +20,9 @@ def tumbling(inputs: DataFrame, size: timedelta = timedelta(seconds=10)) -> Data
 
     Spark aggregates inside every task first, so what is shuffled is one row per stream,
     window and task, however the events are spread. On a stream, put ``withWatermark``
-    before it (see ``streaming.metrics``).
+    before it (see ``streaming.metrics``). Rows without a value are left out.
     """
-    grouped = inputs.groupBy(F.window("at", interval(size)), "stream").agg(
+    grouped = inputs.filter("value is not null").groupBy(F.window("at", interval(size)), "stream").agg(
         F.count(F.lit(1)).alias("count"),
         F.sum("value").alias("total"),
         F.avg("value").alias("average"),

@@ -45,7 +45,7 @@ BUSY_ROWS = 500_000
 def step_input(events: DataFrame, now: Column | None = None) -> DataFrame:
     """The flat columns a step needs; ``seq`` is the arrival number, as an offset is."""
     return events.select(
-        "stream", "key", "id", F.unix_micros("at").alias("at_us"), "value", "unit",
+        "stream", "key", "id", F.unix_micros("at").alias("at_us"), F.coalesce("value", F.lit(0.0)).alias("value"), "unit",
         F.col("geo.lat").alias("lat"), F.col("geo.lon").alias("lon"), F.col("geo.place").alias("place"),
         F.col("geo").isNotNull().alias("has_geo"), is_terminal(F.col("labels")).alias("terminal"),
         F.col("seq").cast("long").alias("seq"),
