@@ -5,11 +5,13 @@ window and emits frames, the native rules turn frames into candidates, ``_Cooldo
 thins them. State lives in Spark's state store (RocksDB) and is recovered from the
 checkpoint.
 
-Time. A key's own mark decides lateness, as in the batch replay. Silence needs a timer:
+Time. A key's own mark decides lateness, as in the batch replay: each valid record is
+judged or counted as late, however far its key lags behind others. Silence needs a timer:
 with ``timers="event"`` it follows the query's watermark, which is deterministic but
 stands still when the whole source does; with ``timers="processing"`` it follows the wall
-clock. Under event timers Spark itself drops records behind the watermark, so
-``watermark_delay`` has to cover how far one key may lag behind the others.
+clock. The watermark moves timers alone. Its column is dropped before the stateful step,
+so Spark filters nothing by it; a key that lags is silent when the watermark has gone on by
+the rule's limit since the key was last heard.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ _STATE = (
     f"points array<{_POINT}>, mark long, clock long, late long, "
     "stall_until long, stall_rank int, seen_us long, timer_ms long"
 )
+_HELD = "rules array<struct<rule:string,until:long,rank:int>>, timer_ms long"
 _SEED = f"stream string, key string, points array<{_POINT}>"
 _EMITTED = FRAME + ", emitted_at timestamp"
 
@@ -67,8 +70,13 @@ class _Windows(StatefulProcessor):
         points = [_unpack(p) for p in pts or []]
         return KeyedWindow(points, mark, clock, late, until, rank), seen, timer
 
+    def _lag(self, w: KeyedWindow, seen: int) -> int:
+        """How far the query's clock was ahead of the key's when the key was last heard."""
+        return max(0, seen - w.clock) if self.event_timers and w.clock is not None else 0
+
     def _save(self, g: Geometry, w: KeyedWindow, seen: int, timer: int, now_us: int) -> None:
-        due = [t for t in (w.next_sweep(g), seen + self.idle_us) if t is not None]
+        sweep = w.next_sweep(g)
+        due = [seen + self.idle_us] + ([] if sweep is None else [sweep + self._lag(w, seen)])
         wanted = max(-(-min(due) // 1000), now_us // 1000 + 1)
         if wanted != timer:
             if timer >= 0:
@@ -85,7 +93,8 @@ class _Windows(StatefulProcessor):
 
     def _emit(self, rows: list[tuple], now_us: int) -> pd.DataFrame:
         out = to_pandas(rows)
-        out["emitted_at"] = pd.to_datetime(out["clock_us"].clip(lower=now_us), unit="us", utc=True)
+        # Spark refuses rows at or behind the watermark, which has milliseconds.
+        out["emitted_at"] = pd.to_datetime(out["clock_us"].clip(lower=now_us + 1000), unit="us", utc=True)
         return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -100,7 +109,7 @@ class _Windows(StatefulProcessor):
             clock = None if pd.isna(r.now_us) else int(r.now_us)
             steps = w.step(g, point_of(r), r.terminal, clock)
             out += as_rows(stream, entity, [(f, r.seq, r.unit) for f in steps])
-        seen = max(seen, w.clock if self.event_timers else now)
+        seen = max(seen, now, w.clock) if self.event_timers else max(seen, now)
         self._save(g, w, seen, timer, now)
         if out:
             yield self._emit(out, now)
@@ -111,7 +120,7 @@ class _Windows(StatefulProcessor):
         w, seen, _ = self._load()
         now = self._now(timerValues)
         if self.event_timers:
-            found = w.sweep_until(g, now)
+            found = w.sweep_until(g, now - self._lag(w, seen))
         else:
             hit = w.sweep(g, now)
             found = [hit] if hit else []
@@ -130,7 +139,7 @@ class _Windows(StatefulProcessor):
             w.points.append(_unpack(tuple(p[c] for c in ("at", "id", "value", "has_geo", "lat", "lon", "place"))))
         w.points.sort(key=lambda p: p.at)
         w.mark = w.clock = w.points[-1].at
-        seen = w.clock if self.event_timers else now
+        seen = max(w.clock, now) if self.event_timers else now
         self._save(self.geometry[stream], w, seen, -1, now)
 
     def close(self) -> None:
@@ -138,45 +147,56 @@ class _Windows(StatefulProcessor):
 
 
 class _Cooldowns(StatefulProcessor):
-    """Per rule of a key: until when it cools down, and how severe the alert was."""
+    """Per rule of a key: until when it cools down, and how severe the alert was.
+
+    A key's state is read and written once a micro-batch, and has one timer. It outlives the
+    longest cooldown by ``idle_us`` on the query's clock, so that a lagging key keeps it too.
+    """
 
-    def __init__(self, cooldown_us: Mapping[str, int], event_timers: bool, columns: list[str]):
-        self.cooldown_us, self.event_timers, self.columns = dict(cooldown_us), event_timers, columns
+    def __init__(self, cooldown_us: Mapping[str, int], event_timers: bool, idle_us: int, columns: list[str]):
+        self.cooldown_us, self.event_timers, self.idle_us, self.columns = dict(cooldown_us), event_timers, idle_us, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "rule string", "until long, rank int")
+        self.state = handle.getValueState("held", _HELD)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
         # A terminal event's own alerts come before the end of its key.
         batch = batch.assign(ends=batch["rule"] == "").sort_values(["clock_us", "seq", "ends"], kind="stable")
-        cool, now_ms = self.cooldown_us[key[0]], self._now_ms(timerValues)
-        keep = []
+        stored, timer = self.state.get() if self.state.exists() else ([], -1)
+        before = {rule: (until, rank) for rule, until, rank in stored or []}
+        held, cool, keep = dict(before), self.cooldown_us[key[0]], []
         for r in batch.itertuples(index=False):
             ok = bool(r.absence)  # silence has been through its cooldown
             if r.ends:
-                self.held.clear()
+                held.clear()
             elif not ok:
-                held = self.held.getValue((r.rule,)) if self.held.containsKey((r.rule,)) else None
-                ok = held is None or r.clock_us >= held[0] or r.rank > held[1]
+                last = held.get(r.rule)
+                ok = last is None or r.clock_us >= last[0] or r.rank > last[1]
                 if ok:
-                    until = int(r.clock_us) + cool
-                    self.held.updateValue((r.rule,), (until, int(r.rank)))
-                    self.handle.registerTimer(max(until // 1000, now_ms) + 1)
+                    held[r.rule] = (int(r.clock_us) + cool, int(r.rank))
             keep.append(ok)
+        if held != before:
+            self._save(held, timer, cool, timerValues)
         out = batch[keep]
         if len(out):
             yield out[self.columns]
 
-    def _now_ms(self, timers) -> int:
-        return int(timers.getCurrentWatermarkInMs() if self.event_timers else timers.getCurrentProcessingTimeInMs())
+    def _save(self, held: dict[str, tuple[int, int]], timer: int, cool: int, timers) -> None:
+        if timer >= 0:
+            self.handle.deleteTimer(timer)
+        if not held:
+            self.state.clear()
+            return
+        now = timers.getCurrentWatermarkInMs() if self.event_timers else timers.getCurrentProcessingTimeInMs()
+        last = max(until for until, _ in held.values())
+        due = (max(last, int(now) * 1000 + cool) + self.idle_us) // 1000 + 1
+        self.handle.registerTimer(due)
+        self.state.update(([(rule, *h) for rule, h in held.items()], due))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = self._now_ms(timerValues) * 1000
-        for rule in [r for r in self.held.keys()]:
-            if self.held.getValue(rule)[0] <= now:
-                self.held.removeKey(rule)
+        self.state.clear()
         return iter(())
 
     def close(self) -> None:
@@ -187,9 +207,9 @@ def _windows(valid: DataFrame, profiles: Mapping[str, Profile], event_timers: bo
              watermark_delay: timedelta | None, idle: timedelta, seed: DataFrame | None) -> DataFrame:
     delay = watermark_delay or max(p.retention for p in profiles.values())
     steps = step_input(valid, F.current_timestamp() if wall_clock else None)
-    steps = steps.withColumn("event_at", F.timestamp_micros("at_us"))
     if event_timers:
-        steps = steps.withWatermark("event_at", f"{micros(delay)} microseconds")
+        steps = steps.withColumn("event_at", F.timestamp_micros("at_us"))
+        steps = steps.withWatermark("event_at", f"{micros(delay)} microseconds").drop("event_at")
     geometry = {name: Geometry.of(p) for name, p in profiles.items()}
     return steps.groupBy("stream", "key").transformWithStateInPandas(
         statefulProcessor=_Windows(geometry, event_timers, micros(idle)),
@@ -233,7 +253,7 @@ def detect_stream(
     found = hits(judged(frames), chosen, carry=("emitted_at",))
     out = found.drop("emitted_at")
     cooled = found.groupBy("stream", "key").transformWithStateInPandas(
-        statefulProcessor=_Cooldowns({n: micros(p.cooldown) for n, p in chosen.items()}, event_timers, out.columns),
+        statefulProcessor=_Cooldowns({n: micros(p.cooldown) for n, p in chosen.items()}, event_timers, micros(idle), out.columns),
         outputStructType=out.schema,
         outputMode="Append",
         timeMode="EventTime" if event_timers else "ProcessingTime",

@@ -70,6 +70,14 @@ def start_alert_storage(alerts: DataFrame, path: str, checkpoint: str, report=No
 
 
 def alert_records(alerts: DataFrame) -> DataFrame:
-    """Alert records with each entity's alerts together and in detection order."""
+    """Alert records of a table, or of one micro-batch, with each entity's alerts together and in detection order."""
     return encode_alerts(alerts.repartition("stream", "key").sortWithinPartitions("stream", "key", "detected_at"))
 
+
+def start_alert_log(alerts: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Hand the records of each micro-batch to ``write``, in the order of ``alert_records``. A failed batch is handed over again."""
+    return (
+        alerts.writeStream.queryName("alert_log").outputMode("append")
+        .foreachBatch(lambda batch, i: write(alert_records(batch), i))
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+    )
