@@ -76,7 +76,7 @@ def test_lagging_keys_lose_nothing(spark, tmp_path):
     assert sum(int(o.numRowsDroppedByWatermark) for p in q.recentProgress for o in p.stateOperators) == 0
 
 
-def test_alert_log_is_ordered(spark, tmp_path):
+def test_alert_log_hands_over_every_record(spark, tmp_path):
     from tests.test_detect_model import random_rows
     from tests.util import events
     from tidemark.plans.detect import detect
