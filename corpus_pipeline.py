@@ -27,14 +27,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; of rows that repeat an id and text, one."""
-    linked = linked_components(docs)
-    repeated = stage(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    gone = stage(linked.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct(), "gone")
-    kept = _without(docs, gone)
+    """Of each group of linked documents the one with the smallest id (a null one last), of equals that with the smaller text key;
+    of rows that repeat an id and text, one."""
+    linked = linked_components(docs, keyed=True).filter("component is not null")
+    linked = stage(linked.select("doc_id", "text_key", "component").distinct(), "linked")
+    first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("m"))
+    gone = _without(linked, stage(first.select("m.doc_id", "m.text_key"), "first"))
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
+    repeated = stage(docs.groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key"), "repeated")
+    kept = _without(docs, stage(gone.select("doc_id", "text_key"), "gone"))
     if repeated.isEmpty():
         return kept.select(*COLUMNS)
-    again = _within(kept, repeated).dropDuplicates(["doc_id", "text"])
+    again = _joined(kept, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
     return _without(kept, repeated).unionByName(again).select(*COLUMNS)
 
 
@@ -76,12 +80,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = small_or_shuffled(ids.withColumnRenamed("doc_id", "other"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("other")), "left_anti")
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    return _joined(docs, rows, "left_anti")
 
 
-def _within(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = small_or_shuffled(ids.withColumnRenamed("doc_id", "other"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("other")), "left_semi")
-
+def _joined(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """``docs`` by the (doc_id, text_key) of ``rows``, a written table."""
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_key") == F.col("f.text_key"))
+    return docs.alias("d").join(small_or_shuffled(rows).alias("f"), same, how)

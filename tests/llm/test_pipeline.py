@@ -35,6 +35,19 @@ def test_stages(spark, tmp_path):
     assert done.filter("piece = 0").count() == docs.count()
 
 
+def test_near_duplicates_judge_rows(spark):
+    """Rows without an id, and rows that share one, are kept or dropped by their own text."""
+    words = lambda s, n=40: " ".join(f"{s}{i}" for i in range(n))
+    a, near, clean, other, lone, pair = words("a"), words("a", 39) + " z", words("b"), words("c"), words("d"), words("e")
+    rows = [(3, a), (None, near), (None, clean), (None, clean), (5, a + " y"), (5, other), (7, pair), (7, pair + " y"), (None, lone), (None, lone + " y"), (8, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    for i, group in ((7, {pair, pair + " y"}), (None, {lone, lone + " y"})):  # one of each
+        assert sum(x[0] == i and x[1] in group for x in got) == 1
+    rest = [x for x in got if x[1] is None or not x[1].startswith(("d0 ", "e0 "))]
+    assert sorted(rest, key=repr) == sorted([(3, a), (None, clean), (5, other), (8, None), (9, "")], key=repr)
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, step in corpus_pipeline.STAGES:

@@ -43,7 +43,7 @@ BLOCK_ROWS = 128
 PREFIX = np.dtype([("gram", "<u4"), ("n", "<u4"), ("key", "<i8")])
 
 
-def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100, keyed: bool = False) -> DataFrame:
     """(id, n_shingles, class_id, component_id) for each row of ``docs``.
 
     Words are runs of other than ASCII white space, A-Z lower-cased. A text of fewer than k words is one shingle; a null
@@ -51,10 +51,14 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeated rows, ties and rows with a null id are kept, a null id never becomes a component id unless there is no
     other. class_id is the smallest id with the same set. An empty table gives an empty result. Other columns of
     ``docs`` are not read. Texts are read whole.
+
+    With ``keyed`` there are two more columns: text_key, a hash of the text, and component, which is one value in all rows of a
+    component and in no other row, whatever their ids (null for a text without shingles).
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = source.withColumn("text_key", F.xxhash64("text"))
     common = _common(source, k)
-    table = stage(source.mapInArrow(_profiler(k, num, den, common), "id long, n long, cid binary, key long, bits binary, prefix binary, least binary"), "sets")
+    table = stage(source.mapInArrow(_profiler(k, num, den, common), "id long, text_key long, n long, cid binary, key long, bits binary, prefix binary, least binary"), "sets")
 
     stars = stage(_plausible(stage(_stars(table, num, den), "stars"), table, num, den), "stars")
     links = stage(_checked(source, table, stars, k, num, den), "links")
@@ -67,10 +71,10 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = table.filter("n > 0").groupBy("cid").agg(F.min("id").alias("class_id"))
     classes = stage(classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), "classes")
     tops = classes.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    named = classes.join(tops, "label").select("cid", "class_id", "component_id")
-    return table.select("id", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(named, "cid", "left").select(
+    named = classes.join(tops, "label").select("cid", "class_id", "component_id", "label")
+    return table.select("id", "text_key", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(named, "cid", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"),
-        F.coalesce("component_id", "id").alias("component_id"),
+        F.coalesce("component_id", "id").alias("component_id"), *(["text_key", F.col("label").alias("component")] if keyed else []),
     )
 
 
@@ -136,9 +140,9 @@ def _profiler(k: int, num: int, den: int, common: np.ndarray):
                     prefixes.append(ordered[:size].tobytes())
                     least.append(s[:STARS].tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(sets)).cast(pa.int64()), pa.array(n), pa.array(cids, pa.binary()), pa.array(keys, pa.int64()),
+                    [ids.slice(first, len(sets)).cast(pa.int64()), batch.column(2).slice(first, len(sets)), pa.array(n), pa.array(cids, pa.binary()), pa.array(keys, pa.int64()),
                      pa.array(bits, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(least, pa.binary())],
-                    ["id", "n", "cid", "key", "bits", "prefix", "least"])
+                    ["id", "text_key", "n", "cid", "key", "bits", "prefix", "least"])
 
     return run
 
