@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from tidemark.llm import queries as Q
 from tidemark.llm.decontaminate import decontaminated
-from tidemark.llm.licenses import aligned, scanned
+from tidemark.llm.licenses import aligned, known_texts, scanned
 from tidemark.llm.ngram_join import linked_components
 from tidemark.llm.packing import packed_documents, plan
 from tidemark.llm.quality import BUCKETS, N_STATS, Model, features, fit, scored
@@ -317,6 +317,20 @@ def test_licenses(docs, spark):
     assert scanned(docs).count() == docs.count() and scanned(docs.limit(0)).count() == 0
 
 
+def test_licenses_are_told_from_their_siblings(spark):
+    texts, rng = known_texts(), random.Random(4)
+    damaged = {n: " ".join("zz" if rng.random() < 0.04 and "version" not in w.lower() else w for w in texts[n][-1].split(" ")) for n in ("BSD-3-Clause", "BSD-2-Clause", "MIT")}
+    want = {
+        "Released under the BSD License": None, "Licensed under CC BY-SA 4.0": "CC-BY-SA-4.0", "Licensed under CC BY 3.0": None, "Licensed under CC BY 4.0": "CC-BY-4.0",
+        "This work is licensed under the GNU General Public License, version 2": "GPL-2.0", "Licensed under the Apache License, Version 1.1": None,
+        "This work is licensed under the GNU Lesser General Public License, version 3": "LGPL-3.0", "Released under MIT License": "MIT", "mit der Lizenz, released under the license": None,
+        **{v[-1]: n for n, v in texts.items()}, **{t: n for n, t in damaged.items()},
+    }
+    got = {r.text: r for r in scanned(spark.createDataFrame(enumerate(want), "doc_id long, text string")).join(spark.createDataFrame(enumerate(want), "doc_id long, text string"), "doc_id").collect()}
+    assert {t[:200]: got[t].license for t in want} == {t[:200]: n for t, n in want.items()}
+    assert got["Released under the BSD License"].coverage == 0.8 and got[texts["BSD-3-Clause"][-1]].n_matched > 200
+
+
 def test_alignment_is_increasing_and_equal():
     rng = random.Random(8)
     for _ in range(200):
