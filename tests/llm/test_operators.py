@@ -331,6 +331,19 @@ def test_licenses_are_told_from_their_siblings(spark):
     assert got["Released under the BSD License"].coverage == 0.8 and got[texts["BSD-3-Clause"][-1]].n_matched > 200
 
 
+def test_licenses_with_inserted_words_at_every_offset(spark):
+    rng = random.Random(9)
+    notices = ["Released under the MIT License".split(), known_texts()["MIT"][1].split()]
+    rows = []
+    for notice in notices:
+        for times in (1, 2, 3):
+            for offset in range(0, 2 * len(notice), 1 + len(notice) // 9):
+                words = ["x"] * offset + [w for n in notice for w in [n] + ([] if n == "MIT" else ["y"] * rng.randrange(2 * times))] + ["x"] * 9
+                rows.append((len(rows), " ".join(words)))
+    for r in scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert (r.license, r.coverage) == ("MIT", 1.0), r
+
+
 def test_alignment_is_increasing_and_equal():
     rng = random.Random(8)
     for _ in range(200):
