@@ -371,3 +371,17 @@ def test_quotations(spark):
     assert at(2, 0) == (None, 0, 0, 0, 0, "") and one[None, 3].reply_turn is None and one[2, None].root_turn is None
     assert all(one[4, t].reply_turn == t - 1 for t in range(2001, 2100, 2))
     assert reply_ordered(df.limit(0)).count() == 0
+
+
+def test_quotations_wrapped_and_partial(spark):
+    long = "The order of rows in a table is not kept unless you ask for it with a sort"
+    rows = [
+        (1, 0, long + "\nThanks\nYes"), (1, 1, "Thanks\nYes"), (1, 2, "> The order of rows in a\n> table is not kept unless\n> you ask for it with a sort\n\n> Thanks\n\n> Yes\nwhy"),
+        (1, 3, "> rows in a table is\nwhich rows"), (1, 4, "> not kept with a sort\nno such words in a row"),
+        (2, 0, "One paragraph that\nwas wrapped by hand\nlong ago"), (2, 1, "later"), (2, 2, "> One paragraph that was wrapped by hand long ago\nyes"),
+        (2, 3, "so was this later thing"), (2, 4, "> later\nok"),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_turn, r.n_quoted, r.n_linked) for r in reply_ordered(df).collect()}
+    assert got[1, 2] == (0, 5, 5) and got[1, 3] == (0, 1, 1) and got[1, 4] == (None, 1, 0)
+    assert got[2, 2] == (0, 1, 1) and got[2, 4] == (1, 1, 1)
