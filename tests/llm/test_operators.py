@@ -298,6 +298,12 @@ def test_top_k(spark):
     assert top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_keeps_large_components(spark):
+    rows = [(0, [1.0, 2.0]), (1, [2.0**23, 0.0]), (2, [-(2.0**40), 1.0]), (3, [3.0, 3.0]), (4, [float("inf"), 1.0]), (5, [float("nan"), 1.0])]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 2**39), (3, 256 * 256 * 9), (2, 256 * 256 * (2 - 2**40))]
+
+
 def test_search_is_exact_for_large_components_and_ties():
     rng = np.random.default_rng(6)
     for scale in (3, 2**30):

@@ -28,15 +28,16 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     """(query_id, rank, id, score): for each row whose id is divisible by ``every`` its k best other rows.
 
     Components become floor(times * x), x as double; the score is the inner product; ties go to the smaller id. Null ids, null or empty vectors, and vectors
-    with a component that is null, not finite or over 2**31 in size after scaling, take no part; vectors of different
+    with a component that is null or not finite, take no part; a component beyond 64 bits after scaling, or such a score, is refused. Vectors of different
     dimensions are not compared. Rows that repeat an id are candidates each, but none is a candidate of a query with the same id;
     a query id is asked once for each distinct vector. An empty table gives an empty result. Other columns are not read.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter(
         F.col("id").isNotNull() & (F.size("v") > 0)
-        & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * times) < 2.0**31))
+        & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     )
-    scaled = F.transform("v", lambda x: F.floor(x.cast("double") * times))
+    scaled = F.transform("v", lambda x: F.when(F.abs(x.cast("double") * times) < 2.0**63, F.floor(x.cast("double") * times)).otherwise(
+        F.raise_error(F.lit("a component is beyond 64 bits")).cast("long")))
     rows = rows.select("id", scaled.alias("v"), F.size("v").alias("dim"))
     n = rows.agg(F.count("*")).first()[0]
     blocks = max(1, -(-n // BLOCK_ROWS))
