@@ -12,6 +12,9 @@ from tidemark.llm.decontaminate import decontaminated
 from tidemark.llm.licenses import scanned
 from tidemark.llm.ngram_join import linked_components
 from tidemark.llm.packing import packed_documents
+from tidemark.llm import personal_data as pii
+from tidemark.llm.personal_data import listed, personal_data
+from tidemark.llm.periodic_runs import periodic_runs
 from tidemark.llm.quality import fit, scored
 from tidemark.llm.quotations import reply_ordered
 from tidemark.llm.repair_store import read_tokens, write_tokens
@@ -165,3 +168,152 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 @query
 def op10_vector_packing(spark, sf_dir):
     return packed_documents(read(spark, sf_dir, "documents"), tokenizer())
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """``docs`` with the contract's periods written into a tenth of the texts, by the document's id; a null id changes nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select(
+        "doc_id", "text", F.floor(h / 10).alias("g"),
+        F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"),
+    ).withColumn("n", F.coalesce(F.size("w"), F.lit(-1)))
+    chosen = chosen.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    chosen = chosen.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    period = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get(
+        "w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return chosen.select("doc_id", F.when(F.col("n") > 0, F.array_join(period, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    found = periodic_runs(planted(read(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    found = found.withColumn("top", longest)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.s")).alias("start"), F.col("top.n").alias("length"),
+        (-F.col("top.p")).alias("period"), F.expr("1000 * top.n div -top.p").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+#: crc32 of short ASCII texts: ``t`` is its table of 256 remainders.
+_CRC_TABLE = """crc_table AS MATERIALIZED (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, x: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS t FROM range(256) AS r(i)
+)"""
+
+
+def _crc_sql(text: str) -> str:
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), "
+            "lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)")
+
+
+SQL["op12_periodic_runs"] = rf"""
+WITH {_CRC_TABLE}, base AS (
+  SELECT row_number() OVER () AS d, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS w0,
+    CASE WHEN doc_id IS NULL THEN 1 ELSE {_crc_sql("doc_id::VARCHAR")} END AS h FROM documents, crc_table
+), spot AS (
+  SELECT *, len(w0) AS n, CASE WHEN h % 10 = 0 AND len(w0) > 0 THEN (h // 10) % len(w0) END AS a FROM base
+), doc AS (
+  SELECT d, doc_id, n, CASE WHEN a IS NULL THEN w0 ELSE
+    list_transform(range(n), lambda i: w0[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) END AS w
+  FROM spot
+), word AS MATERIALIZED (
+  SELECT d, n, unnest(range(n)) AS i, unnest(w) AS w FROM doc
+), gram AS (
+  SELECT d, n, i, hash(w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS g FROM word WINDOW o AS (PARTITION BY d ORDER BY i)
+), lag_ AS (
+  SELECT d, q FROM (SELECT x.d, y.i - x.i AS q FROM gram x JOIN gram y ON x.d = y.d AND x.g = y.g AND x.i < y.i AND 4 * (y.i - x.i) <= x.n)
+  GROUP BY d, q HAVING count(*) >= greatest(6, 4 * q) - q - 4
+), same AS (
+  SELECT l.d, l.q, x.i, x.i - row_number() OVER (PARTITION BY l.d, l.q ORDER BY x.i) AS island
+  FROM lag_ l JOIN word x ON x.d = l.d JOIN word y ON y.d = l.d AND y.i = x.i + l.q AND y.w = x.w
+), stretch AS (
+  SELECT d, min(i) AS s, count(*) + q AS len, q FROM same GROUP BY d, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+), run AS (
+  SELECT * FROM stretch a WHERE NOT EXISTS (SELECT 1 FROM stretch b WHERE b.d = a.d AND b.q < a.q AND b.s <= a.s AND b.s + b.len >= a.s + a.len)
+), listed AS (
+  SELECT d, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+    max({{'len': len, 's': -s, 'q': -q}}) AS top FROM run GROUP BY d
+), gone AS (
+  SELECT DISTINCT d, unnest(range(s + q, s + len)) AS i FROM run
+), kept AS (
+  SELECT d, string_agg(w, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (d, i) GROUP BY d
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, (-top.s)::BIGINT AS start, top.len::BIGINT AS length, (-top.q)::BIGINT AS period,
+  (1000 * top.len // -top.q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM doc LEFT JOIN listed USING (d) LEFT JOIN kept USING (d)
+"""
+
+
+@query
+def op11_personal_data(spark, sf_dir):
+    found = personal_data(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    tally = [F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *tally, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def _personal_data_sql() -> str:
+    patterns = pii.PATTERNS | {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": "[0-9]([ -]?[0-9])+",
+    }
+    proposed = " UNION ALL ".join(
+        f"SELECT {i} AS k, d, '{kind}' AS kind, unnest(regexp_extract_all(t, '{patterns[kind]}')) AS f, "
+        f"unnest(string_split_regex(t, '{patterns[kind]}')[:-2]) AS before, unnest(string_split_regex(t, '{patterns[kind]}')[2:]) AS after, "
+        f"generate_subscripts(regexp_extract_all(t, '{patterns[kind]}'), 1) AS i FROM doc WHERE regexp_matches(t, '{patterns[kind]}')"
+        for i, kind in enumerate(pii.KINDS)
+    )
+    words = " ".join(f"WHEN '{k}' THEN regexp_matches(ctx, '{pii.near(w)}')" for k, w in pii.WORDS.items())
+    lengths = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in pii.IBAN_LENGTHS.items()) + "}"
+    luhn = lambda x: (
+        f"list_sum(list_transform(string_split(lpad({x}, 20, '0'), ''), lambda c, i: CASE WHEN i % 2 = 0 THEN c::INT ELSE 2 * c::INT - CASE WHEN c >= '5' THEN 9 ELSE 0 END END)) % 10 = 0")
+    inside = pii.INSIDE
+    return rf"""
+WITH doc AS (SELECT row_number() OVER () AS d, doc_id, coalesce(text, '') AS t FROM documents), proposed AS ({proposed}
+), placed AS (
+  SELECT *, sum(length(before) + length(f)) OVER (PARTITION BY d, k ORDER BY i) AS e, regexp_replace(f, '[^0-9]', '', 'g') AS digits,
+    translate(right(before, {pii.BEFORE}) || ' # ' || left(after, {pii.AFTER}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS ctx FROM proposed
+), weighed AS (
+  SELECT *, e - length(f) AS s, CASE WHEN CASE kind {words} END THEN {pii.FOR} ELSE 0 END
+    + CASE WHEN regexp_matches(ctx, '{pii.near(pii.AGAINST_WORDS)}') THEN {pii.AGAINST} ELSE 0 END AS extra,
+    CASE WHEN k = 2 THEN length(regexp_extract(f, '{inside}', 1)) END AS lead, CASE WHEN k = 2 THEN regexp_extract(f, '{inside}', 2) END AS inner_,
+    CASE WHEN k = 4 THEN regexp_extract(f, '^([A-Z0-9]( ?[A-Z0-9]){{' || coalesce(({lengths})[f[:2]], 1) - 1 || '}})', 1) END AS own
+  FROM placed
+), iban AS (
+  SELECT *, replace(own, ' ', '') AS c FROM weighed WHERE k = 4 AND own <> ''
+), base AS (
+  SELECT d, k, kind, s, e FROM weighed WHERE CASE k
+    WHEN 0 THEN true
+    WHEN 1 THEN len(list_filter(string_split(f, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INT), 0) > 255)) = 0
+    WHEN 2 THEN length(digits) BETWEEN 16 AND 19 AND {luhn("left(digits, 20)")}
+    WHEN 3 THEN starts_with(f, '+') AND length(digits) BETWEEN 8 AND 15 ELSE false END
+), added AS (
+  SELECT d, k, kind, s, e FROM weighed ANTI JOIN base USING (d, k, s) WHERE {pii.PRIOR["inner_card"] + pii.CHECKSUM} + extra >= {pii.ACCEPTED}
+    AND k = 2 AND length(digits) BETWEEN 13 AND 15 AND {luhn("left(digits, 20)")}
+  UNION ALL
+  SELECT d, k, kind, s + lead, s + lead + length(inner_) FROM weighed ANTI JOIN base USING (d, k, s) WHERE {pii.PRIOR["inner_card"] + pii.CHECKSUM} + extra >= {pii.ACCEPTED}
+    AND k = 2 AND length(digits) > 16 AND inner_ <> '' AND {luhn("regexp_replace(inner_, '[^0-9]', '', 'g')")}
+  UNION ALL
+  SELECT d, k, kind, s, e FROM weighed WHERE k = 3 AND NOT starts_with(f, '+') AND {pii.PRIOR["national"]} + extra >= {pii.ACCEPTED}
+    AND NOT regexp_matches(before, '[0-9][ .-]?$') AND NOT regexp_matches(after, '^[ .-]?[0-9]')
+  UNION ALL
+  SELECT d, k, kind, s, s + length(own) FROM iban WHERE ({lengths})[f[:2]] = length(c) AND {pii.PRIOR["iban"] + pii.CHECKSUM} + extra >= {pii.ACCEPTED}
+    AND NOT regexp_matches(before, '[A-Za-z0-9]$') AND NOT regexp_matches(substr(f, length(own) + 1) || after, '^[A-Za-z0-9]')
+    AND list_reduce(list_prepend(0::BIGINT, list_transform(string_split(c[5:] || c[:4], ''), lambda x: ascii(x)::BIGINT)),
+      lambda r, x: (CASE WHEN x >= 65 THEN r * 100 + x - 55 ELSE r * 10 + x - 48 END) % 97) = 1
+), told AS (
+  SELECT d, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans FROM base GROUP BY d
+), listed AS (
+  SELECT d, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans FROM (FROM base UNION ALL FROM added) GROUP BY d
+)
+SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone,
+  sha256(coalesce(told.spans, '')) AS base_sha256, coalesce(listed.spans, '') AS spans
+FROM doc LEFT JOIN told USING (d) LEFT JOIN listed USING (d)
+"""
+
+
+SQL["op11_personal_data"] = _personal_data_sql()
