@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.conversation_repair import Repair
 from tidemark.llm.decontaminate import decontaminated
 from tidemark.llm.licenses import scanned
 from tidemark.llm.ngram_join import linked_components
@@ -211,8 +212,7 @@ def _crc_sql(text: str) -> str:
 
 SQL["op12_periodic_runs"] = rf"""
 WITH {_CRC_TABLE}, base AS (
-  SELECT row_number() OVER () AS d, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
-]+'), lambda x: x <> '') AS w0,
+  SELECT row_number() OVER () AS d, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w0,
     CASE WHEN doc_id IS NULL THEN 1 ELSE {_crc_sql("doc_id::VARCHAR")} END AS h FROM documents, crc_table
 ), spot AS (
   SELECT *, len(w0) AS n, CASE WHEN h % 10 = 0 AND len(w0) > 0 THEN (h // 10) % len(w0) END AS a FROM base
@@ -317,3 +317,83 @@ FROM doc LEFT JOIN told USING (d) LEFT JOIN listed USING (d)
 
 
 SQL["op11_personal_data"] = _personal_data_sql()
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The contract's damage, by conversation and turn; a null counts as one space."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn")).cast("binary")) % 20
+    text = F.when(fault == 1, F.lit("")).when(fault == 2, F.regexp_replace(blank("text"), "[.!?]", "")).otherwise(blank("text"))
+    copies = F.when(fault == 0, F.array().cast("array<int>")).when(fault == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    role = F.when(fault == 4, F.lit("user")).otherwise(blank("role"))
+    return conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies)).drop("col")
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    given = read(spark, sf_dir, "conversations")
+    told = Repair(damaged(given)).conversations()
+    ids = given.select("conv_id").distinct()
+    zero = lambda c: F.coalesce(f"t.{c}", F.lit(0).cast("long")).alias(c)
+    return ids.alias("i").join(told.alias("t"), F.col("i.conv_id").eqNullSafe(F.col("t.conv_id")) & F.col("t.cost").isNotNull(), "left").select(
+        "i.conv_id", *[zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")], F.coalesce("t.audit", F.lit("")).alias("audit"),
+        F.coalesce("t.repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+SQL["op13_conversation_repair"] = rf"""
+WITH RECURSIVE {_CRC_TABLE}, given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS f
+  FROM conversations, crc_table
+), convs AS (
+  SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)
+), hurt AS (
+  SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM given, range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)
+), numbered AS MATERIALIZED (
+  SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(text)) AS i
+  FROM hurt JOIN convs ON hurt.conv_id IS NOT DISTINCT FROM convs.conv_id
+), row_ AS MATERIALIZED (
+  SELECT c, turn, role, text, i, role[1] AS x, lag(role[1]) OVER (PARTITION BY c ORDER BY i) AS before, CASE
+    WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault
+  FROM numbered
+), facts AS (
+  SELECT c, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i > 1 AND before || x NOT IN ('su', 'ua', 'au')) AS illegal FROM row_ GROUP BY c
+), moves(fault, x, q, letter, cost, r) AS (
+  SELECT f, x, q, letter, cost + CASE WHEN f = 'truncated' AND letter <> 'D' THEN 3 ELSE 0 END, r FROM
+    (VALUES (''), ('blank'), ('duplicate'), ('truncated')) AS a(f), (VALUES ('s'), ('u'), ('a'), ('')) AS b(x), (VALUES
+      ('0', 'K', 's', 0, 's'), ('0', 'K', 'u', 0, 'u'), ('s', 'K', 'u', 0, 'u'), ('a', 'K', 'u', 0, 'u'), ('u', 'K', 'a', 0, 'a'),
+      ('0', 'R', '', 3, 'u'), ('s', 'R', '', 3, 'u'), ('a', 'R', '', 3, 'u'), ('u', 'R', '', 3, 'a'),
+      ('0', 'D', '', 4, '0'), ('s', 'D', '', 4, 's'), ('u', 'D', '', 4, 'u'), ('a', 'D', '', 4, 'a')) AS m(q, letter, wants, cost, r)
+  WHERE (wants = '' OR wants = x) AND (letter = 'D' OR f IN ('', 'truncated'))
+), inserts(q, letters, cost, r) AS (
+  VALUES ('0', '', 0, '0'), ('s', '', 0, 's'), ('u', '', 0, 'u'), ('a', '', 0, 'a'), ('0', 'I', 3, 'u'), ('s', 'I', 3, 'u'), ('a', 'I', 3, 'u'), ('u', 'I', 3, 'a'),
+    ('0', 'II', 6, 'a'), ('s', 'II', 6, 'a'), ('a', 'II', 6, 'a'), ('u', 'II', 6, 'u')
+), walk AS (
+  SELECT c, 0::BIGINT AS i, {{'cost': s.cost, 'audit': s.letters}} AS best, s.r AS q FROM facts, inserts s WHERE s.q = '0'
+  UNION ALL
+  SELECT w.c, w.i + 1, min({{'cost': w.best.cost + m.cost + s.cost, 'audit': w.best.audit || m.letter || s.letters}}), s.r
+  FROM walk w JOIN row_ t ON t.c = w.c AND t.i = w.i + 1
+    JOIN moves m ON m.q = w.q AND m.fault = t.fault AND m.x = CASE WHEN t.x IN ('s', 'u', 'a') THEN t.x ELSE '' END JOIN inserts s ON s.q = m.r
+  GROUP BY w.c, w.i, s.r
+), chosen AS (
+  SELECT c, min(best) AS best FROM walk JOIN facts USING (c) WHERE i = n AND q IN ('0', 'a') GROUP BY c
+), letter AS (
+  SELECT c, unnest(string_split(best.audit, '')) AS l, generate_subscripts(string_split(best.audit, ''), 1) AS k FROM chosen
+), step AS (
+  SELECT c, l, k, count(*) FILTER (l <> 'I') OVER o AS i, count(*) FILTER (l <> 'D') OVER o AS written FROM letter WINDOW o AS (PARTITION BY c ORDER BY k)
+), line AS (
+  SELECT s.c, s.k, s.l, s.written, CASE WHEN l <> 'I' THEN t.text ELSE '' END AS text, t.role,
+    max(CASE WHEN l = 'K' AND t.x = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY s.c) AS has_s
+  FROM step s LEFT JOIN row_ t ON t.c = s.c AND t.i = s.i WHERE s.l <> 'D'
+), repaired AS (
+  SELECT c, string_agg(CASE WHEN l = 'K' THEN role WHEN (written - has_s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS t FROM line GROUP BY c
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(repaired.t, '')) AS repaired_sha256
+FROM convs LEFT JOIN facts USING (c) LEFT JOIN chosen USING (c) LEFT JOIN repaired USING (c)
+"""
