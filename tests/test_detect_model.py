@@ -4,6 +4,7 @@ import random
 from dataclasses import replace
 from datetime import timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from tests.util import alert_tuples, event, events, us
 from tidemark import GeoVelocity, Profile, Stall, Threshold, Velocity, ZScore, detect
 from tidemark.operators import blocks, cooldown
 from tidemark.operators.frames import prepare
+from tidemark.operators.staging import stage
 from tidemark.profiles import by_stream
 
 s = lambda n: timedelta(seconds=n)
@@ -72,12 +74,9 @@ def test_batch_equals_model(spark, seed):
         len(rows), len(m.alerts), len(m.found) - len(m.alerts), 0, 0)
 
 
-@pytest.mark.parametrize("fan", [2, 64])
-def test_long_episodes(spark, monkeypatch, fan):
-    """Keys that fire for many slices on end, with hand-down through several levels."""
-    monkeypatch.setattr(cooldown, "SLICE_COOLDOWNS", 2)
-    monkeypatch.setattr(cooldown, "FAN", fan)
-    monkeypatch.setattr(cooldown, "BLOCK_SLICES", 3)
+@pytest.mark.parametrize("rows_a_slice", [25, 150])
+def test_keys_that_fire_through_many_slices(spark, monkeypatch, rows_a_slice):
+    monkeypatch.setattr(cooldown, "SLICE_ROWS", rows_a_slice)
     rnd = random.Random(7)
     rows = []
     for k in range(3):
@@ -92,8 +91,8 @@ def test_long_episodes(spark, monkeypatch, fan):
     profiles = (Profile("payments", s(20), s(2), 64, s(12), (Velocity(12, s(14)), ZScore(1.0, 3, below=True))),)
     m = run_model(rows, profiles, 0)
     d = detect(events(spark, rows), profiles)
-    far = cooldown.episodes(d.staged, d.profiles).filter("own and gap > 1")
-    assert far.count() > 300
+    slices = stage(cooldown.folded(d.staged, d.profiles), "slices")
+    assert cooldown.entries(slices).count() > 5
     assert len({r[5] for r in m.alerts}) > 1
     assert alert_tuples(d.candidates) == sorted(m.found)
     assert alert_tuples(d.alerts) == sorted(m.alerts)
@@ -129,3 +128,44 @@ def test_stall_inside_cooldown_is_refused(spark):
     p = replace(PROFILES[1], cooldown=s(46))
     with pytest.raises(ValueError, match="operators.replay"):
         detect(events(spark, random_rows(1, 1, 2)), [p]).frames
+
+
+def fold(hits, state):
+    """The state after plain (clock, rank, cool, ends) steps."""
+    for clock, rank, cool, ends in hits:
+        if ends:
+            state = cooldown.FREE
+        elif clock >= state[0] or rank > state[1]:
+            state = (clock + cool, rank)
+    return state
+
+
+def arrays(hits):
+    return [np.array(c, t) for c, t in zip(zip(*hits), ("int64", "int32", "int64", "bool"))]
+
+
+def test_transfer_functions_are_folds():
+    rnd = random.Random(3)
+    for _ in range(300):
+        cool, t, hits = rnd.choice([0, 1, 5, 9]), 100, []
+        for _ in range(rnd.randrange(1, 40)):
+            t += rnd.choice([0, 0, 1, 1, 2, 4])
+            hits.append((t, rnd.choice([1, 1, 1, 2, 2, 3]), cool, rnd.random() < 0.05))
+        runs = cooldown.transfer(*arrays(hits))
+        # Whatever enters was admitted at the first row's time at the latest.
+        states = [cooldown.FREE] + [(100 + u, r) for u in range(-12, hits[0][0] - 100 + cool + 1) for r in (1, 2, 3)]
+        for state in states:
+            assert cooldown.through(runs, state) == fold(hits, state), (hits, state)
+
+
+def test_a_key_with_a_million_hits_has_few_runs():
+    rng = np.random.default_rng(1)
+    clock = np.cumsum(rng.integers(1, 2_000_000, 1_000_000))
+    rank = rng.choice([1, 2, 3], 1_000_000, p=[0.9, 0.09, 0.01]).astype("int32")
+    cool = np.full(len(clock), 30_000_000)
+    runs = cooldown.transfer(clock, rank, cool, np.zeros(len(clock), bool))
+    assert len(runs) < 100
+    hits = list(zip(clock[:20_000].tolist(), rank[:20_000].tolist(), cool[:20_000].tolist(), [False] * 20_000))
+    few = cooldown.transfer(*arrays(hits))
+    for u in (0, 1_000_000, 17_000_000, 29_000_000):
+        assert cooldown.through(few, (int(clock[0]) + u, 1)) == fold(hits, (int(clock[0]) + u, 1))

@@ -20,12 +20,11 @@ from pyspark.sql import functions as F
 from tidemark.functions.cases import per_stream
 from tidemark.functions.scalars import is_terminal
 from tidemark.operators.blocks import ENTITY, busy_keys
-from tidemark.operators.cooldown import admit
+from tidemark.operators.cooldown import admit, numbered
 from tidemark.operators.frames import IDS, _us
 from tidemark.operators.keyed_window import Frame, Geometry, KeyedWindow, Point
 from tidemark.operators.rules import hits, write_up
 from tidemark.operators.slices import Running, floor_div, running
-from tidemark.operators.staging import stage
 from tidemark.operators.validate import split_valid
 from tidemark.profiles import Profile, by_stream, micros
 
@@ -247,7 +246,7 @@ class Replay:
 
     @cached_property
     def staged(self) -> DataFrame:
-        return stage(self.hits, "hits")
+        return numbered(self.hits)
 
     @cached_property
     def alerts(self) -> DataFrame:

@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import alert_id
-from tidemark.operators.cooldown import admit
+from tidemark.operators.cooldown import admit, numbered
 from tidemark.operators.frames import event_frames
 from tidemark.operators.rules import hits, write_up
-from tidemark.operators.staging import stage
 from tidemark.operators.validate import split_valid
 from tidemark.profiles import Profile, by_stream
 from tidemark.schema import ALERT
@@ -62,7 +61,7 @@ class Detection:
     def staged(self) -> DataFrame:
         """The hits written once to the shared folder: the cooldown reads them more than
         once, and the rules should not run again for that."""
-        return stage(self.hits, "hits")
+        return numbered(self.hits)
 
     @cached_property
     def admitted(self) -> DataFrame:
