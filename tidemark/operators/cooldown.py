@@ -83,12 +83,13 @@ def folded(candidates: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
     ])))
     ends = F.col("rule") == ""
     rows = candidates.filter("NOT absence").select(
-        "rid", "stream", "key", F.explode(F.when(ends, every).otherwise(F.array("rule"))).alias("rule"), "clock_us", "seq", "rank",
+        "rid", "stream", "key", F.explode(F.when(ends, every).otherwise(F.array("rule"))).alias("rule"), "clock_us", "seq", "place", "rank",
         per_stream(profiles, lambda p: micros(p.cooldown)).cast("long").alias("cool_us"), ends.alias("ends"),
     )
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // SLICE_ROWS))
-    # The number last: rows that are equal in all else need not stay together. A terminal event's own hits come before the end of its key.
-    order = [*ENTITY, "clock_us", "seq", "ends", "rid"]
+    # A terminal event's own hits come before the end of its key, and rules of one kind in their profile's order. The number last: rows that are equal in all
+    # else need not stay together.
+    order = [*ENTITY, "clock_us", "seq", "ends", "place", "rid"]
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     rows = rows.withColumn("part", F.spark_partition_id()).withColumn("idx", F.monotonically_increasing_id())
     return rows.select("part", "idx", "rid", *ENTITY, "clock_us", "rank", "cool_us", "ends").mapInArrow(_fold_slice, _FOLDED)

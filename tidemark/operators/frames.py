@@ -2,8 +2,9 @@
 
 ``event_frames`` produces, for events in time order, one row per event with
 
-``ats``, ``vals``  times and values of the observations in [at - window, at], oldest first,
-              newest ``cap`` only
+``points``, ``oldest_us``, ``newest_us``  size and ends of the observations in [at - window, at], the newest ``cap`` of them
+``base_n``, ``base_mean``, ``base_sd``  the same without the newest, where a rule of the stream compares values
+``runs``      for each bound of the stream where the values past it begin, and how many they are
 ``last_ids``  the ids of the newest ``IDS`` of them
 ``prev``      the newest retained observation of another id at or before the event
 ``terminal``  whether the event ends its key
@@ -19,15 +20,16 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions.cases import per_stream
 from tidemark.functions.scalars import is_terminal
 from tidemark.operators.blocks import with_blocks
+from tidemark.operators.keyed_window import Geometry
+from tidemark.operators.sliding import STATISTICS, SUMMARY, Windows
 from tidemark.profiles import Profile, micros
 
 
-IDS = 12  # fixed value: the most event ids any alert carries
-
 
 def stall_deadline(profiles: Mapping[str, Profile], at_us: Column) -> Column:
     """When silence after ``at_us`` counts as a stall; null where nobody looks for it."""
@@ -77,34 +79,29 @@ def with_resets(rows: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
 
 def event_frames(
     events: DataFrame, profiles: Mapping[str, Profile], as_of: datetime | int | None = None,
-    with_retained: bool = False,
+    with_statistics: bool = False,
 ) -> DataFrame:
     """Frames of valid events, ordered by (at, seq); seq defaults to the event id.
 
-    One shuffle on (stream, key, block) and one sort serve every column. The window is
-    built over a ROWS frame of ``cap`` rows, so an event costs at most ``cap`` steps
-    however fast its key runs. ``as_of`` is the present: silence is judged up to it.
-    ``with_retained`` adds how many points are held, those in grace included.
+    One shuffle on (stream, key, block) and one sort serve every column: windows to the row before, the next and the key's start run in
+    Spark, and the statistics of the sliding window in one pass over the sorted rows (see ``operators.sliding``). No window is kept as an array.
+    ``as_of`` is the present: silence is judged up to it.
+    ``with_statistics`` adds mean and deviation of the whole window, and how many points are held, those in grace included.
     """
     check_in_order(profiles)
     w = _entity_window()
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    cap = max(p.cap for p in profiles.values())
     rows = with_resets(blocked(events, profiles), profiles)
     # The observation before: a redelivered copy of the event itself is looked through.
     new_id = F.col("before").isNull() | (F.col("before.id") != F.col("id"))
     predecessor = F.struct(F.col("before.id").alias("id"), F.col("before.at_us").alias("at_us"),
                            F.col("before.geo").alias("geo"), (F.col("n") - 1).alias("n"))
-    latest = w.rowsBetween(1 - cap, 0)
     rows = rows.select(
         "*",
-        F.max(F.when(F.col("reset"), F.col("n"))).over(upto).alias("first_n"),
+        F.coalesce(F.max(F.when(F.col("reset"), F.col("n"))).over(upto), F.lit(1).cast("long")).alias("first_n"),
         F.last(F.when(new_id, predecessor), ignorenulls=True).over(upto).alias("pred"),
-        F.collect_list("at_us").over(latest).alias("raw_ats"),
-        F.collect_list("value").over(latest).alias("raw_vals"),
-        F.collect_list("id").over(w.rowsBetween(1 - IDS, 0)).alias("raw_ids"),
     )
-    rows = rows.withColumn("stall_us", stall_deadline(profiles, F.col("at_us")))
+    rows = rows.withColumn("stall_us", stall_deadline(profiles, F.col("at_us")).cast("long"))
     # Judged where the next event is in sight: in the row's own block, or, for the last
     # row before a block, there. The last row of a key has only the present after it.
     next_us, in_sight = F.col("next.at_us"), F.col("own") | F.coalesce(F.col("next.own"), F.lit(False))
@@ -113,46 +110,20 @@ def event_frames(
     if as_of is not None:
         stalled = stalled & (F.col("stall_us") <= F.lit(_us(as_of)))
     rows = rows.withColumn("stalled", F.coalesce(stalled, F.lit(False)))
-    rows = rows.filter(F.col("own") | F.col("stalled"))
 
-    first_n = F.coalesce(F.col("first_n"), F.lit(1))
-    size = per_stream(profiles, lambda p: micros(p.window))
     keep = per_stream(profiles, lambda p: p.cap)
-    oldest_n = F.greatest(first_n, F.col("n") - keep + 1)
-    rows = rows.withColumn("oldest_n", oldest_n).withColumn("oldest_us", F.col("at_us") - size)
-    retained_us = F.col("oldest_us") - per_stream(profiles, lambda p: micros(p.grace))
-    # The frame ends at the event and is sorted, so the window is a suffix of it: no longer
-    # than the rows since the key's start, than the cap, and than the times allow.
-    limit = (F.col("n") - F.col("oldest_n") + 1).cast("int")
-    rows = rows.withColumn("points", F.least(limit, _since("oldest_us")))
-    newest = lambda c, n: F.slice(c, F.size(c) - n + 1, n)
-    reachable = (F.col("pred.n") >= F.col("oldest_n")) & (F.col("pred.at_us") >= retained_us)
+    oldest_n = F.greatest(F.col("first_n"), F.col("n") - keep + 1)
+    retained_us = F.col("at_us") - per_stream(profiles, lambda p: micros(p.retention))
     prev = F.when(
-        reachable & F.col("pred.id").isNotNull(),
-        F.struct(F.col("pred.id").alias("id"), F.col("pred.at_us").alias("at_us"),
-                 F.col("pred.geo").alias("geo")),
-    )
-    if with_retained:
-        rows = rows.withColumn("retained_us", retained_us)
-        rows = rows.withColumn("retained", F.least(limit, _since("retained_us")).cast("long"))
-    n = F.col("points")
-    return rows.select(
-        "stream", "key", "id", "at", "at_us", "value", "unit", "geo", "seq", "own", "stalled", "stall_us", "terminal",
-        newest(F.col("raw_ats"), n).alias("ats"),
-        newest(F.col("raw_vals"), n).alias("vals"),
-        newest(F.col("raw_ids"), F.least(n, F.size("raw_ids"))).alias("last_ids"),
-        prev.alias("prev"),
-        *(["retained"] if with_retained else []),
+        (F.col("pred.n") >= oldest_n) & (F.col("pred.at_us") >= retained_us) & F.col("pred.id").isNotNull(),
+        F.struct(F.col("pred.id").alias("id"), F.col("pred.at_us").alias("at_us"), F.col("pred.geo").alias("geo")),
     )
-
-
-def _since(start: str) -> Column:
-    """How many times of the frame are at or after ``start``. Where even the oldest is, as
-    for a key that fills its cap, there is nothing to look through."""
-    all_of_it = F.get("raw_ats", F.lit(0)) >= F.col(start)
-    return F.when(all_of_it, F.size("raw_ats")).otherwise(
-        F.size(F.filter("raw_ats", lambda t: t >= F.col(start)))
+    rows = rows.sortWithinPartitions("stream", "key", "block", "at_us", "seq").select(
+        "stream", "key", "id", "at", "at_us", "value", "unit", "geo", "seq", "own", "stalled", "stall_us", "terminal", prev.alias("prev"), "n", "first_n",
     )
+    added = StructType.fromDDL(f"{SUMMARY}, {STATISTICS}" if with_statistics else SUMMARY)
+    windows = Windows({name: Geometry.of(p) for name, p in profiles.items()}, with_statistics)
+    return rows.mapInArrow(windows, StructType([*rows.schema.fields, *added.fields])).filter(F.col("own") | F.col("stalled")).drop("n", "first_n")
 
 
 def _us(t: datetime | int) -> int:

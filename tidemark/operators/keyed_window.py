@@ -10,10 +10,13 @@ rules make of a window is left to the native expressions in ``operators.rules``.
 from __future__ import annotations
 
 from bisect import bisect_right
+import math
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 from typing import NamedTuple
 
-from tidemark.profiles import Profile, micros
+from tidemark.profiles import Profile, Threshold, ZScore, micros
 
 
 class Geometry(NamedTuple):
@@ -22,11 +25,17 @@ class Geometry(NamedTuple):
     cap: int
     cooldown: int
     after: int | None  # silence that counts as a stall
+    samples: int | None = None  # the fewest earlier values that a rule compares with; None if none does
+    k: float = 0.0  # the fewest deviations that such a rule asks for
+    bounds: tuple[tuple[float, bool], ...] = ()  # that runs are counted past, and on which side
 
     @classmethod
     def of(cls, p: Profile) -> Geometry:
         after = micros(p.stall.after) if p.stall else None
-        return cls(micros(p.window), micros(p.grace), p.cap, micros(p.cooldown), after)
+        samples = min((max(r.min_samples, 1) for r in p.find(ZScore)), default=None)
+        bounds = tuple((float(r.bound), bool(r.above)) for r in p.find(Threshold))
+        k = min((float(r.k) for r in p.find(ZScore)), default=0.0)
+        return cls(micros(p.window), micros(p.grace), p.cap, micros(p.cooldown), after, samples, k, bounds)
 
 
 class Point(NamedTuple):
@@ -47,6 +56,27 @@ class Frame(NamedTuple):
     terminal: bool = False
 
 
+def base_of(g: Geometry, window: list[Point]) -> tuple[int, float | None, float | None]:
+    """Number, mean and deviation of the points before the newest, where a rule asks for that many."""
+    n = max(len(window) - 1, 0)
+    if g.samples is None or n < g.samples:
+        return n, None, None
+    # Added up in order, as the batch plan does; what lies just at a limit must not depend on the host.
+    mean = reduce(add, (p.value for p in window[:-1]), 0.0) / n
+    return n, mean, math.sqrt(reduce(add, ((p.value - mean) * (p.value - mean) for p in window[:-1]), 0.0) / n)
+
+
+def runs_of(g: Geometry, window: list[Point]) -> list[tuple[int, int]]:
+    """For each bound (start, points) of the run up to the newest point, which is not tested itself."""
+    out = []
+    for bound, above in g.bounds if window else ():
+        i = len(window) - 1
+        while i and (window[i - 1].value > bound if above else window[i - 1].value < bound):
+            i -= 1
+        out.append((window[i].at, len(window) - i))
+    return out
+
+
 @dataclass
 class KeyedWindow:
     points: list[Point] = field(default_factory=list)

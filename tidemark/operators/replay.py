@@ -21,9 +21,10 @@ from tidemark.functions.cases import per_stream
 from tidemark.functions.scalars import is_terminal
 from tidemark.operators.blocks import ENTITY, busy_keys
 from tidemark.operators.cooldown import admit, numbered
-from tidemark.operators.frames import IDS, _us
-from tidemark.operators.keyed_window import Frame, Geometry, KeyedWindow, Point
+from tidemark.operators.frames import _us
+from tidemark.operators.keyed_window import Frame, Geometry, KeyedWindow, Point, base_of, runs_of
 from tidemark.operators.rules import hits, write_up
+from tidemark.operators.sliding import IDS, SUMMARY
 from tidemark.operators.slices import Running, floor_div, running
 from tidemark.operators.validate import split_valid
 from tidemark.profiles import Profile, by_stream, micros
@@ -32,8 +33,7 @@ _GEO = "struct<lat:double,lon:double,place:string>"
 FRAME = (
     "stream string, key string, kind string, id string, at_us long, value double, unit string, "
     f"geo {_GEO}, seq long, clock_us long, "
-    "ats array<long>, vals array<double>, last_ids array<string>, "
-    f"prev struct<id:string,at_us:long,geo:{_GEO}>, terminal boolean"
+    f"{SUMMARY}, prev struct<id:string,at_us:long,geo:{_GEO}>, terminal boolean"
 )
 STEP_INPUT = ["stream", "key", "id", "at_us", "value", "unit", "lat", "lon", "place", "has_geo",
               "terminal", "seq", "now_us"]
@@ -52,7 +52,7 @@ def step_input(events: DataFrame, now: Column | None = None) -> DataFrame:
     )
 
 
-def as_rows(stream: str, key: str, frames: Iterable[tuple[Frame, int, str | None]]) -> list[tuple]:
+def as_rows(g: Geometry, stream: str, key: str, frames: Iterable[tuple[Frame, int, str | None]]) -> list[tuple]:
     """Output rows of frames with their arrival number and unit."""
 
     def geo(p: Point | None):
@@ -63,7 +63,8 @@ def as_rows(stream: str, key: str, frames: Iterable[tuple[Frame, int, str | None
         p, before = f.point, f.prev
         rows.append((
             stream, key, f.kind, p.id, p.at, p.value, unit, geo(p), seq, f.clock,
-            [q.at for q in f.window], [q.value for q in f.window], [q.id for q in f.window[-IDS:]],
+            len(f.window), f.window[0].at if f.window else None, f.window[-1].at if f.window else None, *base_of(g, f.window),
+            [{"from_us": at, "n": n} for at, n in runs_of(g, f.window)], [q.id for q in f.window[-IDS:]],
             None if before is None else {"id": before.id, "at_us": before.at, "geo": geo(before)},
             f.terminal,
         ))
@@ -71,13 +72,16 @@ def as_rows(stream: str, key: str, frames: Iterable[tuple[Frame, int, str | None
 
 
 FRAME_COLUMNS = ["stream", "key", "kind", "id", "at_us", "value", "unit", "geo", "seq", "clock_us",
-                 "ats", "vals", "last_ids", "prev", "terminal"]
+                 *(c.split()[0] for c in SUMMARY.split(", ")), "prev", "terminal"]
 
 
 def to_pandas(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=FRAME_COLUMNS)
     for c in ("at_us", "seq", "clock_us"):
         out[c] = out[c].astype("int64")
+    # Whole numbers with gaps; floats cannot hold all microseconds.
+    for c in ("oldest_us", "newest_us"):
+        out[c] = out[c].astype("Int64")
     return out
 
 
@@ -188,7 +192,7 @@ def replay_frames(
             if current is None or until is None or goes_on:
                 return []
             g = geometry[current[0]]
-            return as_rows(*current[:2], [(f, last_seq, None) for f in state.sweep_until(g, until)])
+            return as_rows(g, *current[:2], [(f, last_seq, None) for f in state.sweep_until(g, until)])
 
         for pdf in batches:
             out: list[tuple] = []
@@ -197,9 +201,10 @@ def replay_frames(
                 if unit != current:
                     out += finish()
                     current, state = unit, KeyedWindow()
-                steps = state.step(geometry[r.stream], point_of(r), r.terminal, None)
+                g = geometry[r.stream]
+                steps = state.step(g, point_of(r), r.terminal, None)
                 if not r.warm:
-                    out += as_rows(r.stream, r.key, [(f, r.seq, r.unit) for f in steps])
+                    out += as_rows(g, r.stream, r.key, [(f, r.seq, r.unit) for f in steps])
                 last_seq, goes_on = r.seq, r.continues and not r.warm
             if out:
                 yield to_pandas(out)

@@ -1,10 +1,12 @@
 """The five detection rules as expressions over a frame.
 
 A rule is a function of one frame row: whether it fires, the two numbers its severity
-compares, a few facts, and the ids behind it. Rules know no clock and no other row;
-``ats``, ``vals``,
-``last_ids`` and ``prev`` carry the history they may see. Titles, sentences and evidence are
-written afterwards, for the rows that fired.
+compares, a few facts, and the ids behind it. Rules know no clock and no other row; the
+statistics of the window, ``last_ids`` and ``prev`` (see ``operators.frames``) carry the history they may see.
+Titles, sentences and evidence are written afterwards, for the rows that fired.
+
+A profile may have several rules of one kind, such as a low and a high bound. They are told apart by their number among
+those (``which``), are judged in the profile's order and, having one name, share a cooldown.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ class Finding:
     evidence: Column | None = None
     absence: bool = False
 
-    def hit(self) -> Column:
+    def hit(self, which: int = 0, place: Column | None = None) -> Column:
         def fact(c: Column | None, name: str, kind) -> Column:
             return (F.lit(None) if c is None else c).cast(kind).alias(name)
 
@@ -53,6 +55,8 @@ class Finding:
             self.fires & (F.lit(True) if self.absence else F.col("own")),
             F.struct(
                 F.lit(self.name).alias("rule"),
+                F.lit(which).alias("which"),
+                (F.lit(0) if place is None else place.cast("int")).alias("place"),
                 F.lit(self.absence).alias("absence"),
                 fact(self.observed, "observed", "double"),
                 fact(self.limit, "limit", "double"),
@@ -71,11 +75,11 @@ class Finding:
 
 
 class _Of:
-    """Parameters of one kind of rule, by the stream of the row; null where it is not set."""
+    """Parameters of one kind of rule, the profile's first or a further one, by the stream of the row; null where it is not set."""
 
-    def __init__(self, profiles: Mapping[str, Profile], kind: type):
-        self.profiles = {n: p for n, p in profiles.items() if p.find(kind)}
-        self.kind = kind
+    def __init__(self, profiles: Mapping[str, Profile], kind: type, which: int = 0):
+        self.profiles = {n: p for n, p in profiles.items() if len(p.find(kind)) > which}
+        self.kind, self.which = kind, which
 
     def __bool__(self) -> bool:
         return bool(self.profiles)
@@ -84,7 +88,16 @@ class _Of:
         return F.col("stream").isin(*self.profiles)
 
     def get(self, value: Callable[[Rule], object]) -> Column:
-        return per_stream(self.profiles, lambda p: value(p.find(self.kind)[0]), only_these=True)
+        return per_stream(self.profiles, lambda p: value(p.find(self.kind)[self.which]), only_these=True)
+
+    def place(self) -> Column:
+        """The rule's place in its profile."""
+        at = lambda p: [i for i, r in enumerate(p.active()) if isinstance(r, self.kind)][self.which]
+        return per_stream(self.profiles, at, only_these=True)
+
+    def column(self, name: str) -> str:
+        """A name for a helper column of this rule."""
+        return f"{name}_{self.which}"
 
 
 def _ids(limit: int, of: Column | None = None) -> Column:
@@ -100,15 +113,14 @@ def velocity_rate(count: Column, span_us: Column) -> Column:
 
 
 def _velocity(frames: DataFrame, of: _Of) -> tuple[DataFrame, Finding]:
-    ats, count = F.col("ats"), F.size("ats")
+    count, span = F.col("points"), of.column("v_span")
     over = of.here() & (count > of.get(lambda r: r.max))
-    span = F.when(count < 2, F.lit(0)).otherwise(F.get(ats, count - 1) - F.get(ats, F.lit(0)))
-    frames = frames.withColumn("v_span", F.when(over, span))
+    frames = frames.withColumn(span, F.when(over, F.col("newest_us") - F.col("oldest_us")))
     allowed = of.get(lambda r: r.max / (micros(r.per) / 1e6) if micros(r.per) > 0 else 0.0)
-    rate = velocity_rate(count, F.col("v_span"))
+    rate = velocity_rate(count, F.col(span))
     return frames, Finding(
-        "velocity", F.col("v_span").isNotNull(), rate, allowed, _ids(VELOCITY_IDS),
-        n=count, span_us=F.col("v_span"),
+        "velocity", F.col(span).isNotNull(), rate, allowed, _ids(VELOCITY_IDS),
+        n=count, span_us=F.col(span),
     )
 
 
@@ -117,68 +129,51 @@ def _geovelocity(frames: DataFrame, of: _Of) -> tuple[DataFrame, Finding]:
     km = S.haversine_km(prev["geo"]["lat"], prev["geo"]["lon"], geo["lat"], geo["lon"])
     took_us = F.col("at_us") - prev["at_us"]
     both = of.here() & geo.isNotNull() & prev["geo"].isNotNull()
-    frames = frames.withColumn("g_km", F.when(both, km))
+    g_km, g_kmh = of.column("g_km"), of.column("g_kmh")
+    frames = frames.withColumn(g_km, F.when(both, km))
     # Two places at one instant is an infinite speed, not a division error.
-    kmh = F.coalesce(F.try_divide(F.col("g_km"), took_us / 3.6e9), F.lit(float("inf")))
-    frames = frames.withColumn("g_kmh", F.when(F.col("g_km").isNotNull(), kmh))
+    kmh = F.coalesce(F.try_divide(F.col(g_km), took_us / 3.6e9), F.lit(float("inf")))
+    frames = frames.withColumn(g_kmh, F.when(F.col(g_km).isNotNull(), kmh))
     limit = of.get(lambda r: float(r.max_kmh))
-    fires = (F.col("g_km") >= of.get(lambda r: float(r.min_km))) & (F.col("g_kmh") > limit)
+    fires = (F.col(g_km) >= of.get(lambda r: float(r.min_km))) & (F.col(g_kmh) > limit)
     return frames, Finding(
-        "geovelocity", fires, F.col("g_kmh"), limit, F.array(prev["id"], F.col("id")),
-        span_us=took_us, a=F.col("g_km"), from_geo=prev["geo"], to_geo=geo,
+        "geovelocity", fires, F.col(g_kmh), limit, F.array(prev["id"], F.col("id")),
+        span_us=took_us, a=F.col(g_km), from_geo=prev["geo"], to_geo=geo,
     )
 
 
 def _zscore(frames: DataFrame, of: _Of) -> tuple[DataFrame, Finding]:
-    """Two passes over the few points but the newest, so a flat history deviates by exactly
-    zero; only where there are points enough."""
-    n = F.greatest(F.size("vals") - 1, F.lit(0))
-    need = of.get(lambda r: max(r.min_samples, 1))
-    frames = frames.withColumn("z_n", F.when(of.here() & F.col("own") & (n >= need), n))
-    history, count = F.slice("vals", F.lit(1), F.col("z_n")), F.col("z_n").cast("double")
-    total = F.aggregate(history, F.lit(0.0), lambda acc, v: acc + v)
-    known = F.col("z_n").isNotNull()
-    frames = frames.withColumn("z_mean", F.when(known, F.try_divide(total, count)))
-    off = lambda v: v - F.col("z_mean")
-    squares = F.aggregate(history, F.lit(0.0), lambda acc, v: acc + off(v) * off(v))
-    frames = frames.withColumn("z_sd", F.when(known, F.sqrt(F.try_divide(squares, count))))
-    value, mean = F.col("value"), F.col("z_mean")
+    """The value against the points before the newest, only where there are points enough."""
+    n = of.column("z_n")
+    enough = of.here() & F.col("own") & (F.col("base_n") >= of.get(lambda r: max(r.min_samples, 1)))
+    frames = frames.withColumn(n, F.when(enough, F.col("base_n")))
+    value, mean, sd = F.col("value"), F.col("base_mean"), F.col("base_sd")
     delta = F.abs(value - mean)
-    z = F.try_divide(delta, F.col("z_sd"))
+    z = F.try_divide(delta, sd)
     fires = (
-        (F.col("z_sd") > 0)
+        F.col(n).isNotNull()
+        & (sd > 0)
         & (of.get(lambda r: bool(r.below)) | (value >= mean))
         & (delta >= of.get(lambda r: float(r.min_delta)))
         & (z > of.get(lambda r: float(r.k)))
     )
     return frames, Finding(
         "zscore", fires, z, of.get(lambda r: float(r.k)), _ids(ZSCORE_IDS),
-        n=F.col("z_n"), a=mean, b=F.col("z_sd"), c=delta,
+        n=F.col(n), a=mean, b=sd, c=delta,
     )
 
 
 def _threshold(frames: DataFrame, of: _Of) -> tuple[DataFrame, Finding]:
     """The newest point and the points beyond the bound that lead up to it. The newest
     itself is not tested; for in-order data it is the event, which is."""
-    frames = frames.withColumn("t_bound", of.get(lambda r: float(r.bound)))
-    frames = frames.withColumn("t_above", of.get(lambda r: bool(r.above)))
-
-    def beyond(v: Column) -> Column:
-        return F.when(F.col("t_above"), v > F.col("t_bound")).otherwise(v < F.col("t_bound"))
-
-    # Position, from 1, of the newest earlier point that is not beyond; 0 without one.
-    broken = F.transform(
-        F.slice("vals", 1, F.greatest(F.size("vals") - 1, F.lit(0))),
-        lambda v, i: F.when(beyond(v), 0).otherwise(i + 1),
-    )
-    judged = of.here() & F.col("own") & beyond(F.col("value")) & (F.size("vals") > 0)
-    frames = frames.withColumn("t_broken", F.when(judged, F.coalesce(F.array_max(broken), F.lit(0))))
-    ats, samples = F.col("ats"), F.size("ats") - F.col("t_broken")
-    frames = frames.withColumn("t_held", F.get(ats, F.size("ats") - 1) - F.get(ats, F.col("t_broken")))
-    need = of.get(lambda r: micros(r.sustained))
+    bound, value, held = of.get(lambda r: float(r.bound)), F.col("value"), of.column("t_held")
+    beyond = F.when(of.get(lambda r: bool(r.above)), value > bound).otherwise(value < bound)
+    run = F.get("runs", F.lit(of.which))
+    frames = frames.withColumn(held, F.when(of.here() & F.col("own") & beyond & (F.col("points") > 0), F.col("newest_us") - run["from_us"]))
+    need, samples = of.get(lambda r: micros(r.sustained)), run["n"]
     return frames, Finding(
-        "threshold", F.col("t_held") >= need, F.col("t_held") / 1e6, need / 1e6,
-        _ids(THRESHOLD_IDS, samples), n=samples, span_us=F.col("t_held"),
+        "threshold", F.col(held) >= need, F.col(held) / 1e6, need / 1e6,
+        _ids(THRESHOLD_IDS, samples), n=samples, span_us=F.col(held),
     )
 
 
@@ -202,16 +197,20 @@ EVALUATORS: dict[type, Callable[[DataFrame, _Of], tuple[DataFrame, Finding]]] =
 }
 
 
+def _numbered(profiles: Mapping[str, Profile], kind: type) -> list[_Of]:
+    """The first rule of a kind in each profile, then the second, and so on."""
+    return [_Of(profiles, kind, k) for k in range(max((len(p.find(kind)) for p in profiles.values()), default=0))]
+
+
 def _text(found: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
     """Write ``detail`` and ``evidence`` of the hits."""
     rule = F.col("rule")
-    kinds = {k: _Of(profiles, k) for k in (Velocity, GeoVelocity, ZScore, Stall, Threshold)}
 
     def param(name: str, kind: str, getters: dict[type, Callable[[Rule], object]]) -> Column:
         out = F.when(F.lit(False), F.lit(None).cast(kind))
         for k, get in getters.items():
-            if kinds[k]:
-                out = out.when(rule == k.__name__.lower(), kinds[k].get(get).cast(kind))
+            for of in _numbered(profiles, k):
+                out = out.when((rule == k.__name__.lower()) & (F.col("which") == of.which), of.get(get).cast(kind))
         return out.alias(name)
 
     found = found.select(
@@ -286,11 +285,9 @@ def hits(frames: DataFrame, profiles: Mapping[str, Profile], carry: Sequence[str
         frames = frames.withColumn("clock_us", F.col("at_us"))
     found = []
     for kind in {type(r): None for p in profiles.values() for r in p.active()}:
-        swept = {n: p for n, p in profiles.items() if kind is not Stall or p.stall}
-        of = _Of(swept, kind)
-        if of:
+        for of in _numbered({n: p for n, p in profiles.items() if kind is not Stall or p.stall}, kind):
             frames, finding = EVALUATORS[kind](frames, of)
-            found.append(finding.hit())
+            found.append(finding.hit(of.which, of.place()))
     nothing = F.lit(None)
     found.append(Finding("", F.col("terminal"), nothing, nothing, nothing).hit())
     made = frames.select(
@@ -310,7 +307,7 @@ def write_up(found: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
     written = _text(found.filter("rule != ''"), profiles)
     return written.select(
         "stream", "key", "rule", "severity", title_for(F.col("stream"), F.col("rule")).alias("title"),
-        "detail", "evidence", "event_ids", "absence", "event_id", "at", "at_us", "seq", "clock_us",
+        "detail", "evidence", "event_ids", "absence", "event_id", "which", "at", "at_us", "seq", "clock_us",
         F.timestamp_micros("clock_us").alias("detected_at"), "rank",
     )
 

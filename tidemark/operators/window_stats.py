@@ -12,20 +12,13 @@ from tidemark.operators.rules import velocity_rate
 def window_stats(frames: DataFrame) -> DataFrame:
     """count, mean, population deviation, span and rate of each frame's window; the ids of
     the newest point and the one before. Mean is 0 when empty, deviation and span are 0
-    below two points."""
-    ats, vals, n = F.col("ats"), F.col("vals"), F.size("ats")
-    total = F.aggregate(vals, F.lit(0.0), lambda acc, v: acc + v)
-    span_us = F.when(n < 2, F.lit(0)).otherwise(F.get(ats, n - 1) - F.get(ats, F.lit(0)))
-    with_mean = frames.withColumn("count", n.cast("long")).withColumn(
-        "mean", F.coalesce(F.try_divide(total, n.cast("double")), F.lit(0.0))
-    )
-    off = lambda acc, v: acc + (v - F.col("mean")) * (v - F.col("mean"))
-    squares = F.aggregate(vals, F.lit(0.0), off)
-    return with_mean.select(
+    below two points. ``frames`` come with statistics (see ``frames.event_frames``)."""
+    span_us = F.col("newest_us") - F.col("oldest_us")
+    return frames.select(
         "*",
-        F.when(n < 2, F.lit(0.0)).otherwise(F.sqrt(F.try_divide(squares, n.cast("double")))).alias("stddev"),
+        F.col("points").cast("long").alias("count"),
         millis(span_us).alias("span_ms"),
-        velocity_rate(n, span_us).alias("per_second"),
+        velocity_rate(F.col("points"), span_us).alias("per_second"),
         F.try_element_at("last_ids", F.lit(-2)).alias("previous_id"),
         F.try_element_at("last_ids", F.lit(-1)).alias("last_id"),
     )

@@ -21,7 +21,9 @@ from tidemark.schema import ALERT
 
 def as_alerts(admitted: DataFrame) -> DataFrame:
     """Stamp ids and keep the alert columns."""
-    made = alert_id(F.col("rule"), F.col("stream"), F.col("key"), F.col("event_id"))
+    # A further rule of the same kind may find the same event.
+    event = F.concat("event_id", F.when(F.col("which") > 0, F.concat(F.lit("#"), "which")).otherwise(""))
+    made = alert_id(F.col("rule"), F.col("stream"), F.col("key"), event)
     return admitted.withColumn("id", made).select(ALERT.fieldNames())
 
 

@@ -148,7 +148,7 @@ def stall(spark, sf_dir):
 
 @query
 def window_statistics(spark, sf_dir):
-    frames = event_frames(events(spark, sf_dir), BY_STREAM, AS_OF, with_retained=True).filter("own")
+    frames = event_frames(events(spark, sf_dir), BY_STREAM, AS_OF, with_statistics=True).filter("own")
     return ws.window_stats(frames).select(
         "stream", "key", "id", "count", F.round("mean", 6).alias("mean"), F.round("stddev", 4).alias("stddev"),
         "span_ms", F.round("per_second", 2).alias("per_second"), "previous_id", "last_id", "retained",

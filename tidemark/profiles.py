@@ -120,9 +120,7 @@ def by_stream(profiles: Iterable[Profile]) -> dict[str, Profile]:
     for p in profiles:
         if p.stream in out:
             raise ValueError(f"two profiles for stream {p.stream!r}")
-        names = [r.name for r in p.active()]
-        if len(names) != len(set(names)):
-            raise ValueError(f"profile {p.stream!r} names a rule twice")
+        p.stall  # at most one
         out[p.stream] = p
     return out
 

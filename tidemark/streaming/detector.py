@@ -108,7 +108,7 @@ class _Windows(StatefulProcessor):
         for r in batch.itertuples(index=False):
             clock = None if pd.isna(r.now_us) else int(r.now_us)
             steps = w.step(g, point_of(r), r.terminal, clock)
-            out += as_rows(stream, entity, [(f, r.seq, r.unit) for f in steps])
+            out += as_rows(g, stream, entity, [(f, r.seq, r.unit) for f in steps])
         seen = max(seen, now, w.clock) if self.event_timers else max(seen, now)
         self._save(g, w, seen, timer, now)
         if out:
@@ -125,7 +125,7 @@ class _Windows(StatefulProcessor):
             hit = w.sweep(g, now)
             found = [hit] if hit else []
         if found:
-            yield self._emit(as_rows(stream, entity, [(f, -1, None) for f in found]), now)
+            yield self._emit(as_rows(g, stream, entity, [(f, -1, None) for f in found]), now)
         if now >= seen + self.idle_us:
             self.state.clear()
         else:
@@ -163,7 +163,7 @@ class _Cooldowns(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
         # A terminal event's own alerts come before the end of its key.
-        batch = batch.assign(ends=batch["rule"] == "").sort_values(["clock_us", "seq", "ends"], kind="stable")
+        batch = batch.assign(ends=batch["rule"] == "").sort_values(["clock_us", "seq", "ends", "place"], kind="stable")
         stored, timer = self.state.get() if self.state.exists() else ([], -1)
         before = {rule: (until, rank) for rule, until, rank in stored or []}
         held, cool, keep = dict(before), self.cooldown_us[key[0]], []
