@@ -8,7 +8,8 @@ a third of the data would hold a third of the run time. Two tools avoid that:
   computed per (key, slice) exactly, in one shuffle.
 * ``running`` computes aggregates over *all* earlier rows of a key in blocks: a
   running value inside each block, one total per block, and a running value over
-  the totals. Only the totals are ever brought together per key.
+  the totals. Only the totals are ever brought together per key, and the input is
+  read once.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.staging import stage
+
 
 def floor_div(value: Column, width: Column | int) -> Column:
     """Integer division rounding down, exact for 64-bit values."""
@@ -73,47 +76,72 @@ def running(
     non-decreasing along the order and constant inside the blocks of the one before.
     Two blockings make a three-level scan. With ``inclusive`` false the current row
     is left out. ``keys`` must not be null.
+
+    ``df`` is read once: its rows are written with their running value inside the block, and
+    a block's total is the one at its last row.
     """
-    def tmp(what: str) -> str:
-        return f"_{what}{_depth}"
+    rows, totals = blockwise(df, keys, order, blocks, aggs, inclusive, _depth)
+    before = carried(totals, keys, len(blocks), aggs, _depth)
+    return resolved(rows, before, keys, df.columns, aggs, _depth)
+
 
-    keys, order = list(keys), list(order)
-    by, outer = [*keys, tmp("block")], [tmp(f"outer{i}_") for i in range(len(blocks) - 1)]
+def _tmp(what: str, depth: int) -> str:
+    return f"_{what}{depth}"
+
+
+def blockwise(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: Sequence[Column], aggs: Sequence[Running],
+    inclusive: bool = True, depth: int = 0,
+) -> tuple[DataFrame, DataFrame]:
+    """The written rows with running values inside their block, and one row of totals for each block, both read from one table."""
+    block, outer = _tmp("block", depth), [_tmp(f"outer{i}_", depth) for i in range(len(blocks) - 1)]
     df = df.select(
         "*",
-        blocks[0].alias(tmp("block")),
+        blocks[0].alias(block),
         *[b.alias(o) for b, o in zip(blocks[1:], outer)],
-        *[a.value.alias(tmp(f"v_{a.name}_")) for a in aggs],
-    )
-    frame = (
-        Window.partitionBy(*by)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        *[a.value.alias(_tmp(f"v_{a.name}_", depth)) for a in aggs],
     )
+    w = Window.partitionBy(*keys, block).orderBy(*order)
+    upto, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    values = [F.col(_tmp(f"v_{a.name}_", depth)) for a in aggs]
     local = df.select(
-        "*", *[a.over(F.col(tmp(f"v_{a.name}_")), frame).alias(tmp(f"l_{a.name}_")) for a in aggs]
-    )
-    totals = df.groupBy(*by, *outer).agg(
-        *[_total(a, F.col(tmp(f"v_{a.name}_")), order).alias(tmp(f"t_{a.name}_")) for a in aggs]
-    )
-    carried = [Running(tmp(f"c_{a.name}_"), F.col(tmp(f"t_{a.name}_")), a.how) for a in aggs]
+        "*",
+        *[a.over(v, upto).alias(_tmp(f"t_{a.name}_", depth)) for a, v in zip(aggs, values)],
+        *([] if inclusive else [a.over(v, earlier).alias(_tmp(f"l_{a.name}_", depth)) for a, v in zip(aggs, values)]),
+        F.lead(F.lit(1)).over(w).isNull().alias(_tmp("last", depth)),
+    ).drop(*[_tmp(f"v_{a.name}_", depth) for a in aggs])
+    rows = stage(local, "running")
+    totals = rows.filter(_tmp("last", depth)).select(*keys, block, *outer, *[_tmp(f"t_{a.name}_", depth) for a in aggs])
+    if inclusive:
+        rows = rows.withColumnsRenamed({_tmp(f"t_{a.name}_", depth): _tmp(f"l_{a.name}_", depth) for a in aggs})
+    return rows, totals
+
+
+def carried(totals: DataFrame, keys: Sequence[str], levels: int, aggs: Sequence[Running], depth: int = 0) -> DataFrame:
+    """For each block the aggregates over all blocks before it."""
+    block, outer = _tmp("block", depth), [_tmp(f"outer{i}_", depth) for i in range(levels - 1)]
+    sums = [Running(_tmp(f"c_{a.name}_", depth), F.col(_tmp(f"t_{a.name}_", depth)), a.how) for a in aggs]
     if outer:
-        before = running(
-            totals, keys, [tmp("block")], [F.col(o) for o in outer], carried, False, _depth + 1
-        )
-    else:
-        prefix = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(tmp("block"))
-        prefix = prefix.rowsBetween(Window.unboundedPreceding, -1)
-        before = totals.select("*", *[c.over(c.value, prefix).alias(c.name) for c in carried])
-    joined_on = [tmp(f"k{i}_") for i in range(len(by))]
+        return running(totals, keys, [block], [F.col(o) for o in outer], sums, False, depth + 1)
+    prefix = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("*", *[c.over(c.value, prefix).alias(c.name) for c in sums])
+
+
+def resolved(
+    rows: DataFrame, before: DataFrame, keys: Sequence[str], plain: Sequence[str], aggs: Sequence[Running], depth: int = 0,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """The columns ``plain`` of ``rows``, the aggregates made whole, and the columns ``carry`` of their block."""
+    by = [*keys, _tmp("block", depth)]
+    joined_on = [_tmp(f"k{i}_", depth) for i in range(len(by))]
     before = before.select(
-        *[F.col(k).alias(j) for k, j in zip(by, joined_on)], *[c.name for c in carried]
+        *[F.col(k).alias(j) for k, j in zip(by, joined_on)], *[_tmp(f"c_{a.name}_", depth) for a in aggs], *carry
     )
     match = reduce(and_, [F.col(k) == F.col(j) for k, j in zip(by, joined_on)])
-    out = local.join(before, match, "left")
+    out = rows.join(before, match, "left")
     values = []
-    for a, c in zip(aggs, carried):
-        here, earlier = F.col(tmp(f"l_{a.name}_")), F.col(c.name)
+    for a in aggs:
+        here, earlier = F.col(_tmp(f"l_{a.name}_", depth)), F.col(_tmp(f"c_{a.name}_", depth))
         if a.how == "sum":
             value = F.coalesce(here, F.lit(0)) + F.coalesce(earlier, F.lit(0))
         elif a.how == "max":
@@ -121,15 +149,4 @@ def running(
         else:
             value = F.coalesce(here, earlier)
         values.append(value.alias(a.name))
-    scratch = {tmp("block"), *outer, *[tmp(f"v_{a.name}_") for a in aggs]}
-    plain = [c for c in df.columns if c not in scratch]
-    return out.select(*plain, *values)
-
-
-def _total(a: Running, value: Column, order: Sequence[str]) -> Column:
-    if a.how == "sum":
-        return F.sum(value)
-    if a.how == "max":
-        return F.max(value)
-    position = F.struct(*[F.col(c) for c in order])
-    return F.max_by(value, F.when(value.isNotNull(), position))
+    return out.select(*plain, *values, *carry)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import round1_trunc
 from tidemark.operators.alert_table import latency_us, usable_latency_us
 from tidemark.operators.frames import _us
-from tidemark.operators.slices import Running, floor_div, running
+from tidemark.operators.slices import Running, blockwise, carried, floor_div, resolved, running
+from tidemark.operators.staging import stage
 from tidemark.profiles import micros
 
 SAMPLES, BUDGET = 2000, 15  # fixed values: latency samples kept; events shown per second
@@ -83,6 +84,9 @@ def rates(rows: DataFrame, at: str, every: timedelta = timedelta(seconds=1)) ->
     )
 
 
+PARTS = 64  # blocks an interval
+
+
 def sample_every(
     rows: DataFrame, at: str, id: str, every: timedelta = timedelta(seconds=1), budget: float = BUDGET
 ) -> DataFrame:
@@ -90,24 +94,23 @@ def sample_every(
     n chosen from the rate of the interval before so that about ``budget`` rows a second
     come through. Adds ``number`` (the running count) and ``every``.
 
-    The running count is a scan in blocks, so no task sees more than a block.
+    The running count is a scan in blocks, so no task sees more than a block; the rate of an
+    interval is the sum of its blocks' counts. The rows are read once, and no column is named with a leading underscore.
     """
     width = micros(every)
     us = F.unix_micros(at)
-    numbered = running(
-        rows.withColumn("_us", us), [], ["_us", id],
-        [floor_div(F.col("_us"), max(width // 64, 1)), floor_div(F.col("_us"), width * 64)],
-        [Running("number", F.lit(1).cast("long"), "sum")],
-    ).withColumn("_i", floor_div(F.col("_us"), width))
-    per_second = F.count(F.lit(1)) / F.lit(width / 1e6)
+    interval = floor_div(F.col("_us"), width)
+    part = floor_div(F.pmod(F.col("_us"), F.lit(width)) * PARTS, width)
+    count = Running("number", F.lit(1).cast("long"), "sum")
+    blocks = [interval * PARTS + part, floor_div(interval, PARTS)]
+    local, totals = blockwise(rows.withColumn("_us", us), [], ["_us", id], blocks, [count])
+    per_second = F.sum("_t_number_0") / F.lit(width / 1e6)
     n = F.greatest(F.floor(per_second / F.lit(float(budget))), F.lit(1)).cast("long")
-    tuned = rows.groupBy((floor_div(us, width) + 1).alias("_i")).agg(n.alias("every"))
-    return (
-        numbered.join(tuned, "_i", "left")
-        .withColumn("every", F.coalesce("every", F.lit(1).cast("long")))
-        .filter(F.col("number") % F.col("every") == 0)
-        .drop("_i", "_us")
-    )
+    tuned = totals.groupBy((floor_div(F.col("_block0"), PARTS) + 1).alias("_i")).agg(n.alias("every"))
+    before = carried(totals, [], 2, [count]).withColumn("_i", floor_div(F.col("_block0"), PARTS))
+    before = before.join(tuned, "_i", "left").withColumn("every", F.coalesce("every", F.lit(1).cast("long")))
+    numbered = resolved(local, stage(before, "blocks"), [], rows.columns, [count], carry=["every"])
+    return numbered.filter(F.col("number") % F.col("every") == 0)
 
 
 def by_rule(alerts: DataFrame) -> DataFrame:

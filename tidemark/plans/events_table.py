@@ -31,6 +31,11 @@ PROFILES = (
             sweep_every=_h(1)),
 )
 
+#: A high and a low bound on one stream.
+BOUNDS = (
+    Profile(SENSORS, _d(7), _h(3), 8, _d(1), (Threshold(2000, True, _h(24)), Threshold(3000, False, _h(12)), Stall(_d(3))), sweep_every=_h(1)),
+)
+
 
 def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("int")

@@ -20,7 +20,7 @@ from tidemark.operators.staging import shared_folder
 from tidemark.operators.validate import dead_letters, split_valid, with_reason
 from tidemark.plans.detect import detect
 from tidemark.plans.events_table import (
-    AS_OF, PROFILES, alert_history, events, in_arrival_order, raw_records, streamed_events, with_faults,
+    AS_OF, BOUNDS, PROFILES, alert_history, events, in_arrival_order, raw_records, streamed_events, with_faults,
 )
 from tidemark.profiles import by_stream
 from tidemark.sources.envelopes import open_envelopes
@@ -186,6 +186,15 @@ def alerts(spark, sf_dir):
     )
 
 
+@query
+def several_bounds(spark, sf_dir):
+    """A stream with two rules of one kind, which share a cooldown."""
+    rows = events(spark, sf_dir).filter(F.col("stream") == "sensors")
+    return detect(rows, BOUNDS, AS_OF).alerts.select(
+        "rule", "stream", "key", ntz("at"), ntz("detected_at"), "severity", "title", "detail", ids(), "absence",
+    )
+
+
 @query
 def engine_counters(spark, sf_dir):
     return detect(with_faults(events(spark, sf_dir)).drop("event_id"), PROFILES, AS_OF).counters

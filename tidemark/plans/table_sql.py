@@ -418,3 +418,42 @@ SQL["distances"] = f"""
 WITH {EV}, g AS (SELECT id, k * 1.6::DOUBLE - 80 AS lat, k * 3.6::DOUBLE - 180 AS lon FROM ev WHERE stream <> 'video')
 SELECT id, round(2 * 6371 * asin(sqrt(least(1, power(sin(radians(-23.5505 - lat) / 2), 2)
   + cos(radians(lat)) * cos(radians(-23.5505)) * power(sin(radians(-46.6333 - lon) / 2), 2)))), 6) AS km FROM g"""
+
+
+# Two rules of one kind on one stream.
+
+
+def past(which: int, bad: str, need: int) -> str:
+    return f"""
+brk{which} AS (
+  SELECT stream, key, id, max(p_rn) FILTER (WHERE NOT p_{bad}) AS broken FROM pairs WHERE {bad} AND stream = 'sensors' GROUP BY stream, key, id
+),
+thr{which} AS (
+  SELECT p.stream, p.key, p.id, p.n, p.us, p."at", p.value, p.epoch, {which} AS which, count(*) AS samples, p.us - min(p_us) AS held, {need} AS need, {newest_ids(12)} AS event_ids
+  FROM pairs p JOIN brk{which} b ON b.stream = p.stream AND b.key = p.key AND b.id = p.id WHERE p_rn > coalesce(broken, -1)
+  GROUP BY p.stream, p.key, p.id, p.n, p.us, p."at", p.value, p.epoch
+)"""
+
+
+SQL["several_bounds"] = f"""
+WITH RECURSIVE {SEG},{past(0, "value > 2000", 24 * HOUR)},{past(1, "value < 3000", 12 * HOUR)},{ST},
+cand AS (
+  SELECT *, {sev("held", "need")} AS severity,
+    {compact("value")} || ' µg/m³ — ' || CASE which WHEN 0 THEN 'above 2K' ELSE 'below 3K' END || ' for ' || {duration("held")} || ' across ' || samples || ' samples' AS detail
+  FROM (FROM thr0 UNION ALL FROM thr1) WHERE held >= need
+),
+numbered AS (
+  SELECT *, CASE severity WHEN 'critical' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END AS rank, row_number() OVER (PARTITION BY key, epoch ORDER BY us, n, which) AS i FROM cand
+),
+fold AS (
+  SELECT key, epoch, i, TRUE AS ok, us + {DAY} AS until, rank AS held FROM numbered WHERE i = 1
+  UNION ALL
+  SELECT c.key, c.epoch, c.i, c.us >= f.until OR c.rank > f.held, CASE WHEN c.us >= f.until OR c.rank > f.held THEN c.us + {DAY} ELSE f.until END,
+    CASE WHEN c.us >= f.until OR c.rank > f.held THEN c.rank ELSE f.held END
+  FROM fold f JOIN numbered c ON c.key = f.key AND c.epoch = f.epoch AND c.i = f.i + 1
+)
+SELECT 'threshold' AS rule, stream, key, "at", "at" AS detected_at, severity, 'Threshold exceeded' AS title, detail, event_ids, FALSE AS absence
+FROM numbered JOIN fold USING (key, epoch, i) WHERE ok
+UNION ALL
+SELECT 'stall', stream, key, "at", make_timestamp(due), 'info', 'Sensor offline', {STALL_TEXT}, id, TRUE FROM st WHERE stream = 'sensors'
+"""
