@@ -33,7 +33,7 @@ def decontaminated(
 
     A-Z are lower-cased; words are runs of ASCII letters and digits and of characters beyond ASCII. A word inside an
     occurrence of a window is hit. A row is contaminated if words are hit, and at least ``percent`` of 100 of them. items are the ids
-    of the items with an occurring window, as sorted strings; a null item id stands for nothing. Null or wordless texts
+    of the items with an occurring window, as sorted strings; items without an id count as one item, which is not listed. Null or wordless texts
     have no words and are clean; a null or wordless item has no window. Repeated rows, and rows that share an id (null as well)
     but not a text, are each judged for themselves; text_key, a hash of the text, tells them apart. Empty tables give clean or no
     rows. Other columns are not read.
@@ -41,7 +41,7 @@ def decontaminated(
     if not 1 <= gram <= window:
         raise ValueError("gram must lie between 1 and window")
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("w"))
-    items = stage(items.filter("item is not null and size(w) > 0"), "items")
+    items = stage(items.filter("size(w) > 0"), "items")
     short = sorted(r.n for r in items.select(F.size("w").alias("n")).filter(F.col("n") < window).distinct().collect())  # below window many
 
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
@@ -61,18 +61,18 @@ def decontaminated(
     listed = (
         occurring.select("id", "text_key", "same_items").distinct()
         .join(small_or_shuffled(stage(_windows(items, window, short).select("same_items", "item").distinct(), "same")), "same_items")
-        .groupBy("id", "text_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+        .groupBy("id", "text_key").agg(F.array_sort(F.collect_set("item")).alias("items"), F.max(F.col("item").isNull().cast("int")).alias("unnamed"))
     )
     judged = per_doc.join(listed, per_doc.id.eqNullSafe(listed.id) & per_doc.text_key.eqNullSafe(listed.text_key)).select(
-        per_doc.id, per_doc.text_key, "n_hit", "items")
+        per_doc.id, per_doc.text_key, "n_hit", "items", "unnamed")
     judged = small_or_shuffled(stage(judged, "judged"))
     sized = split.select("id", "text_key", F.size("w").cast("long").alias("n_words"))
     out = sized.alias("d").join(judged.alias("f"), same, "left").select(
         "d.id", "d.text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("unnamed", F.lit(0)).alias("unnamed"),
     )
     return out.select(
-        F.col("id").alias(id_col), "text_key", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
+        F.col("id").alias(id_col), "text_key", "n_words", "n_hit", (F.size("items") + F.col("unnamed")).cast("long").alias("n_items"), "items",
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * percent)).alias("contaminated"),
     )
