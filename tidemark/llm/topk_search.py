@@ -21,6 +21,7 @@ DEPTHS = (1 / 8, 1 / 4, 1 / 2, 1)
 #: A query stops reading once no more than this many candidates are left for each result wanted.
 LEFT_PER_RESULT = 8
 EXACT = 2**53
+LARGEST = 2**63 - 1
 ROWS = "dim int, block int, ids binary, vectors binary"
 
 
@@ -28,8 +29,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     """(query_id, rank, id, score): for each row whose id is divisible by ``every`` its k best other rows.
 
     Components become floor(times * x), x as double; the score is the inner product; ties go to the smaller id. Null ids, null or empty vectors, and vectors
-    with a component that is null or not finite, take no part; a component beyond 64 bits after scaling, or such a score, is refused. Vectors of different
-    dimensions are not compared. Rows that repeat an id are candidates each, but none is a candidate of a query with the same id;
+    with a component that is null or not finite, take no part. Whole numbers beyond 64 bits are cut to the nearest that fits: components before they are multiplied, and
+    scores before they are ranked. Vectors of different dimensions are not compared. Rows that repeat an id are candidates each, but none is a candidate of a query with the same id;
     a query id is asked once for each distinct vector. An empty table gives an empty result. Other columns are not read.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter(
@@ -37,7 +38,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     )
     scaled = F.transform("v", lambda x: F.when(F.abs(x.cast("double") * times) < 2.0**63, F.floor(x.cast("double") * times)).otherwise(
-        F.raise_error(F.lit("a component is beyond 64 bits")).cast("long")))
+        F.when(x > 0, F.lit(LARGEST)).otherwise(F.lit(-LARGEST))))
     rows = rows.select("id", scaled.alias("v"), F.size("v").alias("dim"))
     n = rows.agg(F.count("*")).first()[0]
     blocks = max(1, -(-n // BLOCK_ROWS))
@@ -71,10 +72,15 @@ def _search(k: int):
     return run
 
 
+def _largest(v: np.ndarray) -> int:
+    """The largest component without its sign."""
+    return max(int(v.max(initial=0)), -int(v.min(initial=0)))
+
+
 def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
     """(query ids, ids, scores) of each query's k best candidates in one block."""
     n, dim = x.shape
-    big = int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * dim >= EXACT
+    big = _largest(q) * _largest(x) * dim >= EXACT
     qf, xf = q.astype(np.float64), x.astype(np.float64)
     slack = 1e-9 if big else 0.0  # bounds in doubles, widened where they may be rounded
     order = np.argsort(x, axis=0, kind="stable")
@@ -98,7 +104,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
             upper = lower = known
         if slack:
             wide = slack * np.abs(qf[open_]) @ np.abs(xf).max(axis=0)
-            upper, lower = upper + wide[:, None], lower - wide[:, None]
+            upper, lower = (np.clip(b, -LARGEST, LARGEST) for b in (upper + wide[:, None], lower - wide[:, None]))
         upper, lower = np.where(own[open_], -np.inf, upper), np.where(own[open_], -np.inf, lower)
         bar = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf)
         can = (upper >= bar[:, None]) & ~own[open_]
@@ -106,11 +112,8 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
         for i in np.flatnonzero(done):
             j = np.flatnonzero(can[i])
             if big:
-                score = np.array([sum(int(a) * int(b) for a, b in zip(q[open_[i]], x[c])) for c in j], dtype=object)
+                score = np.array([max(-LARGEST, min(LARGEST, sum(int(a) * int(b) for a, b in zip(q[open_[i]], x[c])))) for c in j], dtype=object)
                 top = sorted(range(len(j)), key=lambda c: (-score[c], ids[j[c]]))[:k]
-                bad = [c for c in top if abs(score[c]) >= 2**63]
-                if bad:
-                    raise OverflowError(f"a score of query {q_ids[open_[i]]} is beyond 64 bits")
             else:
                 score = x[j] @ q[open_[i]]
                 top = np.lexsort((ids[j], -score))[:k]
