@@ -7,15 +7,17 @@ touch only the days they concern.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from datetime import datetime, timedelta
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions.scalars import millis, severity_rank
 from tidemark.operators.frames import _us
+from tidemark.operators.staging import stage
 from tidemark.sources.records import rfc3339
 
 RETENTION = timedelta(days=30)  # fixed values: how long alerts and dead letters are kept
@@ -76,29 +78,31 @@ def new_rows(rows: DataFrame, stored: DataFrame | None) -> DataFrame:
     return fresh if stored is None else fresh.join(stored.select("pk", "sk"), ["pk", "sk"], "left_anti")
 
 
+def stored_rows(spark: SparkSession, path: str, days: Iterable[tuple], schema: StructType) -> DataFrame | None:
+    """The rows of the given (stream, day) folders alone; None if there are none yet."""
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    folders = [f"{path}/stream={escaped(stream)}/day={day}" for stream, day in days]
+    folders = [f for f in folders if _exists(spark, f)]
+    return spark.read.schema(schema).option("basePath", path).parquet(*folders) if folders else None
+
+
 def insert(alerts: DataFrame, path: str) -> Written:
-    """Write the alerts that are not in the table yet; repeating it writes nothing."""
+    """Write the alerts that are not in the table yet; repeating it writes nothing.
+
+    Of the table only the folders of the streams and days that the batch has are read, however far apart they lie. The batch and what is new of it are
+    written to the shared folder first, as both are read more than once.
+    """
     spark = alerts.sparkSession
-    rows = alert_rows(alerts)
-    # Two dates bound the days to look at, so the table scan prunes to them.
-    first, last, came, errors = rows.agg(
-        F.min("day"), F.max("day"), F.count(F.lit(1)), F.count_if(F.coalesce("alert_id", F.lit("")) == "")
-    ).first()
+    rows = stage(alert_rows(alerts), "batch")
+    came, errors = rows.agg(F.count(F.lit(1)), F.count_if(F.coalesce("alert_id", F.lit("")) == "")).first()
+    days = [tuple(r) for r in rows.select(*LAYOUT).distinct().dropna().collect()]
     if not came:
         return Written(0, 0, 0)
-    stored = None
-    if _exists(spark, path):
-        stored = spark.read.schema(rows.schema).parquet(path).filter(F.col("day").between(first, last))
-    fresh = new_rows(rows, stored).persist()
-    try:
-        written = fresh.count()
-        # Balanced files per day, whatever a day holds; sorted, so lookups by pk skip row groups.
-        if written:
-            fresh.hint("rebalance", *LAYOUT).sortWithinPartitions(*LAYOUT, "pk", "sk").write.mode(
-                "append"
-            ).partitionBy(*LAYOUT).parquet(path)
-    finally:
-        fresh.unpersist()
+    fresh = stage(new_rows(rows, stored_rows(spark, path, days, rows.schema)), "fresh")
+    written = fresh.count()
+    # Balanced files per day, whatever a day holds; sorted, so lookups by pk skip row groups.
+    if written:
+        fresh.hint("rebalance", *LAYOUT).sortWithinPartitions(*LAYOUT, "pk", "sk").write.mode("append").partitionBy(*LAYOUT).parquet(path)
     return Written(written, came - errors - written, errors)
 
 
@@ -107,11 +111,7 @@ def insert_batches(path: str, report: Callable[[int, Written], None] | None = No
     rows stored, so at-least-once delivery leaves each alert once."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            result = insert(batch, path)
-        finally:
-            batch.unpersist()
+        result = insert(batch, path)
         if report:
             report(batch_id, result)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,7 @@ from tidemark.functions.cases import per_stream
 from tidemark.functions.once import once
 from tidemark.functions.scalars import is_terminal, parse_state_key, state_key
 from tidemark.operators.frames import _us, blocked, check_in_order, prepare, stall_deadline, with_resets
+from tidemark.operators.staging import stage
 from tidemark.operators.validate import split_valid
 from tidemark.profiles import Profile, by_stream, micros
 
@@ -124,6 +126,30 @@ def compact(log: DataFrame, streams: Iterable[str]) -> DataFrame:
     return newest.filter(F.size(F.coalesce("points", F.array())) > 0)
 
 
+@dataclass(frozen=True)
+class Compacted:
+    """The current snapshots by the records up to and including offset ``upto``."""
+
+    rows: DataFrame
+    upto: int
+
+
+def advance(done: Compacted | None, log: DataFrame, streams: Iterable[str]) -> Compacted:
+    """``done`` brought up to the end of ``log``, of which only what came after ``done.upto`` is read; repeating it changes nothing.
+
+    Offsets grow along the log. A record that deletes a key removes it from the result and is then no longer needed: what is read later is newer.
+    The result is written to the shared folder.
+    """
+    tail = log if done is None else log.filter(F.col("offset") > done.upto)
+    newest = tail.agg(F.max("offset")).first()[0]
+    if newest is None and done is not None:
+        return done
+    changes = decode(tail).filter(F.col("stream").isin(*streams)).select("stream", "id", "points", "written", "offset")
+    rows = changes if done is None else done.rows.unionByName(changes)
+    current = latest(rows, ["stream", "id"], F.col("offset"), ["points", "written", "offset"])
+    return Compacted(stage(current.filter(F.size(F.coalesce("points", F.array())) > 0), "compacted"), -1 if newest is None else newest)
+
+
 def seeds(compacted: DataFrame) -> DataFrame:
     """Warm-start rows for ``streaming.detector.detect_stream``."""
     point = lambda p: F.struct(

@@ -43,8 +43,14 @@ def tumbling(inputs: DataFrame, size: timedelta = timedelta(seconds=10)) -> Data
     )
 
 
+def closed(metrics: DataFrame, inputs: DataFrame, grace: timedelta = timedelta(seconds=5)) -> DataFrame:
+    """Windows that no row can join any more: the newest time of ``inputs`` is ``grace`` past their end. The stream emits them by the same rule."""
+    mark = inputs.agg((F.max("at") - F.expr(f"INTERVAL {micros(grace) / 1e6:.6f} SECOND")).alias("mark"))
+    return metrics.join(F.broadcast(mark), F.col("window_end") <= F.col("mark")).drop("mark")
+
+
 def latest_windows(metrics: DataFrame) -> DataFrame:
-    """The newest closed window of each stream."""
+    """The newest window of each stream; of ``closed`` ones the newest that is final."""
     rest = [c for c in metrics.columns if c != "stream"]
     newest = F.max_by(F.struct(*rest), F.col("window_end"))
     return metrics.groupBy("stream").agg(newest.alias("w")).select("stream", "w.*")

@@ -14,7 +14,7 @@ from datetime import datetime, timedelta
 from functools import cached_property
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.cases import per_stream
@@ -249,15 +249,36 @@ class Replay:
     def candidates(self) -> DataFrame:
         return write_up(self.hits, self.profiles)
 
+    @cached_property
+    def _run(self) -> tuple[DataFrame, Observation]:
+        """The hits written once, and what the run that wrote them counted on its way."""
+        flow = Observation("replay")
+        kind = lambda name: F.count_if(F.col("kind") == name)
+        frames = self.frames.observe(flow, kind("event").alias("judged"), kind("late").alias("late"), kind("stall").alias("swept"))
+        return numbered(hits(judged(frames), self.profiles)), flow
+
     @cached_property
     def staged(self) -> DataFrame:
-        return numbered(self.hits)
+        return self._run[0]
+
+    @cached_property
+    def admitted(self) -> DataFrame:
+        return admit(self.staged, self.profiles)
 
     @cached_property
     def alerts(self) -> DataFrame:
         from tidemark.plans.detect import as_alerts
 
-        return as_alerts(write_up(admit(self.staged, self.profiles), self.profiles))
+        return as_alerts(write_up(self.admitted, self.profiles))
+
+    @property
+    def counters(self) -> DataFrame:
+        """One row: processed (judged or late), alerted, suppressed, late, swept, invalid; the events are stepped through once."""
+        from tidemark.plans.detect import counted, seen
+
+        staged, flow = self._run
+        got = seen(flow, "judged", "late", "swept")
+        return counted({"processed": got["judged"] + got["late"], "late": got["late"], "swept": got["swept"]}, staged, self.admitted, self.invalid)
 
 
 def replay(

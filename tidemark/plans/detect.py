@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from datetime import datetime
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import alert_id
@@ -59,11 +60,18 @@ class Detection:
         """Everything the rules found, written up, before the cooldown; lazy."""
         return write_up(self.hits, self.profiles)
 
+    @cached_property
+    def _run(self) -> tuple[DataFrame, Observation]:
+        """The hits written once, and what the run that wrote them counted on its way."""
+        flow = Observation("detection")
+        frames = self.frames.observe(flow, F.count_if("own").alias("processed"), F.count_if("stalled").alias("swept"))
+        return numbered(hits(frames, self.profiles)), flow
+
     @cached_property
     def staged(self) -> DataFrame:
         """The hits written once to the shared folder: the cooldown reads them more than
         once, and the rules should not run again for that."""
-        return numbered(self.hits)
+        return self._run[0]
 
     @cached_property
     def admitted(self) -> DataFrame:
@@ -76,22 +84,31 @@ class Detection:
 
     @property
     def counters(self) -> DataFrame:
-        """One row: processed, alerted, suppressed, late, invalid."""
-        zero = F.lit(0).cast("long")
-        def tally(df, **on):
-            return df.agg(F.count(F.lit(1)).alias("n")).select(
-                *[(F.col("n") if on.get(c) else zero).alias(c) for c in ("processed", "alerted", "found", "late", "invalid")]
-            )
-        parts = (
-            tally(self._split[0], processed=True)
-            .unionByName(tally(self.admitted, alerted=True))
-            .unionByName(tally(self.staged.filter("rule != ''"), found=True))
-            .unionByName(tally(self.invalid, invalid=True))
-        )
-        total = parts.agg(*[F.sum(c).alias(c) for c in parts.columns])
-        return total.select(
-            "processed", "alerted", (F.col("found") - F.col("alerted")).alias("suppressed"), "late", "invalid"
-        )
+        """One row: processed, alerted, suppressed, late, swept, invalid. What was processed and swept the run itself has counted; only rejected
+        events, which it does not see, are counted apart."""
+        staged, flow = self._run
+        return counted(seen(flow, "processed", "swept") | {"late": 0}, staged, self.admitted, self.invalid)
+
+
+def seen(flow: Observation, *names: str) -> dict[str, int]:
+    """What an observation has counted. A run over no rows at all may be planned away with its counters."""
+    try:
+        return flow.get
+    except Py4JJavaError:
+        return dict.fromkeys(names, 0)
+
+
+def counted(flow: Mapping[str, int], staged: DataFrame, admitted: DataFrame, invalid: DataFrame) -> DataFrame:
+    """The counters of a run from its observed ``flow`` and the tables it has written."""
+    names = ("alerted", "found", "invalid")
+    def tally(df, name):
+        return df.agg(F.count(F.lit(1)).alias("n")).select(*[(F.col("n") if c == name else F.lit(0).cast("long")).alias(c) for c in names])
+    parts = tally(admitted, "alerted").unionByName(tally(staged.filter("rule != ''"), "found")).unionByName(tally(invalid, "invalid"))
+    total = parts.agg(*[F.sum(c).alias(c) for c in names])
+    observed = {c: F.lit(flow[c]).cast("long").alias(c) for c in ("processed", "late", "swept")}
+    return total.select(
+        observed["processed"], "alerted", (F.col("found") - F.col("alerted")).alias("suppressed"), observed["late"], observed["swept"], "invalid"
+    )
 
 
 def detect(

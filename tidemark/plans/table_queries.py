@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.operators import alert_table, changelog, stats, window_stats as ws
 from tidemark.operators.frames import event_frames
-from tidemark.operators.metrics import latest_windows, tumbling
+from tidemark.operators.metrics import closed, latest_windows, tumbling
 from tidemark.operators.replay import late_arrivals, replay
 from tidemark.operators.segments import numbered_segments
 from tidemark.operators.staging import shared_folder
@@ -213,6 +213,11 @@ def replayed_alerts(spark, sf_dir):
     )
 
 
+@query
+def replay_counters(spark, sf_dir):
+    return replay(in_arrival_order(events(spark, sf_dir)), PROFILES, AS_OF).counters
+
+
 def run_to_table(df: DataFrame, name: str) -> DataFrame:
     """Run a streaming frame over what is there and return what it wrote."""
     spark = df.sparkSession
@@ -261,7 +266,8 @@ def tumbling_metrics(spark, sf_dir):
 
 @query
 def latest_window(spark, sf_dir):
-    return windows(latest_windows(tumbling(events(spark, sf_dir), timedelta(hours=6))))
+    rows = events(spark, sf_dir)
+    return windows(latest_windows(closed(tumbling(rows, timedelta(hours=6)), rows, timedelta(hours=1))))
 
 
 @query
@@ -422,6 +428,15 @@ def compact_changelog(spark, sf_dir):
     return out.select("stream", "id", "offset", F.col("points")[0]["id"].alias("point_id"), ntz("written"))
 
 
+@query
+def compact_in_steps(spark, sf_dir):
+    """The same from a first part of the log, and then twice from what was appended since."""
+    log, done = state_log(spark, sf_dir), None
+    for upto in (1000, 5000, None):
+        done = changelog.advance(done, log if upto is None else log.filter(F.col("offset") < upto), BY_STREAM)
+    return done.rows.select("stream", "id", "offset", F.col("points")[0]["id"].alias("point_id"), ntz("written"))
+
+
 @query
 def warm_start(spark, sf_dir):
     """The change log of the windows at one time, read back as detector state."""

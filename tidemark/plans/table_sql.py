@@ -266,7 +266,7 @@ SQL["engine_counters"] = f"""
 WITH RECURSIVE {FAULTY}
 SELECT (SELECT count(*) FROM ev) AS processed, (SELECT count(*) FROM admitted) AS alerted,
   (SELECT count(*) FROM cand) + (SELECT count(*) FROM st) - (SELECT count(*) FROM admitted) AS suppressed,
-  CAST(0 AS BIGINT) AS late, (SELECT count(*) FROM events WHERE event_id % 50 IN (7, 11, 13, 17)) AS invalid"""
+  CAST(0 AS BIGINT) AS late, (SELECT count(*) FROM st) AS swept, (SELECT count(*) FROM events WHERE event_id % 50 IN (7, 11, 13, 17)) AS invalid"""
 # On a stream, silence is known once the watermark, an hour behind, has passed it.
 TILL_MARK = "us + after <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - " + str(HOUR)
 SQL["streamed_alerts"] = "WITH RECURSIVE " + ALL_RULES.replace(
@@ -289,7 +289,8 @@ def metrics(source: str, hours: int) -> str:
 MET = "stream, window_start, window_start + INTERVAL {h} HOUR AS window_end, count, sum, mean, min, max, per_second"
 SQL["tumbling_metrics"] = f"WITH {EV}, {metrics('ev', 6)} SELECT {MET.format(h=6)} FROM met"
 SQL["latest_window"] = f"""WITH {EV}, {metrics('ev', 6)}
-SELECT {MET.format(h=6)} FROM met m WHERE window_start = (SELECT max(window_start) FROM met x WHERE x.stream = m.stream)"""
+SELECT {MET.format(h=6)} FROM met m WHERE window_start = (SELECT max(window_start) FROM met x
+  WHERE x.stream = m.stream AND x.window_start + INTERVAL 6 HOUR <= (SELECT max("at") FROM ev) - INTERVAL 1 HOUR)"""
 GOOD = EV + """,
 good AS (SELECT stream, date_trunc('millisecond', "at") AS "at", value FROM ev WHERE n % 40 NOT IN (3, 5, 9, 15, 21))"""
 SQL["streamed_metrics"] = f"""WITH {GOOD}, {metrics('good', 24)}
@@ -457,3 +458,5 @@ FROM numbered JOIN fold USING (key, epoch, i) WHERE ok
 UNION ALL
 SELECT 'stall', stream, key, "at", make_timestamp(due), 'info', 'Sensor offline', {STALL_TEXT}, id, TRUE FROM st WHERE stream = 'sensors'
 """
+
+SQL["compact_in_steps"] = SQL["compact_changelog"]
