@@ -460,3 +460,118 @@ SELECT 'stall', stream, key, "at", make_timestamp(due), 'info', 'Sensor offline'
 """
 
 SQL["compact_in_steps"] = SQL["compact_changelog"]
+
+# In arrival order: each step of a recursive query takes one more arrival of every key, with the key's points, mark and stall cooldown as its state.
+
+SEQ = "(n + (n * 7919) % 499) * 10000 + n % 10000"
+DUE = (
+    "least(greatest(pts[-1].us + after, until), CASE WHEN held < 1 THEN pts[-1].us + after WHEN held < 2 THEN pts[-1].us + CAST(ceil(after * 1.25) AS BIGINT) "
+    "WHEN held < 3 THEN pts[-1].us + 2 * after END)"
+)
+GRADE = "CASE WHEN due - pts[-1].us >= 2 * after THEN 3 WHEN (due - pts[-1].us) * 4 >= after * 5 THEN 2 ELSE 1 END"
+POINT = "STRUCT(us BIGINT, seq BIGINT, id VARCHAR, value DOUBLE, k INT)"
+REPLAY = EV + f""",
+arrival AS (
+  SELECT *, {SEQ} AS seq, {CAP} AS cap, {AFTER} AS after, {GRACE} AS grace, row_number() OVER (PARTITION BY stream, key ORDER BY {SEQ}) AS i FROM ev
+),
+walk AS (
+  SELECT stream, key, 0::BIGINT AS i, []::{POINT}[] AS pts, NULL::BIGINT AS mark, NULL::BIGINT AS clock, 0::BIGINT AS until, 0 AS held,
+    NULL::BIGINT AS n, NULL::BIGINT AS us, NULL::DOUBLE AS value, NULL::INT AS k, NULL::BIGINT AS seq, FALSE AS late, FALSE AS terminal,
+    NULL::{POINT}[] AS win, NULL::{POINT} AS prev, NULL::{POINT} AS silent, NULL::BIGINT AS due, NULL::INT AS grade
+  FROM (SELECT DISTINCT stream, key FROM arrival)
+  UNION ALL
+  SELECT stream, key, i, CASE WHEN terminal AND NOT late THEN [] ELSE pts END, CASE WHEN terminal AND NOT late THEN NULL ELSE mark END, clock,
+    CASE WHEN terminal AND NOT late THEN 0 ELSE until END, CASE WHEN terminal AND NOT late THEN 0 ELSE held END,
+    n, us, value, k, seq, late, terminal, CASE WHEN NOT late THEN list_filter(pts, lambda x: x.us >= mark - {SIZE}) END,
+    CASE WHEN NOT late THEN list_filter(pts, lambda x: x.us <= us AND x.seq <> seq)[-1] END, silent, due, grade
+  FROM (
+    SELECT * REPLACE (CASE WHEN late THEN pts ELSE list_sort(list_filter(list_append(pts, {{'us': us, 'seq': seq, 'id': id, 'value': value, 'k': k}}), lambda x: x.us >= mark - {SIZE} - grace))[-cap:] END AS pts)
+    FROM (
+      SELECT *, us < mark - {SIZE} - grace AS late FROM (
+        SELECT * REPLACE (CASE WHEN stalls THEN us ELSE greatest(coalesce(mark, us), us) END AS mark, CASE WHEN stalls THEN [] ELSE pts END AS pts,
+          CASE WHEN stalls THEN due + {DAY} ELSE until END AS until, CASE WHEN stalls THEN grade ELSE held END AS held,
+          CASE WHEN stalls THEN due END AS due, CASE WHEN stalls THEN grade END AS grade), CASE WHEN stalls THEN pts[-1] END AS silent
+        FROM (
+          SELECT *, due <= clock AS stalls, {GRADE} AS grade FROM (
+            SELECT e.stream, e.key, e.i, e.n, e.id, e.us, e.value, e.k, e.seq, e.terminal, e.cap, e.after, e.grace, w.pts, w.mark, w.until, w.held,
+              greatest(coalesce(w.clock, e.us), e.us) AS clock, CASE WHEN len(pts) > 0 AND after IS NOT NULL THEN {DUE} END AS due
+            FROM walk w JOIN arrival e ON e.stream = w.stream AND e.key = w.key AND e.i = w.i + 1
+          )
+        )
+      )
+    )
+  )
+),
+ended AS (
+  SELECT *, {GRADE} AS grade FROM (
+    SELECT w.stream, w.key, w.pts, a.after, CASE WHEN len(pts) > 0 AND after IS NOT NULL THEN {DUE} END AS due
+    FROM walk w JOIN arrival a ON a.stream = w.stream AND a.key = w.key AND a.i = w.i
+    WHERE w.i = (SELECT max(i) FROM arrival x WHERE x.stream = w.stream AND x.key = w.key)
+  ) WHERE due <= epoch_us(TIMESTAMP '2024-02-01')
+),
+silence AS (
+  SELECT 'stall' AS rule, *, due - last.us AS idle, {AFTER} AS after FROM (
+    SELECT stream, key, silent AS last, due, grade FROM walk WHERE silent IS NOT NULL UNION ALL SELECT stream, key, pts[-1], due, grade FROM ended
+  )
+),
+seen AS (
+  SELECT stream, key, CAST(n AS VARCHAR) AS id, n, us, make_timestamp(us) AS "at", value, k, seq, clock, win, prev, {GRACE} AS grace,
+    coalesce(sum(CASE WHEN terminal AND NOT late THEN 1 END) OVER (PARTITION BY stream, key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch,
+    late
+  FROM walk WHERE i > 0
+),
+frame AS (SELECT * FROM seen WHERE NOT late),
+vel1 AS (
+  SELECT *, CASE WHEN span_us > 0 THEN round(count / (span_us / 1e6) * 100) / 100 ELSE 0 END AS per_second FROM (
+    SELECT *, {VELOCITY_MAX} AS most, len(win) AS count, win[-1].us - win[1].us AS span_us, win[-12:] AS picked FROM frame)
+),
+vel AS (SELECT *, 'velocity' AS rule, {sev('per_second', f'(most / {SIZE / 1e6})')} AS severity FROM vel1 WHERE count > most),
+geo1 AS (
+  SELECT *, us - prev.us AS took, prev.k * 1.6::DOUBLE - 80 AS alat, prev.k * 3.6::DOUBLE - 180 AS alon, k * 1.6::DOUBLE - 80 AS lat, k * 3.6::DOUBLE - 180 AS lon
+  FROM frame WHERE stream = 'payments' AND prev IS NOT NULL
+),
+geo2 AS (
+  SELECT *, CASE WHEN took = 0 THEN 'infinity'::DOUBLE ELSE km / (took / 3.6e9) END AS kmh FROM (
+    SELECT *, 2 * 6371 * asin(sqrt(least(1, power(sin(radians(lat - alat) / 2), 2) + cos(radians(alat)) * cos(radians(lat)) * power(sin(radians(lon - alon) / 2), 2)))) AS km FROM geo1)
+),
+geo AS (SELECT *, 'geovelocity' AS rule, {sev('kmh', '150')} AS severity, [prev, {{'us': us, 'seq': seq, 'id': id, 'value': value, 'k': k}}] AS picked FROM geo2 WHERE km >= 100 AND kmh > 150),
+z1 AS (
+  SELECT * EXCLUDE (k), abs(value - mean) AS delta, abs(value - mean) / sd AS z, CASE stream WHEN 'payments' THEN 1.5 ELSE 2.0 END AS k FROM (
+    SELECT *, len(win) - 1 AS samples, list_avg(list_transform(win[1:len(win) - 1], lambda x: x.value)) AS mean,
+      list_stddev_pop(list_transform(win[1:len(win) - 1], lambda x: x.value)) AS sd, win[-8:] AS picked FROM frame WHERE stream IN ('payments', 'sensors') AND len(win) > 1
+  ) WHERE sd > 0 AND samples >= CASE stream WHEN 'payments' THEN 2 ELSE 5 END
+),
+zs AS (SELECT *, 'zscore' AS rule, {sev('z', 'k')} AS severity FROM z1 WHERE z > k AND delta >= 1000 AND (stream = 'payments' OR value >= mean)),
+thr1 AS (
+  SELECT *, len(win) - broken AS samples, win[-1].us - win[broken + 1].us AS held, {HELD_AT_LEAST} AS need, win[broken + 1:][-12:] AS picked FROM (
+    SELECT *, coalesce(list_max(list_filter(range(1, len(win)), lambda j: NOT {BAD.format(v="win[j].value")})), 0) AS broken FROM frame WHERE {BAD.format(v="value")})
+),
+thr AS (SELECT *, 'threshold' AS rule, {sev('held', 'need')} AS severity FROM thr1 WHERE held >= need),
+cand AS (
+  SELECT rule, stream, key, id, clock, seq, "at", epoch, severity, picked, {VEL_TEXT} AS detail FROM vel UNION ALL
+  SELECT rule, stream, key, id, clock, seq, "at", epoch, severity, picked, {GEO_TEXT} AS detail FROM geo UNION ALL
+  SELECT rule, stream, key, id, clock, seq, "at", epoch, severity, picked, {Z_TEXT} AS detail FROM zs UNION ALL
+  SELECT rule, stream, key, id, clock, seq, "at", epoch, severity, picked, {THR_TEXT} AS detail FROM thr
+),
+numbered AS (
+  SELECT *, CASE severity WHEN 'critical' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END AS rank, row_number() OVER (PARTITION BY stream, key, rule, epoch ORDER BY clock, seq) AS j FROM cand
+),
+fold AS (
+  SELECT stream, key, rule, epoch, j, TRUE AS ok, clock + {DAY} AS until, rank AS held FROM numbered WHERE j = 1
+  UNION ALL
+  SELECT c.stream, c.key, c.rule, c.epoch, c.j, c.clock >= f.until OR c.rank > f.held,
+    CASE WHEN c.clock >= f.until OR c.rank > f.held THEN c.clock + {DAY} ELSE f.until END, CASE WHEN c.clock >= f.until OR c.rank > f.held THEN c.rank ELSE f.held END
+  FROM fold f JOIN numbered c ON c.stream = f.stream AND c.key = f.key AND c.rule = f.rule AND c.epoch = f.epoch AND c.j = f.j + 1
+),
+admitted AS (
+  SELECT rule, stream, key, "at", make_timestamp(clock) AS detected_at, severity, array_to_string(list_transform(picked, lambda x: x.id), ',') AS event_ids, FALSE AS absence, detail
+  FROM numbered JOIN fold USING (stream, key, rule, epoch, j) WHERE ok
+  UNION ALL
+  SELECT rule, stream, key, make_timestamp(last.us), make_timestamp(due), CASE grade WHEN 3 THEN 'critical' WHEN 2 THEN 'warn' ELSE 'info' END, last.id, TRUE,
+    'no events for ' || {duration('idle')} || ' (expected within ' || {duration('after')} || ')' FROM silence
+)"""
+SQL["replayed_alerts"] = f"WITH RECURSIVE {REPLAY} {ALERTS}"
+SQL["replay_counters"] = f"""WITH RECURSIVE {REPLAY}
+SELECT (SELECT count(*) FROM ev) AS processed, (SELECT count(*) FROM admitted) AS alerted,
+  (SELECT count(*) FROM cand) + (SELECT count(*) FROM silence) - (SELECT count(*) FROM admitted) AS suppressed,
+  (SELECT count(*) FROM seen WHERE late) AS late, (SELECT count(*) FROM silence) AS swept, CAST(0 AS BIGINT) AS invalid"""
