@@ -101,7 +101,7 @@ def raw_records(rows: DataFrame) -> DataFrame:
     """The events as JSON log records, some of them broken."""
     n = F.col("id").cast("long")
     m = n % 40
-    body = F.to_json(F.struct("id", "stream", "key", rfc3339(F.col("at")).alias("at"), "value"))
+    body = F.to_json(F.struct("id", "stream", "key", rfc3339(F.col("at")).alias("at"), "value", "unit", "geo", "labels"))
     broken = (
         F.when(m == 3, F.lit('{"broken":'))
         .when(m == 5, F.concat(F.lit('{"id":'), n, F.lit("}")))

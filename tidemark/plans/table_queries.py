@@ -24,7 +24,7 @@ from tidemark.plans.events_table import (
 )
 from tidemark.profiles import by_stream
 from tidemark.sources.envelopes import open_envelopes
-from tidemark.sources.records import decode_events, encode_alerts
+from tidemark.sources.records import closed_windows, decode_events, encode_alerts, encode_metrics
 from tidemark.streaming.detector import detect_stream
 from tidemark.streaming.metrics import metrics_stream
 
@@ -64,6 +64,23 @@ def validate_split(spark, sf_dir):
     return judged.select("event_id", F.coalesce("reason", F.lit("valid")).alias("reason"))
 
 
+@query
+def no_profile(spark, sf_dir):
+    """With a profile for one stream alone."""
+    judged = with_reason(with_faults(events(spark, sf_dir)), by_stream(PROFILES[:1]))
+    return judged.select("event_id", F.coalesce("reason", F.lit("valid")).alias("reason"))
+
+
+@query
+def decoded_events(spark, sf_dir):
+    """Every field of the records that can be read."""
+    valid, _ = split_valid(decode_events(raw_records(events(spark, sf_dir))), BY_STREAM)
+    return valid.select(
+        "offset", "id", "stream", "key", ntz("at"), "value", "unit", F.col("geo.lat").alias("lat"), F.col("geo.lon").alias("lon"),
+        F.col("geo.place").alias("place"), S.label(F.col("labels"), "status").alias("status"),
+    )
+
+
 @query
 def dead_letter_records(spark, sf_dir):
     decoded = decode_events(raw_records(events(spark, sf_dir)))
@@ -264,6 +281,16 @@ def tumbling_metrics(spark, sf_dir):
     return windows(tumbling(events(spark, sf_dir), timedelta(hours=6)))
 
 
+@query
+def metrics_log(spark, sf_dir):
+    """Closed windows as records keyed by stream, empty records among them, and read back."""
+    written = encode_metrics(tumbling(events(spark, sf_dir), timedelta(hours=6)))
+    log = written.unionByName(written.select("key", F.lit("").alias("value")))
+    fields = "windowStart timestamp, windowEnd timestamp, count long, sum double, mean double, min double, max double, perSecond double"
+    read = closed_windows(log).select(F.col("key").alias("stream"), F.from_json("value", fields).alias("w")).select("stream", "w.*")
+    return windows(read.withColumnsRenamed({"windowStart": "window_start", "windowEnd": "window_end", "perSecond": "per_second"}))
+
+
 @query
 def latest_window(spark, sf_dir):
     rows = events(spark, sf_dir)
@@ -473,6 +500,12 @@ def state_keys(spark, sf_dir):
     return rows.select(made.alias("state_key"), back["stream"].alias("stream"), back["id"].alias("entity"))
 
 
+@query
+def alert_ids(spark, sf_dir):
+    made = S.alert_id(F.col("rule"), F.col("stream"), F.col("key"), F.col("id"))
+    return alert_history(events(spark, sf_dir)).select("id", made.alias("made"))
+
+
 @query
 def distances(spark, sf_dir):
     geo = F.col("geo")

@@ -342,11 +342,11 @@ SELECT trunc(eps * 10 + 0.5) / 10 AS events_per_second, trunc(aps * 10 + 0.5) /
   (SELECT count(*) FROM met) AS windows FROM s, lat"""
 SQL["flow_counters"] = f"""
 WITH {HIST}, g AS (SELECT * FROM ev WHERE n % 40 NOT IN (3, 5, 9, 15, 21)),
-last AS (SELECT stream, key, max(us) AS us FROM g GROUP BY ALL)
+last AS (SELECT stream, key, max(us) AS us, arg_max(terminal, us) AS finished FROM g GROUP BY ALL)
 SELECT (SELECT count(*) FROM ev) AS consumed, (SELECT count(*) FROM ev WHERE n % 40 IN (3, 5, 9, 15, 21)) AS dead_letters,
   (SELECT count(*) FROM al) AS alerts,
   (SELECT usable // 1000 FROM al WHERE usable IS NOT NULL ORDER BY detected_at DESC, id DESC LIMIT 1) AS latency_ms,
-  (SELECT count(*) FROM last WHERE coalesce(us + {AFTER} > epoch_us(TIMESTAMP '2024-02-01'), TRUE)) AS live_keys"""
+  (SELECT count(*) FROM last WHERE NOT finished AND coalesce(us + {AFTER} > epoch_us(TIMESTAMP '2024-02-01'), TRUE)) AS live_keys"""
 
 # Alert storage.
 
@@ -575,3 +575,22 @@ SQL["replay_counters"] = f"""WITH RECURSIVE {REPLAY}
 SELECT (SELECT count(*) FROM ev) AS processed, (SELECT count(*) FROM admitted) AS alerted,
   (SELECT count(*) FROM cand) + (SELECT count(*) FROM silence) - (SELECT count(*) FROM admitted) AS suppressed,
   (SELECT count(*) FROM seen WHERE late) AS late, (SELECT count(*) FROM silence) AS swept, CAST(0 AS BIGINT) AS invalid"""
+
+
+SQL["no_profile"] = f"""
+WITH {EV}
+SELECT n AS event_id, CASE WHEN n % 50 = 7 THEN 'invalid event: empty id' WHEN n % 50 = 13 THEN 'invalid event: unknown stream "telemetry"'
+  WHEN n % 50 = 11 THEN 'invalid event: empty key' WHEN n % 50 = 17 THEN 'invalid event: zero event time'
+  WHEN stream <> 'payments' THEN 'invalid event: no profile for stream "' || stream || '"' ELSE 'valid' END AS reason FROM ev
+"""
+SQL["decoded_events"] = f"""
+WITH {EV}
+SELECT n AS "offset", id, stream, key, "at", value, {UNIT} AS unit, CASE WHEN stream <> 'video' THEN k * 1.6::DOUBLE - 80 END AS lat,
+  CASE WHEN stream <> 'video' THEN k * 3.6::DOUBLE - 180 END AS lon, CASE WHEN stream <> 'video' THEN '' END AS place,
+  CASE WHEN terminal THEN 'done' ELSE 'running' END AS status
+FROM ev WHERE n % 40 NOT IN (3, 5, 9, 15, 21)
+"""
+SQL["metrics_log"] = SQL["tumbling_metrics"]
+SQL["alert_ids"] = f"""
+WITH {HIST} SELECT id, substr(sha256(to_json([rule, stream, key, id])), 1, 32) AS made FROM hist
+"""
