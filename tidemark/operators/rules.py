@@ -78,7 +78,7 @@ class _Of:
     """Parameters of one kind of rule, the profile's first or a further one, by the stream of the row; null where it is not set."""
 
     def __init__(self, profiles: Mapping[str, Profile], kind: type, which: int = 0):
-        self.profiles = {n: p for n, p in profiles.items() if len(p.find(kind)) > which}
+        self.profiles = {n: p for n, p in profiles.items() if len(p.just(kind)) > which}
         self.kind, self.which = kind, which
 
     def __bool__(self) -> bool:
@@ -88,11 +88,11 @@ class _Of:
         return F.col("stream").isin(*self.profiles)
 
     def get(self, value: Callable[[Rule], object]) -> Column:
-        return per_stream(self.profiles, lambda p: value(p.find(self.kind)[self.which]), only_these=True)
+        return per_stream(self.profiles, lambda p: value(p.just(self.kind)[self.which]), only_these=True)
 
     def place(self) -> Column:
         """The rule's place in its profile."""
-        at = lambda p: [i for i, r in enumerate(p.active()) if isinstance(r, self.kind)][self.which]
+        at = lambda p: [i for i, r in enumerate(p.active()) if type(r) is self.kind][self.which]
         return per_stream(self.profiles, at, only_these=True)
 
     def column(self, name: str) -> str:
@@ -187,7 +187,8 @@ def _stall(frames: DataFrame, of: _Of) -> tuple[DataFrame, Finding]:
 
 
 # Evaluators by kind of rule: (frames, parameters) -> (frames with helper columns, finding).
-# A rule of your own is a dataclass with ``name`` and ``on``, and an entry here.
+# A rule of your own is a dataclass with ``name`` and ``on``, and an entry here. One that looks for silence extends ``Stall``: frames are
+# ``stalled`` where its ``after`` has passed, on every host, and its finding has ``absence``.
 EVALUATORS: dict[type, Callable[[DataFrame, _Of], tuple[DataFrame, Finding]]] = {
     Velocity: _velocity,
     GeoVelocity: _geovelocity,
@@ -199,7 +200,7 @@ EVALUATORS: dict[type, Callable[[DataFrame, _Of], tuple[DataFrame, Finding]]] =
 
 def _numbered(profiles: Mapping[str, Profile], kind: type) -> list[_Of]:
     """The first rule of a kind in each profile, then the second, and so on."""
-    return [_Of(profiles, kind, k) for k in range(max((len(p.find(kind)) for p in profiles.values()), default=0))]
+    return [_Of(profiles, kind, k) for k in range(max((len(p.just(kind)) for p in profiles.values()), default=0))]
 
 
 def _text(found: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
@@ -285,8 +286,9 @@ def hits(frames: DataFrame, profiles: Mapping[str, Profile], carry: Sequence[str
         frames = frames.withColumn("clock_us", F.col("at_us"))
     found = []
     for kind in {type(r): None for p in profiles.values() for r in p.active()}:
-        for of in _numbered({n: p for n, p in profiles.items() if kind is not Stall or p.stall}, kind):
-            frames, finding = EVALUATORS[kind](frames, of)
+        for of in _numbered({n: p for n, p in profiles.items() if not issubclass(kind, Stall) or p.stall}, kind):
+            evaluate = next(EVALUATORS[k] for k in kind.__mro__ if k in EVALUATORS)
+            frames, finding = evaluate(frames, of)
             found.append(finding.hit(of.which, of.place()))
     nothing = F.lit(None)
     found.append(Finding("", F.col("terminal"), nothing, nothing, nothing).hit())

@@ -7,11 +7,13 @@ hundredths: whole numbers, whose sums are exact in any order.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.rules import EVALUATORS, Finding
 from tidemark.profiles import (
     PAYMENTS, SENSORS, VIDEO, GeoVelocity, Profile, Stall, Threshold, Velocity, ZScore,
 )
@@ -31,9 +33,26 @@ PROFILES = (
             sweep_every=_h(1)),
 )
 
-#: A high and a low bound on one stream.
+
+@dataclass(frozen=True)
+class Offline(Stall):
+    """Silence with a sentence of its own."""
+
+    name: str = field(default="offline", init=False)
+
+
+def _offline(frames: DataFrame, of) -> tuple[DataFrame, Finding]:
+    idle = (F.col("stall_us") - F.col("at_us")) / 1e6
+    return frames, Finding(
+        "offline", of.here() & F.col("stalled"), idle, of.get(lambda r: r.after.total_seconds()), F.array("id"), absence=True,
+        detail=F.concat(F.lit("last value "), F.col("value").cast("long")), evidence=F.to_json(F.struct("value")),
+    )
+
+
+EVALUATORS[Offline] = _offline
+#: A high and a low bound on one stream, and a sweeper of our own.
 BOUNDS = (
-    Profile(SENSORS, _d(7), _h(3), 8, _d(1), (Threshold(2000, True, _h(24)), Threshold(3000, False, _h(12)), Stall(_d(3))), sweep_every=_h(1)),
+    Profile(SENSORS, _d(7), _h(3), 8, _d(1), (Threshold(2000, True, _h(24)), Threshold(3000, False, _h(12)), Offline(_d(3))), sweep_every=_h(1)),
 )
 
 

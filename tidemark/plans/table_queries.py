@@ -205,7 +205,7 @@ def alerts(spark, sf_dir):
 
 @query
 def several_bounds(spark, sf_dir):
-    """A stream with two rules of one kind, which share a cooldown."""
+    """A stream with two rules of one kind, which share a cooldown, and a sweeper that is not the library's."""
     rows = events(spark, sf_dir).filter(F.col("stream") == "sensors")
     return detect(rows, BOUNDS, AS_OF).alerts.select(
         "rule", "stream", "key", ntz("at"), ntz("detected_at"), "severity", "title", "detail", ids(), "absence",

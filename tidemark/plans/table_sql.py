@@ -456,7 +456,7 @@ fold AS (
 SELECT 'threshold' AS rule, stream, key, "at", "at" AS detected_at, severity, 'Threshold exceeded' AS title, detail, event_ids, FALSE AS absence
 FROM numbered JOIN fold USING (key, epoch, i) WHERE ok
 UNION ALL
-SELECT 'stall', stream, key, "at", make_timestamp(due), 'info', 'Sensor offline', {STALL_TEXT}, id, TRUE FROM st WHERE stream = 'sensors'
+SELECT 'offline', stream, key, "at", make_timestamp(due), 'info', 'offline', 'last value ' || CAST(value AS BIGINT), id, TRUE FROM st WHERE stream = 'sensors'
 """
 
 SQL["compact_in_steps"] = SQL["compact_changelog"]

@@ -104,6 +104,10 @@ class Profile:
     def find(self, kind: type) -> list[Rule]:
         return [r for r in self.active() if isinstance(r, kind)]
 
+    def just(self, kind: type) -> list[Rule]:
+        """Rules of this kind and not of one that extends it."""
+        return [r for r in self.active() if type(r) is kind]
+
     @property
     def stall(self) -> Stall | None:
         """The absence rule, if this stream is swept for it."""
