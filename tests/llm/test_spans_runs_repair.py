@@ -239,3 +239,25 @@ def test_repaired_messages(spark, talk, monkeypatch):
 def test_conversation_repair_of_nothing(spark, tmp_path):
     sf_dir = repaired_dir(tmp_path, [])
     assert Q.QUERIES["op13_conversation_repair"](spark, sf_dir).count() == 0
+
+
+# The held-out fold of the quality classifier
+
+def test_labels_of_the_held_out_fold_are_not_read(spark, tmp_path):
+    import zlib
+
+    given = pq.read_table("/root/testdata/sf0.001/labels.parquet")
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet")
+    kept_out = [zlib.crc32(str(i).encode()) % 4 == 2 for i in given.column("doc_id").to_pylist()]
+    scores = []
+    for flip in (False, True):
+        folder = tmp_path / str(flip)
+        folder.mkdir()
+        quality = [1 - q if flip and out else q for q, out in zip(given.column("quality").to_pylist(), kept_out)]
+        at = given.schema.get_field_index("quality")
+        pq.write_table(given.set_column(at, given.schema.field(at), pa.array(quality, given.schema.field(at).type)), folder / "labels.parquet")
+        pq.write_table(docs, folder / "documents.parquet")
+        scores.append({r.doc_id: (r.held_out, r.score, r.predicted) for r in Q.QUERIES["op6_quality_classifier"](spark, str(folder)).collect()})
+    assert any(kept_out) and scores[0] == scores[1] and len(scores[0]) == docs.num_rows
+    for i, (out, score, predicted) in scores[0].items():
+        assert out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= score <= 1 and predicted == (score >= 0.7)
