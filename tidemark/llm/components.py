@@ -11,8 +11,8 @@ from tidemark.operators.staging import stage
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of ``links`` (a, b); the label is one node of its component.
 
-    Each round sends a node to its smallest neighbour (itself included) and keeps the links between the images, so at least
-    half of the nodes that still have links go. The rounds are then read backwards. Null ends and loops are left out; an
+    Each round sends a node to its smallest neighbour (itself included) and keeps the links between the images. With labels in random order, as digests
+    are, a share of the nodes goes each round; along a path in label order one node would, so pass digests. The rounds are then read backwards. Null ends and loops are left out; an
     empty input gives an empty result. Every round is written to the shared folder, so that a lost executor costs
     one round at most.
     """
