@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch where rows carry texts or sets. JVM and worker both hold a batch and what is made of it.
+BATCH_ROWS = 1000
 #: Rows up to which the smaller side of a join is broadcast; it is counted first.
 BROADCAST_ROWS = 500_000
 
@@ -47,3 +49,10 @@ def by_bucket(df: DataFrame, n: int) -> DataFrame:
 def small_or_shuffled(side: DataFrame) -> DataFrame:
     """``side`` with a broadcast hint if it has few rows; else Spark shuffles both sides. Counts it, so pass a written table."""
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows at most, from here on in this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(now, BATCH_ROWS) if now > 0 else BATCH_ROWS))

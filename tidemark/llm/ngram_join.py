@@ -3,44 +3,52 @@
 Two documents link when their sets of k-word shingles reach the Jaccard threshold. Every link between different sets
 is found, except where both ends are already known to be in one component; what is returned are components.
 
-1. A fixed-size count sketch over all shingles tells common from rare ones. It only fixes an order in which shingles are
-   taken, the same for all documents, so it cannot change a result.
+1. A count sketch over all shingles gives each a level of frequency. It only fixes an order in which shingles are taken,
+   rare ones first and the same for all documents, so it cannot change a result.
 2. Each set keeps its first ``n - ceil(t * n) + 1`` shingles in that order. Sets that link share one of these.
 3. The shingles of least hash in each set give star links, which collapse groups of near copies after an exact check.
-4. The kept shingles give groups; groups with the same smallest member are joined, so that a family of copies meets once and not
-   once for each shingle it shares. A group whose sets lie in different components is sorted by size and cut into
-   blocks; pairs of blocks with compatible sizes are tiles, dealt to tasks one by one, so a large group is not one task's work.
-   In a first round a tile gives each set one pair with each other component alone, which joins what is left of a
-   group of copies; the second round, over the components there are then, is complete.
-5. In a tile, bitmaps of hashed shingles bound each overlap from above: a bit that only one side has is an element that
+4. The kept shingles give groups, made once. Those whose sets lie in different components are written; groups with the same
+   smallest member are joined, so that a family of copies meets once and not once for each shingle it shares.
+5. Rounds follow. A group with several components is ordered by size over all tasks and cut into blocks; pairs of blocks with
+   compatible sizes are tiles, dealt one by one, so that a large group is not one task's work. In the first rounds each component
+   proposes a few pairs, the best by the bound, and what holds is contracted: a round has so many pairs times the components.
+   The last round, over the components there are then, takes every pair, and so is complete.
+6. In a tile, bitmaps of hashed shingles bound each overlap from above: a bit that only one side has is an element that
    the other lacks. Only pairs that can still reach the threshold are intersected exactly.
 
-Equal sets are one class from the start, whatever their number.
+Equal sets are one class from the start, whatever their number. The number of shuffle partitions grows with the shingles.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.exchange import PACKED, by_bucket, n_buckets, packed, small_or_shuffled, unpacked
+from tidemark.llm.exchange import PACKED, by_bucket, n_buckets, packed, short_batches, small_or_shuffled, unpacked
 from tidemark.llm.textbytes import mix, shingle_sets
 from tidemark.operators.staging import stage
 
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 SKETCH_SLOT = 1 << 14
-#: A counter above so many times the mean, and this many more, marks its shingles as common. Chance alone does not reach it.
-COMMON_TIMES, COMMON_MORE = 2, 64
 STARS = 6
 #: Besides its smallest set, each set of a group is tried with those so many places further by size.
 NEIGHBOURS = (1, 2, 4)
 TILE_ROWS = 1024
 BLOCK_ROWS = 128
+#: Pairs that a component proposes in each round before the complete one.
+PROPOSALS = (2, 8, 32)
+#: Kept shingles that a task sorts at once, about.
+TASK_GRAMS = 1_000_000
+#: Kept shingles that are dealt at once, about.
+SENT_GRAMS = 100_000
 
-PREFIX = np.dtype([("gram", "<u4"), ("n", "<u4"), ("key", "<i8")])
+GRAM = np.dtype([("gram", "<u4"), ("n", "<u4"), ("key", "<i8"), ("label", "<i8")])
+PAIRS = "a long, b long, left long, right long, score double"
 
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100, keyed: bool = False) -> DataFrame:
@@ -55,21 +63,36 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     With ``keyed`` there are two more columns: text_key, a hash of the text, and component, which is one value in all rows of a
     component and in no other row, whatever their ids (null for a text without shingles).
     """
+    short_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     source = source.withColumn("text_key", F.xxhash64("text"))
-    common = _common(source, k)
-    table = stage(source.mapInArrow(_profiler(k, num, den, common), "id long, text_key long, n long, cid binary, key long, bits binary, prefix binary, least binary"), "sets")
-
-    stars = stage(_plausible(stage(_stars(table, num, den), "stars"), table, num, den), "stars")
-    links = stage(_checked(source, table, stars, k, num, den), "links")
-    for best in (True, False):
-        labels = stage(components(links), "labels")
-        pairs = stage(_tiles(table, labels, num, den, best), "pairs")
-        links = links.unionByName(stage(_checked(source, table, pairs, k, num, den), "links"))
-    labels = components(links)
+    levels = _levels(source, k)
+    table = stage(source.mapInArrow(_profiler(k, num, den, levels), "id long, text_key long, n long, cid binary, key long, bits binary, prefix binary, least binary"), "sets")
+
+    grams = table.agg(F.sum("n")).first()[0] or 0
+    buckets = max(n_buckets(table), -(-grams * (den - num) // (den * TASK_GRAMS)))
+
+    sets = stage(table.filter("n > 0").select("key", "cid", "n", "bits").dropDuplicates(["key"]), "distinct")
+    stars = stage(_plausible(stage(_stars(table, buckets, num, den), "stars"), sets, num, den), "stars")
+    nodes = stage(components(_checked(source, table, stars, k, num, den)), "nodes")
+    labels = _labels(sets, nodes)
+    groups = stage(_groups_of(table, labels, buckets, num, den), "groups")
+    rounds = [*PROPOSALS, None]
+    while rounds:
+        most = rounds.pop(0)
+        pairs = stage(_proposals(_tiles(groups, labels, sets, buckets, num, den), num, den, most), "pairs")
+        if pairs.isEmpty():
+            break
+        found = stage(_checked(source, table, pairs, k, num, den), "links")
+        if found.isEmpty():
+            rounds = rounds[-1:] if most else []
+            continue
+        # a component so far is a star around its label
+        nodes = stage(components(nodes.toDF("a", "b").unionByName(found)), "nodes")
+        labels = _labels(sets, nodes)
 
     classes = table.filter("n > 0").groupBy("cid").agg(F.min("id").alias("class_id"))
-    classes = stage(classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), "classes")
+    classes = stage(classes.join(nodes.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), "classes")
     tops = classes.groupBy("label").agg(F.min("class_id").alias("component_id"))
     named = classes.join(tops, "label").select("cid", "class_id", "component_id", "label")
     return table.select("id", "text_key", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(named, "cid", "left").select(
@@ -78,39 +101,47 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
-def _common(source: DataFrame, k: int) -> np.ndarray:
-    """A bit for each counter of the sketch: its shingles are common. 2 ** SKETCH_BITS bits, whatever the input."""
+def _levels(source: DataFrame, k: int) -> np.ndarray:
+    """A level of frequency from 0 to 15 for each counter of the sketch, two to a byte: 2 MB, whatever the input.
+
+    What chance alone puts into a counter is taken off first; a level is one more bit of what is left.
+    """
     slots = (1 << SKETCH_BITS) // SKETCH_SLOT
 
     def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.uint32)
+        total = np.zeros(1 << SKETCH_BITS, np.uint16)
         for batch in batches:
             for _, sets in shingle_sets(batch.column(0), k):
-                for s in sets:
-                    np.add.at(total, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        yield _slots(total.reshape(slots, SKETCH_SLOT).astype(np.uint64))
-
-    def _slots(total):
+                at = np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)
+                at, n = np.unique(at, return_counts=True)
+                total[at] = np.minimum(total[at] + n, 0xFFFF)
+        total = total.reshape(slots, SKETCH_SLOT)
         used = np.flatnonzero(total.any(axis=1))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int32()), pa.array([total[i].tobytes() for i in used], pa.binary())], ["bucket", "data"])
+        for lo in range(0, len(used), 32):
+            part = used[lo: lo + 32]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([total[i].tobytes() for i in part], pa.binary())], ["bucket", "data"])
 
     def add(batches):
         total = {}
         for b in batches:
             for slot, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                part = np.frombuffer(data, np.uint64)
-                total[slot] = total[slot] + part if slot in total else part
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["bucket", "data"])
+                part = np.frombuffer(data, np.uint16)
+                if slot in total:
+                    total[slot] += part
+                else:
+                    total[slot] = part.astype(np.uint64)
+        for slot, x in total.items():
+            mean = float(x.mean())
+            over = np.maximum(x.astype(np.int64) - int(max(0.0, mean - 2 * mean ** 0.5)), 0)
+            level = np.minimum(np.frexp(over.astype(np.float64))[1], 15).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([(level[::2] | level[1::2] << 4).tobytes()], pa.binary())], ["bucket", "data"])
 
     parts = source.select("text").mapInArrow(count, PACKED)
     summed = by_bucket(parts, min(slots, n_buckets(parts))).mapInArrow(add, PACKED)
-    total = np.zeros((slots, SKETCH_SLOT), np.uint64)
-    for slot, data in ((r.bucket, r.data) for r in summed.collect()):  # 8 MB, whatever the input
-        total[slot] = np.frombuffer(data, np.uint64)
-    total = total.ravel()
-    return np.packbits(total > COMMON_MORE + (COMMON_TIMES * int(total.sum()) >> SKETCH_BITS))
+    total = np.zeros((slots, SKETCH_SLOT // 2), np.uint8)
+    for r in summed.collect():  # 2 MB, whatever the input
+        total[r.bucket] = np.frombuffer(r.data, np.uint8)
+    return total.ravel()
 
 
 def _bits(s: np.ndarray) -> bytes:
@@ -121,9 +152,9 @@ def _bits(s: np.ndarray) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def _profiler(k: int, num: int, den: int, common: np.ndarray):
+def _profiler(k: int, num: int, den: int, levels: np.ndarray):
     def run(batches):
-        is_common = np.unpackbits(common).astype(bool)
+        level = np.stack([levels & 15, levels >> 4], axis=1).ravel()
         for batch in batches:
             ids = batch.column(0)
             for first, sets in shingle_sets(batch.column(1), k):
@@ -134,10 +165,9 @@ def _profiler(k: int, num: int, den: int, common: np.ndarray):
                     cids.append(digest.tobytes())
                     keys.append(int(digest.view(np.int64)[0]))
                     bits.append(_bits(s))
-                    late = is_common[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     size = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
-                    ordered = np.concatenate([s[~late], s[late]]) if late.any() else s
-                    prefixes.append(ordered[:size].tobytes())
+                    order = np.argsort(level[s >> np.uint64(64 - SKETCH_BITS)], kind="stable")
+                    prefixes.append(s[order[:size]].tobytes())
                     least.append(s[:STARS].tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, len(sets)).cast(pa.int64()), batch.column(2).slice(first, len(sets)), pa.array(n), pa.array(cids, pa.binary()), pa.array(keys, pa.int64()),
@@ -147,28 +177,26 @@ def _profiler(k: int, num: int, den: int, common: np.ndarray):
     return run
 
 
-def _prefix_rows(table: DataFrame, buckets: int, column: str) -> DataFrame:
-    """The shingles in ``column`` of the distinct sets, dealt by shingle."""
+def _gram_rows(table: DataFrame, buckets: int, column: str) -> DataFrame:
+    """The shingles in ``column`` of the distinct sets, with their labels, dealt by shingle."""
 
     def run(batches):
-        seen = set()
         for batch in batches:
-            keys, ns, lists = (batch.column(i).to_pylist() for i in range(3))
-            grams, n_of, key_of = [], [], []
-            for key, n, raw in zip(keys, ns, lists):
-                if n and key not in seen:
-                    seen.add(key)
-                    g = np.frombuffer(raw, np.uint64)
-                    grams.append(g)
-                    n_of.append(np.full(len(g), n, np.uint32))
-                    key_of.append(np.full(len(g), key, np.int64))
-            if grams:
-                g = np.concatenate(grams)
-                rows = np.zeros(len(g), PREFIX)
-                rows["gram"], rows["n"], rows["key"] = g & np.uint64(0xFFFFFFFF), np.concatenate(n_of), np.concatenate(key_of)
+            keys, ns, labels, lists = (batch.column(i) for i in range(4))
+            lists = lists.cast(pa.large_binary())
+            # equal sets of a batch once; the rest of them meet in the bucket
+            _, first = np.unique(keys.to_numpy(zero_copy_only=False), return_index=True)
+            total = np.cumsum(pc.binary_length(lists).to_numpy(zero_copy_only=False)[first] >> 3)
+            for some in np.split(first, np.flatnonzero(np.diff(total // SENT_GRAMS)) + 1):
+                parts = [np.frombuffer(lists[int(i)].as_buffer(), np.uint64) for i in some]
+                g, sizes = np.concatenate(parts), [len(x) for x in parts]
+                rows = np.zeros(len(g), GRAM)
+                rows["gram"] = g & np.uint64(0xFFFFFFFF)
+                for name, values in (("n", ns), ("key", keys), ("label", labels)):
+                    rows[name] = np.repeat(values.to_numpy(zero_copy_only=False)[some], sizes)
                 yield packed(((g >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), rows)
 
-    return by_bucket(table.select("key", "n", column).mapInArrow(run, PACKED), buckets)
+    return by_bucket(table.filter("n > 0").select("key", "n", "label", column).mapInArrow(run, PACKED), buckets)
 
 
 def _groups(rows: np.ndarray):
@@ -186,11 +214,11 @@ def _groups(rows: np.ndarray):
     return rows, starts[more], ends[more]
 
 
-def _stars(table: DataFrame, num: int, den: int) -> DataFrame:
+def _stars(table: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
     """(a, b): in each group, sets with the smallest set whose size is compatible, and with some neighbours by size."""
 
     def run(batches):
-        rows, starts, ends = _groups(unpacked(batches, PREFIX))
+        rows, starts, ends = _groups(unpacked(batches, GRAM))
         a, b = [], []
         for s, e in zip(starts, ends):
             n, key = rows["n"][s:e].astype(np.int64), rows["key"][s:e]
@@ -208,10 +236,10 @@ def _stars(table: DataFrame, num: int, den: int) -> DataFrame:
             a, b = np.concatenate(a), np.concatenate(b)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return _prefix_rows(table, n_buckets(table), "least").mapInArrow(run, "a long, b long").distinct()
+    return _gram_rows(table.withColumn("label", F.col("key")), buckets, "least").mapInArrow(run, "a long, b long").distinct()
 
 
-def _plausible(pairs: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame:
+def _plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs that the bitmaps do not rule out."""
 
     def run(batches):
@@ -226,89 +254,104 @@ def _plausible(pairs: DataFrame, table: DataFrame, num: int, den: int) -> DataFr
                 keep.append(most * (num + den) >= num * (m[i] + n[i]))
             yield pa.RecordBatch.from_arrays([pa.array([v for v, ok in zip(c, keep) if ok], pa.int64()) for c in (a, b)], ["a", "b"])
 
-    narrow = table.filter("n > 0").select("key", "n", "bits").dropDuplicates(["key"])
-    left, right = (narrow.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+    left, right = (sets.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
-def _tiles(table: DataFrame, labels: DataFrame, num: int, den: int, best: bool) -> DataFrame:
-    """(a, b): pairs of different components that the bitmaps do not rule out; with ``best``, of each tile, for each set and
-    other component the pair with the highest bound alone."""
+def _labels(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, label): the component of each distinct set, written."""
+    found = small_or_shuffled(nodes.withColumnRenamed("node", "cid"))
+    label = F.when(F.col("label").isNull(), F.col("key")).otherwise(F.xxhash64("label")).alias("label")
+    return stage(sets.select("key", "cid").join(found, "cid", "left").select("key", label), "labels")
+
+
+def _groups_of(table: DataFrame, labels: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
+    """(gram, key, n): the sets that share a kept shingle with one of another component and of compatible size.
+
+    Groups under one smallest member are joined: the sets of a family meet there once, not once for each shingle they share.
+    """
 
     def shared(batches):
-        rows, _, _ = _groups(unpacked(batches, PREFIX))
-        # a row without a neighbour of compatible size takes no part
+        rows, _, _ = _groups(unpacked(batches, GRAM))
+        if not len(rows):
+            return
+        # a row without a neighbour of compatible size takes no part; neither does a stretch of such rows with one label
         n = rows["n"].astype(np.int64)
         near = (rows["gram"][1:] == rows["gram"][:-1]) & (n[1:] * num <= n[:-1] * den)
-        r = rows[np.concatenate([[False], near]) | np.concatenate([near, [False]])] if len(rows) else rows
+        starts = np.flatnonzero(np.concatenate([[True], ~near]))
+        stretch = np.cumsum(np.concatenate([[True], ~near])) - 1
+        low, high = (f.reduceat(rows["label"], starts)[stretch] for f in (np.minimum, np.maximum))
+        r, stretch = rows[low < high], stretch[low < high]
         if not len(r):
             return
-        # groups under one smallest member are joined: the sets of a family meet there once, not once for each shingle they share
-        new = np.concatenate([[True], r["gram"][1:] != r["gram"][:-1]])
+        new = np.concatenate([[True], stretch[1:] != stretch[:-1]])
         owner = np.minimum.reduceat(r["key"], np.flatnonzero(new))[np.cumsum(new) - 1]
         order = np.lexsort((r["key"], owner))
-        owner, key, n = owner[order], r["key"][order], r["n"][order]
+        owner, key, n = owner[order], r["key"][order], r["n"][order].astype(np.int64)
         once = np.concatenate([[True], (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])])
         for lo in range(0, len(owner), 50_000):
             cut = slice(lo, lo + 50_000)
             yield pa.RecordBatch.from_arrays([pa.array(x[cut][once[cut]], pa.int64()) for x in (owner, key, n)], ["gram", "key", "n"])
 
-    narrow = table.filter("n > 0").select("key", "cid", "bits").dropDuplicates(["key"])
-    by_key = labels.join(narrow.withColumnRenamed("cid", "node"), "node").select("key", F.xxhash64("label").alias("label"))
-    rows = _prefix_rows(table, n_buckets(table), "prefix").mapInArrow(shared, "gram long, key long, n long")
-    rows = rows.join(by_key, "key", "left").withColumn("label", F.coalesce("label", F.col("key")))
+    labelled = table.select("key", "n", "prefix").join(small_or_shuffled(labels), "key")
+    return _gram_rows(labelled, buckets, "prefix").mapInArrow(shared, "gram long, key long, n long").distinct()
 
-    record = np.dtype([("gram", "<i8"), ("key", "<i8"), ("n", "<i8"), ("label", "<i8")])
 
-    def mixed(batches):
-        parts = []
-        for b in batches:
-            r = np.zeros(b.num_rows, record)
-            for c in record.names:
-                r[c] = b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-            parts.append(r)
-        if not parts:
-            return
-        rows, starts, ends = _groups(np.concatenate(parts))
-        if not len(starts):
-            return
-        group = np.cumsum(np.concatenate([[False], rows["gram"][1:] != rows["gram"][:-1]]))
-        bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        low, high = (f.reduceat(rows["label"], bounds)[group[starts]] for f in (np.minimum, np.maximum))
-        held, size = [], 0
-        for s, e in zip(starts[low < high].tolist(), ends[low < high].tolist()):
-            r = rows[s:e]
-            cuts = range(0, len(r), TILE_ROWS)
-            for i in cuts:
-                for j in cuts:
-                    if j >= i and r["n"][j] * num <= r["n"][min(i + TILE_ROWS, len(r)) - 1] * den:
-                        part = r[i: i + TILE_ROWS] if i == j else np.concatenate([r[i: i + TILE_ROWS], r[j: j + TILE_ROWS]])
-                        held.append((part, i, j, min(TILE_ROWS, len(r) - i) if i < j else 0))
-                        size += len(part)
-                        if size > 20_000:
-                            yield _tile_batch(held)
-                            held, size = [], 0
-        if held:
-            yield _tile_batch(held)
-
-    n = n_buckets(table)
-    tiles = rows.repartition(n, "gram").mapInArrow(mixed, "gram long, i long, j long, right boolean, key long, n long, label long")
-    tiles = tiles.join(narrow.select("key", "bits"), "key").repartition(n, "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
-    return tiles.select("gram", "i", "j", "right", "key", "n", "label", "bits").mapInArrow(_pairs(num, den, best), "a long, b long").distinct()
-
-
-def _tile_batch(tiles: list[tuple]) -> pa.RecordBatch:
-    rows = np.concatenate([t[0] for t in tiles])
-    sizes = [len(t[0]) for t in tiles]
-    i, j, first = (np.repeat([t[c] for t in tiles], sizes) for c in (1, 2, 3))
-    place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rows["gram"]), pa.array(i), pa.array(j), pa.array(place >= first), pa.array(rows["key"]), pa.array(rows["n"]), pa.array(rows["label"])],
-        ["gram", "i", "j", "right", "key", "n", "label"])
+def _tiles(groups: DataFrame, labels: DataFrame, sets: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
+    """Rows (gram, i, j, right, key, n, label, bits), sorted by tile: block i of a group, and block j on the right if that is another.
 
+    Rows are in order of group and size over all tasks; a block is up to TILE_ROWS of one group in one task, so no task
+    holds a group. Only pairs of blocks with several labels and compatible sizes are tiles.
+    """
 
-def _pairs(num: int, den: int, best: bool):
-    """Pairs of each tile that the bound lets through. Rows arrive sorted by tile."""
+    def cut(batches):
+        task = TaskContext.get().partitionId() << 32
+        now, block, size = None, -1, 0
+        for b in batches:
+            gram = b.column(0).to_numpy(zero_copy_only=False)
+            out = np.zeros(len(gram), np.int64)
+            bounds = np.concatenate([[0], np.flatnonzero(np.diff(gram)) + 1, [len(gram)]]) if len(gram) else [0]
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                if gram[s] != now:
+                    now, block, size = gram[s], block + 1, 0
+                place = size + np.arange(e - s)
+                out[s:e] = task + block + place // TILE_ROWS
+                size = int(place[-1]) + 1
+                block, size = block + (size - 1) // TILE_ROWS, (size - 1) % TILE_ROWS + 1
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(out)], ["gram", "key", "n", "label", "block"])
+
+    rows = groups.join(small_or_shuffled(labels), "key").select("gram", "key", "n", "label")
+    several = rows.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("gram")
+    rows = stage(rows.join(several, "gram", "left_semi"), "rows")
+    dealt = rows.repartitionByRange(buckets, "gram", "n", "key").sortWithinPartitions("gram", "n", "key")
+    rows = stage(dealt.mapInArrow(cut, "gram long, key long, n long, label long, block long"), "blocks")
+    blocks = rows.groupBy("gram", "block").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("low"), F.max("label").alias("high"))
+    x, y = (blocks.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "least", "most", "low", "high"))) for s in "ij")
+    tiles = x.join(y, "gram").filter(
+        (F.col("block_i") <= F.col("block_j")) & (F.col("least_j") * num <= F.col("most_i") * den) & (F.col("least_i") * num <= F.col("most_j") * den)
+        & (F.least("low_i", "low_j") < F.greatest("high_i", "high_j")))
+    side = lambda block, right: F.struct(F.col(block).alias("block"), right.alias("right"))
+    alone = F.col("block_i") == F.col("block_j")
+    sides = F.when(alone, F.array(side("block_i", F.lit(True)))).otherwise(F.array(side("block_i", F.lit(False)), side("block_j", F.lit(True))))
+    ends = tiles.select("gram", F.col("block_i").alias("i"), F.col("block_j").alias("j"), F.explode(sides).alias("end")).select("gram", "i", "j", "end.*")
+    both = rows.join(ends, ["gram", "block"]).join(sets.select("key", "bits"), "key")
+    both = both.repartition(buckets, "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
+    return both.select("gram", "i", "j", "right", "key", "n", "label", "bits")
+
+
+def _proposals(tiles: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
+    """(a, b): for each component its ``most`` pairs with other ones that have the highest bounds, or with None all pairs."""
+    found = tiles.mapInArrow(_pairs(num, den, most), PAIRS)
+    if most is None:
+        return found.select("a", "b").distinct()
+    ends = found.select(F.explode(F.array("left", "right")).alias("label"), "score", "a", "b").distinct()
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "a", "b"))
+    return ends.withColumn("place", place).filter(F.col("place") <= most).select("a", "b").distinct()
+
+
+def _pairs(num: int, den: int, best: int | None):
+    """Pairs of each tile that the bound lets through; with ``best``, for each label of a tile so many with the highest. Rows arrive sorted by tile."""
 
     def fold(bits: list[bytes], least: int) -> np.ndarray:
         out = np.zeros((len(bits), least // 8), np.uint64)
@@ -322,9 +365,10 @@ def _pairs(num: int, den: int, best: bool):
         right, key, n, label = (np.array([r[c] for r in rows]) for c in range(4))
         bits = [r[4] for r in rows]
         width = np.array([len(x) for x in bits])
-        sides = (np.flatnonzero(~right), np.flatnonzero(right)) if not right.all() else (np.arange(len(rows)),) * 2
+        alone = bool(right.all())  # a block with itself
+        sides = (np.flatnonzero(~right), np.flatnonzero(right)) if not alone else (np.arange(len(rows)),) * 2
         for x in range(0, len(sides[0]), BLOCK_ROWS):
-            for y in range(0, len(sides[1]), BLOCK_ROWS):
+            for y in range(x if alone else 0, len(sides[1]), BLOCK_ROWS):
                 p, q = sides[0][x: x + BLOCK_ROWS], sides[1][y: y + BLOCK_ROWS]
                 fits = (n[p][:, None] * den >= n[q][None, :] * num) & (n[q][None, :] * den >= n[p][:, None] * num)
                 fits &= label[p][:, None] != label[q][None, :]
@@ -344,38 +388,49 @@ def _pairs(num: int, den: int, best: bool):
                         # |x & y| * den >= num * (|x| + |y| - |x & y|)
                         ok = most * (num + den) >= num * (n[pp] + n[qq])
                         pp, qq, score = pp[ok], qq[ok], (most / (n[pp] + n[qq]))[ok]
-                        if best and len(pp):
-                            ends, others = np.concatenate([key[pp], key[qq]]), np.concatenate([label[qq], label[pp]])
-                            order = np.lexsort((-np.tile(score, 2), others, ends))
-                            first = np.ones(len(order), dtype=bool)
-                            first[1:] = (np.diff(ends[order]) != 0) | (np.diff(others[order]) != 0)
-                            one = np.unique(order[first] % len(pp))
-                            pp, qq = pp[one], qq[one]
-                        yield np.minimum(key[pp], key[qq]).tolist(), np.maximum(key[pp], key[qq]).tolist()
+                        yield key[pp], key[qq], label[pp], label[qq], score
+
+    def flat(rows):
+        parts = [x for x in tile(rows) if len(x[0])]
+        if not parts:
+            return None
+        a, b, left, right, score = (np.concatenate(c) for c in zip(*parts))
+        if best:
+            ends = np.concatenate([left, right])
+            order = np.lexsort((-np.tile(score, 2), ends))
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(ends[order]) != 0]))
+            place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+            one = np.unique(order[place < best] % len(a))
+            a, b, left, right, score = (c[one] for c in (a, b, left, right, score))
+        return np.minimum(a, b), np.maximum(a, b), left, right, score
+
+    def batch(held):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["a", "b", "left", "right", "score"])
 
     def run(batches):
-        now, rows, found = None, [], set()
+        now, rows, held, size = None, [], [], 0
         for b in batches:
             columns = [b.column(i).to_pylist() for i in range(8)]
             for g, i, j, *rest in zip(*columns):
                 if (g, i, j) != now:
-                    found.update(p for x in (tile(rows) if rows else ()) for p in zip(*x))
+                    done = flat(rows) if rows else None
+                    if done:
+                        held.append(done)
+                        size += len(done[0])
                     now, rows = (g, i, j), []
-                    if len(found) > 50_000:
-                        yield _pair_batch(found)
-                        found = set()
+                    if size > 50_000:
+                        yield batch(held)
+                        held, size = [], 0
                 rows.append(rest)
-        found.update(p for x in (tile(rows) if rows else ()) for p in zip(*x))
-        if found:
-            yield _pair_batch(found)
+        done = flat(rows) if rows else None
+        if done:
+            held.append(done)
+        if held:
+            yield batch(held)
 
     return run
 
 
-def _pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs if p[0] != p[1]], pa.int64()) for c in (0, 1)], ["a", "b"])
-
-
 def _checked(source: DataFrame, table: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(a, b) as class ids, of the pairs of keys whose sets reach the threshold. Sets are built again for these alone."""
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.exchange import short_batches
 from tidemark.llm.textbytes import LOWER, SPACES, span_hashes, text_slices, word_counts, word_spans
 
 BUCKETS = 4096
@@ -173,6 +174,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", length_col: st
     A null text is empty and scored as such, a null length is taken from the text. Repeated rows get equal scores. An empty table gives
     an empty result. Columns of ``docs`` named score or predicted are replaced.
     """
+    short_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
 
     def run(batches):
