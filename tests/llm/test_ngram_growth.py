@@ -67,3 +67,42 @@ def test_pairs_grow_with_the_group(spark, made):
         most.append({name: max(c for k, c in made if k == name) for name, _ in made})
     for name in most[1]:
         assert most[1][name] <= 5 * max(most[0][name], 100), (name, most)
+
+
+def linked(spark, rows):
+    return {r.doc_id: r.component_id for r in ngram_join.linked_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_rows_of_tiles_do_not_grow_with_the_tasks(spark, monkeypatch):
+    """A group is cut by its size, not by the tasks that hold it."""
+    sent, plain = [], ngram_join._tiles
+
+    def counting(*given):
+        out = plain(*given)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_tiles", counting)
+    rows = near_copies(300)
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        assert linked(spark, rows) == components(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert 0 < max(sent) <= 10 * len(rows), sent
+
+
+def chain(n):
+    """Each text shares more words with the next one than the threshold asks, and less with the one after that."""
+    words = [f"w{i}" for i in range(60 + 6 * n)]
+    return [(i, " ".join(words[6 * i: 6 * i + 60])) for i in range(n)]
+
+
+def test_groups_of_many_blocks(spark, monkeypatch):
+    """Sets of a group that lie in different blocks, and in different bands of sizes, are compared."""
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", 16)
+    rng, line = random.Random(5), " ".join(f"l{i}" for i in range(40))
+    rows = near_copies(150)
+    rows += [(1000 + i, line + "".join(f" x{i}.{j}" for j in range(rng.randint(0, 25)))) for i in range(120)]
+    rows += [(2000 + i, t) for i, t in chain(30)]
+    assert linked(spark, rows) == components(rows)

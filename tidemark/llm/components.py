@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.exchange import small_or_shuffled
 from tidemark.operators.staging import stage
 
 
@@ -23,9 +24,10 @@ def components(links: DataFrame) -> DataFrame:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = stage(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).withColumnRenamed("a", "node"), "contract")
         rounds.append(to)
+        image = small_or_shuffled(to)
         links = (
-            links.join(to.withColumnRenamed("node", "a"), "a").select(F.col("to").alias("x"), "b")
-            .join(to.withColumnRenamed("node", "b"), "b").select("x", F.col("to").alias("y"))
+            links.join(image.withColumnRenamed("node", "a"), "a").select(F.col("to").alias("x"), "b")
+            .join(image.withColumnRenamed("node", "b"), "b").select("x", F.col("to").alias("y"))
             .filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         )
         links = stage(links, "links")

@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: size-banded tiles, bitmap bounds, exact intersections.
+"""N-gram Jaccard join: tiles of bounded size, bitmap bounds, exact intersections.
 
 Two documents link when their sets of k-word shingles reach the Jaccard threshold. Every link between different sets
 is found, except where both ends are already known to be in one component; what is returned are components.
@@ -6,15 +6,14 @@ is found, except where both ends are already known to be in one component; what
 1. A count sketch over all shingles gives each a level of frequency. It only fixes an order in which shingles are taken,
    rare ones first and the same for all documents, so it cannot change a result.
 2. Each set keeps its first ``n - ceil(t * n) + 1`` shingles in that order. Sets that link share one of these.
-3. The shingles of least hash in each set give star links, which collapse groups of near copies after an exact check.
-4. The kept shingles give groups, made once. Those whose sets lie in different components are written; groups with the same
-   smallest member are joined, so that a family of copies meets once and not once for each shingle it shares.
-5. Rounds follow. A group with several components is ordered by size over all tasks and cut into blocks; pairs of blocks with
-   compatible sizes are tiles, dealt one by one, so that a large group is not one task's work. In the first rounds each component
-   proposes a few pairs, the best by the bound, and what holds is contracted: a round has so many pairs times the components.
-   The last round, over the components there are then, takes every pair, and so is complete.
-6. In a tile, bitmaps of hashed shingles bound each overlap from above: a bit that only one side has is an element that
-   the other lacks. Only pairs that can still reach the threshold are intersected exactly.
+3. The kept shingles give groups; groups with the same smallest member are joined, so that a family of copies meets once
+   and not once for each shingle it shares.
+4. A group of up to TILE_ROWS sets is one tile. A larger one is cut by size and then by hash into blocks of about that many,
+   however many tasks there are. Tiles are first all blocks alone; their links are contracted, and then come pairs of blocks of
+   compatible sizes that still hold several components.
+5. In a tile, bitmaps of hashed shingles bound each overlap from above: a bit that only one side has is an element that
+   the other lacks. Only sets that can reach the threshold with another one are sent whole, to the same tile; there pairs
+   not in one component yet are intersected exactly. A tile tells one link for each set it has joined to another, not its pairs.
 
 Equal sets are one class from the start, whatever their number. The number of shuffle partitions grows with the shingles.
 """
@@ -24,8 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -35,20 +33,18 @@ from tidemark.operators.staging import stage
 
 SKETCH_BITS = 22
 SKETCH_SLOT = 1 << 14
-STARS = 6
-#: Besides its smallest set, each set of a group is tried with those so many places further by size.
-NEIGHBOURS = (1, 2, 4)
+#: Sets of a block, about, and shingles that they have together.
 TILE_ROWS = 1024
+TILE_SHINGLES = 1 << 18
 BLOCK_ROWS = 128
-#: Pairs that a component proposes in each round before the complete one.
-PROPOSALS = (2, 8, 32)
 #: Kept shingles that a task sorts at once, about.
 TASK_GRAMS = 1_000_000
 #: Kept shingles that are dealt at once, about.
 SENT_GRAMS = 100_000
 
-GRAM = np.dtype([("gram", "<u4"), ("n", "<u4"), ("key", "<i8"), ("label", "<i8")])
-PAIRS = "a long, b long, left long, right long, score double"
+GRAM = np.dtype([("gram", "<u4"), ("n", "<u4"), ("key", "<i8")])
+LINKS = "a binary, b binary"
+NEAR = "gram long, i long, j long, right boolean, label binary, key long"
 
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100, keyed: bool = False) -> DataFrame:
@@ -67,29 +63,28 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     source = source.withColumn("text_key", F.xxhash64("text"))
     levels = _levels(source, k)
-    table = stage(source.mapInArrow(_profiler(k, num, den, levels), "id long, text_key long, n long, cid binary, key long, bits binary, prefix binary, least binary"), "sets")
+    table = stage(source.mapInArrow(_profiler(k, num, den, levels), "id long, text_key long, n long, cid binary, key long, bits binary, prefix binary"), "sets")
 
     grams = table.agg(F.sum("n")).first()[0] or 0
     buckets = max(n_buckets(table), -(-grams * (den - num) // (den * TASK_GRAMS)))
 
-    sets = stage(table.filter("n > 0").select("key", "cid", "n", "bits").dropDuplicates(["key"]), "distinct")
-    stars = stage(_plausible(stage(_stars(table, buckets, num, den), "stars"), sets, num, den), "stars")
-    nodes = stage(components(_checked(source, table, stars, k, num, den)), "nodes")
-    labels = _labels(sets, nodes)
-    groups = stage(_groups_of(table, labels, buckets, num, den), "groups")
-    rounds = [*PROPOSALS, None]
-    while rounds:
-        most = rounds.pop(0)
-        pairs = stage(_proposals(_tiles(groups, labels, sets, buckets, num, den), num, den, most), "pairs")
-        if pairs.isEmpty():
-            break
-        found = stage(_checked(source, table, pairs, k, num, den), "links")
-        if found.isEmpty():
-            rounds = rounds[-1:] if most else []
-            continue
-        # a component so far is a star around its label
-        nodes = stage(components(nodes.toDF("a", "b").unionByName(found)), "nodes")
-        labels = _labels(sets, nodes)
+    groups = stage(_groups_of(table, buckets, num, den), "groups")
+    sets = stage(table.join(groups.select("key").distinct(), "key", "left_semi").select("key", "cid", "n", "bits").dropDuplicates(["key"]), "distinct")
+    bands = _bands(groups, num, den)
+
+    def linked(tiles: DataFrame) -> DataFrame:
+        columns = ("gram", "i", "j", "right", "label")
+        near = _dealt(tiles, buckets, *columns, "key", "n", "bits").mapInArrow(_near(num, den), NEAR)
+        near = stage(near, "near")
+        items = _items(source, table, near, k)
+        return stage(_dealt(near.join(items, "key"), buckets, *columns, "items").mapInArrow(_links(num, den), LINKS), "links")
+
+    nodes = stage(components(linked(_tiles(groups, bands, num, den).join(sets.withColumn("label", F.col("cid")), "key"))), "nodes")
+    if not bands.isEmpty():
+        more = linked(_block_pairs(groups, bands, sets, nodes, num, den).join(sets, "key"))
+        if not more.isEmpty():
+            # a component so far is a star around its label
+            nodes = stage(components(nodes.toDF("a", "b").unionByName(more)), "nodes")
 
     classes = table.filter("n > 0").groupBy("cid").agg(F.min("id").alias("class_id"))
     classes = stage(classes.join(nodes.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")), "classes")
@@ -159,7 +154,7 @@ def _profiler(k: int, num: int, den: int, levels: np.ndarray):
             ids = batch.column(0)
             for first, sets in shingle_sets(batch.column(1), k):
                 n = np.array([len(s) for s in sets], np.int64)
-                cids, keys, bits, prefixes, least = [], [], [], [], []
+                cids, keys, bits, prefixes = [], [], [], []
                 for s in sets:
                     digest = np.array([s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64)], np.uint64)
                     cids.append(digest.tobytes())
@@ -168,21 +163,20 @@ def _profiler(k: int, num: int, den: int, levels: np.ndarray):
                     size = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
                     order = np.argsort(level[s >> np.uint64(64 - SKETCH_BITS)], kind="stable")
                     prefixes.append(s[order[:size]].tobytes())
-                    least.append(s[:STARS].tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, len(sets)).cast(pa.int64()), batch.column(2).slice(first, len(sets)), pa.array(n), pa.array(cids, pa.binary()), pa.array(keys, pa.int64()),
-                     pa.array(bits, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(least, pa.binary())],
-                    ["id", "text_key", "n", "cid", "key", "bits", "prefix", "least"])
+                     pa.array(bits, pa.binary()), pa.array(prefixes, pa.binary())],
+                    ["id", "text_key", "n", "cid", "key", "bits", "prefix"])
 
     return run
 
 
-def _gram_rows(table: DataFrame, buckets: int, column: str) -> DataFrame:
-    """The shingles in ``column`` of the distinct sets, with their labels, dealt by shingle."""
+def _gram_rows(table: DataFrame, buckets: int) -> DataFrame:
+    """The kept shingles of the distinct sets, dealt by shingle."""
 
     def run(batches):
         for batch in batches:
-            keys, ns, labels, lists = (batch.column(i) for i in range(4))
+            keys, ns, lists = (batch.column(i) for i in range(3))
             lists = lists.cast(pa.large_binary())
             # equal sets of a batch once; the rest of them meet in the bucket
             _, first = np.unique(keys.to_numpy(zero_copy_only=False), return_index=True)
@@ -192,273 +186,205 @@ def _gram_rows(table: DataFrame, buckets: int, column: str) -> DataFrame:
                 g, sizes = np.concatenate(parts), [len(x) for x in parts]
                 rows = np.zeros(len(g), GRAM)
                 rows["gram"] = g & np.uint64(0xFFFFFFFF)
-                for name, values in (("n", ns), ("key", keys), ("label", labels)):
+                for name, values in (("n", ns), ("key", keys)):
                     rows[name] = np.repeat(values.to_numpy(zero_copy_only=False)[some], sizes)
                 yield packed(((g >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), rows)
 
-    return by_bucket(table.filter("n > 0").select("key", "n", "label", column).mapInArrow(run, PACKED), buckets)
-
+    return by_bucket(table.filter("n > 0").select("key", "n", "prefix").mapInArrow(run, PACKED), buckets)
 
-def _groups(rows: np.ndarray):
-    """Distinct rows ordered by shingle and size, and the groups' bounds."""
-    order = np.lexsort((rows["key"], rows["n"], rows["gram"]))
-    rows = rows[order]
-    if len(rows):
-        new = np.ones(len(rows), dtype=bool)
-        new[1:] = (rows[1:]["gram"] != rows[:-1]["gram"]) | (rows[1:]["key"] != rows[:-1]["key"])
-        rows = rows[new]
-    cuts = np.flatnonzero(np.diff(rows["gram"])) + 1
-    starts = np.concatenate([[0], cuts]).astype(np.int64)
-    ends = np.concatenate([cuts, [len(rows)]]).astype(np.int64)
-    more = ends - starts > 1
-    return rows, starts[more], ends[more]
 
-
-def _stars(table: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
-    """(a, b): in each group, sets with the smallest set whose size is compatible, and with some neighbours by size."""
-
-    def run(batches):
-        rows, starts, ends = _groups(unpacked(batches, GRAM))
-        a, b = [], []
-        for s, e in zip(starts, ends):
-            n, key = rows["n"][s:e].astype(np.int64), rows["key"][s:e]
-            at = 0
-            while at < len(n) - 1:
-                end = int(np.searchsorted(n, n[at] * den // num, side="right"))
-                if end > at + 1:
-                    a.append(np.full(end - at - 1, key[at]))
-                    b.append(key[at + 1: end])
-                for step in NEIGHBOURS:
-                    a.append(key[at: max(at, end - step)])
-                    b.append(key[at + step: end])
-                at = max(end, at + 1)
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return _gram_rows(table.withColumn("label", F.col("key")), buckets, "least").mapInArrow(run, "a long, b long").distinct()
-
-
-def _plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that the bitmaps do not rule out."""
-
-    def run(batches):
-        for batch in batches:
-            a, b, m, n, x, y = (batch.column(i).to_pylist() for i in range(6))
-            keep = []
-            for i in range(len(a)):
-                l, r = np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64)
-                least = min(len(l), len(r))
-                l, r = (np.bitwise_or.reduce(v.reshape(-1, least), axis=0) for v in (l, r))
-                most = min(m[i] - int(np.bitwise_count(l & ~r).sum()), n[i] - int(np.bitwise_count(r & ~l).sum()))
-                keep.append(most * (num + den) >= num * (m[i] + n[i]))
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, ok in zip(c, keep) if ok], pa.int64()) for c in (a, b)], ["a", "b"])
-
-    left, right = (sets.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
-
-
-def _labels(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, label): the component of each distinct set, written."""
-    found = small_or_shuffled(nodes.withColumnRenamed("node", "cid"))
-    label = F.when(F.col("label").isNull(), F.col("key")).otherwise(F.xxhash64("label")).alias("label")
-    return stage(sets.select("key", "cid").join(found, "cid", "left").select("key", label), "labels")
-
-
-def _groups_of(table: DataFrame, labels: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
-    """(gram, key, n): the sets that share a kept shingle with one of another component and of compatible size.
+def _groups_of(table: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
+    """(gram, key, n): the sets that share a kept shingle with another one of compatible size.
 
     Groups under one smallest member are joined: the sets of a family meet there once, not once for each shingle they share.
     """
 
     def shared(batches):
-        rows, _, _ = _groups(unpacked(batches, GRAM))
+        rows = unpacked(batches, GRAM)
         if not len(rows):
             return
-        # a row without a neighbour of compatible size takes no part; neither does a stretch of such rows with one label
+        rows = rows[np.lexsort((rows["key"], rows["n"], rows["gram"]))]
+        again = (rows["gram"][1:] == rows["gram"][:-1]) & (rows["key"][1:] == rows["key"][:-1])
+        rows = rows[np.concatenate([[True], ~again])]
+        # a stretch: rows of a shingle by size, each compatible with the next
         n = rows["n"].astype(np.int64)
         near = (rows["gram"][1:] == rows["gram"][:-1]) & (n[1:] * num <= n[:-1] * den)
         starts = np.flatnonzero(np.concatenate([[True], ~near]))
-        stretch = np.cumsum(np.concatenate([[True], ~near])) - 1
-        low, high = (f.reduceat(rows["label"], starts)[stretch] for f in (np.minimum, np.maximum))
-        r, stretch = rows[low < high], stretch[low < high]
-        if not len(r):
-            return
-        new = np.concatenate([[True], stretch[1:] != stretch[:-1]])
-        owner = np.minimum.reduceat(r["key"], np.flatnonzero(new))[np.cumsum(new) - 1]
-        order = np.lexsort((r["key"], owner))
-        owner, key, n = owner[order], r["key"][order], r["n"][order].astype(np.int64)
-        once = np.concatenate([[True], (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])])
+        sizes = np.diff(np.append(starts, len(rows)))
+        owner = np.repeat(np.minimum.reduceat(rows["key"], starts), sizes)
+        several = np.repeat(sizes > 1, sizes)
+        owner, key, n = owner[several], rows["key"][several], n[several]
+        order = np.lexsort((key, owner))
+        owner, key, n = owner[order], key[order], n[order]
+        once = np.concatenate([[True], (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])])[: len(owner)]
         for lo in range(0, len(owner), 50_000):
             cut = slice(lo, lo + 50_000)
             yield pa.RecordBatch.from_arrays([pa.array(x[cut][once[cut]], pa.int64()) for x in (owner, key, n)], ["gram", "key", "n"])
 
-    labelled = table.select("key", "n", "prefix").join(small_or_shuffled(labels), "key")
-    return _gram_rows(labelled, buckets, "prefix").mapInArrow(shared, "gram long, key long, n long").distinct()
+    return _gram_rows(table, buckets).mapInArrow(shared, "gram long, key long, n long").distinct()
 
 
-def _tiles(groups: DataFrame, labels: DataFrame, sets: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
-    """Rows (gram, i, j, right, key, n, label, bits), sorted by tile: block i of a group, and block j on the right if that is another.
+def _items(source: DataFrame, table: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """(key, items): the sets of ``near``, built again from one text each."""
 
-    Rows are in order of group and size over all tasks; a block is up to TILE_ROWS of one group in one task, so no task
-    holds a group. Only pairs of blocks with several labels and compatible sizes are tiles.
-    """
+    def sets(batches):
+        for batch in batches:
+            for _, found in shingle_sets(batch.column(0), k):
+                keys = np.array([s.sum(dtype=np.uint64) for s in found], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([s.tobytes() for s in found], pa.binary())], ["key", "items"])
 
-    def cut(batches):
-        task = TaskContext.get().partitionId() << 32
-        now, block, size = None, -1, 0
-        for b in batches:
-            gram = b.column(0).to_numpy(zero_copy_only=False)
-            out = np.zeros(len(gram), np.int64)
-            bounds = np.concatenate([[0], np.flatnonzero(np.diff(gram)) + 1, [len(gram)]]) if len(gram) else [0]
-            for s, e in zip(bounds[:-1], bounds[1:]):
-                if gram[s] != now:
-                    now, block, size = gram[s], block + 1, 0
-                place = size + np.arange(e - s)
-                out[s:e] = task + block + place // TILE_ROWS
-                size = int(place[-1]) + 1
-                block, size = block + (size - 1) // TILE_ROWS, (size - 1) % TILE_ROWS + 1
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(out)], ["gram", "key", "n", "label", "block"])
-
-    rows = groups.join(small_or_shuffled(labels), "key").select("gram", "key", "n", "label")
-    several = rows.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("gram")
-    rows = stage(rows.join(several, "gram", "left_semi"), "rows")
-    dealt = rows.repartitionByRange(buckets, "gram", "n", "key").sortWithinPartitions("gram", "n", "key")
-    rows = stage(dealt.mapInArrow(cut, "gram long, key long, n long, label long, block long"), "blocks")
-    blocks = rows.groupBy("gram", "block").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("low"), F.max("label").alias("high"))
-    x, y = (blocks.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "least", "most", "low", "high"))) for s in "ij")
-    tiles = x.join(y, "gram").filter(
-        (F.col("block_i") <= F.col("block_j")) & (F.col("least_j") * num <= F.col("most_i") * den) & (F.col("least_i") * num <= F.col("most_j") * den)
-        & (F.least("low_i", "low_j") < F.greatest("high_i", "high_j")))
-    side = lambda block, right: F.struct(F.col(block).alias("block"), right.alias("right"))
-    alone = F.col("block_i") == F.col("block_j")
-    sides = F.when(alone, F.array(side("block_i", F.lit(True)))).otherwise(F.array(side("block_i", F.lit(False)), side("block_j", F.lit(True))))
-    ends = tiles.select("gram", F.col("block_i").alias("i"), F.col("block_j").alias("j"), F.explode(sides).alias("end")).select("gram", "i", "j", "end.*")
-    both = rows.join(ends, ["gram", "block"]).join(sets.select("key", "bits"), "key")
-    both = both.repartition(buckets, "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
-    return both.select("gram", "i", "j", "right", "key", "n", "label", "bits")
-
-
-def _proposals(tiles: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
-    """(a, b): for each component its ``most`` pairs with other ones that have the highest bounds, or with None all pairs."""
-    found = tiles.mapInArrow(_pairs(num, den, most), PAIRS)
-    if most is None:
-        return found.select("a", "b").distinct()
-    ends = found.select(F.explode(F.array("left", "right")).alias("label"), "score", "a", "b").distinct()
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "a", "b"))
-    return ends.withColumn("place", place).filter(F.col("place") <= most).select("a", "b").distinct()
-
-
-def _pairs(num: int, den: int, best: int | None):
-    """Pairs of each tile that the bound lets through; with ``best``, for each label of a tile so many with the highest. Rows arrive sorted by tile."""
-
-    def fold(bits: list[bytes], least: int) -> np.ndarray:
-        out = np.zeros((len(bits), least // 8), np.uint64)
-        for i, x in enumerate(bits):
-            x = np.frombuffer(x, np.uint64)
-            out[i] = np.bitwise_or.reduce(x.reshape(-1, least // 8), axis=0)
-        return out
-
-    def tile(rows):
-        rows = sorted(rows, key=lambda r: r[2])
-        right, key, n, label = (np.array([r[c] for r in rows]) for c in range(4))
-        bits = [r[4] for r in rows]
-        width = np.array([len(x) for x in bits])
-        alone = bool(right.all())  # a block with itself
-        sides = (np.flatnonzero(~right), np.flatnonzero(right)) if not alone else (np.arange(len(rows)),) * 2
-        for x in range(0, len(sides[0]), BLOCK_ROWS):
-            for y in range(x if alone else 0, len(sides[1]), BLOCK_ROWS):
-                p, q = sides[0][x: x + BLOCK_ROWS], sides[1][y: y + BLOCK_ROWS]
-                fits = (n[p][:, None] * den >= n[q][None, :] * num) & (n[q][None, :] * den >= n[p][:, None] * num)
-                fits &= label[p][:, None] != label[q][None, :]
-                if not fits.any():
-                    continue
-                u, v = np.nonzero(fits)
-                p, q = p[u], q[v]
-                narrow = np.minimum(width[p], width[q])
-                for least in np.unique(narrow):
-                    some = np.flatnonzero(narrow == least)
-                    for lo in range(0, len(some), 4096):
-                        pp, qq = p[some[lo: lo + 4096]], q[some[lo: lo + 4096]]
-                        used, at = np.unique(np.concatenate([pp, qq]), return_inverse=True)
-                        b = fold([bits[i] for i in used], int(least))
-                        l, r = b[at[: len(pp)]], b[at[len(pp):]]
-                        most = np.minimum(n[pp] - np.bitwise_count(l & ~r).sum(axis=1), n[qq] - np.bitwise_count(r & ~l).sum(axis=1))
-                        # |x & y| * den >= num * (|x| + |y| - |x & y|)
-                        ok = most * (num + den) >= num * (n[pp] + n[qq])
-                        pp, qq, score = pp[ok], qq[ok], (most / (n[pp] + n[qq]))[ok]
-                        yield key[pp], key[qq], label[pp], label[qq], score
-
-    def flat(rows):
-        parts = [x for x in tile(rows) if len(x[0])]
-        if not parts:
-            return None
-        a, b, left, right, score = (np.concatenate(c) for c in zip(*parts))
-        if best:
-            ends = np.concatenate([left, right])
-            order = np.lexsort((-np.tile(score, 2), ends))
-            starts = np.flatnonzero(np.concatenate([[True], np.diff(ends[order]) != 0]))
-            place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
-            one = np.unique(order[place < best] % len(a))
-            a, b, left, right, score = (c[one] for c in (a, b, left, right, score))
-        return np.minimum(a, b), np.maximum(a, b), left, right, score
-
-    def batch(held):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["a", "b", "left", "right", "score"])
+    one = table.join(near.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("id", "text_key")).alias("one"))
+    one = small_or_shuffled(stage(one.select("one.*").distinct(), "ends")).alias("w")
+    wanted = F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.text_key") == F.col("w.text_key"))
+    texts = source.alias("t").join(one, wanted, "left_semi").select("text")
+    return texts.mapInArrow(sets, "key long, items binary").dropDuplicates(["key"])
 
-    def run(batches):
-        now, rows, held, size = None, [], [], 0
-        for b in batches:
-            columns = [b.column(i).to_pylist() for i in range(8)]
-            for g, i, j, *rest in zip(*columns):
-                if (g, i, j) != now:
-                    done = flat(rows) if rows else None
-                    if done:
-                        held.append(done)
-                        size += len(done[0])
-                    now, rows = (g, i, j), []
-                    if size > 50_000:
-                        yield batch(held)
-                        held, size = [], 0
-                rows.append(rest)
-        done = flat(rows) if rows else None
-        if done:
-            held.append(done)
-        if held:
-            yield batch(held)
 
-    return run
+def _band(num: int, den: int):
+    """Sizes of neighbouring bands, or of one, may be compatible; no others are."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)) * (1 + 1e-9)))
 
 
-def _checked(source: DataFrame, table: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b) as class ids, of the pairs of keys whose sets reach the threshold. Sets are built again for these alone."""
+def _bands(groups: DataFrame, num: int, den: int) -> DataFrame:
+    """(gram, band, parts): for each group that is too large for a tile, its bands of sizes and how many blocks they have."""
+    parts = lambda: F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum("n") / TILE_SHINGLES))
+    large = stage(groups.groupBy("gram").agg(parts().alias("parts")).filter("parts > 1").select("gram"), "large")
+    if large.isEmpty():
+        return large.select("gram", F.lit(0).cast("long").alias("band"), F.lit(0).cast("long").alias("parts"))
+    rows = groups.join(small_or_shuffled(large), "gram").withColumn("band", _band(num, den))
+    return stage(rows.groupBy("gram", "band").agg(parts().alias("parts")), "bands")
 
-    def sets(batches):
-        for batch in batches:
-            for _, found in shingle_sets(batch.column(0), k):
-                digests = [np.array([s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64)], np.uint64) for s in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(d.view(np.int64)[0]) for d in digests], pa.int64()), pa.array([d.tobytes() for d in digests], pa.binary()),
-                     pa.array([s.tobytes() for s in found], pa.binary())], ["key", "cid", "items"])
 
-    def meet(batches):
-        for batch in batches:
-            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            keep = []
-            for i in range(len(a)):
-                p, q = np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both * den >= num * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([v for v, ok in zip(c, keep) if ok], pa.binary()) for c in (a, b)], ["a", "b"])
-
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    one = table.join(ends, "key", "left_semi").groupBy("cid").agg(F.min("id").alias("id")).select("id").distinct()
-    one = small_or_shuffled(stage(one, "ends"))
-    texts = source.join(one.withColumnRenamed("id", "wanted"), F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
-    items = texts.mapInArrow(sets, "key long, cid binary, items binary").dropDuplicates(["cid"])
-    items = stage(items, "items")
-    left = items.select(F.col("key").alias("a"), F.col("cid").alias("x"), F.col("items").alias("p"))
-    right = items.select(F.col("key").alias("b"), F.col("cid").alias("y"), F.col("items").alias("q"))
-    return pairs.join(right, "b").join(left, "a").select("x", "y", "p", "q").mapInArrow(meet, "a binary, b binary")
+def _blocks(groups: DataFrame, bands: DataFrame, num: int, den: int, how: str) -> DataFrame:
+    """``groups`` with the block of each row; what is not in ``bands`` has none."""
+    block = F.shiftleft("band", 32) + F.pmod(F.xxhash64("key"), "parts")
+    rows = groups.withColumn("band", _band(num, den)).join(small_or_shuffled(bands), ["gram", "band"], how)
+    return rows.select("gram", "key", "n", "band", block.alias("block"))
+
+
+def _tiles(groups: DataFrame, bands: DataFrame, num: int, den: int) -> DataFrame:
+    """(gram, i, j, right, key): each block with itself. A group that fits a tile is one block."""
+    rows = _blocks(groups, bands, num, den, "left").withColumn("i", F.coalesce("block", F.lit(0)))
+    return rows.select("gram", "i", F.col("i").alias("j"), F.lit(True).alias("right"), "key")
+
+
+def _block_pairs(groups: DataFrame, bands: DataFrame, sets: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(gram, i, j, right, key, label): blocks i and j of a group, j on the right, that hold several components and compatible sizes."""
+    labels = sets.join(small_or_shuffled(nodes.withColumnRenamed("node", "cid")), "cid", "left").select("key", F.coalesce("label", "cid").alias("label"))
+    rows = stage(_blocks(groups, bands, num, den, "inner").join(labels, "key"), "rows")
+    blocks = rows.groupBy("gram", "band", "block").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("low"), F.max("label").alias("high"))
+    x, y = (blocks.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("band", "block", "least", "most", "low", "high"))) for s in "ij")
+    pairs = x.join(y, "gram").filter(
+        (F.col("block_i") < F.col("block_j")) & (F.col("band_j") - F.col("band_i") <= 1)
+        & (F.col("least_j") * num <= F.col("most_i") * den) & (F.col("least_i") * num <= F.col("most_j") * den)
+        & (F.least("low_i", "low_j") < F.greatest("high_i", "high_j")))
+    side = lambda block, right: F.struct(F.col(block).alias("block"), F.lit(right).alias("right"))
+    ends = pairs.select("gram", F.col("block_i").alias("i"), F.col("block_j").alias("j"), F.explode(F.array(side("block_i", False), side("block_j", True))).alias("end"))
+    return rows.join(ends.select("gram", "i", "j", "end.*"), ["gram", "block"]).select("gram", "i", "j", "right", "label", "key")
+
+
+def _dealt(tiles: DataFrame, buckets: int, *columns: str) -> DataFrame:
+    """Whole tiles to tasks, one by one, so that a large group is not one task's work."""
+    return tiles.select(*columns).repartition(buckets, "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
+
+
+def _each_tile(batches, of_tile):
+    """What ``of_tile`` makes of the rows of each tile (gram, i, j, ...), in record batches; rows arrive sorted by tile."""
+    now, rows, held, size = None, [], [], 0
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+            if row[:3] != now:
+                if len(rows) > 1 and (out := of_tile(rows)) is not None:
+                    held.append(out)
+                    size += out.num_rows
+                now, rows = row[:3], []
+            rows.append(row)
+        if size > 10_000:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if len(rows) > 1 and (out := of_tile(rows)) is not None:
+        held.append(out)
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _folded(bits: list[np.ndarray], words: int) -> np.ndarray:
+    return np.stack([x if len(x) == words else np.bitwise_or.reduce(x.reshape(-1, words), axis=0) for x in bits])
+
+
+def _pairs(right: list[bool], n: np.ndarray, bits: list[bytes], open_pairs, num: int, den: int):
+    """Pairs of a tile that can reach the threshold, in portions, likely ones first in each; of those that ``open_pairs`` still wants."""
+    bits = [np.frombuffer(x, np.uint64) for x in bits]
+    width = np.array([len(x) for x in bits])
+    alone = all(right)  # a block with itself
+    sides = (np.arange(len(n)),) * 2 if alone else (np.flatnonzero(~np.array(right)), np.flatnonzero(right))
+    for x in range(0, len(sides[0]), BLOCK_ROWS):
+        for y in range(x if alone else 0, len(sides[1]), BLOCK_ROWS):
+            p, q = sides[0][x: x + BLOCK_ROWS], sides[1][y: y + BLOCK_ROWS]
+            fits = (n[p][:, None] * den >= n[q][None, :] * num) & (n[q][None, :] * den >= n[p][:, None] * num)
+            u, v = np.nonzero(fits & open_pairs(p, q))
+            p, q = p[u], q[v]
+            narrow = np.minimum(width[p], width[q])
+            for words in np.unique(narrow).tolist():
+                some = np.flatnonzero(narrow == words)
+                step = max(1, (1 << 17) // words)
+                for lo in range(0, len(some), step):
+                    pp, qq = p[some[lo: lo + step]], q[some[lo: lo + step]]
+                    used, at = np.unique(np.concatenate([pp, qq]), return_inverse=True)
+                    b = _folded([bits[i] for i in used], words)
+                    l, r = b[at[: len(pp)]], b[at[len(pp):]]
+                    most = np.minimum(n[pp] - np.bitwise_count(l & ~r).sum(axis=1), n[qq] - np.bitwise_count(r & ~l).sum(axis=1))
+                    # |x & y| * den >= num * (|x| + |y| - |x & y|)
+                    ok = np.flatnonzero(most * (num + den) >= num * (n[pp] + n[qq]))
+                    ok = ok[np.argsort(-most[ok] / (n[pp] + n[qq])[ok], kind="stable")]
+                    yield pp[ok], qq[ok]
+
+
+def _near(num: int, den: int):
+    """The rows of each tile that can reach the threshold with another one of another label."""
+
+    def kept(rows):
+        rows.sort(key=lambda r: r[6])
+        place = {}
+        label = np.array([place.setdefault(r[4], len(place)) for r in rows])
+        keep = np.zeros(len(rows), dtype=bool)
+        wanted = lambda p, q: (label[p][:, None] != label[q][None, :]) & ~(keep[p][:, None] & keep[q][None, :])
+        for p, q in _pairs([r[3] for r in rows], np.array([r[6] for r in rows]), [r[7] for r in rows], wanted, num, den):
+            keep[p] = keep[q] = True
+        if keep.any():
+            some = [rows[i] for i in np.flatnonzero(keep)]
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64())
+            names = ["gram", "i", "j", "right", "label", "key"]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in some], t) for c, t in enumerate(types)], names)
+
+    return lambda batches: _each_tile(batches, kept)
+
+
+def _links(num: int, den: int):
+    """Of each tile, links between the labels that its pairs join: a star around the smallest label of those joined."""
+
+    def joined(rows):
+        rows.sort(key=lambda r: len(r[5]))
+        names = sorted({r[4] for r in rows})
+        place = {name: i for i, name in enumerate(names)}
+        first = np.array([place[r[4]] for r in rows])
+        group = first.copy()
+        sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+        n = np.array([len(s) for s in sets])
+        wanted = lambda p, q: group[p][:, None] != group[q][None, :]
+        for p, q in _pairs([r[3] for r in rows], n, [_bits(s) for s in sets], wanted, num, den):
+            for a, b in zip(p.tolist(), q.tolist()):
+                if group[a] != group[b]:
+                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    if both * (num + den) >= num * (n[a] + n[b]):
+                        group[group == group[b]] = group[a]
+        top, a, b = {}, [], []
+        for name, g in zip(names, group[np.unique(first, return_index=True)[1]].tolist()):
+            if top.setdefault(g, name) != name:
+                a.append(top[g])
+                b.append(name)
+        if a:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (a, b)], ["a", "b"])
+
+    return lambda batches: _each_tile(batches, joined)
