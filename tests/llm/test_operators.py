@@ -159,6 +159,16 @@ def test_tokens_are_those_of_the_library(texts):
         assert np.frombuffer(got, "<u4").tolist() == library.encode(x or "", add_special_tokens=False).ids
 
 
+def test_words_with_marks_are_encoded_together(monkeypatch):
+    """Words that are not letters alone are learned strung together, not one call's text each."""
+    library, encoder, alone = Tokenizer.from_file(Q.tokenizer()), Encoder(Q.tokenizer()), []
+    plain = encoder._whole
+    monkeypatch.setattr(encoder, "_whole", lambda texts: alone.extend(texts) or plain(texts))
+    text = "start " + " ".join(f"it's-{i} ({i}) \"q{i}\" É{i}" for i in range(200)) + "\n" + "\n".join(f"l{i}." for i in range(200))
+    assert np.frombuffer(encoder.encode_all([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(alone) <= 5
+
+
 def test_re_pair_round_trip_and_random_access():
     rng = np.random.default_rng(0)
     for ids in (rng.integers(0, 30, 20000), np.zeros(5000, int), np.array([5]), np.zeros(0, int), rng.integers(0, 50000, 3000)):

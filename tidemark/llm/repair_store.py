@@ -151,10 +151,16 @@ class Decoder:
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
         self.table = np.zeros(self.offsets[-1], np.uint32)
         self.table[:first] = np.arange(first)
-        for i, (a, b) in enumerate(rules.tolist()):
-            at, middle, end = self.offsets[first + i], self.offsets[first + i] + self.lengths[a], self.offsets[first + i + 1]
-            self.table[at:middle] = self.table[self.offsets[a]: self.offsets[a + 1]]
-            self.table[middle:end] = self.table[self.offsets[b]: self.offsets[b + 1]]
+        lo = 0
+        while lo < len(rules):
+            # a stretch of rules whose symbols are all known
+            high = np.flatnonzero((rules[lo:] >= first + lo).any(axis=1))
+            hi = lo + int(high[0]) if len(high) else len(rules)
+            parts = rules[lo:hi].ravel()
+            sizes = self.lengths[parts]
+            ends = np.cumsum(sizes)
+            self.table[self.offsets[first + lo]: self.offsets[first + hi]] = self.table[np.repeat(self.offsets[parts] - ends + sizes, sizes) + np.arange(ends[-1])]
+            lo = hi
         self.symbols = symbols
         self.ends = np.cumsum(self.lengths[symbols])
 

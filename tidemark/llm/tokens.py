@@ -65,6 +65,15 @@ class Encoder:
         else:
             self.cuts.update(zip(names, self._whole([before + w for w in words])))
 
+    def _learn_pieces(self, words: list[str]) -> None:
+        """Ids of words of A-Z and a-z: with the blank before it each is one piece, which the model takes without the split."""
+        cut, ids, ends = self.library.model.tokenize, [], []
+        for w in words:
+            ids += [t.id for t in cut("Ġ" + w)]
+            ends.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        self.cuts.update((w, raw[a:b]) for w, a, b in zip(words, [0, *ends], ends))
+
     def _learn(self, new: list[str]) -> None:
         words, lines, ended, rest = set(), [], [], []
         for c in new:
@@ -73,11 +82,16 @@ class Encoder:
             elif c[:-1].isalpha() and c[-1] in MARKS:
                 words.add(c[:-1])
                 ended.append(c)
-            elif c[:1] == "\n" and c[1:].isalpha():
+            elif c.split() == [c]:
+                words.add(c)
+            elif c[:1] == "\n" and c.split() == [c[1:]]:
                 lines.append(c[1:])
             else:
                 rest.append(c)
-        self._learn_words([w for w in words if w not in self.cuts], " ")
+        words.difference_update(self.cuts)
+        latin = [w for w in words if w.isascii() and w.isalpha()]
+        self._learn_pieces(latin)
+        self._learn_words(list(words.difference(latin)), " ")
         self._learn_words(lines, "\n")
         for c in ended:
             self.cuts[c] = self.cuts[c[:-1]] + self.marks[c[-1]]
