@@ -15,7 +15,7 @@ from tidemark.llm.ngram_join import linked_components
 from tidemark.llm.packing import packed_documents
 from tidemark.llm.quality import scored
 from tidemark.llm.queries import quality_model, read, tokenizer
-from tidemark.llm.suffix_dedup import kept_text, without_repeats
+from tidemark.llm.suffix_dedup import without_repeats
 from tidemark.operators.staging import stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -44,8 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of an earlier document; bytes of a character that a cut has split go too, and so do documents that lose all."""
-    out = without_repeats(docs, carry=("lang", "source")).filter("n_removed = 0 or n_removed < n_bytes")
-    return out.select("doc_id", kept_text("kept").alias("text"), "carried.lang", "carried.source").select(
+    out = without_repeats(docs, carry=("lang", "source"), as_text=True).filter("n_removed = 0 or n_removed < n_bytes")
+    return out.select("doc_id", F.col("kept").alias("text"), "carried.lang", "carried.source").select(
         "doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -3,21 +3,24 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from tidemark.llm import queries as Q
 from tidemark.llm.decontaminate import decontaminated
+from tidemark.llm.exchange import lean_group
 from tidemark.llm.licenses import aligned, known_texts, scanned
 from tidemark.llm.ngram_join import linked_components
 from tidemark.llm.packing import packed_documents, plan
 from tidemark.llm.quality import BUCKETS, N_STATS, Model, features, fit, scored
 from tidemark.llm.quotations import reply_ordered
 from tidemark.llm.repair_store import Decoder, compress, read_tokens, write_tokens
-from tidemark.llm.suffix_dedup import loser_tree, without_repeats
+from tidemark.llm.suffix_dedup import _removed, loser_tree, without_repeats
 from tidemark.llm.tokens import Encoder
 from tidemark.llm.topk_search import search, top_k
 from tidemark.llm.url_filter import judged
@@ -409,3 +412,35 @@ def test_quotations_wrapped_and_partial(spark):
     got = {(r.conv_id, r.turn): (r.reply_turn, r.n_quoted, r.n_linked) for r in reply_ordered(df).collect()}
     assert got[1, 2] == (0, 5, 5) and got[1, 3] == (0, 1, 1) and got[1, 4] == (None, 1, 0)
     assert got[2, 2] == (0, 1, 1) and got[2, 4] == (1, 1, 1)
+
+
+def test_removing_takes_little_memory_for_each_byte():
+    """Counts of strings over a byte fit 8 bits; texts are not copied once more."""
+    rng = np.random.default_rng(1)
+    words = ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(3000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, 3000, 500)) for _ in range(1200)]
+    n = len(texts)
+    docs = pa.table({"id": pa.array(range(n), pa.int64()), "text": texts, "carried": [{"row": True}] * n, "chunk": pa.array([0] * n, pa.int32())})
+    told = pa.table({"chunk": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
+    run, size = _removed(50), sum(map(len, texts))
+    run(docs, told)  # powers are made once
+    tracemalloc.start()
+    run(docs, told)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * size
+
+
+def test_workers_give_memory_back():
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    def run(table):
+        blocks = [b"x" * 100_000 for _ in range(2500)]
+        kept.append(blocks[-1])  # at the end of the heap
+        return table
+
+    kept, before = [], held()
+    lean_group(run)(None)
+    assert held() - before < 100e6

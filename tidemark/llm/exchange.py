@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,3 +56,43 @@ def short_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name))
     spark.conf.set(name, str(min(now, BATCH_ROWS) if now > 0 else BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system. Python workers outlive their tasks, and Spark keeps some of them idle."""
+    pa.system_memory_pool().release_unused()
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` over Arrow batches, with Arrow's memory from the system, and given back at the end."""
+
+    def batches(given):
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from run(given)
+        give_back()
+
+    return batches
+
+
+def lean_group(run: Callable) -> Callable:
+    """The same for a function of one group."""
+
+    def group(table):
+        pa.set_memory_pool(pa.system_memory_pool())
+        out = run(table)
+        give_back()
+        return out
+
+    return group
+
+
+def lean_cogroup(run: Callable) -> Callable:
+    """The same for a function of two groups."""
+
+    def cogroup(left, right):
+        pa.set_memory_pool(pa.system_memory_pool())
+        out = run(left, right)
+        give_back()
+        return out
+
+    return cogroup

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.exchange import PACKED, by_bucket, n_buckets, packed, short_batches, small_or_shuffled, unpacked
+from tidemark.llm.exchange import PACKED, by_bucket, lean, n_buckets, packed, short_batches, small_or_shuffled, unpacked
 from tidemark.llm.textbytes import mix, shingle_sets
 from tidemark.operators.staging import stage
 
@@ -63,7 +63,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     source = source.withColumn("text_key", F.xxhash64("text"))
     levels = _levels(source, k)
-    table = stage(source.mapInArrow(_profiler(k, num, den, levels), "id long, text_key long, n long, cid binary, key long, bits binary, prefix binary"), "sets")
+    table = stage(source.mapInArrow(lean(_profiler(k, num, den, levels)), "id long, text_key long, n long, cid binary, key long, bits binary, prefix binary"), "sets")
 
     grams = table.agg(F.sum("n")).first()[0] or 0
     buckets = max(n_buckets(table), -(-grams * (den - num) // (den * TASK_GRAMS)))
@@ -74,10 +74,10 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def linked(tiles: DataFrame) -> DataFrame:
         columns = ("gram", "i", "j", "right", "label")
-        near = _dealt(tiles, buckets, *columns, "key", "n", "bits").mapInArrow(_near(num, den), NEAR)
+        near = _dealt(tiles, buckets, *columns, "key", "n", "bits").mapInArrow(lean(_near(num, den)), NEAR)
         near = stage(near, "near")
         items = _items(source, table, near, k)
-        return stage(_dealt(near.join(items, "key"), buckets, *columns, "items").mapInArrow(_links(num, den), LINKS), "links")
+        return stage(_dealt(near.join(items, "key"), buckets, *columns, "items").mapInArrow(lean(_links(num, den)), LINKS), "links")
 
     nodes = stage(components(linked(_tiles(groups, bands, num, den).join(sets.withColumn("label", F.col("cid")), "key"))), "nodes")
     if not bands.isEmpty():
@@ -131,8 +131,8 @@ def _levels(source: DataFrame, k: int) -> np.ndarray:
             level = np.minimum(np.frexp(over.astype(np.float64))[1], 15).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([(level[::2] | level[1::2] << 4).tobytes()], pa.binary())], ["bucket", "data"])
 
-    parts = source.select("text").mapInArrow(count, PACKED)
-    summed = by_bucket(parts, min(slots, n_buckets(parts))).mapInArrow(add, PACKED)
+    parts = source.select("text").mapInArrow(lean(count), PACKED)
+    summed = by_bucket(parts, min(slots, n_buckets(parts))).mapInArrow(lean(add), PACKED)
     total = np.zeros((slots, SKETCH_SLOT // 2), np.uint8)
     for r in summed.collect():  # 2 MB, whatever the input
         total[r.bucket] = np.frombuffer(r.data, np.uint8)
@@ -190,7 +190,7 @@ def _gram_rows(table: DataFrame, buckets: int) -> DataFrame:
                     rows[name] = np.repeat(values.to_numpy(zero_copy_only=False)[some], sizes)
                 yield packed(((g >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), rows)
 
-    return by_bucket(table.filter("n > 0").select("key", "n", "prefix").mapInArrow(run, PACKED), buckets)
+    return by_bucket(table.filter("n > 0").select("key", "n", "prefix").mapInArrow(lean(run), PACKED), buckets)
 
 
 def _groups_of(table: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
@@ -221,7 +221,7 @@ def _groups_of(table: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
             cut = slice(lo, lo + 50_000)
             yield pa.RecordBatch.from_arrays([pa.array(x[cut][once[cut]], pa.int64()) for x in (owner, key, n)], ["gram", "key", "n"])
 
-    return _gram_rows(table, buckets).mapInArrow(shared, "gram long, key long, n long").distinct()
+    return _gram_rows(table, buckets).mapInArrow(lean(shared), "gram long, key long, n long").distinct()
 
 
 def _items(source: DataFrame, table: DataFrame, near: DataFrame, k: int) -> DataFrame:
@@ -237,7 +237,7 @@ def _items(source: DataFrame, table: DataFrame, near: DataFrame, k: int) -> Data
     one = small_or_shuffled(stage(one.select("one.*").distinct(), "ends")).alias("w")
     wanted = F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.text_key") == F.col("w.text_key"))
     texts = source.alias("t").join(one, wanted, "left_semi").select("text")
-    return texts.mapInArrow(sets, "key long, items binary").dropDuplicates(["key"])
+    return texts.mapInArrow(lean(sets), "key long, items binary").dropDuplicates(["key"])
 
 
 def _band(num: int, den: int):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.exchange import short_batches
+from tidemark.llm.exchange import lean, short_batches
 from tidemark.llm.textbytes import LOWER, SPACES, span_hashes, text_slices, word_counts, word_spans
 
 BUCKETS = 4096
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     pa.array([value[i:j].astype("<f4").tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()),
                 ], ["id", "label", "stats", "buckets", "vals"])
 
-    got = rows.mapInArrow(run, "id long, label int, stats binary, buckets binary, vals binary").toArrow().sort_by("id")
+    got = rows.mapInArrow(lean(run), "id long, label int, stats binary, buckets binary, vals binary").toArrow().sort_by("id")
     stats = np.array([np.frombuffer(x, np.float64) for x in got.column("stats").to_pylist()]).reshape(-1, N_STATS)
     y = np.array(got.column("label").to_pylist(), np.float64)
     mean = stats.mean(axis=0) if len(y) else np.zeros(N_STATS)
@@ -187,4 +187,4 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", length_col: st
             yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
 
     schema = docs.select(*kept).schema.add("score", "double").add("predicted", "integer")
-    return docs.select(*kept, F.col(text_col).cast("string").alias("__text"), F.col(length_col).cast("long").alias("__stated")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_col).cast("string").alias("__text"), F.col(length_col).cast("long").alias("__stated")).mapInArrow(lean(run), schema)

@@ -22,13 +22,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StructType
 
-from tidemark.llm.exchange import n_buckets
+from tidemark.llm.exchange import lean_cogroup, lean_group, n_buckets
 from tidemark.llm.textbytes import BYTE_CODES, mix, powers, text_slices
 
 CHUNK_BYTES = 8 << 20
@@ -37,12 +36,13 @@ LAST = np.iinfo(np.int64).max
 FLAG = np.dtype([("group", "<u4"), ("mask", "<u8")])
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept, carried) for each row of ``docs``.
 
     Texts are UTF-8 bytes, whole; null is empty; matches never cross rows. A byte goes if a string of ``length`` bytes over
     it also starts in a row with a smaller id, judged on the input. Rows of one id do not remove each other's text; a
-    row with a null id comes after all others. kept holds the bytes that stay. An empty table gives an empty result.
+    row with a null id comes after all others. kept holds the bytes that stay; ``as_text``, as a text, without what a cut leaves of a
+    character. An empty table gives an empty result.
     carried is a struct of the columns named in ``carry``; others are not read. ``length`` lies between 28 and 83.
     """
     if not GRAM + 8 <= length <= GRAM + 63:
@@ -54,18 +54,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = source.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
     buckets = n_buckets(docs)
 
-    grams = source.groupBy("chunk").applyInArrow(_grams(length, buckets), "bucket int, chunk int, data binary")
-    told = grams.groupBy("bucket").applyInArrow(_repeated, "chunk int, bucket int, data binary")
-    runs = source.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_runs(length, buckets), "bucket int, chunk int, data binary")
-    flags = runs.groupBy("bucket").applyInArrow(_merged(length), "chunk int, data binary")
-    schema = StructType.fromDDL("id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").add(source.schema["carried"])
-    return source.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(_removed(length), schema).withColumnRenamed("id", id_col)
-
-
-@F.pandas_udf(StringType())
-def kept_text(kept: pd.Series) -> pd.Series:
-    """Bytes that stay, as a text; what a cut leaves of a character goes too."""
-    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+    grams = source.groupBy("chunk").applyInArrow(lean_group(_grams(length, buckets)), "bucket int, chunk int, data binary")
+    told = grams.groupBy("bucket").applyInArrow(lean_group(_repeated), "chunk int, bucket int, data binary")
+    runs = source.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lean_cogroup(_runs(length, buckets)), "bucket int, chunk int, data binary")
+    flags = runs.groupBy("bucket").applyInArrow(lean_group(_merged(length)), "chunk int, data binary")
+    schema = StructType.fromDDL("id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept " + ("string" if as_text else "binary")).add(source.schema["carried"])
+    return source.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(lean_cogroup(_removed(length, as_text)), schema).withColumnRenamed("id", id_col)
 
 
 class _Chunk:
@@ -231,11 +225,14 @@ def _surroundings(c: _Chunk, one: np.ndarray, length: int):
     padded = np.concatenate([np.zeros(reach, np.uint8), c.buf, np.zeros(length + 8, np.uint8)])
     at = c.at[one] + reach
     wide = -(-length // 8) * 8
-    right = padded[at[:, None] + np.arange(wide)]
+    right, left = np.zeros((len(at), wide), np.uint8), np.zeros((len(at), reach), np.uint8)
+    for lo in range(0, len(at), 1 << 14):  # the numbers of the bytes take eight times the room of the bytes
+        part = slice(lo, lo + (1 << 14))
+        right[part] = padded[at[part, None] + np.arange(wide)]
+        left[part] = padded[at[part, None] - 1 - np.arange(reach)]
     right[np.arange(wide)[None, :] >= (c.p1[one] + length - c.at[one])[:, None]] = 0
-    left = padded[at[:, None] - 1 - np.arange(reach)]
     left[np.arange(reach)[None, :] >= (c.at[one] - c.p0[one])[:, None]] = 0
-    return np.ascontiguousarray(right), left
+    return right, left
 
 
 HEAD = np.dtype([("rank", "<i8"), ("group", "<u4"), ("low", "u1"), ("high", "u1"), ("lcp", "u1"), ("lcs", "u1")])
@@ -368,39 +365,39 @@ def _merged(length: int):
     return run
 
 
-def _removed(length: int):
+def _removed(length: int, as_text: bool = False):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return _result(docs, np.zeros(0, np.int64), [])
+            return _result(docs, np.zeros(0, np.int64), [], as_text)
         c = _Chunk(docs, length)
         group_mask = np.zeros(len(c.first), np.uint64)
         for data in told.column("data").to_pylist():
             flags = np.frombuffer(data, FLAG)
             group_mask[flags["group"]] |= flags["mask"]
         mask = np.where(c.rank[c.row] > c.least[c.group], np.uint64(2**64 - 1), group_mask[c.group])
-        steps = np.zeros(len(c.buf) + 1, np.int64)
+        steps = np.zeros(len(c.buf) + 1, np.int8)  # a byte lies in ``length`` strings at most, which is under 84
         for l in range(length - GRAM + 1):
             p = c.at - l
             p = p[((mask >> np.uint64(l)) & np.uint64(1) > 0) & (p >= c.p0) & (p <= c.p1)]
             steps[p] += 1  # the starts of one offset are distinct
             steps[p + length] -= 1
-        gone = np.cumsum(steps[:-1]) > 0
+        gone = np.cumsum(steps[:-1], dtype=np.int8) > 0
         rows = []
         for i in range(len(c.rank)):
             a, b = c.offsets[i], c.offsets[i + 1]
             g = gone[a:b]
             spans = int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1])) if b > a else 0
             kept = c.buf[a:b][~g].tobytes()
-            rows.append((int(b - a), int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-        return _result(docs, c.order, rows)
+            rows.append((int(b - a), int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if as_text else kept))
+        return _result(docs, c.order, rows, as_text)
 
     return run
 
 
-def _result(docs: pa.Table, order: np.ndarray, rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+def _result(docs: pa.Table, order: np.ndarray, rows: list[tuple], as_text: bool) -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if as_text else pa.binary())
     columns = list(zip(*rows)) if rows else [[]] * 5
     names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-    same = docs.take(pa.array(order))
+    same = docs.select(["id", "carried"]).take(pa.array(order))
     out = {"id": same.column("id").cast(pa.int64())} | {n: pa.array(list(c), t) for n, c, t in zip(names, columns, kinds)}
     return pa.table(out | {"carried": same.column("carried")})
