@@ -172,6 +172,32 @@ def test_words_with_marks_are_encoded_together(monkeypatch):
     assert len(alone) <= 5
 
 
+def test_words_are_remembered_and_forgotten(monkeypatch):
+    """A word is learned once, with or without a mark after it, and the ids stay when it is forgotten."""
+    library, encoder, learned = Tokenizer.from_file(Q.tokenizer()), Encoder(Q.tokenizer()), []
+    learn = encoder._learned
+    monkeypatch.setattr(encoder, "_learned", lambda new: learned.extend(new) or learn(new))
+    texts = ["x " + " ".join(f"w{a}{b} w{a}{b}, élan{a}." for a in "abcdefgh" for b in "ijklmnop"), "y élana wai; wai . , élana"]
+    texts = [t.replace("w", "é" * n + "W") for n in range(6) for t in texts] * 2
+    for few in (400_000, 20):
+        monkeypatch.setattr("tidemark.llm.tokens.CACHED", few)
+        learned.clear()
+        got = [raw for t in texts for raw in encoder.encode_all([t])]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        if few > 20:
+            assert len(learned) == len(set(learned)) and not any(c[-1] in ".,;" for c in learned if len(c) > 1)
+
+
+def test_remembered_words_take_few_bytes():
+    encoder = Encoder(Q.tokenizer())
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    encoder.encode_all(["x " + " ".join(np.base_repr(i, 26).translate(str.maketrans("0123456789", "qrstuvwxyz")) for i in range(50_000, 100_000))])
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held < 60 * 50_000
+
+
 def test_re_pair_round_trip_and_random_access():
     rng = np.random.default_rng(0)
     for ids in (rng.integers(0, 30, 20000), np.zeros(5000, int), np.array([5]), np.zeros(0, int), rng.integers(0, 50000, 3000)):

@@ -19,7 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.tokens import encoder
+from tidemark.llm.exchange import lean
+from tidemark.llm.tokens import encoder, portions
 from tidemark.operators.staging import stage
 
 PIECES = "id long, piece int, start long, length int, ids_crc32 long, part int, rank long"
@@ -41,7 +42,7 @@ def packed_documents(
     documents, attention = documents or tokens, attention or tokens * tokens
     if documents < 1 or attention < tokens * tokens:
         raise ValueError("a whole piece must fit into an empty sequence")
-    pieces = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_pieces(tokenizer, end_id, tokens), PIECES)
+    pieces = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(_pieces(tokenizer, end_id, tokens)), PIECES)
     pieces = stage(pieces, "pieces")
     counts = stage(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
@@ -77,8 +78,7 @@ def _pieces(tokenizer: str, end_id: int, tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(tokens + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
+            for b in portions(batch, 1):
                 rows = []
                 for i, raw in zip(b.column(0).to_pylist(), coder.encode_all(b.column(1).to_pylist())):
                     raw += end
