@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.exchange import n_buckets
-from tidemark.llm.tokens import encoder
+from tidemark.llm.exchange import lean, n_buckets
+from tidemark.llm.tokens import encoder, portions
 
 SHARD_IDS = 1 << 20
 ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 3, 4096, 8
@@ -35,7 +35,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     """
     ordered = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     ordered = ordered.repartitionByRange(n_buckets(docs), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    ordered.mapInArrow(_shards(tokenizer, end_id), SHARD).write.mode("overwrite").parquet(path)
+    ordered.mapInArrow(lean(_shards(tokenizer, end_id)), SHARD).write.mode("overwrite").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, ids: DataFrame | None = None, id_col: str = "doc_id", crc_only: bool = False) -> DataFrame:
@@ -60,7 +60,7 @@ def read_tokens(spark: SparkSession, path: str, ids: DataFrame | None = None, id
         shards = shards.withColumn("wanted", F.lit(None).cast("array<int>"))
     placed = shards.join(starts, ["part", "shard"]).drop("part", "shard", "n_ids")
     schema = "id long, start long, n_tokens long, ids_crc32 long" + ("" if crc_only else ", ids binary")
-    return placed.mapInArrow(_documents(crc_only), schema).withColumnRenamed("id", id_col)
+    return placed.mapInArrow(lean(_documents(crc_only)), schema).withColumnRenamed("id", id_col)
 
 
 def _shards(tokenizer: str, end_id: int | None):
@@ -69,8 +69,7 @@ def _shards(tokenizer: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, shard, ids, raw, n = encoder(tokenizer), TaskContext.get().partitionId(), 0, [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for piece in portions(batch, 1):
                 for i, x in zip(piece.column(0).to_pylist(), coder.encode_all(piece.column(1).to_pylist())):
                     x += end
                     if raw and n + len(x) // 4 > SHARD_IDS:
@@ -111,9 +110,7 @@ def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
         if len(symbols) < 2:
             break
         pairs = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
-        slots = _slots(pairs)
-        often = np.bincount(slots, minlength=SLOTS) >= LEAST_COUNT
-        found, counts = np.unique(pairs[often[slots]], return_counts=True)
+        found, counts = np.unique(pairs, return_counts=True)
         found, counts = found[counts >= LEAST_COUNT], counts[counts >= LEAST_COUNT]
         if not len(found):
             break
@@ -124,8 +121,10 @@ def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
         new = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
         rule_at, pair_at = np.full(SLOTS, -1, np.int32), np.zeros(SLOTS, np.uint64)
         rule_at[_slots(chosen)], pair_at[_slots(chosen)] = np.arange(len(chosen)), chosen
+        slots = _slots(pairs)
         rule = rule_at[slots]
-        at = np.flatnonzero((rule >= 0) & (pair_at[slots] == pairs))
+        at = np.flatnonzero(rule >= 0)
+        at = at[pair_at[slots[at]] == pairs[at]]
         # of overlapping candidates every second one, from the left
         head = np.ones(len(at), dtype=bool)
         head[1:] = np.diff(at) > 1
