@@ -128,8 +128,8 @@ def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
         # of overlapping candidates every second one, from the left
         head = np.ones(len(at), dtype=bool)
         head[1:] = np.diff(at) > 1
-        run_start = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - run_start) % 2 == 0]
+        starts = np.flatnonzero(head)
+        at = at[(np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))) & 1 == 0]
         base = first + len(rules)
         symbols = symbols.copy()
         symbols[at] = base + rule[at]

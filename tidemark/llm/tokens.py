@@ -17,12 +17,14 @@ from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 #: Texts of these characters alone are cut here; a text with any other is encoded by the library whole.
 PLAIN = regex.compile(r"[\n\x20-\x7e\xa1-ɏ‐-‧‰-⁞]*+")
+#: In texts of ASCII alone, those that are not among them.
+CONTROL = bytes(b for b in range(128) if b != 10 and not 32 <= b <= 126)
 #: White space next to white space belongs to one piece.
 RUNS = ("  ", " \n", "\n ", "\n\n\n")
 #: Each is a piece of its own after a word, at the end of a cut.
 MARKS = ".,;:!?"
 #: Words that a worker remembers, at most. Texts that are encoded together have so many bytes, or are one text.
-CACHED, PORTION = 400_000, 4 << 20
+CACHED, PORTION = 400_000, 8 << 20
 #: How byte-level vocabularies write each byte: those that are no visible character of Latin-1 as letters from 256 on. Blanks stay, they keep words apart.
 HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
 WRITTEN = "".join(chr(256 + HIDDEN.index(b)) if b in HIDDEN and b != 32 else chr(b) for b in range(256))
@@ -147,7 +149,8 @@ class Encoder:
     def _is_plain(self, text: str) -> bool:
         return (
             self.byte_level and not any(s in text for s in self.special) and not any(r in text for r in RUNS)
-            and not text.endswith("\n\n") and PLAIN.fullmatch(text) is not None
+            and not text.endswith("\n\n")
+            and (len((raw := text.encode()).translate(None, CONTROL)) == len(raw) if text.isascii() else PLAIN.fullmatch(text) is not None)
         )
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
