@@ -20,7 +20,7 @@ from tidemark.llm.packing import packed_documents, plan
 from tidemark.llm.quality import BUCKETS, N_STATS, Model, features, fit, scored
 from tidemark.llm.quotations import reply_ordered
 from tidemark.llm.repair_store import Decoder, compress, read_tokens, write_tokens
-from tidemark.llm.suffix_dedup import _removed, loser_tree, without_repeats
+from tidemark.llm.suffix_dedup import _grams, _removed, _runs, loser_tree, without_repeats
 from tidemark.llm.tokens import Encoder
 from tidemark.llm.topk_search import search, top_k
 from tidemark.llm.url_filter import judged
@@ -457,6 +457,24 @@ def test_removing_takes_little_memory_for_each_byte():
     assert peak < 12 * size
 
 
+@pytest.mark.parametrize("step", ["grams", "runs", "removed"])
+def test_anchors_of_a_chunk_take_little_memory(step):
+    """Numbers and classes of the anchors are held once, in the room that they need."""
+    rng = np.random.default_rng(2)
+    words = ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(3000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, 3000, 500)) for _ in range(1200)]
+    n = len(texts)
+    docs = pa.table({"id": pa.array(range(n), pa.int64()), "text": texts, "carried": [{"row": True}] * n, "chunk": pa.array([0] * n, pa.int32())})
+    told = pa.table({"chunk": pa.array([0], pa.int32()), "bucket": pa.array([9], pa.int32()), "data": pa.array([b""], pa.binary())})
+    run, given = {"grams": (_grams(50, 4), [docs]), "runs": (_runs(50, 4), [docs, told]), "removed": (_removed(50), [docs, told.slice(0, 0)])}[step]
+    run(*given)  # powers are made once
+    tracemalloc.start()
+    run(*given)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 7 * sum(map(len, texts))
+
+
 def test_workers_give_memory_back():
     def held():
         with open("/proc/self/statm") as f:

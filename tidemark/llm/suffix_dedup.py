@@ -74,21 +74,39 @@ class _Chunk:
         self.ids, self.rank, texts = ids.take(pa.array(order)), rank[order], texts.take(pa.array(order))
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
-        self.slices = [(buf, offsets) for _, buf, offsets in text_slices(texts)]
-        self.buf = np.concatenate([b for b, _ in self.slices]) if self.slices else np.zeros(0, np.uint8)
-        sizes = np.concatenate([np.diff(o) for _, o in self.slices]) if self.slices else np.zeros(0, np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(sizes)])
-        parts, base = [], 0
-        for b, o in self.slices:
+        # the bytes of all rows, as they lie in the array
+        _, self.buf, self.offsets = next(text_slices(texts, 1 << 62), (0, np.zeros(0, np.uint8), np.zeros(1, np.int64)))
+        place = np.int32 if len(self.buf) < 1 << 30 else np.int64
+        parts, base = [[np.zeros(0, t)] for t in (place,) * 3 + (np.uint64,) * 2], 0
+        for _, b, o in text_slices(texts):
             at, p0, p1, gram, seen = _anchors(b, o, length)
-            parts.append((at + base, p0 + base, p1 + base, gram, seen))
+            for part, x in zip(parts, ((at + base).astype(place), (p0 + base).astype(place), (p1 + base).astype(place), gram, seen)):
+                part.append(x)
             base += len(b)
-        self.at, self.p0, self.p1, self.gram, seen = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, t) for t in (np.int64,) * 3 + (np.uint64,) * 2)
-        self.row = np.searchsorted(self.offsets, self.at, side="right") - 1
-        _, self.first, self.group = np.unique(seen, return_index=True, return_inverse=True)
+        for i, part in enumerate(parts):  # one column at a time is held twice
+            parts[i] = np.concatenate(part)
+            part.clear()
+        self.at, self.p0, self.p1, self.gram, seen = parts
+        del parts
+        self.row = np.empty(len(self.at), place)
+        for lo in range(0, len(self.at), 1 << 16):
+            self.row[lo: lo + (1 << 16)] = np.searchsorted(self.offsets, self.at[lo: lo + (1 << 16)], side="right") - 1
+        self.first, self.group = _classes(seen)
         self.least = np.full(len(self.first), LAST)
         np.minimum.at(self.least, self.group, self.rank[self.row])
-        self.slices = None
+
+
+def _classes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What numpy.unique says of the first place and the class of each value, in less room."""
+    place = np.int32 if len(values) < 1 << 30 else np.int64
+    order = np.argsort(values, kind="stable").astype(place)
+    ordered = values[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    del ordered
+    group = np.empty(len(values), place)
+    group[order] = np.cumsum(new, dtype=place) - place(1)
+    return order[new], group
 
 
 def _tied(rank: np.ndarray) -> bool:
@@ -132,7 +150,9 @@ def _anchors(buf: np.ndarray, offsets: np.ndarray, length: int):
 def _chunk_grams(c: _Chunk, buckets: int):
     """Distinct 47-bit gram hashes of a chunk in a fixed order, their buckets, whether several ids hold them."""
     short = c.gram >> np.uint64(17)
-    grams, inverse = np.unique(short, return_inverse=True)
+    first, inverse = _classes(short)
+    grams = short[first]
+    del short
     low, high = np.full(len(grams), LAST), np.full(len(grams), np.iinfo(np.int64).min)
     rank = c.rank[c.row]
     np.minimum.at(low, inverse, rank)
@@ -369,35 +389,42 @@ def _removed(length: int, as_text: bool = False):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _result(docs, np.zeros(0, np.int64), [], as_text)
-        c = _Chunk(docs, length)
-        group_mask = np.zeros(len(c.first), np.uint64)
-        for data in told.column("data").to_pylist():
-            flags = np.frombuffer(data, FLAG)
-            group_mask[flags["group"]] |= flags["mask"]
-        mask = np.where(c.rank[c.row] > c.least[c.group], np.uint64(2**64 - 1), group_mask[c.group])
-        steps = np.zeros(len(c.buf) + 1, np.int8)  # a byte lies in ``length`` strings at most, which is under 84
-        for l in range(length - GRAM + 1):
-            p = c.at - l
-            p = p[((mask >> np.uint64(l)) & np.uint64(1) > 0) & (p >= c.p0) & (p <= c.p1)]
-            steps[p] += 1  # the starts of one offset are distinct
-            steps[p + length] -= 1
-        gone = np.cumsum(steps[:-1], dtype=np.int8) > 0
+        order, buf, offsets, gone = _marked(docs, told, length)
         rows = []
-        for i in range(len(c.rank)):
-            a, b = c.offsets[i], c.offsets[i + 1]
+        for i in range(len(order)):
+            a, b = offsets[i], offsets[i + 1]
             g = gone[a:b]
             spans = int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1])) if b > a else 0
-            kept = c.buf[a:b][~g].tobytes()
+            kept = buf[a:b][~g].tobytes()
             rows.append((int(b - a), int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if as_text else kept))
-        return _result(docs, c.order, rows, as_text)
+        return _result(docs, order, rows, as_text)
 
     return run
 
 
+def _marked(docs: pa.Table, told: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order, bytes and offsets of the rows of a chunk, and which bytes go; its anchors are forgotten."""
+    c = _Chunk(docs, length)
+    group_mask = np.zeros(len(c.first), np.uint64)
+    for data in told.column("data").to_pylist():
+        flags = np.frombuffer(data, FLAG)
+        group_mask[flags["group"]] |= flags["mask"]
+    mask = group_mask[c.group]
+    mask[c.rank[c.row] > c.least[c.group]] = np.uint64(2**64 - 1)
+    del group_mask, c.gram, c.row, c.first, c.group, c.least
+    steps = np.zeros(len(c.buf) + 1, np.int8)  # a byte lies in ``length`` strings at most, which is under 84
+    for l in range(length - GRAM + 1):
+        p = c.at - l
+        p = p[((mask >> np.uint64(l)) & np.uint64(1) > 0) & (p >= c.p0) & (p <= c.p1)]
+        steps[p] += 1  # the starts of one offset are distinct
+        steps[p + length] -= 1
+    np.cumsum(steps, out=steps)
+    return c.order, c.buf, c.offsets, steps[:-1] > 0
+
+
 def _result(docs: pa.Table, order: np.ndarray, rows: list[tuple], as_text: bool) -> pa.Table:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if as_text else pa.binary())
-    columns = list(zip(*rows)) if rows else [[]] * 5
     names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
     same = docs.select(["id", "carried"]).take(pa.array(order))
-    out = {"id": same.column("id").cast(pa.int64())} | {n: pa.array(list(c), t) for n, c, t in zip(names, columns, kinds)}
+    out = {"id": same.column("id").cast(pa.int64())} | {n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, kinds))}
     return pa.table(out | {"carried": same.column("carried")})

@@ -32,7 +32,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and its inverse to the powers 0 to n - 1."""
     if len(_powers[0]) < n:
-        size = 1 << max(20, int(n).bit_length())
+        size = 1 << max(17, int(n).bit_length())
         for i, b in enumerate((BASE, UNBASE)):
             steps = np.full(size, b, np.uint64)
             steps[0] = 1
