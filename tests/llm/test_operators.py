@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import queries as Q
@@ -22,7 +23,7 @@ from tidemark.llm.quotations import reply_ordered
 from tidemark.llm.repair_store import Decoder, compress, read_tokens, write_tokens
 from tidemark.llm.suffix_dedup import _grams, _removed, _runs, loser_tree, without_repeats
 from tidemark.llm.tokens import Encoder
-from tidemark.llm.topk_search import search, top_k
+from tidemark.llm.topk_search import Best, search, top_k
 from tidemark.llm.url_filter import judged
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon été straße".split()
@@ -360,6 +361,63 @@ def test_search_is_exact_for_large_components_and_ties():
         assert sorted(got) == sorted(want)
 
 
+def test_search_holds_bounds_for_a_portion_of_queries_only():
+    rng = np.random.default_rng(8)
+    x, q = rng.integers(-300, 300, (4096, 2)), rng.integers(-300, 300, (4000, 2))
+    tracemalloc.start()
+    try:
+        got = search(np.arange(4000) * 50, q, np.arange(4096), x, 5)
+        assert tracemalloc.get_traced_memory()[1] < 150_000_000
+    finally:
+        tracemalloc.stop()
+    of = {}
+    for i, c, s in zip(*(v.tolist() for v in got)):
+        of.setdefault(i // 50, set()).add((-s, c))
+    for i in range(0, 4000, 97):
+        assert of[i] == set(sorted((-int(s), c) for c, s in enumerate(x @ q[i]) if c != i * 50)[:5])
+
+
+def test_top_k_sends_vectors_in_small_rows(spark, monkeypatch):
+    """No row holds a whole block, and queries are not sent to each block, so Arrow batches stay small whatever the input."""
+    frame = type(spark.range(0))
+    given, before = [], frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **b: given.append(self) or before(self, *a, **b))
+    rng = np.random.default_rng(9)
+    rows = [(50 * i, v.tolist()) for i, v in enumerate(rng.normal(size=(5000, 64)))]
+    assert top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).count() == 25_000
+    for df in given:
+        binary = [c for c, kind in df.dtypes if kind == "binary"]
+        if binary:
+            size = F.lit(0) + sum(F.octet_length(c) for c in binary)
+            most, total = df.agg(F.max(size), F.sum(size)).first()
+            assert most < 50_000 and total < 5000 * 64 * 8 * 2
+
+
+def test_a_block_that_cannot_reach_the_best_changes_nothing():
+    x = np.zeros((3000, 4), np.int64)
+    x[:40, 0] = 1000 + np.arange(40)
+    best = Best(np.array([7, 9]), np.array([[3, 0, 0, 1], [-1, 0, 0, 0]]), 2)
+    best.block(np.arange(3000), x)
+    best.block(np.arange(3000, 6000), x * 0)
+    assert best.ids.tolist() == [[39, 38], [40, 41]] and best.score.tolist() == [[3117, 3114], [0, 0]]
+
+
+@pytest.mark.parametrize("scale", [3, 2**12, 2**30])
+def test_blocks_that_pass_by_give_what_all_pairs_give(scale):
+    """Sorted lists that let queries stop early among them; ids of queries and candidates repeat."""
+    rng = np.random.default_rng(scale)
+    x = (rng.integers(-scale, scale, (900, 3)) * rng.choice([0, 0, 1, 7], (900, 1))).astype(np.int64)
+    ids = rng.integers(0, 700, 900)
+    q_ids, q = rng.integers(0, 700, 70), rng.integers(-scale, scale, (70, 3))
+    best = Best(q_ids, q, 4)
+    for at in (0, 3, 300, 600):
+        end = {0: 3, 3: 300, 300: 600, 600: 900}[at]
+        best.block(ids[at:end], x[at:end])
+    for i, v, got, score in zip(best.q_ids, best.q, best.ids, best.score):
+        want = sorted((max(1 - 2**63, min(2**63 - 1, -sum(int(a) * int(b) for a, b in zip(v, x[c])))), int(ids[c])) for c in range(900) if ids[c] != i)[:4]
+        assert [(-s, c) for s, c in zip(score.tolist(), got.tolist())] == want
+
+
 def test_licenses(docs, spark):
     mit = "MIT notice. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Program without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
     rows = [(1, "x " * 5000 + mit), (2, "Licensed under CC BY-NC 4.0.\nother text"), (3, "the license under version 2"), (4, None), (5, (mit + " ") * 3), (5, "")]
