@@ -1,14 +1,19 @@
 """The streaming detector gives what the batch plans give."""
 
 from datetime import timedelta
+import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tests.test_detect_model import PROFILES, random_rows
 from tests.test_replay import model_of, shuffled, with_seq
 from tests.util import alert_tuples
-from tidemark.streaming.detector import detect_stream
+from tidemark.operators.keyed_window import Geometry
+from tidemark.operators.replay import STEP_INPUT
+from tidemark.profiles import default_profiles, micros
+from tidemark.streaming.detector import _Windows, detect_stream
 
 
 def run(spark, alerts, tmp_path, name):
@@ -203,3 +208,49 @@ def test_processing_timers(spark, tmp_path):
     assert r.rule == "velocity" and r.event_ids[-1] == "e20" and r.detected_at > r.at
     with pytest.raises(ValueError):
         detect_stream(source, default_profiles(), timers="sun")
+
+
+class _Kept:
+    """A state handle that holds one key's state and timers in place."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.remove(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_steps_of_a_key_take_and_give_plain_rows():
+    """Many keys of few events are the usual case; a frame of pandas for each took some ten milliseconds."""
+    profile = next(p for p in default_profiles() if p.stream == "payments")
+    handle, made = _Kept(), Row(*STEP_INPUT)
+    step = _Windows({"payments": Geometry.of(profile)}, True, micros(timedelta(days=1)))
+    step.init(handle)
+    began = time.process_time()
+    for n in range(1000):
+        handle.value, handle.timers = None, []
+        rows = [made("payments", f"k{n}", f"{n}-{i}", 10**15 + i * 10**6, float(i) if i else float("nan"), "BRL", 1.0, None, "", True, False, 5 - i, None) for i in range(5)]
+        out = list(step.handleInputRows(("payments", f"k{n}"), iter(rows), handle))
+        assert [r.id for r in out] == [f"{n}-{i}" for i in (4, 3, 2, 1, 0)] and [r.points for r in out] == [1, 2, 3, 4, 5]
+        assert all(r.clock_us == 10**15 + 4 * 10**6 and r.emitted_at.timestamp() == 10**9 + 4 for r in out)
+        assert len(handle.timers) == 1 and len(handle.value[0]) == 5
+    assert time.process_time() - began < 4
+    assert out[0].geo == {"lat": 1.0, "lon": None, "place": ""} and out[-1].value is None and out[0].value == 4

@@ -12,20 +12,23 @@ stands still when the whole source does; with ``timers="processing"`` it follows
 clock. The watermark moves timers alone. Its column is dropped before the stateful step,
 so Spark filters nothing by it; a key that lags is silent when the watermark has gone on by
 the rule's limit since the key was last heard.
+
+Rows pass as plain ``Row`` objects: a frame of pandas for each key, in and out, costs many
+times the steps themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Mapping
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.keyed_window import Geometry, KeyedWindow, Point
-from tidemark.operators.replay import FRAME, as_rows, judged, point_of, step_input, to_pandas
+from tidemark.operators.replay import FRAME, FRAME_COLUMNS, STEP_INPUT, as_rows, judged, step_input
 from tidemark.operators.rules import hits, write_up
 from tidemark.operators.validate import split_valid
 from tidemark.plans.detect import as_alerts
@@ -41,6 +44,10 @@ _STATE = (
 _HELD = "rules array<struct<rule:string,until:long,rank:int>>, timer_ms long"
 _SEED = f"stream string, key string, points array<{_POINT}>"
 _EMITTED = FRAME + ", emitted_at timestamp"
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+_Emitted = Row(*FRAME_COLUMNS, "emitted_at")
+_CLOCK = FRAME_COLUMNS.index("clock_us")
+_NUMBERS = {FRAME_COLUMNS.index(c) for c in ("value", "base_mean", "base_sd")}
 
 
 def _pack(p: Point) -> tuple:
@@ -53,6 +60,11 @@ def _unpack(p) -> Point:
     return Point(at, id, value, (lat, lon, place) if has_geo else None)
 
 
+def _number(v: float | None) -> float | None:
+    """What is not a number is null to the rules."""
+    return None if v is None or v != v else v
+
+
 class _Windows(StatefulProcessor):
     """One key's window: files events, reports silence, forgets idle keys."""
 
@@ -62,11 +74,13 @@ class _Windows(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("window", _STATE)
+        self.columns, self.seeded = None, None
 
     def _load(self) -> tuple[KeyedWindow, int, int]:
-        if not self.state.exists():
+        stored = self.state.get()
+        if stored is None:
             return KeyedWindow(), 0, -1
-        pts, mark, clock, late, until, rank, seen, timer = self.state.get()
+        pts, mark, clock, late, until, rank, seen, timer = stored
         points = [_unpack(p) for p in pts or []]
         return KeyedWindow(points, mark, clock, late, until, rank), seen, timer
 
@@ -91,30 +105,34 @@ class _Windows(StatefulProcessor):
         ms = timers.getCurrentWatermarkInMs() if self.event_timers else timers.getCurrentProcessingTimeInMs()
         return int(ms) * 1000
 
-    def _emit(self, rows: list[tuple], now_us: int) -> pd.DataFrame:
-        out = to_pandas(rows)
-        # Spark refuses rows at or behind the watermark, which has milliseconds.
-        out["emitted_at"] = pd.to_datetime(out["clock_us"].clip(lower=now_us + 1000), unit="us", utc=True)
-        return out
+    def _emit(self, rows: list[tuple], now_us: int) -> Iterator[Row]:
+        for r in rows:
+            # Spark refuses rows at or behind the watermark, which has milliseconds.
+            facts = (_number(v) if i in _NUMBERS else v for i, v in enumerate(r))
+            yield _Emitted(*facts, _EPOCH + timedelta(microseconds=max(r[_CLOCK], now_us + 1000)))
+
+    def _point(self, at: int, id: str, value: float, lat: float | None, lon: float | None, place: str | None, has_geo: bool) -> Point:
+        return Point(at, id, value, (_number(lat), _number(lon), place) if has_geo else None)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         stream, entity = key
         g = self.geometry[stream]
         w, seen, timer = self._load()
         now = self._now(timerValues)
         # A micro-batch of one key, in arrival order; the trigger bounds its size.
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        batch = list(rows)
+        if self.columns is None:
+            self.columns = itemgetter(*(batch[0].__fields__.index(c) for c in STEP_INPUT[2:]))
+        batch = sorted(map(self.columns, batch), key=_arrival)
         out: list[tuple] = []
-        for r in batch.itertuples(index=False):
-            clock = None if pd.isna(r.now_us) else int(r.now_us)
-            steps = w.step(g, point_of(r), r.terminal, clock)
-            out += as_rows(g, stream, entity, [(f, r.seq, r.unit) for f in steps])
+        for id, at, value, unit, lat, lon, place, has_geo, terminal, seq, clock in batch:
+            steps = w.step(g, self._point(at, id, value, lat, lon, place, has_geo), terminal, clock)
+            out += as_rows(g, stream, entity, [(f, seq, unit) for f in steps])
         seen = max(seen, now, w.clock) if self.event_timers else max(seen, now)
         self._save(g, w, seen, timer, now)
-        if out:
-            yield self._emit(out, now)
+        yield from self._emit(out, now)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         stream, entity = key
         g = self.geometry[stream]
         w, seen, _ = self._load()
@@ -124,18 +142,20 @@ class _Windows(StatefulProcessor):
         else:
             hit = w.sweep(g, now)
             found = [hit] if hit else []
-        if found:
-            yield self._emit(as_rows(g, stream, entity, [(f, -1, None) for f in found]), now)
+        yield from self._emit(as_rows(g, stream, entity, [(f, -1, None) for f in found]), now)
         if now >= seen + self.idle_us:
             self.state.clear()
         else:
             self._save(g, w, seen, -1, now)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        if key == self.seeded:
+            return  # the first row counts
+        self.seeded = key
         stream, _ = key
         now = self._now(timerValues)
         w = KeyedWindow()
-        for p in initialState["points"].iloc[0]:
+        for p in initialState.points:
             w.points.append(_unpack(tuple(p[c] for c in ("at", "id", "value", "has_geo", "lat", "lon", "place"))))
         w.points.sort(key=lambda p: p.at)
         w.mark = w.clock = w.points[-1].at
@@ -146,6 +166,14 @@ class _Windows(StatefulProcessor):
         pass
 
 
+def _arrival(r: tuple) -> int:
+    return r[-2]
+
+
+def _ending_last(r: Row) -> tuple:
+    return r.clock_us, r.seq, r.rule == "", r.place is None, r.place
+
+
 class _Cooldowns(StatefulProcessor):
     """Per rule of a key: until when it cools down, and how severe the alert was.
 
@@ -159,29 +187,32 @@ class _Cooldowns(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("held", _HELD)
+        self.admitted, self.picked = Row(*self.columns), None
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         # A terminal event's own alerts come before the end of its key.
-        batch = batch.assign(ends=batch["rule"] == "").sort_values(["clock_us", "seq", "ends", "place"], kind="stable")
-        stored, timer = self.state.get() if self.state.exists() else ([], -1)
+        batch = sorted(rows, key=_ending_last)
+        stored, timer = self.state.get() or ([], -1)
         before = {rule: (until, rank) for rule, until, rank in stored or []}
         held, cool, keep = dict(before), self.cooldown_us[key[0]], []
-        for r in batch.itertuples(index=False):
+        for r in batch:
+            rule = r.rule
             ok = bool(r.absence)  # silence has been through its cooldown
-            if r.ends:
+            if rule == "":
                 held.clear()
             elif not ok:
-                last = held.get(r.rule)
-                ok = last is None or r.clock_us >= last[0] or r.rank > last[1]
+                last = held.get(rule)
+                ok = last is None or r.clock_us >= last[0] or (r.rank is not None and r.rank > last[1])
                 if ok:
-                    held[r.rule] = (int(r.clock_us) + cool, int(r.rank))
-            keep.append(ok)
+                    held[rule] = (int(r.clock_us) + cool, int(r.rank))
+            if ok:
+                keep.append(r)
         if held != before:
             self._save(held, timer, cool, timerValues)
-        out = batch[keep]
-        if len(out):
-            yield out[self.columns]
+        if keep and self.picked is None:
+            self.picked = itemgetter(*(keep[0].__fields__.index(c) for c in self.columns))
+        for r in keep:
+            yield self.admitted(*(_number(v) if isinstance(v, float) else v for v in self.picked(r)))
 
     def _save(self, held: dict[str, tuple[int, int]], timer: int, cool: int, timers) -> None:
         if timer >= 0:
@@ -195,7 +226,7 @@ class _Cooldowns(StatefulProcessor):
         self.handle.registerTimer(due)
         self.state.update(([(rule, *h) for rule, h in held.items()], due))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.state.clear()
         return iter(())
 
@@ -211,7 +242,7 @@ def _windows(valid: DataFrame, profiles: Mapping[str, Profile], event_timers: bo
         steps = steps.withColumn("event_at", F.timestamp_micros("at_us"))
         steps = steps.withWatermark("event_at", f"{micros(delay)} microseconds").drop("event_at")
     geometry = {name: Geometry.of(p) for name, p in profiles.items()}
-    return steps.groupBy("stream", "key").transformWithStateInPandas(
+    return steps.groupBy("stream", "key").transformWithState(
         statefulProcessor=_Windows(geometry, event_timers, micros(idle)),
         outputStructType=_EMITTED,
         outputMode="Append",
@@ -252,7 +283,7 @@ def detect_stream(
     )
     found = hits(judged(frames), chosen, carry=("emitted_at",))
     out = found.drop("emitted_at")
-    cooled = found.groupBy("stream", "key").transformWithStateInPandas(
+    cooled = found.groupBy("stream", "key").transformWithState(
         statefulProcessor=_Cooldowns({n: micros(p.cooldown) for n, p in chosen.items()}, event_timers, micros(idle), out.columns),
         outputStructType=out.schema,
         outputMode="Append",
