@@ -13,7 +13,7 @@ from tests.util import alert_tuples
 from tidemark.operators.keyed_window import Geometry
 from tidemark.operators.replay import STEP_INPUT
 from tidemark.profiles import default_profiles, micros
-from tidemark.streaming.detector import _Windows, detect_stream
+from tidemark.streaming.detector import _bundled, _unbundled, _Windows, detect_stream
 
 
 def run(spark, alerts, tmp_path, name):
@@ -254,3 +254,23 @@ def test_steps_of_a_key_take_and_give_plain_rows():
         assert len(handle.timers) == 1 and len(handle.value[0]) == 5
     assert time.process_time() - began < 4
     assert out[0].geo == {"lat": 1.0, "lon": None, "place": ""} and out[-1].value is None and out[0].value == 4
+
+
+def test_facts_pass_the_cooldown_unchanged(spark):
+    """Few columns go through Python; odd text, nulls, large numbers and microseconds come back as they were. What is no number comes back as null."""
+    columns = (
+        "stream string, key string, event_id string, at timestamp, at_us long, value double, unit string, seq long, clock_us long, emitted_at timestamp, "
+        "rule string, which int, place int, absence boolean, n long, from_geo struct<lat:double,lon:double,place:string>, event_ids array<string>, rank int"
+    )
+    odd = 'a"b\\c\n\t\u00e9\U0001f600{[,'
+    rows = [
+        ("s", odd, odd, None, 1_700_000_000_123_457, 0.1 + 0.2, odd, 2**62 + 1, 7, None, "r", 1, 0, False, 2**63 - 1, (1e-300, None, ""), [odd, "", None], 3),
+        ("s", "k", None, None, -1, float("nan"), "", 0, 0, None, "", 0, None, True, None, None, [], 1),
+        ("s", "k", None, None, 5, float("inf"), None, 0, 0, None, "", 0, None, True, None, (None, None, None), None, None),
+    ]
+    found = spark.createDataFrame(rows, columns).withColumn("at", F.timestamp_micros("at_us"))
+    bundled = _bundled(found)
+    assert len(bundled.columns) == 11
+    got = _unbundled(bundled.drop("emitted_at"), found)
+    want = found.drop("emitted_at").withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    assert got.dtypes == want.dtypes and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))

@@ -212,7 +212,7 @@ class _Cooldowns(StatefulProcessor):
         if keep and self.picked is None:
             self.picked = itemgetter(*(keep[0].__fields__.index(c) for c in self.columns))
         for r in keep:
-            yield self.admitted(*(_number(v) if isinstance(v, float) else v for v in self.picked(r)))
+            yield self.admitted(*self.picked(r))
 
     def _save(self, held: dict[str, tuple[int, int]], timer: int, cool: int, timers) -> None:
         if timer >= 0:
@@ -252,6 +252,26 @@ def _windows(valid: DataFrame, profiles: Mapping[str, Profile], event_timers: bo
     )
 
 
+#: What the cooldown looks at; the other facts of a hit pass it as one text, as Python takes rows apart value by value.
+_COOLED = ["stream", "key", "rule", "absence", "clock_us", "rank", "seq", "place", "at_us"]
+
+
+def _facts(found: DataFrame) -> list[str]:
+    return [c for c in found.columns if c not in (*_COOLED, "at", "emitted_at")]
+
+
+def _bundled(found: DataFrame) -> DataFrame:
+    kinds = dict(found.dtypes)
+    facts = [F.when(~F.isnan(c), F.col(c)).alias(c) if kinds[c] == "double" else F.col(c) for c in _facts(found)]
+    return found.select(*_COOLED, "emitted_at", F.to_json(F.struct(*facts)).alias("facts"))
+
+
+def _unbundled(cooled: DataFrame, found: DataFrame) -> DataFrame:
+    facts = F.from_json("facts", found.select(_facts(found)).schema).alias("facts")
+    rows = cooled.select(*_COOLED, facts).select(*_COOLED, F.timestamp_micros("at_us").alias("at"), "facts.*")
+    return rows.select(found.drop("emitted_at").columns)
+
+
 def detect_stream(
     events: DataFrame,
     profiles: Iterable[Profile],
@@ -282,11 +302,12 @@ def detect_stream(
         F.count_if(F.col("kind") == "stall").alias("silent"),
     )
     found = hits(judged(frames), chosen, carry=("emitted_at",))
-    out = found.drop("emitted_at")
-    cooled = found.groupBy("stream", "key").transformWithState(
+    held = _bundled(found)
+    out = held.drop("emitted_at")
+    cooled = held.groupBy("stream", "key").transformWithState(
         statefulProcessor=_Cooldowns({n: micros(p.cooldown) for n, p in chosen.items()}, event_timers, micros(idle), out.columns),
         outputStructType=out.schema,
         outputMode="Append",
         timeMode="EventTime" if event_timers else "ProcessingTime",
     )
-    return as_alerts(write_up(cooled, chosen))
+    return as_alerts(write_up(_unbundled(cooled, found), chosen))
